@@ -101,11 +101,13 @@ BYTE_VALUES = random64(256, 7)
 LETTERS = Powers(0x9E3779B97F4A7C15)
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes."""
+def word_hashes(data: bytes, head: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, or of the first ``head`` bytes of each."""
     raw = np.frombuffer(data, np.uint8)
     edge = np.diff(np.concatenate(([True], IS_SPACE[raw], [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if head:
+        ends = np.minimum(ends, starts + head)
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
     up, down = LETTERS.upto(len(raw) + 1)

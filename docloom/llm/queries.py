@@ -26,6 +26,26 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.learn(docs))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import avi
+
+    return avi.describe(avi.to_avi(table(spark, sf_dir, "documents")))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import repeated_words
 
@@ -33,7 +53,8 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op10_substrings": op10_substrings}
+    found = (op3_bpe, op4_simhash, op5_language, op8_toxicity, op9_avi, op10_substrings)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
