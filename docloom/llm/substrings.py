@@ -89,7 +89,7 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     joined = source.filter("doc_id is not null").join(wanted, "doc_id").select("doc_id", "sha", "shared", F.col("text").cast("binary").alias("text"))
     found = staged(joined.mapInArrow(windows, "doc_id long, sha binary, text binary, at array<int>, a array<bigint>, b array<bigint>"), "windows")
     each = found.select("doc_id", "sha", F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select("doc_id", "sha", "w.at", "w.a", "w.b")
-    owner = each.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("a", "b", "lo")
+    owner = staged(each.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("a", "b", "lo"), "owners")
     later = each.join(owner, ["a", "b"]).filter("doc_id > lo").groupBy("doc_id", "sha").agg(F.collect_set("at").alias("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
