@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -65,7 +71,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_mixing, op3_bpe, op4_simhash, op5_language, op6_additive, op8_toxicity, op9_avi, op10_substrings)
+    found = (op1_pii, op2_mixing, op3_bpe, op4_simhash, op5_language, op6_additive, op8_toxicity, op9_avi, op10_substrings)
     return {f.__name__: f for f in found}
 
 
