@@ -51,6 +51,12 @@ def op6_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -71,7 +77,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_mixing, op3_bpe, op4_simhash, op5_language, op6_additive, op8_toxicity, op9_avi, op10_substrings)
+    found = (op1_pii, op2_mixing, op3_bpe, op4_simhash, op5_language, op6_additive, op7_html, op8_toxicity, op9_avi, op10_substrings)
     return {f.__name__: f for f in found}
 
 
