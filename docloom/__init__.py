@@ -1,0 +1 @@
+"""Document-collection analytics on Spark."""

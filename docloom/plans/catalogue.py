@@ -1,9 +1,427 @@
 """The registered queries and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from docloom.functions import numeric, text
+from docloom.operators import classify, dedup, findings, quality, routing, signals, store, tables
+from docloom.plans import inputs
+from docloom.plans.inputs import frame, plain
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+BLANK = r"[ \t\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def normalized(x: str) -> str:
+    for pattern, by in ((r"\r\n?", r"\n"), (r"[\x00-\x08\x0b-\x1f]", ""), (r"[ \t]+", " "), (rf"(^|\n){BLANK}", r"\1"), (rf"{BLANK}(\n|\z)", r"\1")):
+        x = f"regexp_replace({x}, '{pattern}', {'chr(10)' if by == chr(92) + 'n' else repr(by)}, 'g')"
+    return x.replace("'\\\\1'", "'\\1'")
+
+
+def words(x: str) -> str:
+    return rf"case when trim(regexp_replace({x}, '\s+', ' ', 'g')) = '' then 0 else len(string_split(trim(regexp_replace({x}, '\s+', ' ', 'g')), ' ')) end"
+
+
+# ---- content
+
+
+@query(f"""
+with d as (select *, row_number() over (partition by sha256(text) order by doc_id) as place from documents),
+n as (select source, {normalized("coalesce(text, '')")} as t from d where place = 1)
+select source, count(*) as documents, sum(length(t)) as characters, sum({words('t')}) as words from n group by source""")
+def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dedup.fingerprint(read(spark, sf_dir, "documents"), "text")
+    canonical = dedup.deduplicate(docs, "doc_id").filter("not is_duplicate").select("source", text.normalize(F.col("text")).alias("t"))
+    return canonical.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.length("t")).alias("characters"), F.sum(text.word_count(F.col("t"))).alias("words"))
+
+
+@query("select doc_id, sha256(text) as checksum_sha256, octet_length(encode(text)) as file_size from documents")
+def document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.fingerprint(read(spark, sf_dir, "documents"), "text").select("doc_id", "checksum_sha256", "file_size")
+
+
+@query("""
+select doc_id, first_value(doc_id) over w as canonical_id, doc_id > first_value(doc_id) over w as is_duplicate
+from documents window w as (partition by sha256(text) order by doc_id)""")
+def document_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dedup.fingerprint(read(spark, sf_dir, "documents"), "text")
+    return dedup.deduplicate(docs, "doc_id").select("doc_id", F.col("canonical.doc_id").alias("canonical_id"), "is_duplicate")
+
+
+@query("""
+with store as (select sha256(text) as h, min('doc-' || doc_id) as id from documents where doc_id % 3 = 0 group by 1),
+n as (select doc_id, sha256(text) as h, row_number() over (partition by sha256(text) order by doc_id) as place from documents where doc_id % 3 <> 0)
+select doc_id, coalesce(id, sha256('document:' || n.h)) as document_id, id is not null or place > 1 as is_duplicate from n left join store using (h)""")
+def ingest_against_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dedup.fingerprint(read(spark, sf_dir, "documents"), "text")
+    known = docs.filter("doc_id % 3 = 0").select(F.concat(F.lit("doc-"), "doc_id").alias("id"), "checksum_sha256")
+    return dedup.deduplicate(docs.filter("doc_id % 3 <> 0"), "doc_id", store=known).select("doc_id", "document_id", "is_duplicate")
+
+
+@query(f"with n as ({plain(inputs.NOISY)}) select doc_id, {normalized('text')} as normalized, {words(normalized('text'))} as words from n")
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = text.normalize(F.col("text"))
+    return frame(spark, sf_dir, inputs.NOISY).select("doc_id", clean.alias("normalized"), text.word_count(clean).cast("long").alias("words"))
+
+
+@query(f"""
+with m as (select conv_id, role, count(*) as n, sum(length({normalized("coalesce(text, '')")})) as c, sum({words(normalized("coalesce(text, '')"))}) as w from conversations group by 1, 2)
+select conv_id, cast(sum(c) as bigint) as characters, cast(sum(w) as bigint) as words, string_agg(role || '=' || n, ',' order by role) as methods from m group by 1""")
+def extraction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "role", text.normalize(F.col("text")).alias("t"))
+    by = rows.groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("c"), F.sum(text.word_count(F.col("t"))).alias("w"))
+    methods = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("role", "n"))), lambda s: F.concat_ws("=", s["role"], s["n"])), ",")
+    return by.groupBy("conv_id").agg(F.sum("c").alias("characters"), F.sum("w").alias("words"), methods.alias("methods"))
+
+
+@query("""
+select doc_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) as text_length, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) / (612e0 * 792e0) as text_density,
+  length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0 as has_extractable_text from documents""")
+def text_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = text.text_length(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("text_length"), text.density(n, F.lit(612.0), F.lit(792.0)).alias("text_density"), (n > 0).alias("has_extractable_text"))
+
+
+_CLUSTERS = "list_reduce(list_transform(list_sort(list({0})), lambda x: {{'n': 1, 'st': x}}), lambda a, b: case when b.st - a.st > {1} then {{'n': a.n + 1, 'st': b.st}} else a end).n"
+
+
+@query(f"""
+with d as (select l_orderkey, count(*) as drawings, {_CLUSTERS.format('l_quantity', '1e0')} as xs, {_CLUSTERS.format('l_tax * 100', '1e0')} as ys,
+  count(*) filter (l_returnflag = 'A') as lines, count(*) filter (l_returnflag = 'R') as rects from lineitem group by 1),
+g as (select *, case when drawings >= 4 then least(least(xs, ys) / 5e0, 1e0) else 0e0 end as grid from d)
+select l_orderkey, xs, ys, grid, case when lines + rects > 0 then least(least(lines / 5e2 / 1e-2, 1e0) * 4e-1 + least(rects / 5e2 / 5e-3, 1e0) * 3e-1 + grid * 3e-1, 1e0) else 0e0 end as score from g""")
+def table_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of drawing coordinates, grid score and table score, a page for each order; 50 x 10 units of area, so a tolerance of one."""
+    d = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("drawings"), F.collect_list("l_quantity").alias("x"), F.collect_list(F.col("l_tax") * 100).alias("y"), F.count_if(F.col("l_returnflag") == "A").alias("lines"), F.count_if(F.col("l_returnflag") == "R").alias("rects")
+    )
+    width, height = F.lit(50.0), F.lit(10.0)
+    grid = signals.grid_score(F.col("x"), F.col("y"), F.col("drawings"), width, height)
+    return d.withColumn("grid", grid).select(
+        "l_orderkey", signals.clusters(F.col("x"), F.lit(1.0)).alias("xs"), signals.clusters(F.col("y"), F.lit(1.0)).alias("ys"), "grid",
+        signals.table_candidate_score(F.col("lines"), F.col("rects"), F.col("grid"), width * height).alias("score"),
+    )
+
+
+# ---- classes and routes
+
+CLASSIFIED_SQL = f"""
+with s as ({plain(inputs.SIGNALS)}),
+c as (select *, case when width <= 0 or height <= 0 then 'unknown' when table_candidate_score >= 5e-1 then 'table_dense'
+  when text_length <= 10 and text_density <= 5e-4 and image_area_ratio >= 3e-1 then 'scanned_document'
+  when drawing_count >= 5 and ((text_length > 5 and text_length < 100) or (drawing_count >= 8 and text_length > 3)) and table_candidate_score < 4e-1 and image_area_ratio < 4e-1 then 'chart_graph'
+  when (image_area_ratio >= 4e-1 or drawing_count >= 15) and text_length < 150 and table_candidate_score < 3e-1 and (image_area_ratio >= 2e-1 or drawing_count >= 10) then 'map_diagram'
+  when text_length >= 50 and text_density >= 1e-3 and image_area_ratio < 1e-1 and table_candidate_score < 3e-1 then 'typed_text' else 'mixed' end as classification from s),
+m as (select *, least(text_length / 15e1, 1e0) as a, least(image_area_ratio * 4e-1 + least(drawing_count / 2e1, 1e0) * 4e-1 + table_candidate_score * 2e-1, 1e0) as b from c),
+p as (select *, case classification when 'unknown' then 0e0 when 'table_dense' then least(5e-1 + table_candidate_score * 5e-1, 1e0)
+  when 'scanned_document' then least(5e-1 + image_area_ratio * 5e-1 + case when text_length = 0 then 5e-1 else 0e0 end, 1e0)
+  when 'chart_graph' then least(6e-1 * 4e-1 + case when text_length > 0 then least(text_length / 5e1, 1e0) else 3e-1 end * 3e-1 + least(drawing_count / 2e1, 1e0) * 3e-1, 9e-1)
+  when 'map_diagram' then least(least((image_area_ratio + least(drawing_count / 5e1, 1e0)) / 15e-1, 1e0) * 4e-1 + greatest(0e0, 1e0 - text_length / 3e2) * 3e-1 + case when image_area_ratio >= 2e-1 or drawing_count >= 10 then 7e-1 else 3e-1 end * 3e-1, 85e-2)
+  when 'typed_text' then least(greatest(least(text_density * 5e2, 1e0) - (image_area_ratio * 5e-1 + table_candidate_score * 3e-1), 5e-1), 1e0)
+  else least(case when a > 3e-1 and b > 3e-1 then (a + b) / 2e0 * (5e-1 + (1e0 - abs(a - b)) * 5e-1) else greatest(a, b) * 6e-1 end, 1e0) end as confidence from m)
+"""
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classify(frame(spark, sf_dir, inputs.SIGNALS))
+
+
+@query(CLASSIFIED_SQL + "select document_id, page_number, classification, confidence from p")
+def page_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(spark, sf_dir).select("document_id", "page_number", "classification", F.col("classification_confidence").alias("confidence"))
+
+
+@query(CLASSIFIED_SQL + """select document_id, page_number, case classification when 'unknown' then 'Page has no area.'
+  when 'table_dense' then printf('Strong table candidate signal detected (score: %.2f).', table_candidate_score)
+  when 'scanned_document' then printf('Very low native text density (%d chars) combined with high image coverage (%.2f).', text_length, image_area_ratio)
+  when 'chart_graph' then printf('Chart/graph-like structure detected (line ratio: 0.60, text length: %d chars, drawings: %d) suggesting potential numerical visualization.', text_length, drawing_count)
+  when 'map_diagram' then printf('Map/diagram-like visual content detected (image area: %.2f, drawings: %d, text length: %d chars) suggesting spatial/visual information.', image_area_ratio, drawing_count, text_length)
+  when 'typed_text' then printf('High native text density (%d chars, density: %.4f) with low visual competition.', text_length, text_density)
+  else printf('Mixed content detected: text (%d chars) combined with visual/table elements (images: %d, drawings: %d, table score: %.2f).', text_length, image_count, drawing_count, table_candidate_score) end as reason from p""")
+def classification_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(spark, sf_dir).select("document_id", "page_number", F.col("classification_reason").alias("reason"))
+
+
+@query(CLASSIFIED_SQL + """select document_id, page_number, case classification when 'typed_text' then 'light' when 'scanned_document' then 'ocr_optimized' when 'table_dense' then 'table_preserving' when 'unknown' then 'none' else 'visual' end as profile,
+  classification in ('table_dense', 'scanned_document', 'mixed') as extract_tables, classification in ('scanned_document', 'mixed') and text_length = 0 as apply_ocr from p""")
+def processing_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("classification")
+    raw = F.when(F.col("text_length") > 0, "x")
+    return classified(spark, sf_dir).select("document_id", "page_number", routing.profile(c).alias("profile"), routing.should_extract_tables(c).alias("extract_tables"), routing.should_apply_ocr(c, raw).alias("apply_ocr"))
+
+
+@query(CLASSIFIED_SQL + """select document_id, case classification when 'typed_text' then 'light' when 'scanned_document' then 'ocr_optimized' when 'table_dense' then 'table_preserving' when 'unknown' then 'none' else 'visual' end as profile,
+  string_agg(cast(page_number as varchar), ',' order by page_number) as pages from p group by 1, 2""")
+def pages_by_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.pages_by_profile(classified(spark, sf_dir)).select("document_id", "profile", F.array_join(F.transform("page_numbers", lambda n: n.cast("string")), ",").alias("pages"))
+
+
+@query("""
+with r as (select event_id, case event_id % 6 when 0 then 'a GRID with axis, irregular' when 1 then 'complex shaded picture' when 2 then 'plain' when 3 then 'Color data' when 4 then 'organic symbol and numeric value' else 'uniform scale gradient' end as reason,
+  (event_id % 11) / 1e1 as confidence, event_id % 20 as dc, (event_id % 7) / 1e1 as ia, event_id % 300 as tl from events),
+s as (select *, case when regexp_matches(lower(reason), 'grid|axis|scale') then 3e-1 else 0e0 end + case when regexp_matches(lower(reason), 'structured|regular|uniform') then 2e-1 else 0e0 end
+  + case when regexp_matches(lower(reason), 'numeric|data|value') then 2e-1 else 0e0 end as t0,
+  case when regexp_matches(lower(reason), 'complex|irregular|organic') then 3e-1 else 0e0 end + case when regexp_matches(lower(reason), 'shaded|gradient|color') then 2e-1 else 0e0 end
+  + case when regexp_matches(lower(reason), 'symbol|icon|picture') then 2e-1 else 0e0 end as v from r),
+t as (select *, t0 + case when dc >= 10 then 2e-1 else 0e0 end + case when ia < 3e-1 then 2e-1 else 0e0 end + case when tl > 10 and tl < 200 then 1e-1 else 0e0 end as t1 from s)
+select event_id, case when (case when confidence > 8e-1 and t0 = 0 and v = 0 then 5e-1 else t0 end) >= v then 'TABLE_BACKED_CHART' else 'VISUAL_NUMERIC_EXTRACTION' end as by_reason,
+  case when (case when confidence > 8e-1 and t1 = 0 and v = 0 then 5e-1 else t1 end) >= v then 'TABLE_BACKED_CHART' else 'VISUAL_NUMERIC_EXTRACTION' end as by_signals from t""")
+def chart_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reasons = ["a GRID with axis, irregular", "complex shaded picture", "plain", "Color data", "organic symbol and numeric value", "uniform scale gradient"]
+    k = F.col("event_id")
+    reason, confidence = F.get(F.array(*map(F.lit, reasons)), (k % 6).cast("int")), (k % 11) / 10.0
+    return read(spark, sf_dir, "events").select("event_id", routing.chart_route(reason, confidence).alias("by_reason"), routing.chart_route(reason, confidence, k % 20, (k % 7) / 10.0, k % 300).alias("by_signals"))
+
+
+@query(CLASSIFIED_SQL + """select document_id, page_number, case classification when 'chart_graph' then 'chart_type=TABLE_BACKED_CHART,extract_numeric_data=true,preserve_aspect_ratio=true'
+  when 'map_diagram' then 'content_type=spatial_visual,detect_regions=true,extract_features=true,preserve_colors=true' when 'table_dense' then 'extract_grid=true,ocr_friendly=true,preserve_structure=true' else '' end as hints from p""")
+def visual_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = classified(spark, sf_dir)
+    hints = routing.visual_hints(F.col("classification"), routing.chart_route(F.col("classification_reason"), F.col("classification_confidence")))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries(hints), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    return pages.select("document_id", "page_number", shown.alias("hints"))
+
+
+@query(CLASSIFIED_SQL + """, e as (select cast(o_custkey as varchar) as document_id, cast(l_orderkey + l_linenumber % 2 as integer) as page_number, l_linenumber from lineitem join orders on l_orderkey = o_orderkey)
+select coalesce(classification, 'unknown') as classification, count(*) as n, sum(l_linenumber) as lines from e left join p using (document_id, page_number) group by 1""")
+def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extractions with the class of their page; half of them name a page that is not there."""
+    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").cast("string").alias("document_id"), (F.col("l_orderkey") + F.col("l_linenumber") % 2).cast("int").alias("page_number"), "l_linenumber")
+    return routing.with_classification(rows, classified(spark, sf_dir)).groupBy("classification").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
+@query("""
+with r as (select doc_id, text as native, case when doc_id % 2 = 0 then text || ' more' else ' ' end as ocr, (doc_id % 101) * 1e0 as conf, doc_id % 3 = 0 as use_ocr, doc_id % 10 = 0 as blank from documents),
+q as (select doc_id, case when blank then '' else native end as native, ocr, conf, use_ocr from r)
+select doc_id, case when use_ocr and length(trim(ocr)) > length(trim(native, ' ' || chr(10))) then 'ocr_tesseract' when length(trim(native)) > 0 then 'native_pdf' else 'none' end as extraction_method,
+  case when use_ocr and length(trim(ocr)) > length(trim(native, ' ' || chr(10))) then case when conf > 1 then conf / 1e2 else conf end end as confidence,
+  length(case when use_ocr and length(trim(ocr)) > length(trim(native, ' ' || chr(10))) then ocr else native end) as chosen_length from q""")
+def text_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    rows = read(spark, sf_dir, "documents").select(
+        "doc_id", F.when(k % 10 == 0, "").otherwise(F.col("text")).alias("native_text"), F.when(k % 2 == 0, F.concat("text", F.lit(" more"))).otherwise(" ").alias("ocr_text"), (k % 101).cast("double").alias("ocr_confidence"), (k % 3 == 0).alias("use_ocr")
+    )
+    return routing.choose_text(rows).select("doc_id", "extraction_method", "confidence", F.length("chosen_text").cast("long").alias("chosen_length"))
+
+
+# ---- tables and charts
+
+_POINTS = f"""with h as ({plain(inputs.HORIZONTAL)}), v as ({plain(inputs.VERTICAL)}),
+i as (select h.document_id, h.page_number, v.x, h.y from h join v on h.document_id = v.document_id and h.page_number = v.page_number and h.x1 <= v.x and v.x <= h.x2 and v.y1 <= h.y and h.y <= v.y2)
+"""
+_GRIDS = _POINTS + """, g as (select document_id, page_number, min(x) as x1, min(y) as y1, max(x) as x2, max(y) as y2, list_sort(list(distinct x)) as xs, list_sort(list(distinct y)) as ys, count(*) as n from i group by 1, 2),
+t as (select * from g where n >= 4 and len(xs) between 2 and 50 and len(ys) between 2 and 50)
+"""
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.intersections(frame(spark, sf_dir, inputs.HORIZONTAL), frame(spark, sf_dir, inputs.VERTICAL))
+
+
+@query(_POINTS + "select document_id, page_number, x, y, count(*) as n from i group by all")
+def line_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).groupBy("document_id", "page_number", "x", "y").agg(F.count("*").alias("n"))
+
+
+@query(_GRIDS + "select document_id, page_number, x1, y1, x2, y2, len(ys) - 1 as row_count, len(xs) - 1 as column_count, least(len(xs) * len(ys) / 1e2, 1e0) as structure_confidence from t")
+def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.grids(_points(spark, sf_dir)).drop("xs", "ys")
+
+
+@query(_GRIDS + """, r as (select *, unnest(range(1, len(ys))) as ri from t), c as (select *, unnest(range(1, len(xs))) as ci from r)
+select document_id, page_number, cast(ri - 1 as integer) as row_index, cast(ci - 1 as integer) as column_index, xs[ci] as x, ys[ri] as y, xs[ci + 1] - xs[ci] as width, ys[ri + 1] - ys[ri] as height from c""")
+def cell_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.cells(tables.grids(_points(spark, sf_dir)))
+
+
+@query(f"""
+with c as ({plain(inputs.CHARTS)}), t as ({plain(inputs.PAGE_TABLES)}),
+j as (select c.*, t.id, row_number() over (partition by c.document_id, c.page_number, c.chart_index order by case t.page_number - c.page_number when 0 then 0 when -1 then 1 else 2 end, t.row_count * t.column_count desc, t.table_index) as place,
+  t.page_number as tp from c left join t on c.document_id = t.document_id and abs(t.page_number - c.page_number) <= 1)
+select document_id, page_number, chart_index, id as associated_table_id, case when id is null then 'no_matching_table_found' when tp = page_number then 'same_page_table' else 'adjacent_page_table' end as association_method,
+  case when id is null then 0e0 else 8e-1 end as association_confidence, case when id is null then 'unresolved' else 'resolved' end as resolution_status from j where place = 1""")
+def chart_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.associate_charts(frame(spark, sf_dir, inputs.CHARTS), frame(spark, sf_dir, inputs.PAGE_TABLES))
+
+
+# ---- validation
+
+_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def _as_number(x: str) -> str:
+    return f"case when regexp_matches({x}, '{_NUMBER}') then try_cast({x} as double) end"
+
+
+def _signed_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^\((.*)\)$', '-\1')"
+
+
+@query(f"""
+with c as ({plain(inputs.CELLS)})
+select o_orderkey, ({_as_number(_signed_sql("regexp_replace(trim(cell), '[,$%]', '', 'g')"))}) is not null as numeric_like, {_as_number("regexp_replace(" + _signed_sql("trim(cell)") + r", '[$,%\s]', '', 'g')")} as number from c""")
+def numeric_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("cell")
+    return frame(spark, sf_dir, inputs.CELLS).select("o_orderkey", numeric.numeric_like(c).alias("numeric_like"), numeric.number_in(c).alias("number"))
+
+
+def string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as extracted tables: a header, a row a line, a total; with wrong totals, no totals, empty and short rows, empty tables and bad fields by order key."""
+    k = F.col("l_orderkey")
+    money = F.col("l_extendedprice").cast("decimal(18,2)")
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", money.alias("p"), F.col("l_quantity").cast("int").alias("q"))
+    o = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.sum(money).alias("sum_p"), F.sum(F.col("l_quantity").cast("int")).alias("sum_q"))
+    rows = F.transform("lines", lambda r: F.array(r["l_partkey"].cast("string"), r["q"].cast("string"), r["p"].cast("string")))
+    texts = lambda *xs: F.array(F.array(*(F.lit(x) if isinstance(x, str) else x for x in xs)))
+    none = F.array().cast("array<array<string>>")
+    total = texts("Total", F.col("sum_q").cast("string"), (F.col("sum_p") + F.when(k % 5 == 0, 1).otherwise(0)).cast("decimal(38,2)").cast("string"))
+    data = F.concat(texts("Item", "Quantity", "Price"), rows, F.when(k % 11 == 0, texts("", "", "")).otherwise(none), F.when(k % 13 == 0, texts("x")).otherwise(none), F.when(k % 7 == 0, none).otherwise(total))
+    data = F.when(k % 17 == 0, none).otherwise(data)
+    return o.select(
+        F.concat(F.lit("t"), k).alias("id"), k.cast("string").alias("document_id"), (k % 9 - 1).cast("int").alias("page_number"), F.lit(0).alias("table_index"), F.size(data).alias("row_count"), F.when(k % 19 == 0, 0).otherwise(3).alias("column_count"),
+        data.alias("table_data"), ((k % 12) / 10.0).alias("extraction_confidence"), F.lit(0.5).alias("structure_confidence"),
+    )
+
+
+_TABLES = """
+with o as (select l_orderkey as k, list([cast(l_partkey as varchar), cast(cast(l_quantity as integer) as varchar), cast(cast(l_extendedprice as decimal(18,2)) as varchar)]
+    order by l_linenumber, l_partkey, l_suppkey, cast(l_extendedprice as decimal(18,2)), cast(l_quantity as integer)) as lines,
+  sum(cast(l_extendedprice as decimal(18,2))) as sum_p, sum(cast(l_quantity as integer)) as sum_q, count(*) as n from lineitem group by 1),
+t as (select k, n, sum_p, sum_q, case when k % 17 = 0 then [] else list_concat([['Item', 'Quantity', 'Price']], lines, case when k % 11 = 0 then [['', '', '']] else [] end, case when k % 13 = 0 then [['x']] else [] end,
+  case when k % 7 = 0 then [] else [['Total', cast(sum_q as varchar), cast(cast(sum_p + case when k % 5 = 0 then 1 else 0 end as decimal(38,2)) as varchar)]] end) end as data,
+  cast(k % 9 - 1 as integer) as page_number, case when k % 19 = 0 then 0 else 3 end as column_count, (k % 12) / 1e1 as extraction_confidence from o)
+"""
+
+
+@query(_TABLES + """select 't' || k as id, c as column_index, cast(case c when 1 then sum_q else sum_p + case when k % 5 = 0 then 1 else 0 end end as decimal(38,4)) as total,
+  cast(case c when 1 then sum_q else sum_p end as decimal(38,4)) as calculated, cast(n as integer) as valid_rows, case when c = 2 and k % 5 = 0 then 'total_mismatch' else 'total_match' end as check_name
+from t, (select unnest([1, 2]) as c) where k % 7 <> 0 and k % 17 <> 0""")
+def total_row_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.total_checks(string_tables(spark, sf_dir)).drop("document_id", "page_number")
+
+
+@query(_TABLES + r""", x as (select *, list_transform(data[2:6], lambda r: len(list_filter(r, lambda c: c <> '' and regexp_matches(c, '^-?[0-9.]+$'))) / nullif(len(list_filter(r, lambda c: c <> '')), 0)) as shares from t),
+f as (select k, 'empty_table' as check_name from t where len(data) = 0 union all select k, 'empty_table_columns' from t where len(data) > 0 and column_count = 0
+  union all select k, 'inconsistent_row_width' from (select k, column_count, unnest(data) as r from t) where len(r) <> column_count
+  union all select k, 'empty_rows_detected' from t where len(data) > 0 and k % 11 = 0
+  union all select k, 'header_row_detected' from x where len(data) > 1 and list_avg(list_filter(shares, lambda s: s is not null)) > 7e-1)
+select 't' || k as table_reference, check_name, count(*) as n from f group by 1, 2""")
+def table_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.table_structure(string_tables(spark, sf_dir)).groupBy("table_reference", "check_name").agg(F.count("*").alias("n"))
+
+
+@query(_TABLES + """select check_name, count(*) as n from (
+  select 'table_extraction_page_number' as check_name from t where page_number < 0 union all select 'table_extraction_row_count' from t where len(data) = 0
+  union all select 'table_extraction_column_count' from t where column_count = 0 union all select 'table_extraction_extraction_confidence' from t where extraction_confidence > 1
+  union all select 'table_extraction_table_data' from t where len(data) = 0 or k % 13 = 0
+  union all select 'text_extraction_page_number' from t where page_number <= 0 union all select 'text_extraction_confidence' from t where extraction_confidence > 1
+  union all select 'chart_association_page_number' from t where page_number < 0 union all select 'chart_association_association_confidence' from t where extraction_confidence > 1
+  union all select 'chart_association_resolution_status' from t where column_count = 0) group by 1""")
+def schema_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = string_tables(spark, sf_dir)
+    texts = t.select("document_id", "page_number", F.col("extraction_confidence").alias("confidence"))
+    charts = t.select("id", "document_id", "page_number", F.lit(0).alias("chart_index"), F.col("extraction_confidence").alias("association_confidence"), F.when(F.col("column_count") == 0, "odd").otherwise("resolved").alias("resolution_status"))
+    all_ = findings.table_schema(t).unionByName(findings.text_schema(texts)).unionByName(findings.chart_schema(charts))
+    return all_.groupBy("check_name").agg(F.count("*").alias("n"))
+
+
+@query(_TABLES + """select document_id, total, passed, failed, skipped from (select cast(k as varchar) as document_id,
+  case when k % 7 = 0 or k % 17 = 0 then 1 else 2 end as total, case when k % 7 = 0 or k % 17 = 0 then 0 when k % 5 = 0 then 1 else 2 end as passed,
+  case when k % 7 <> 0 and k % 17 <> 0 and k % 5 = 0 then 1 else 0 end as failed, case when k % 7 = 0 or k % 17 = 0 then 1 else 0 end as skipped from t)""")
+def numeric_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.summary(findings.numeric_consistency(string_tables(spark, sf_dir)), "document_id").drop("error")
+
+
+@query(f"""with f as ({plain(inputs.FINDINGS)}) select document_id, count(*) as total, count(*) filter (status = 'passed') as passed, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'skipped') as skipped,
+  count(*) filter (status = 'error') as error from f group by 1""")
+def finding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.summary(frame(spark, sf_dir, inputs.FINDINGS), "document_id")
+
+
+@query(f"""with f as ({plain(inputs.FINDINGS)}), x as ({plain(inputs.TEXTS)}), b as ({plain(inputs.EVENT_TABLES)}),
+fa as (select document_id, case when count(*) filter (status <> 'skipped') = 0 then 5e1 else count(*) filter (status = 'passed') * 1e2 / count(*) filter (status <> 'skipped') end as validation,
+  bool_or(severity = 'critical' and status = 'error') as fatal, bool_or(severity = 'error' and status = 'failed') as wrong from f group by 1),
+xa as (select document_id, count(*) as n, coalesce(greatest(0e0, least(1e2, avg(confidence) filter (extraction_method = 'ocr_tesseract') * 1e2)), 5e1) as ocr from x group by 1),
+ba as (select document_id, count(*) as n from b group by 1),
+j as (select document_id, coalesce(ocr, 5e1) as ocr, coalesce(validation, 5e1) as validation, case when coalesce(ba.n, 0) > 0 then 75e0 else 5e1 end as structure, coalesce(xa.n, 0) + coalesce(ba.n, 0) as n,
+  coalesce(fatal, false) as fatal, coalesce(wrong, false) as wrong from xa full join ba using (document_id) full join fa using (document_id)),
+k as (select *, case when n = 0 then 0e0 when n < 3 then 3e1 else 9e1 end as completeness from j),
+l as (select *, greatest(0e0, least(1e2, 0e0 + ocr * 3e-1 + validation * 4e-1 + structure * 2e-1 + completeness * 1e-1)) as overall from k)
+select document_id, ocr, validation, structure, completeness, overall, case when fatal then 'failed' when round(overall, 2) >= 85 and not wrong then 'approved' else 'flagged' end as decision from l""")
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    charts = frame(spark, sf_dir, inputs.EVENT_TABLES).limit(0)
+    return quality.assess(frame(spark, sf_dir, inputs.TEXTS), frame(spark, sf_dir, inputs.EVENT_TABLES), charts, frame(spark, sf_dir, inputs.FINDINGS))
+
+
+# ---- runs and states
+
+
+@query(f"with r as ({plain(inputs.RUNS)}) select document_id, max_by(id, created_at) as id, max_by(status, created_at) as status, max(created_at) as created_at from r group by 1")
+def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.latest(frame(spark, sf_dir, inputs.RUNS), "document_id", "created_at", "id").select("document_id", "id", "status", "created_at")
+
+
+@query(f"""with r as ({plain(inputs.RUNS)}), w as ({plain(inputs.WANTED)}), l as (select document_id, max_by(status, created_at) as status, max_by(input_hash, created_at) as input_hash from r group by 1)
+select document_id, input_hash from w where not exists (select 1 from l where l.document_id = w.document_id and l.input_hash = w.input_hash and status = 'completed')""")
+def idempotent_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.not_yet_run(frame(spark, sf_dir, inputs.WANTED), frame(spark, sf_dir, inputs.RUNS))
+
+
+@query("""
+with p as (select cast(user_id as varchar) as document_id, event_type || ':' || sha256(cast(event_id as varchar)) as part from events)
+select document_id, sha256('doc_id:' || sha256(document_id) || '|' || string_agg(part, '|' order by part)) as input_hash from p group by 1""")
+def input_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("document_id"), F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("value"))
+    return dedup.input_hash(parts)
+
+
+@query(f"with s as ({plain(inputs.STAGES)}), l as (select document_id, max_by(status, at_time) as s from s group by 1) select cast(c_custkey as varchar) as id, coalesce(s, 'ingested') as status from customer left join l on document_id = cast(c_custkey as varchar)")
+def lifecycle_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit("ingested").alias("status"))
+    return store.with_status(documents, frame(spark, sf_dir, inputs.STAGES).withColumnRenamed("at_time", "at"))
+
+
+@query("select cast(c_custkey as varchar) as document_id from customer where c_custkey not in (select user_id from events where event_type = 'view')")
+def waiting_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = read(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("user_id").cast("string").alias("document_id"))
+    return store.waiting(read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("document_id")), done)
+
+
+@query(f"""with f as ({plain(inputs.FINDINGS)}), r as ({plain(inputs.RUNS)}), l as (select document_id, max_by(id, created_at) as run from r group by 1)
+select l.document_id, run as validation_run_id, f.id, f.status, f.severity from f join l on f.document_id = l.document_id""")
+def findings_of_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = frame(spark, sf_dir, inputs.RUNS)
+    last = dedup.latest(runs, "document_id", "created_at", "id").select(F.col("id").alias("validation_run_id"), "document_id")
+    rows = frame(spark, sf_dir, inputs.FINDINGS).join(last, "document_id").select("validation_run_id", "id", "status", "severity", "created_at")
+    return store.run_with_findings(runs, rows).select("document_id", "validation_run_id", "id", "status", "severity")
