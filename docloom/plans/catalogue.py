@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import numeric, text
-from docloom.operators import classify, dedup, findings, quality, routing, signals, store, tables
+from docloom.operators import classify, dedup, findings, images, quality, routing, signals, store, tables
 from docloom.plans import inputs
 from docloom.plans.inputs import frame, plain
 
@@ -425,3 +425,28 @@ def findings_of_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = dedup.latest(runs, "document_id", "created_at", "id").select(F.col("id").alias("validation_run_id"), "document_id")
     rows = frame(spark, sf_dir, inputs.FINDINGS).join(last, "document_id").select("validation_run_id", "id", "status", "severity", "created_at")
     return store.run_with_findings(runs, rows).select("document_id", "validation_run_id", "id", "status", "severity")
+
+
+# ---- images (beyond SQL)
+
+
+@query()
+def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.features(images.from_arrays(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8))
+
+
+@query()
+def image_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = images.from_arrays(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+    profiles = F.array(*map(F.lit, images.PIPELINES))
+    return images.preprocess(rows.withColumn("profile", F.get(profiles, (F.col("image_id") % len(images.PIPELINES)).cast("int")))).withColumn("data", F.hex("data"))
+
+
+@query()
+def image_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.embed(image_features(spark, sf_dir))
+
+
+@query()
+def legend_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.legends(images.from_arrays(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8))
