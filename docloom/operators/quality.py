@@ -21,7 +21,7 @@ def clamp(x: Column) -> Column:
 def ocr_component() -> Column:
     """Aggregate over text extractions (extraction_method, confidence)."""
     ocr = F.when(F.lower("extraction_method").contains("ocr"), F.col("confidence"))
-    return F.coalesce(clamp(F.avg(ocr) * 100.0), F.lit(NEUTRAL))
+    return clamp(F.coalesce(F.avg(ocr) * 100.0, F.lit(NEUTRAL)))  # least() would pass over a null
 
 
 def pass_rate(status: str = "status") -> Column:

@@ -372,7 +372,7 @@ def finding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with f as ({plain(inputs.FINDINGS)}), x as ({plain(inputs.TEXTS)}), b as ({plain(inputs.EVENT_TABLES)}),
 fa as (select document_id, case when count(*) filter (status <> 'skipped') = 0 then 5e1 else count(*) filter (status = 'passed') * 1e2 / count(*) filter (status <> 'skipped') end as validation,
   bool_or(severity = 'critical' and status = 'error') as fatal, bool_or(severity = 'error' and status = 'failed') as wrong from f group by 1),
-xa as (select document_id, count(*) as n, coalesce(greatest(0e0, least(1e2, avg(confidence) filter (extraction_method = 'ocr_tesseract') * 1e2)), 5e1) as ocr from x group by 1),
+xa as (select document_id, count(*) as n, greatest(0e0, least(1e2, coalesce(avg(confidence) filter (extraction_method = 'ocr_tesseract') * 1e2, 5e1))) as ocr from x group by 1),
 ba as (select document_id, count(*) as n from b group by 1),
 j as (select document_id, coalesce(ocr, 5e1) as ocr, coalesce(validation, 5e1) as validation, case when coalesce(ba.n, 0) > 0 then 75e0 else 5e1 end as structure, coalesce(xa.n, 0) + coalesce(ba.n, 0) as n,
   coalesce(fatal, false) as fatal, coalesce(wrong, false) as wrong from xa full join ba using (document_id) full join fa using (document_id)),

@@ -1,0 +1,41 @@
+"""Registered queries against their SQL on the smallest tables."""
+
+import decimal
+import os
+
+import duckdb
+import pytest
+
+from docloom.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+
+
+def shown(v):
+    if isinstance(v, (float, decimal.Decimal)):
+        return round(float(v), 9)
+    return tuple(map(shown, v)) if isinstance(v, (list, tuple)) else v
+
+
+@pytest.fixture(scope="module")
+def oracle():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+def test_query(spark, oracle, name):
+    df = catalogue.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted(str([shown(r[c]) for c in columns]) for r in df.collect())
+    assert got
+    if name in catalogue.oracle_sql():
+        r = oracle.execute(catalogue.oracle_sql()[name])
+        names = [d[0] for d in r.description]
+        assert sorted(names) == columns
+        want = sorted(str([shown(row[names.index(c)]) for c in columns]) for row in r.fetchall())
+        assert got == want

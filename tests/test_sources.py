@@ -1,0 +1,27 @@
+from docloom.sources import files
+from docloom.streaming import ingest
+
+
+def write(folder, **contents):
+    folder.mkdir(exist_ok=True)
+    for name, data in contents.items():
+        (folder / f"{name}.txt").write_bytes(data)
+
+
+def test_pages_and_faults(spark, tmp_path):
+    write(tmp_path / "in", a=b"one\ftwo", b=b"x")
+    (tmp_path / "in" / "c.bin").write_bytes(b"?")
+    rows = files.read_files(spark, str(tmp_path / "in")).withColumnRenamed("original_filename", "document_id")
+    got = files.pages(rows).orderBy("document_id", "page_number").collect()
+    assert [(r.document_id, r.page_number, r.raw_text) for r in got] == [("a.txt", 1, "one"), ("a.txt", 2, "two"), ("b.txt", 1, "x"), ("c.bin", None, None)]
+    assert "KeyError" in got[-1].error and got[0].error is None
+
+
+def test_stream_takes_each_content_once(spark, tmp_path):
+    source, sink, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    write(source, a=b"same", b=b"same", c=b"other")
+    ingest.start(ingest.arriving(spark, str(source)), sink, state).awaitTermination()
+    assert spark.read.parquet(sink).count() == 2
+    write(source, d=b"same", e=b"third")
+    ingest.start(ingest.arriving(spark, str(source)), sink, state).awaitTermination()
+    assert sorted(spark.read.parquet(sink).select("file_size").toPandas().file_size) == [4, 5, 5]
