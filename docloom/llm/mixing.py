@@ -21,7 +21,7 @@ SAMPLE = 20_000
 PSEUDO, EVIDENCE = 30.0, 0.5
 #: Log-odds are kept as integers of this step, so that sums do not depend on their order.
 STEP = 1 << 16
-ROUNDS, TOLERANCE = 60, 1e-4
+ROUNDS, TOLERANCE, LEAST_GAIN = 40, 1e-4, 1e-6
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -91,11 +91,12 @@ def fit_rates(table: DataFrame, targets: dict[str, float]) -> list[list[float]]:
     own = {d: own[d] or 0.0 for d in domains}
     wanted = {d: t / sum(targets.values()) * sum(own.values()) for d, t in targets.items()}
     steps: list[list[float]] = []
-    have = own
+    have, before = own, None
     while len(steps) < ROUNDS:
         miss = [(have[d] - wanted[d]) / own[d] if own[d] else 0.0 for d in domains]
-        if max(map(abs, miss)) < TOLERANCE:
+        if max(map(abs, miss)) < TOLERANCE or before and max(abs(a - b) for a, b in zip(miss, before)) < LEAST_GAIN:
             break
+        before = miss
         steps.append([round(m, 9) for m in miss])
         rate = rate_after(steps, domains)
         have = table.agg(*(F.sum(F.col("rows") * F.col("n_tokens") * F.col(f"p_{d}") * rate).alias(d) for d in domains)).first().asDict()
@@ -119,6 +120,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with each row as often as its copies say."""
-    plan = mix(docs, labels, targets).select(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_text"), F.col("copies").alias("mix_copies")).dropDuplicates(["mix_id", "mix_text"]).filter("mix_copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("mix_text"))
-    return docs.join(plan, same).withColumn("mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*docs.columns)
+    plan = mix(docs, labels, targets).select("doc_id", "text_hash", "copies").dropDuplicates(["doc_id", "text_hash"]).filter("copies > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # one column, so that no other can have its name
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("text_hash"))
+    return rows.join(plan, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

@@ -172,9 +172,11 @@ def masked_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with all spans found replaced in the text, and n_chars as it is then; all rows stay."""
-    spans = find(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("pii_id"), F.col("text_hash").alias("pii_hash"), F.col("spans").alias("pii_spans")).dropDuplicates(["pii_id", "pii_hash"])
-    same = F.col("doc_id").eqNullSafe(F.col("pii_id")) & (F.xxhash64("text") == F.col("pii_hash"))
-    joined = docs.join(spans, same, "left").select(*docs.columns, "pii_spans")
+    spans = find(docs).filter(F.size("spans") > 0).select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"])
+    # one column for the row, so that no other can have its name
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_hash"))
+    joined = docs.select(F.struct(*docs.columns).alias("row")).join(spans, same, "left")
+    joined = joined.select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("spans").alias(f"spans of {docs.columns}"))
     names = docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
