@@ -80,6 +80,14 @@ def test_toxicity(corpus, odd, nothing):
     assert toxicity.score(nothing, net).count() == 0
 
 
+def test_toxicity_of_a_text_does_not_depend_on_its_neighbours():
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randint(0, 9)) + (" dolt" if i % 3 == 0 else "") for i in range(90)] + ["", "dolt"]
+    net = toxicity.train(texts, np.array([float("dolt" in t) for t in texts]))
+    together = net.scores(texts)
+    assert np.allclose(together, [net.scores([t])[0] for t in texts], atol=1e-6) and np.allclose(together[::-1], net.scores(texts[::-1]), atol=1e-6)
+
+
 def test_toxicity_gradients_lower_the_loss():
     rng = random.Random(3)
     texts = [prose(rng, 20) + (" dolt" if i % 3 == 0 else "") for i in range(120)]
