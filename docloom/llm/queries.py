@@ -81,5 +81,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Windows as texts of fifty words, their least doc_id, and the words that later ones cover.
+SUBSTRINGS_SQL = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+e as (select doc_id, unnest(list_transform(range(1, len(ws) - 48), lambda i: {'i': i, 'h': md5(array_to_string(ws[i:i + 49], ' '))}), recursive := true) from w where len(ws) >= 50),
+o as (select h, min(doc_id) as lo, max(doc_id) as hi from e group by h having min(doc_id) < max(doc_id)),
+c as (select distinct doc_id, unnest(range(i, i + 50)) as p from e join o using (h) where doc_id > lo),
+g as (select doc_id, list(p) as gone from c group by doc_id),
+k as (select w.doc_id, ws, coalesce(gone, []) as gone from w left join g using (doc_id))
+select doc_id, len(ws) as n_words, len(gone) as n_removed,
+  sha256(coalesce(array_to_string(case when len(gone) = 0 then ws else list_filter(ws, lambda x, i: not list_contains(gone, i)) end, ' '), '')) as kept_sha256 from k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only windows of words can be said in SQL: the others need XXH64, Luhn sums, merges, trained models or media."""
+    return {"op10_substrings": SUBSTRINGS_SQL}
