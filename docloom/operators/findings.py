@@ -64,69 +64,98 @@ def _empty(cell: Column) -> Column:
 
 def _numeric_share(row: Column) -> Column:
     """Share of numeric cells among those not empty; null if all are empty."""
-    full = F.filter(row, lambda c: ~_empty(c))
-    return F.when(F.size(full) > 0, F.size(F.filter(full, numeric_like)) / F.size(full))
+    begin = F.struct(F.lit(0).alias("numbers"), F.lit(0).alias("n"))
+    count = lambda a, c: F.when(_empty(c), a).otherwise(F.struct((a["numbers"] + F.when(numeric_like(c), 1).otherwise(0)).alias("numbers"), (a["n"] + 1).alias("n")))
+    return F.aggregate(row, begin, count, lambda a: F.when(a["n"] > 0, a["numbers"] / a["n"]))
+
+
+def _judged(check: Column | str, status: str, severity: str, **details: Column) -> Column:
+    """One finding as a struct, for arrays of them."""
+    pairs = [y for k, v in details.items() for y in (F.lit(k), v.cast("string"))]
+    said = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    name = F.lit(check) if isinstance(check, str) else check
+    return F.struct(name.alias("check_name"), F.lit(status).alias("status"), F.lit(severity).alias("severity"), said.alias("details"))
+
+
+def _exploded(rows: DataFrame, validator: str, found: Column) -> DataFrame:
+    """A finding for each struct of an array: one pass over the tables, and no table twice."""
+    each = rows.select("document_id", "page_number", F.col("id").alias("table_reference"), F.explode(found).alias("f"))
+    return each.select("document_id", F.lit(validator).alias("validator"), "f.check_name", "f.status", "f.severity", "page_number", "table_reference", "f.details")
 
 
 def table_structure(rows: DataFrame) -> DataFrame:
     """Empty tables, uneven rows, empty rows and columns, and a header row, of tables (id, document_id, page_number, row_count,
     column_count, table_data)."""
-    data, ref = F.col("table_data"), F.col("id")
-    filled = rows.filter(F.size("table_data") > 0)
-    empty = rows.filter("row_count = 0 or column_count = 0").select(*finding("table", F.when(F.col("row_count") == 0, "empty_table").otherwise("empty_table_columns"), "failed", "warning", ref))
-    each = filled.select("document_id", "page_number", "id", "column_count", F.posexplode("table_data").alias("row_index", "row")).filter(F.size("row") != F.col("column_count"))
-    uneven = each.select(*finding("table", "inconsistent_row_width", "failed", "error", ref, row_index=F.col("row_index"), expected_columns=F.col("column_count"), actual_columns=F.size("row")))
-    indices = F.sequence(F.lit(0), F.size("table_data") - 1)
-    empty_rows = F.filter(indices, lambda i: F.forall(F.get(data, i), _empty))
-    first = F.get(data, F.lit(0))
-    places = F.when(F.size(first) > 0, F.sequence(F.lit(0), F.size(first) - 1)).otherwise(F.array().cast("array<int>"))
-    empty_columns = F.filter(places, lambda j: F.forall(data, lambda r: _empty(F.get(r, j))))
+    data = F.col("table_data")
+    filled = F.coalesce(F.size(data) > 0, F.lit(False))
     shown = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
-    marked = filled.withColumn("_rows", empty_rows).withColumn("_columns", empty_columns)
-    blank_rows = marked.filter(F.size("_rows") > 0).select(*finding("table", "empty_rows_detected", "passed", "info", ref, empty_row_indices=shown(F.col("_rows"))))
-    blank_columns = marked.filter(F.size("_columns") > 0).select(*finding("table", "empty_columns_detected", "passed", "info", ref, empty_column_indices=shown(F.col("_columns"))))
+    indices = F.when(filled, F.sequence(F.lit(0), F.size(data) - 1))
+    first = F.get(data, F.lit(0))
+    places = F.when(F.size(first) > 0, F.sequence(F.lit(0), F.size(first) - 1))
     looked_at = F.slice(data, F.lit(2), F.greatest(F.lit(0), F.least(F.col("row_count") - 1, F.lit(DATA_ROWS))))
-    shares = F.filter(F.transform(looked_at, _numeric_share), lambda s: s.isNotNull())
-    mean = F.when(F.size("_shares") > 0, F.aggregate("_shares", F.lit(0.0), lambda a, s: a + s) / F.size("_shares"))
-    headed = filled.withColumn("_shares", shares).withColumn("_first", _numeric_share(first)).withColumn("_mean", mean).filter((F.col("_first") < HEADER_BELOW) & (F.col("_mean") > DATA_ABOVE))
-    header = headed.select(*finding("table", "header_row_detected", "passed", "info", ref))
-    return empty.unionByName(uneven).unionByName(blank_rows).unionByName(blank_columns).unionByName(header)
-
-
-def total_checks(rows: DataFrame) -> DataFrame:
-    """(document_id, page_number, id, column_index, total, calculated, valid_rows, check_name): each numeric column of the first total row of
-    each table against the sum of the rows above it. A total row is the first, in reading order, with a cell that names a
-    total and another cell that is a number. Sums are exact decimals."""
+    marked = rows.select(
+        "document_id", "page_number", "id", "row_count", "column_count", "table_data",
+        F.filter(indices, lambda i: F.size(F.get(data, i)) != F.col("column_count")).alias("_uneven"),
+        F.filter(indices, lambda i: F.forall(F.get(data, i), _empty)).alias("_rows"),
+        F.filter(places, lambda j: F.forall(data, lambda r: _empty(F.get(r, j)))).alias("_columns"),
+        F.when(filled, _numeric_share(first)).alias("_first"),
+        F.when(filled, F.filter(F.transform(looked_at, _numeric_share), lambda s: s.isNotNull())).alias("_shares"),
+    )
+    # one use of the array: an expression that is used twice is also evaluated twice
+    begin = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    mean = F.aggregate("_shares", begin, lambda a, s: F.struct((a["sum"] + s).alias("sum"), (a["n"] + 1).alias("n")), lambda a: F.when(a["n"] > 0, a["sum"] / a["n"]))
+    one = lambda test, finding_: F.when(F.coalesce(test, F.lit(False)), F.array(finding_)).otherwise(F.filter(F.array(finding_), lambda _: F.lit(False)))
+    uneven = F.transform(F.coalesce("_uneven", F.array().cast("array<int>")), lambda i: _judged("inconsistent_row_width", "failed", "error", row_index=i, expected_columns=F.col("column_count"), actual_columns=F.size(F.get(data, i))))
+    found = F.concat(
+        one(F.col("row_count") == 0, _judged("empty_table", "failed", "warning")),
+        one((F.col("row_count") != 0) & (F.col("column_count") == 0), _judged("empty_table_columns", "failed", "warning")),
+        uneven,
+        one(F.size("_rows") > 0, _judged("empty_rows_detected", "passed", "info", empty_row_indices=shown(F.col("_rows")))),
+        one(F.size("_columns") > 0, _judged("empty_columns_detected", "passed", "info", empty_column_indices=shown(F.col("_columns")))),
+        one((F.col("_first") < HEADER_BELOW) & (mean > DATA_ABOVE), _judged("header_row_detected", "passed", "info")),
+    )
+    return _exploded(marked, "table", found)
+
+
+def _with_totals(rows: DataFrame, keep_without: bool) -> DataFrame:
+    """A row for each numeric column n (j, v) of the first total row of each table; optionally also one, n null, for a table without."""
     indexed = F.transform("table_data", lambda row, i: F.struct(i.alias("row_index"), row.alias("row")))
+    names = lambda row: F.exists(row, lambda c: F.coalesce(F.lower(F.trim(c)).rlike(TOTAL_WORDS), F.lit(False)))
+    numbers = lambda row: F.filter(F.transform(row, lambda c, j: F.struct(j.alias("j"), number_in(c).alias("v"))), lambda x: x["v"].isNotNull())
+    totals = F.filter(indexed, lambda r: names(r["row"]) & (F.size(numbers(r["row"])) > 0))
+    marked = rows.withColumn("_total", F.get(totals, F.lit(0)))
+    each = F.explode_outer if keep_without else F.explode
+    return marked.select("document_id", "page_number", "id", "table_data", F.col("_total.row_index").alias("total_row"), each(numbers(F.col("_total.row"))).alias("n"))
 
-    def named(row: Column) -> Column:
-        hit = F.transform(row, lambda c, j: F.when(F.lower(F.trim(c)).rlike(TOTAL_WORDS), j))
-        at = F.get(F.filter(hit, lambda j: j.isNotNull()), F.lit(0))
-        return at
 
-    def numbers(row: Column) -> Column:
-        return F.filter(F.transform(row, lambda c, j: F.struct(j.alias("j"), number_in(c).alias("v"))), lambda x: x["v"].isNotNull())
-
-    totals = F.filter(indexed, lambda r: named(r["row"]).isNotNull() & (F.size(numbers(r["row"])) > 0))
-    with_total = rows.withColumn("_total", F.get(totals, F.lit(0))).filter("_total is not null")
-    each = with_total.select("document_id", "page_number", "id", "table_data", F.col("_total.row_index").alias("total_row"), F.explode(numbers(F.col("_total.row"))).alias("n"))
-    above = F.transform(F.slice("table_data", F.lit(1), F.col("total_row")), lambda r: number_in(F.get(r, F.col("n.j"))))
-    valid = F.filter(above, lambda v: v.isNotNull())
+def _summed(each: DataFrame) -> DataFrame:
+    """Add total, calculated and valid_rows to the rows of ``_with_totals``. Sums are exact decimals."""
     money = "decimal(38,4)"
+    above = F.transform(F.slice("table_data", F.lit(1), F.coalesce("total_row", F.lit(0))), lambda r: number_in(F.get(r, F.col("n.j"))))
+    valid = each.withColumn("_valid", F.filter(above, lambda v: v.isNotNull()))
     summed = F.aggregate("_valid", F.lit(0).cast(money), lambda a, v: (a + v.cast(money)).cast(money))
-    out = each.withColumn("_valid", valid).withColumn("calculated", summed).withColumn("total", F.col("n.v").cast(money))
-    status = F.when(F.size("_valid") == 0, "no_valid_data_for_sum").when(F.abs(F.col("total") - F.col("calculated")) <= F.lit(TOLERANCE).cast(money), "total_match").otherwise("total_mismatch")
-    return out.select("document_id", "page_number", "id", F.col("n.j").alias("column_index"), "total", "calculated", F.size("_valid").alias("valid_rows"), status.alias("check_name"))
+    return valid.select("document_id", "page_number", "id", "table_data", F.col("n.j").alias("column_index"), F.col("n.v").cast(money).alias("total"), summed.alias("calculated"), F.size("_valid").alias("valid_rows"))
+
+
+def _verdict() -> Column:
+    within = F.abs(F.col("total") - F.col("calculated")) <= F.lit(TOLERANCE).cast("decimal(38,4)")
+    return F.when(F.col("valid_rows") == 0, "no_valid_data_for_sum").when(within, "total_match").otherwise("total_mismatch")
+
+
+def total_checks(rows: DataFrame) -> DataFrame:
+    """(document_id, page_number, id, column_index, total, calculated, valid_rows, check_name): each numeric column of the first total row of
+    each table against the sum of the rows above it. A total row is the first, in reading order, with a cell that names a
+    total and another cell that is a number."""
+    return _summed(_with_totals(rows, keep_without=False)).withColumn("check_name", _verdict()).drop("table_data")
 
 
 def numeric_consistency(rows: DataFrame) -> DataFrame:
     """Findings of the total rows, and skipped ones for tables without data or without a total row."""
-    filled = rows.filter(F.size("table_data") > 0)
-    none = rows.filter("table_data is null or size(table_data) = 0").select(*finding("numeric_consistency", "no_data_for_numeric_check", "skipped", "info", F.col("id")))
-    checked = total_checks(filled)
-    without = filled.join(checked.select("id").distinct(), "id", "left_anti").select(*finding("numeric_consistency", "no_explicit_total_row", "skipped", "info", F.col("id")))
-    name = F.col("check_name")
+    each = _summed(_with_totals(rows, keep_without=True))
+    empty = F.coalesce(F.size("table_data"), F.lit(0)) <= 0
+    name = F.when(empty, "no_data_for_numeric_check").when(F.col("column_index").isNull(), "no_explicit_total_row").otherwise(_verdict())
+    judged = each.withColumn("_check", name)
+    name = F.col("_check")
     status = F.when(name == "total_match", "passed").when(name == "total_mismatch", "failed").otherwise("skipped")
     severity = F.when(name == "total_mismatch", "error").otherwise("info")
-    judged = checked.select(*finding("numeric_consistency", name, status, severity, F.col("id"), column_index=F.col("column_index"), calculated_sum=F.col("calculated"), purported_total=F.col("total"), valid_data_rows=F.col("valid_rows")))
-    return none.unionByName(without).unionByName(judged)
+    return judged.select(*finding("numeric_consistency", name, status, severity, F.col("id"), column_index=F.col("column_index"), calculated_sum=F.col("calculated"), purported_total=F.col("total"), valid_data_rows=F.col("valid_rows")))

@@ -308,6 +308,8 @@ def string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = texts("Total", F.col("sum_q").cast("string"), (F.col("sum_p") + F.when(k % 5 == 0, 1).otherwise(0)).cast("decimal(38,2)").cast("string"))
     data = F.concat(texts("Item", "Quantity", "Price"), rows, F.when(k % 11 == 0, texts("", "", "")).otherwise(none), F.when(k % 13 == 0, texts("x")).otherwise(none), F.when(k % 7 == 0, none).otherwise(total))
     data = F.when(k % 17 == 0, none).otherwise(data)
+    o = o.select("l_orderkey", F.explode(F.array(data)).alias("data"))  # a generator: else each use of the column builds the table anew
+    data = F.col("data")
     return o.select(
         F.concat(F.lit("t"), k).alias("id"), k.cast("string").alias("document_id"), (k % 9 - 1).cast("int").alias("page_number"), F.lit(0).alias("table_index"), F.size(data).alias("row_count"), F.when(k % 19 == 0, 0).otherwise(3).alias("column_count"),
         data.alias("table_data"), ((k % 12) / 10.0).alias("extraction_confidence"), F.lit(0.5).alias("structure_confidence"),
