@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import shared_dir, small_batches, staged
 
 #: How the vocabulary's own tokenizer splits a text into words (a fixed value of the format).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -383,13 +383,26 @@ def count_words(docs: DataFrame, vocabulary_path: str, text: str = "text") -> Da
     return docs.select(F.col(text).alias("text")).mapInArrow(counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, vocabulary_path: str, text: str, size: int) -> list[str]:
+    """At most ``size`` words: all that occur so often that no more than ``size`` do. The level comes from a histogram of the counts, of a few
+    hundred steps, so that the driver gets the histogram and these words, however many tasks hold candidates."""
+    # a word met once gains nothing from the lexicon; only short ones can be frequent
+    counts = staged(count_words(docs, vocabulary_path, text).filter((F.col("n") > 1) & (F.length("word") <= 64)), "counts")
+    step = F.floor(F.log("n") * 16).cast("int")
+    level = kept = 0
+    for r in reversed(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy("step").collect()):
+        if kept + r.words > size:
+            level = r.step + 1
+            break
+        kept += r.words
+    return [r.word for r in counts.filter(step >= level).select("word").collect()]
+
+
 def build_lexicon(docs: DataFrame, vocabulary_path: str, text: str = "text", size: int = LEXICON_WORDS) -> str:
-    """Count the words of ``docs``, compile the ``size`` most frequent and send the file to all executors; its name.
+    """Count the words of ``docs``, compile the most frequent, ``size`` at most, and send the file to all executors; its name.
     Only these words come to the driver: a bound that does not grow with the corpus."""
     spark = docs.sparkSession
-    # a word met once gains nothing from the lexicon; only short ones can be frequent
-    top = count_words(docs, vocabulary_path, text).filter((F.col("n") > 1) & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(size)
-    words = [r.word for r in top.collect()]
+    words = frequent_words(docs, vocabulary_path, text, size)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     with tempfile.TemporaryDirectory() as d:
         write_lexicon(path := os.path.join(d, name), words, Vocabulary(vocabulary_path))
@@ -399,8 +412,6 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, text: str = "text", siz
 
 def send(spark: SparkSession, path: str) -> None:
     """Copy a file of the driver's to the shared folder, from which executors fetch it."""
-    from .common import shared_dir
-
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{os.path.basename(path)}")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
