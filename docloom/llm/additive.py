@@ -24,6 +24,8 @@ SAMPLE = 10_000
 KMEANS_ROUNDS, SEED = 6, 3
 BLOCK_ROWS, QUERY_ROWS = 8192, 256
 GROUPS = 24
+#: Query blocks whose best rows a task keeps at once.
+HELD_BLOCKS = 64
 #: Candidates of each query that are ranked again.
 CANDIDATES = 400
 
@@ -154,19 +156,46 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, candidates: int = CA
                 ids = np.array(part.column(0).to_pylist(), np.int64).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([unit(part.column(1).to_pylist()).tobytes()], pa.binary())], ["queries", "wanted"])
 
+    total = distinct.count()
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best rows of a task for each of its queries: as many as its share of all rows makes likely to be among the candidates, and
+        five deviations more. So the rows sent for a query hardly depend on the number of blocks."""
+        held: dict[bytes, tuple[np.ndarray, np.ndarray, int]] = {}
+
+        def best(ids: np.ndarray, near: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+            if width >= near.shape[1]:
+                return ids, near
+            at = np.argpartition(-near, width - 1, axis=1)[:, :width]
+            return np.take_along_axis(ids, at, axis=1), np.take_along_axis(near, at, axis=1)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for queries_, (ids, near, n) in held.items():
+                mean = candidates * n / total
+                ids, near = best(ids, near, min(candidates, int(mean + 5 * mean**0.5) + 4))
+                who = np.repeat(np.frombuffer(queries_, np.int64), ids.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids.reshape(-1)), pa.array(near.reshape(-1).astype(np.float64))], ["query_rep", "rep", "near"])
+            held.clear()
+
         for batch in batches:
             for row in batch.to_pylist():
                 ids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"], np.float32)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                who, q = np.frombuffer(row["queries"], np.int64), np.frombuffer(row["wanted"], np.float32).reshape(-1, books.shape[2])
-                total = np.zeros((len(q), len(ids)), np.float32)
+                q = np.frombuffer(row["wanted"], np.float32).reshape(-1, books.shape[2])
+                near = np.zeros((len(q), len(ids)), np.float32)
                 for i, book in enumerate(books):
-                    total += (q @ book.T)[:, codes[:, i]]
-                total /= np.maximum(norms, 1e-9)
-                width = min(candidates, len(ids))
-                best = np.argpartition(-total, width - 1, axis=1)[:, :width]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, width)), pa.array(ids[best].reshape(-1)), pa.array(np.take_along_axis(total, best, axis=1).reshape(-1).astype(np.float64))], ["query_rep", "rep", "near"])
+                    near += (q @ book.T)[:, codes[:, i]]
+                near /= np.maximum(norms, 1e-9)
+                ids, near = best(np.broadcast_to(ids, near.shape), near, candidates)
+                n = len(norms)
+                if row["queries"] in held:
+                    ids_, near_, n_ = held[row["queries"]]
+                    ids, near = best(np.concatenate([ids_, ids], axis=1), np.concatenate([near_, near], axis=1), candidates)
+                    n += n_
+                held[row["queries"]] = ids, near, n
+                if len(held) > HELD_BLOCKS:
+                    yield from out()
+        yield from out()
 
     blocks = staged(distinct.mapInArrow(code, "ids binary, codes binary, norms binary"), "codes").withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
     wanted = staged(asked.select("embedding").distinct().join(distinct, "embedding").select("rep", "embedding", "norm"), "wanted")
