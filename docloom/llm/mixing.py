@@ -7,6 +7,7 @@ domains. Projected gradient descent then finds a rate for each document, none ne
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,31 +76,46 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str]) -> DataFr
     return scored.select("doc_id", "text_hash", "rows", "n_tokens", *((powers[d] / whole).alias(f"p_{d}") for d in domains))
 
 
-def rate_after(steps: list[list[float]], domains: list[str]) -> Column:
+def rate_after(steps: list[list[float]], domains: list[str], last_projected: bool = True) -> Column:
     """The rate of a document after these gradient steps, each followed by the projection to no less than zero."""
     rate = F.lit(1.0)
-    for g in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p_{d}") * F.lit(x) for d, x in zip(domains, g)), F.lit(0.0)))
+    for i, g in enumerate(steps):
+        rate = rate - sum((F.col(f"p_{d}") * F.lit(x) for d, x in zip(domains, g)), F.lit(0.0))
+        if last_projected or i + 1 < len(steps):
+            rate = F.greatest(F.lit(0.0), rate)
     return rate
 
 
 def fit_rates(table: DataFrame, targets: dict[str, float]) -> list[list[float]]:
     """The gradient steps. Each round sums the domains' expected tokens over all documents; only these sums come to the driver.
-    Errors are weighted by one over a domain's own tokens, and rates by one over the document's, so that a step of one is stable."""
+
+    Errors are weighted by the inverse of the domains' Gram matrix (tokens x posterior x posterior, summed), and rates by one over the document's
+    tokens: then a step of one is the longest that is stable, and where no rate reaches zero one step is enough.
+    A step that the projection changes for no document is one with the step after it, so the expression of the rate stays short."""
     domains = list(targets)
-    own = table.agg(*(F.sum(F.col("rows") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in domains)).first()
-    own = {d: own[d] or 0.0 for d in domains}
+    cells = [(a, b) for a in domains for b in domains]
+    tokens = F.col("rows") * F.col("n_tokens")
+    gram = table.agg(*(F.coalesce(F.sum(tokens * F.col(f"p_{a}") * F.col(f"p_{b}")), F.lit(0.0)).alias(f"{a}/{b}") for a, b in cells)).first().asDict()
+    inverse = np.linalg.pinv([[gram[f"{a}/{b}"] for b in domains] for a in domains], rcond=1e-9)
+    own = {a: sum(gram[f"{a}/{b}"] for b in domains) for a in domains}  # a document's posteriors add up to one
     wanted = {d: t / sum(targets.values()) * sum(own.values()) for d, t in targets.items()}
     steps: list[list[float]] = []
-    have, before = own, None
-    while len(steps) < ROUNDS:
-        miss = [(have[d] - wanted[d]) / own[d] if own[d] else 0.0 for d in domains]
-        if max(map(abs, miss)) < TOLERANCE or before and max(abs(a - b) for a, b in zip(miss, before)) < LEAST_GAIN:
+    have, before, projected = own, None, True
+    for _ in range(ROUNDS):
+        miss = [have[d] - wanted[d] for d in domains]
+        off = [m / wanted[d] if wanted[d] else 0.0 for d, m in zip(domains, miss)]
+        if max(map(abs, off)) < TOLERANCE or before and max(abs(a - b) for a, b in zip(off, before)) < LEAST_GAIN:
             break
-        before = miss
-        steps.append([round(m, 9) for m in miss])
+        before = off
+        step = [round(float(x), 9) for x in inverse @ miss]
+        if projected:
+            steps.append(step)
+        else:
+            steps[-1] = [round(a + b, 9) for a, b in zip(steps[-1], step)]
         rate = rate_after(steps, domains)
-        have = table.agg(*(F.sum(F.col("rows") * F.col("n_tokens") * F.col(f"p_{d}") * rate).alias(d) for d in domains)).first().asDict()
+        sums = [F.sum(tokens * F.col(f"p_{d}") * rate).alias(d) for d in domains]
+        have = table.agg(F.min(rate_after(steps, domains, last_projected=False)).alias("least"), *sums).first().asDict()
+        projected = have["least"] < 0
     return steps
 
 

@@ -37,12 +37,13 @@ def test_rates_meet_targets(corpus):
     assert np.allclose(p.sum(axis=1), 1) and (r >= 0).all()
     assert np.allclose((t * r) @ p / t.sum(), [0.5, 0.2, 0.3], atol=2e-3)
     # the same descent, in numpy
-    want, own = np.ones(len(t)), t @ p
-    for _ in range(mixing.ROUNDS):  # noqa: B007
-        miss = ((t * want) @ p - np.array([0.5, 0.2, 0.3]) * t.sum()) / own
-        if np.abs(miss).max() < mixing.TOLERANCE:
+    goal, inverse = np.array([0.5, 0.2, 0.3]) * t.sum(), np.linalg.pinv((p * t[:, None]).T @ p, rcond=1e-9)
+    want = np.ones(len(t))
+    for _ in range(mixing.ROUNDS):
+        miss = (t * want) @ p - goal
+        if np.abs(miss / goal).max() < mixing.TOLERANCE:
             break
-        want = np.maximum(0, want - p @ np.round(miss, 9))
+        want = np.maximum(0, want - p @ np.round(inverse @ miss, 9))
     assert np.allclose(r, want, atol=1e-6)
     copies = np.array([x.copies for x in got])
     assert (copies >= np.floor(r)).all() and (copies <= np.ceil(r)).all()
