@@ -61,6 +61,11 @@ def vector(text: str) -> np.ndarray | None:
     return v / norm if norm else v
 
 
+def has_letter(text: str) -> bool:
+    """Whether ``vector`` has something to go by."""
+    return bool(letter_codes()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)].any())
+
+
 class Profiles:
     """Unit prototypes of the languages, without what they have in common."""
 
@@ -124,14 +129,19 @@ def predict(docs: DataFrame, profiles: Profiles, doc_id: str = "doc_id", text: s
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose text has no language: null, or without a letter."""
+    """``docs`` without those whose text has no language: null, or without a letter. A null lang becomes the language that the
+    profiles predict; where no language was learned it stays null, and the row stays."""
     profiles = learn(docs)
     columns = docs.schema
+    text, lang = columns.names.index("text"), columns.names.index("lang")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([profiles.predict(t or "")[0] != "und" for t in texts], pa.bool_()))
+            texts, labels = batch.column(text).to_pylist(), batch.column(lang).to_pylist()
+            if profiles.names:
+                found = [profiles.predict(t or "")[0] if label is None else label for t, label in zip(texts, labels)]
+                batch = batch.set_column(lang, batch.schema.field(lang), pa.array(found, batch.schema.field(lang).type))
+            yield batch.filter(pa.array([has_letter(t or "") for t in texts], pa.bool_()))
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(rows, columns)
