@@ -371,19 +371,19 @@ def finding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.summary(frame(spark, sf_dir, inputs.FINDINGS), "document_id")
 
 
-@query(f"""with f as ({plain(inputs.FINDINGS)}), x as ({plain(inputs.TEXTS)}), b as ({plain(inputs.EVENT_TABLES)}),
+@query(f"""with f as ({plain(inputs.FINDINGS)}), x as ({plain(inputs.TEXTS)}), b as ({plain(inputs.EVENT_TABLES)}), c as ({plain(inputs.EVENT_CHARTS)}),
 fa as (select document_id, case when count(*) filter (status <> 'skipped') = 0 then 5e1 else count(*) filter (status = 'passed') * 1e2 / count(*) filter (status <> 'skipped') end as validation,
   bool_or(severity = 'critical' and status = 'error') as fatal, bool_or(severity = 'error' and status = 'failed') as wrong from f group by 1),
 xa as (select document_id, count(*) as n, greatest(0e0, least(1e2, coalesce(avg(confidence) filter (extraction_method = 'ocr_tesseract') * 1e2, 5e1))) as ocr from x group by 1),
 ba as (select document_id, count(*) as n from b group by 1),
-j as (select document_id, coalesce(ocr, 5e1) as ocr, coalesce(validation, 5e1) as validation, case when coalesce(ba.n, 0) > 0 then 75e0 else 5e1 end as structure, coalesce(xa.n, 0) + coalesce(ba.n, 0) as n,
-  coalesce(fatal, false) as fatal, coalesce(wrong, false) as wrong from xa full join ba using (document_id) full join fa using (document_id)),
+ca as (select document_id, count(*) as n from c group by 1),
+j as (select document_id, coalesce(ocr, 5e1) as ocr, coalesce(validation, 5e1) as validation, case when coalesce(ba.n, 0) > 0 then 75e0 else 5e1 end as structure, coalesce(xa.n, 0) + coalesce(ba.n, 0) + coalesce(ca.n, 0) as n,
+  coalesce(fatal, false) as fatal, coalesce(wrong, false) as wrong from xa full join ba using (document_id) full join ca using (document_id) full join fa using (document_id)),
 k as (select *, case when n = 0 then 0e0 when n < 3 then 3e1 else 9e1 end as completeness from j),
 l as (select *, greatest(0e0, least(1e2, 0e0 + ocr * 3e-1 + validation * 4e-1 + structure * 2e-1 + completeness * 1e-1)) as overall from k)
 select document_id, ocr, validation, structure, completeness, overall, case when fatal then 'failed' when round(overall, 2) >= 85 and not wrong then 'approved' else 'flagged' end as decision from l""")
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    charts = frame(spark, sf_dir, inputs.EVENT_TABLES).limit(0)
-    return quality.assess(frame(spark, sf_dir, inputs.TEXTS), frame(spark, sf_dir, inputs.EVENT_TABLES), charts, frame(spark, sf_dir, inputs.FINDINGS))
+    return quality.assess(frame(spark, sf_dir, inputs.TEXTS), frame(spark, sf_dir, inputs.EVENT_TABLES), frame(spark, sf_dir, inputs.EVENT_CHARTS), frame(spark, sf_dir, inputs.FINDINGS))
 
 
 # ---- runs and states

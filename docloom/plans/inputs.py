@@ -37,12 +37,13 @@ from {orders} where o_orderkey % 2 = 1"""
 
 CHARTS = """
 select cast(o_custkey as string) as document_id, cast(o_orderkey % 6 as int) as page_number, cast(o_orderkey as int) as chart_index
-from {orders} where o_orderkey % 3 = 0"""
+from {orders} where o_orderkey % 5 < 2"""
 
+#: The orders that are no charts.
 PAGE_TABLES = """
 select 't' || cast(o_orderkey as string) as id, cast(o_custkey as string) as document_id, cast(o_orderkey % 6 as int) as page_number, cast(o_orderkey as int) as table_index,
   cast(o_orderkey % 7 + 1 as int) as row_count, cast(o_orderkey % 5 + 1 as int) as column_count
-from {orders} where o_orderkey % 4 = 0"""
+from {orders} where o_orderkey % 5 >= 2"""
 
 #: Cells in many spellings of numbers.
 CELLS = """
@@ -56,14 +57,17 @@ FINDINGS = """
 select cast(user_id as string) as document_id, cast(event_id as string) as id, ts as created_at,
   case event_type when 'click' then 'passed' when 'view' then 'passed' when 'signup' then 'skipped' when 'error' then 'failed' else 'error' end as status,
   case when event_id % 300 = 0 then 'critical' when event_id % 10 < 1 then 'error' else 'info' end as severity
-from {events} where event_id % 4 = 0"""
+from {events}"""
 
 TEXTS = """
 select cast(user_id as string) as document_id, cast(event_id as string) as id,
   case when event_id % 2 = 0 then 'ocr_tesseract' else 'native_pdf' end as extraction_method, case when event_id % 6 = 0 then null else (event_id % 9) / 8e0 end as confidence
-from {events} where event_type = 'view' and user_id % 7 <> 0"""
+from {events} where event_type = 'view'"""
+
+EVENT_TABLES = "select cast(user_id as string) as document_id, cast(event_id as string) as id from {events} where event_type = 'click'"
 
-EVENT_TABLES = "select cast(user_id as string) as document_id, cast(event_id as string) as id from {events} where event_type = 'click' and user_id % 3 = 0"
+#: The events that are neither texts nor tables.
+EVENT_CHARTS = "select cast(user_id as string) as document_id, cast(event_id as string) as id from {events} where event_type not in ('view', 'click')"
 
 RUNS = """
 select cast(event_id as string) as id, cast(user_id as string) as document_id, ts as created_at,
