@@ -24,8 +24,9 @@ FPS = 25
 ROW_BLOCKS = 8
 FRAME_BLOCKS = 64
 BINS = 16
-#: A cut is where the histogram difference passes the mean of the last ``LOOK_BACK`` ones by ``SIGMAS`` deviations, and ``LEAST_CUT``.
-LOOK_BACK, SIGMAS, LEAST_CUT = 8, 3.0, 0.05
+#: A cut is where the histogram difference passes the mean of the last ``LOOK_BACK`` ones by ``SIGMAS`` deviations, and ``LEAST_CUT``;
+#: ``FIRST_CUT`` where there are none yet.
+LOOK_BACK, SIGMAS, LEAST_CUT, FIRST_CUT = 8, 3.0, 0.05, 0.4
 SCALE_BITS = 11
 
 
@@ -187,7 +188,7 @@ class Avi:
         cuts = [0]
         for i, d in enumerate(change.tolist()):
             past = change[max(0, i - LOOK_BACK) : i]
-            level = past.mean() + SIGMAS * past.std() if len(past) else 1.0
+            level = past.mean() + SIGMAS * past.std() if len(past) else FIRST_CUT
             if d > max(level, LEAST_CUT):
                 cuts.append(i + 1)
         return list(zip(cuts, [*cuts[1:], self.frames]))
