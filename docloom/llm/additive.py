@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as a sum of one codeword from each of several full-dimensional codebooks. Each codebook is the k-means of what the
-ones before it leave over; codes are found by beam search; the sum's norm is stored with them. A query makes a table of its
-products with all codewords, so that its cosine with a coded vector is a sum of look-ups over the stored norm. The best
-candidates are ranked again by exact cosines.
+ones before it leave over; codes are found by beam search; the distance from the sum to the vector (its error) is stored with them. A query makes a table of its
+products with all codewords, so that its product with a coded vector is a sum of look-ups, which differs from the exact cosine by the
+vector's stored error at most. Every vector that may by this be among a query's best is compared exactly, beside its code.
 """
 
 from __future__ import annotations
@@ -22,12 +22,16 @@ BEAM = 4
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 10_000
 KMEANS_ROUNDS, SEED = 6, 3
-BLOCK_ROWS, QUERY_ROWS = 8192, 256
+BLOCK_ROWS, QUERY_ROWS = 2048, 256
+#: Blocks that a task takes in at once: a block carries its vectors.
+BATCH_BLOCKS = "16"
 GROUPS = 24
 #: Query blocks whose best rows a task keeps at once.
 HELD_BLOCKS = 64
-#: Candidates of each query that are ranked again.
-CANDIDATES = 400
+#: Rows that a task sends for a query beyond those asked for, since the last ranking sums in another order.
+SPARE = 10
+#: More than rounding adds to a sum of look-ups.
+ROUNDING = 1e-4
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -107,7 +111,7 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 5, candidates: int = CANDIDATES) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row of ``vectors`` (vec_id, embedding) for which ``queries`` holds, its ``k`` nearest
     other rows by cosine, ties to smaller vec_id; all of them if there are fewer.
 
@@ -129,21 +133,22 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, candidates: int = CA
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packed blocks of codes: at most ``BLOCK_ROWS`` rows in each."""
-        ids, codes, norms = [], [], []
+        ids, codes, errors, vectors_ = [], [], [], []
 
         def out() -> pa.RecordBatch:
-            packed = [[np.concatenate(x).tobytes()] for x in (ids, codes, norms)]
-            for x in (ids, codes, norms):
+            packed = [[np.concatenate(x).tobytes()] for x in (ids, codes, errors, vectors_)]
+            for x in (ids, codes, errors, vectors_):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(p, pa.binary()) for p in packed], ["ids", "codes", "norms"])
+            return pa.RecordBatch.from_arrays([pa.array(p, pa.binary()) for p in packed], ["ids", "codes", "errors", "vectors"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(batch.column(1).to_pylist())
+            x = unit(batch.column(1).to_pylist(), np.float64)
             ids.append(np.array(batch.column(0).to_pylist(), np.int64))
-            codes.append(beam_encode(x, books))
-            norms.append(np.linalg.norm(decode(codes[-1], books), axis=1).astype(np.float32))
+            codes.append(beam_encode(x.astype(np.float32), books))
+            errors.append(np.linalg.norm(x - decode(codes[-1], books), axis=1).astype(np.float32))
+            vectors_.append(x)
             if sum(map(len, ids)) >= BLOCK_ROWS - 512:
                 yield out()
         if ids:
@@ -154,56 +159,64 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, candidates: int = CA
             for i in range(0, batch.num_rows, QUERY_ROWS):
                 part = batch.slice(i, QUERY_ROWS)
                 ids = np.array(part.column(0).to_pylist(), np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([unit(part.column(1).to_pylist()).tobytes()], pa.binary())], ["queries", "wanted"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([unit(part.column(1).to_pylist(), np.float64).tobytes()], pa.binary())], ["queries", "wanted"])
 
-    total = distinct.count()
+    width = k + 1 + SPARE
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The best rows of a task for each of its queries: as many as its share of all rows makes likely to be among the candidates, and
-        five deviations more. So the rows sent for a query hardly depend on the number of blocks."""
-        held: dict[bytes, tuple[np.ndarray, np.ndarray, int]] = {}
+        """The best rows of a task for each of its queries, by exact cosine."""
+        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
-        def best(ids: np.ndarray, near: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-            if width >= near.shape[1]:
-                return ids, near
-            at = np.argpartition(-near, width - 1, axis=1)[:, :width]
-            return np.take_along_axis(ids, at, axis=1), np.take_along_axis(near, at, axis=1)
+        def best(ids: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if width >= exact.shape[1]:
+                return ids, exact
+            at = np.argpartition(-exact, width - 1, axis=1)[:, :width]
+            return np.take_along_axis(ids, at, axis=1), np.take_along_axis(exact, at, axis=1)
 
         def out() -> Iterator[pa.RecordBatch]:
-            for queries_, (ids, near, n) in held.items():
-                mean = candidates * n / total
-                ids, near = best(ids, near, min(candidates, int(mean + 5 * mean**0.5) + 4))
+            for queries_, (ids, exact) in held.items():
                 who = np.repeat(np.frombuffer(queries_, np.int64), ids.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids.reshape(-1)), pa.array(near.reshape(-1).astype(np.float64))], ["query_rep", "rep", "near"])
+                ids, exact = ids.reshape(-1), exact.reshape(-1)
+                real = exact > -2
+                yield pa.RecordBatch.from_arrays([pa.array(who[real]), pa.array(ids[real]), pa.array(exact[real])], ["query_rep", "rep", "near"])
             held.clear()
 
         for batch in batches:
             for row in batch.to_pylist():
-                ids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"], np.float32)
+                ids, errors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["errors"], np.float32)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                q = np.frombuffer(row["wanted"], np.float32).reshape(-1, books.shape[2])
+                x = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
+                q = np.frombuffer(row["wanted"], np.float64).reshape(-1, books.shape[2])
                 near = np.zeros((len(q), len(ids)), np.float32)
                 for i, book in enumerate(books):
-                    near += (q @ book.T)[:, codes[:, i]]
-                near /= np.maximum(norms, 1e-9)
-                ids, near = best(np.broadcast_to(ids, near.shape), near, candidates)
-                n = len(norms)
-                if row["queries"] in held:
-                    ids_, near_, n_ = held[row["queries"]]
-                    ids, near = best(np.concatenate([ids_, ids], axis=1), np.concatenate([near_, near], axis=1), candidates)
-                    n += n_
-                held[row["queries"]] = ids, near, n
+                    near += (q.astype(np.float32) @ book.T)[:, codes[:, i]]
+                # as many rows as are wanted reach this, so a row that can not is not among them
+                floor = np.full(len(q), -2.0)
+                if len(ids) > width:
+                    likely = np.argpartition(-near, width - 1, axis=1)[:, :width]
+                    floor = np.einsum("qd,qwd->qw", q, x[likely]).min(axis=1)
+                before = held.get(row["queries"])
+                if before and before[1].shape[1] == width:
+                    floor = np.maximum(floor, before[1].min(axis=1))
+                may = near + errors + ROUNDING >= floor[:, None]
+                met = np.flatnonzero(may.any(axis=0))
+                exact = np.where(may[:, met], q @ x[met].T, -3.0)
+                found = best(np.broadcast_to(ids[met], exact.shape), exact)
+                held[row["queries"]] = best(*(np.concatenate(pair, axis=1) for pair in zip(before, found))) if before else found
                 if len(held) > HELD_BLOCKS:
                     yield from out()
         yield from out()
 
-    blocks = staged(distinct.mapInArrow(code, "ids binary, codes binary, norms binary"), "codes").withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
+    blocks = staged(distinct.mapInArrow(code, "ids binary, codes binary, errors binary, vectors binary"), "codes").withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
     wanted = staged(asked.select("embedding").distinct().join(distinct, "embedding").select("rep", "embedding", "norm"), "wanted")
-    packed = wanted.mapInArrow(pack, "queries binary, wanted binary").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))))
+    packed = staged(wanted.mapInArrow(pack, "queries binary, wanted binary"), "packed").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))))
     # every block of queries meets every block of rows
-    near = blocks.join(packed, "group").select("ids", "codes", "norms", "queries", "wanted").mapInArrow(score, "query_rep long, rep long, near double")
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc("near"), "rep"))).filter(F.col("place") <= candidates).select("query_rep", "rep")
-    # exact cosines of the candidates, then the rows that have these vectors
+    near = blocks.join(packed, "group").select("ids", "codes", "errors", "vectors", "queries", "wanted").mapInArrow(score, "query_rep long, rep long, near double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_BLOCKS)
+    near = staged(near, "near")
+    small_batches(spark)
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc("near"), "rep"))).filter(F.col("place") <= width).select("query_rep", "rep")
+    # cosines of the best in double precision, always summed in the same order, then the rows that have these vectors
     exact = near.join(distinct, "rep").join(wanted.select(F.col("rep").alias("query_rep"), F.col("embedding").alias("asked"), F.col("norm").alias("length")), "query_rep")
     exact = exact.select("query_rep", "rep", (dot("asked", "embedding") / (F.col("length") * F.col("norm"))).alias("score"))
     exact = exact.withColumn("place", F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc("score"), "rep"))).filter(F.col("place") <= k + 1)
