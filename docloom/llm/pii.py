@@ -27,11 +27,10 @@ DIGIT = re.compile(r"[0-9]")
 TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 KEY = re.compile(r"(?=[0-9]*[a-f])[0-9a-f]{32,}")
 CONTEXT = re.compile(r"\w+|[^\w\s]")
-#: Signs that mark a field, of which a pattern needs one: without, ordinary words before a number would do.
-MARKS = frozenset("=:#\"'<([{|")
 CONTEXT_CHARS = 40
 LEAST_TOKEN = 6
-ROUNDS, LEAST_INSTANCES, CONFIDENT = 3, 5, 0.8
+#: A pattern counts with so many instances, and marks further ones if it stands in so many different texts.
+ROUNDS, LEAST_INSTANCES, LEAST_TEXTS, CONFIDENT = 3, 5, 5, 0.8
 
 
 def luhn(digits: str) -> bool:
@@ -82,9 +81,9 @@ def tokens(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int,
 
 
 def patterns(text: str, start: int) -> list[str]:
-    """The two and three words or signs before a place, in lower case; none without a field mark."""
+    """The two and three words or signs before a place, in lower case."""
     before = ["^", "^", "^", *CONTEXT.findall(text[max(0, start - CONTEXT_CHARS) : start].lower())]
-    return [" ".join(before[-n:]) for n in (2, 3) if MARKS.intersection("".join(before[-n:]))]
+    return [" ".join(before[-n:]) for n in (2, 3)]
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[dict]]:
@@ -118,7 +117,9 @@ def confident_patterns(scanned: DataFrame) -> DataFrame:
         silent = edges.filter("seed").select("instance", F.lit(1.0).alias("score"))
         score = staged(heard.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("heard")).alias("score")).unionByName(silent).groupBy("instance").agg(F.max("score").alias("score")), "scores")
         score = edges.select("instance").distinct().join(score, "instance", "left").select("instance", F.coalesce("score", F.lit(0.0)).alias("score"))
-    return rated.filter(F.col("confidence") >= CONFIDENT).select("pattern")
+    sure = rated.filter(F.col("confidence") >= CONFIDENT).select("pattern")
+    places = scanned.select("text_hash", F.explode("found").alias("f")).select("text_hash", F.explode("f.patterns").alias("pattern")).join(sure, "pattern").distinct()
+    return places.groupBy("pattern").count().filter(F.col("count") >= LEAST_TEXTS).select("pattern")
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
