@@ -3,10 +3,17 @@
 A naive Bayes classifier over hashed words, learned from the labelled table, gives every document a posterior over
 domains. Projected gradient descent then finds a rate for each document, none negative, such that the expected tokens of each domain
 (rate x tokens x posterior, summed) meet the targets: weighted least squares, from all rates at one.
+
+The gradient at a document is a sum over domains of its posterior times the domain's error, so the steps add up to one number a domain: the
+unprojected rate is one less posterior times these, and its projection to no less than zero is the rate. Steps are scaled by the inverse Gram matrix of the documents
+whose rate is above zero, summed in the same scan as the errors; a scan tries several lengths of a step and takes the best.
 """
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +29,10 @@ SAMPLE = 20_000
 PSEUDO, EVIDENCE = 30.0, 0.5
 #: Log-odds are kept as integers of this step, so that sums do not depend on their order.
 STEP = 1 << 16
-ROUNDS, TOLERANCE, LEAST_GAIN = 40, 1e-4, 1e-6
+#: Scans after which the fit is given up, with a warning; the relative error at which it is done; lengths of a step that a scan tries.
+ROUNDS, TOLERANCE, LENGTHS = 30, 1e-4, (1.0, 0.4, 0.1)
+#: Weight of the accumulated steps against the relative errors: decides only where no rates meet the targets.
+RIDGE = 1e-7
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -39,8 +49,9 @@ def words(docs: DataFrame, *keys: str) -> DataFrame:
 
 def word_weights(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE) -> tuple[DataFrame, dict[str, float]]:
     """(bucket, w_<domain> long), at most ``BUCKETS`` rows, and the domains' shares of the labelled documents."""
-    known = labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("doc_id is not null and domain is not null")
-    picked = bounded_sample(known, "doc_id", sample).dropDuplicates(["doc_id"])
+    once = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = once.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("domain is not null")
+    picked = bounded_sample(known, "doc_id", sample)
     counts = {r.domain: r["count"] for r in picked.groupBy("domain").count().collect()}
     all_docs = sum(counts.values())
     prior = {d: (counts.get(d, 0) + 1) / (all_docs + len(domains)) for d in domains}
@@ -76,61 +87,81 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str]) -> DataFr
     return scored.select("doc_id", "text_hash", "rows", "n_tokens", *((powers[d] / whole).alias(f"p_{d}") for d in domains))
 
 
-def rate_after(steps: list[list[float]], domains: list[str], last_projected: bool = True) -> Column:
-    """The rate of a document after these gradient steps, each followed by the projection to no less than zero."""
-    rate = F.lit(1.0)
-    for i, g in enumerate(steps):
-        rate = rate - sum((F.col(f"p_{d}") * F.lit(x) for d, x in zip(domains, g)), F.lit(0.0))
-        if last_projected or i + 1 < len(steps):
-            rate = F.greatest(F.lit(0.0), rate)
-    return rate
+@dataclass
+class Fit:
+    """Accumulated steps and expected shares by domain; the largest error relative to the target (to one in ten thousand where that is less), and
+    the scans made."""
+
+    steps: dict[str, float]
+    shares: dict[str, float]
+    off: float
+    scans: int
+
+    @property
+    def met(self) -> bool:
+        return self.off < TOLERANCE
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float]) -> list[list[float]]:
-    """The gradient steps. Each round sums the domains' expected tokens over all documents; only these sums come to the driver.
+def rate_after(steps: dict[str, float]) -> Column:
+    """The rate of a document after these accumulated steps."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p_{d}") * F.lit(x) for d, x in steps.items()), F.lit(0.0)))
 
-    Errors are weighted by the inverse of the domains' Gram matrix (tokens x posterior x posterior, summed), and rates by one over the document's
-    tokens: then a step of one is the longest that is stable, and where no rate reaches zero one step is enough.
-    A step that the projection changes for no document is one with the step after it, so the expression of the rate stays short."""
+
+def fit_rates(table: DataFrame, targets: dict[str, float]) -> Fit:
+    """Steps that meet the targets as nearly as rates can. Each scan sums over all documents, for each length of the step, the domains'
+    expected tokens, the Gram matrix (tokens x posterior x posterior) of the rates above zero, and tokens x rate x rate; only these come to the driver.
+
+    The summed objective (half the last, plus steps times wanted tokens) falls with every step taken, so the descent can not cycle. A warning tells
+    when the targets are not met."""
     domains = list(targets)
-    cells = [(a, b) for a in domains for b in domains]
     tokens = F.col("rows") * F.col("n_tokens")
-    gram = table.agg(*(F.coalesce(F.sum(tokens * F.col(f"p_{a}") * F.col(f"p_{b}")), F.lit(0.0)).alias(f"{a}/{b}") for a, b in cells)).first().asDict()
-    inverse = np.linalg.pinv([[gram[f"{a}/{b}"] for b in domains] for a in domains], rcond=1e-9)
-    own = {a: sum(gram[f"{a}/{b}"] for b in domains) for a in domains}  # a document's posteriors add up to one
-    wanted = {d: t / sum(targets.values()) * sum(own.values()) for d, t in targets.items()}
-    steps: list[list[float]] = []
-    have, before, projected = own, None, True
-    for _ in range(ROUNDS):
-        miss = [have[d] - wanted[d] for d in domains]
-        off = [m / wanted[d] if wanted[d] else 0.0 for d, m in zip(domains, miss)]
-        if max(map(abs, off)) < TOLERANCE or before and max(abs(a - b) for a, b in zip(off, before)) < LEAST_GAIN:
+
+    def scan(tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        sums = []
+        for i, steps in enumerate(tried):
+            rate = rate_after(dict(zip(domains, map(float, steps))))
+            sums += [F.sum(tokens * F.col(f"p_{a}") * rate).alias(f"{i}/{a}") for a in domains]
+            sums += [F.sum(F.when(rate > 0, tokens * F.col(f"p_{a}") * F.col(f"p_{b}"))).alias(f"{i}/{a}/{b}") for a in domains for b in domains]
+            sums.append(F.sum(tokens * rate * rate).alias(f"{i}//"))
+        got = {k: float(v or 0.0) for k, v in table.agg(*sums).first().asDict().items()}
+        return [(np.array([got[f"{i}/{a}"] for a in domains]), np.array([[got[f"{i}/{a}/{b}"] for b in domains] for a in domains]), got[f"{i}//"]) for i in range(len(tried))]
+
+    steps = np.zeros(len(domains))
+    have, gram, square = scan([steps])[0]
+    total, scans = have.sum(), 1  # a document's posteriors add up to one
+    wanted = np.array([targets[d] for d in domains], float) / sum(targets.values()) * total
+    unit = np.maximum(wanted, 1e-4 * max(total, 1.0))
+    objective = lambda s, q: q / 2 + s @ wanted + RIDGE * (unit * s) @ s / 2
+    off = lambda h: float(np.abs((h - wanted) / unit).max())
+    while scans < ROUNDS and total and off(have) >= TOLERANCE:
+        slope = have - wanted - RIDGE * unit * steps
+        step = np.linalg.pinv(gram + np.diag(RIDGE * unit), rcond=1e-12) @ slope
+        tried = [np.round(steps + length * step, 9) for length in LENGTHS]
+        seen = scan(tried)
+        scans += 1
+        best = min(range(len(tried)), key=lambda i: objective(tried[i], seen[i][2]))
+        if not objective(tried[best], seen[best][2]) < objective(steps, square):
             break
-        before = off
-        step = [round(float(x), 9) for x in inverse @ miss]
-        if projected:
-            steps.append(step)
-        else:
-            steps[-1] = [round(a + b, 9) for a, b in zip(steps[-1], step)]
-        rate = rate_after(steps, domains)
-        sums = [F.sum(tokens * F.col(f"p_{d}") * rate).alias(d) for d in domains]
-        have = table.agg(F.min(rate_after(steps, domains, last_projected=False)).alias("least"), *sums).first().asDict()
-        projected = have["least"] < 0
-    return steps
+        steps, (have, gram, square) = tried[best], seen[best]
+    fit = Fit(dict(zip(domains, map(float, steps))), dict(zip(domains, (have / total if total else have).tolist())), off(have) if total else 0.0, scans)
+    if not fit.met:
+        warnings.warn(f"rates miss the targets by {fit.off:.1%} of a domain's at most: shares {fit.shares}", stacklevel=2)
+    return fit
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, text_hash, n_tokens, p_<domain>..., rate, copies) for every row of ``docs``; tokens are words.
+    """(doc_id, text_hash, n_tokens, p_<domain>..., rate, target_met, copies) for every row of ``docs``; tokens are words.
 
     ``copies`` realises the rate: its whole part, and one more with the probability of the rest, drawn by a hash of doc_id. Null and empty texts have no tokens, the prior as posterior, and the rate that follows from it.
     Repeated rows come out repeated, each with the same rate. Without labelled rows every document has the same posterior, and the rates are as near to the
-    targets as that allows. Other columns of ``docs`` take no part."""
+    targets as that allows; then ``target_met`` is false in every row, and a warning is given. Repeated labels of a document count once: toxic if any says so, low
+    if any says so. Other columns of ``docs`` take no part."""
     targets = targets or TARGETS
     domains = list(targets)
     table = staged(posteriors(docs, labels, domains), "posteriors")
-    rate = rate_after(fit_rates(table, targets), domains)
+    fit = fit_rates(table, targets)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(1 << 30)
-    out = table.select("doc_id", "text_hash", "n_tokens", *(f"p_{d}" for d in domains), rate.alias("rate"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row"))
+    out = table.select("doc_id", "text_hash", "n_tokens", *(f"p_{d}" for d in domains), rate_after(fit.steps).alias("rate"), F.lit(fit.met).alias("target_met"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row"))
     return out.withColumn("copies", F.floor(F.col("rate") + draw)).drop("row")
 
 
