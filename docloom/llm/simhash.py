@@ -1,11 +1,13 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has two segments of 32 bits. Of two fingerprints that differ in at most two bits, each lies, in some
-segment, within a Hamming ball of radius one of a point that they share, the other segment being as the other one's:
-so every fingerprint enumerates the ball of radius one within each of its segments, looks the results up in a table
-keyed by the whole point, and the fingerprints that meet there are verified by their complete distance.
-Keying the table by segment *and* rest keeps every bucket at 65 fingerprints at most, however many near copies there are,
-and needs no pairs within a bucket: each member links to the least, and the links' components are what all pairs would give.
+A fingerprint has two segments of 32 bits. A table holds every fingerprint under the value of each of its segments. Two fingerprints that
+differ in at most two bits are equal in one segment or differ in one bit of each; so it is enough to look up a ball of radius one around the first segment and a ball of
+radius zero around the second (the radii that multi-index hashing gives to two segments at this distance), to fetch what the table holds there, and to
+verify complete distances. Of two values one bit apart, the one with the bit unset looks up the other.
+
+The segments of near copies are often equal, so that a bucket of the table may hold a whole group of them. A bucket of more than ``SMALL`` fingerprints is not
+compared with those that look it up: it becomes a table of its own, by the same rule, whose segments are the halves of the bits that are still free: 16 and then 8 wide. Buckets then hold 256
+fingerprints at most, whatever the data, and no pair within the distance is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +27,10 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHINGLE_WORDS = 3
 SEED = 42
 DISTANCE = 2
-SEGMENT_BITS = 32
+#: Bits of a segment: of the table, of its full buckets, and of theirs.
+SEGMENTS = (32, 16, 8)
+#: Fingerprints of a bucket that are compared with all that look it up.
+SMALL = 8
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -58,13 +63,42 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, fp long")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): verified links between distinct fingerprints (column fp), enough of them to connect all within ``DISTANCE``."""
-    flip = lambda low: F.transform(F.sequence(F.lit(low), F.lit(low + SEGMENT_BITS - 1)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    ball = F.concat(F.array("fp"), flip(0), flip(SEGMENT_BITS))
-    met = distinct.select("fp", F.explode(ball).alias("point")).withColumn("least", F.min("fp").over(Window.partitionBy("point")))
-    near = met.filter(F.col("fp") > F.col("least")).select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    return near.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).distinct()
+def links(distinct: DataFrame, small: int = SMALL) -> DataFrame:
+    """(a, b), a > b: all pairs of distinct fingerprints (column fp) that differ in at most ``DISTANCE`` bits.
+
+    A bucket is named by the lowest of its free bits (low) and the value of the others, the free ones zero."""
+    ones = lambda width, low: F.call_function("shiftleft", F.lit((1 << width) - 1).cast("long"), low)
+    entries = distinct.select("fp", F.lit(0).alias("low"))
+    asked = distinct.select("fp", F.lit(0).alias("low"), F.col("fp").alias("point"))
+    found = None
+    for width in SEGMENTS:
+        # halves of the free bits: with the lower one fixed, the upper one is free, and the other way round
+        bucket = lambda point, low, width=width: F.struct(low.alias("low"), point.bitwiseAND(F.bitwise_not(ones(width, low))).alias("value"))
+        upper, lower = F.col("low") + width, F.col("low")
+        both = F.array(bucket(F.col("fp"), upper), bucket(F.col("fp"), lower))
+        table = staged(entries.select("fp", F.explode(both).alias("b")).select("fp", "b.low", "b.value"), "table")
+        sizes = table.groupBy("low", "value").agg(F.count("*").alias("size"))
+        # a point is the fingerprint with the bits that a ball has set; what is left of the distance is for the free bits
+        left = DISTANCE - F.bit_count(F.col("point").bitwiseXOR(F.col("fp")))
+        none = F.filter(both, lambda _: F.lit(False))
+        unset = F.filter(F.sequence(lower, upper - 1), lambda i: F.col("point").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) == 0)
+        ball = F.transform(unset, lambda i: F.struct(upper.alias("low"), bucket(F.col("point").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)), upper)["value"].alias("value")))
+        wanted = F.concat(F.array(bucket(F.col("point"), upper)), F.when(left >= 1, F.array(bucket(F.col("point"), lower))).otherwise(none), F.when(left >= 2, ball).otherwise(none))
+        asks = asked.select("fp", F.explode(wanted).alias("b")).select("fp", "b.low", "b.value")
+        # the free bits of a point are the fingerprint's own
+        met = asks.join(sizes, ["low", "value"]).withColumn("point", F.col("value").bitwiseOR(F.col("fp").bitwiseAND(ones(width, F.col("low")))))
+        met = staged(met.filter((F.col("size") > 1) | (F.col("point") != F.col("fp"))), "met")
+        compared = F.col("size") <= small if width != SEGMENTS[-1] else F.lit(True)
+        pairs = met.filter(compared).join(table.select(F.col("fp").alias("other"), "low", "value"), ["low", "value"])
+        near = (F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE)
+        pairs = pairs.filter(near).select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
+        found = pairs if found is None else found.unionByName(pairs)
+        full = met.filter(~compared)
+        if full.isEmpty():
+            break
+        entries = table.join(sizes.filter(F.col("size") > small).select("low", "value"), ["low", "value"]).select("fp", "low")
+        asked = full.select("fp", "low", "point")
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ def test_simhash(odd, odd_rows):
 
 
 def test_simhash_near_bits(spark):
-    """Fingerprints in chains of one and two bits, through the table of points."""
+    """Fingerprints in chains of one and two bits, through the tables of segments."""
     rng = random.Random(3)
     fps = set()
     for _ in range(40):
@@ -51,6 +51,20 @@ def test_simhash_near_bits(spark):
     assert {f: root.get(f, f) for f in signed} == label
 
 
+@pytest.mark.parametrize("small", [1, simhash.SMALL])
+def test_simhash_full_buckets(spark, small):
+    """All pairs within two bits, of groups that fill buckets of every width, and no others."""
+    rng = random.Random(11)
+    center, tight = rng.getrandbits(64), rng.getrandbits(64)
+    weak = rng.sample(range(64), 9)
+    fps = {rng.getrandbits(64) for _ in range(300)} | {tight ^ rng.getrandbits(8) << 3 for _ in range(200)} | {tight ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(60)}
+    fps |= {center ^ sum(1 << b for b in rng.sample(weak, rng.randint(0, 5))) for _ in range(200)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), small).collect()
+    want = {(a, b) for a in signed for b in signed if a > b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    assert len(got) == len(want) > 1000 and {tuple(r) for r in got} == want
+
+
 def test_substrings(odd, odd_rows):
     got = substrings.repeated_words(odd).select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha256"))).collect()
     same(got, brute.substrings(odd_rows))
