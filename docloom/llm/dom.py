@@ -5,10 +5,12 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
-NEVER_TEXT = frozenset("script style noscript template title textarea select option button svg iframe object canvas math audio video head datalist".split())
+#: What a reader does not see as text of the page: code, form controls, and what stands in for media that are not shown.
+NEVER_TEXT = frozenset("script style noscript template title textarea select option button iframe object canvas audio video head datalist".split())
 RAW = {tag: re.compile(rf"</{tag}\b", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -18,7 +20,13 @@ BLOCKS = frozenset(
 #: Elements that end when another of the group begins in the same parent.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("ul ol dl table body html article section div".split())
-ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
+#: Elements that a block which begins may end, or may not go beyond.
+MARKS = SCOPE | {"p"}.union(*ENDS.values())
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: The end of a tag, or a quoted value within it.
+END = re.compile(r"""=\s*(["'])|>""")
+#: A tag that never ends: its name and values.
+UNFINISHED = re.compile(r"""</?[^\s<]*(?:\s+[^\s=<]+=(?:"[^"<]*"?|'[^'<]*'?|[^\s<]*))*\s*""")
 NAME_PART = re.compile(r"[a-z]+")
 TAGS = [
     "#text", "p", "div", "li", "ul", "ol", "h1", "h2", "h3", "td", "tr", "table", "article", "section", "main", "aside", "nav", "header", "footer", "form", "blockquote", "pre", "figure", "body", "html",
@@ -44,14 +52,42 @@ class Node:
             parent.children.append(self)
 
 
+class Tags:
+    """Ends of the tags of a page. A quoted value may hold the sign that ends a tag; a quote that nothing closes is a sign like others."""
+
+    def __init__(self, page: str):
+        self.page, self.quoted = page, True
+        self.last = page.rfind(">")
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, start: int) -> int:
+        """Where the tag that begins at ``start`` ends; -1 if it does not."""
+        if start > self.last:
+            return -1
+        at = start
+        while self.quoted and (m := END.search(self.page, at)):
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if self.last_quote[m[1]] >= at:
+                at = self.page.index(m[1], at) + 1
+        # quotes run to the end of the page: they are none from here on, so that no page is read over and over
+        self.quoted = False
+        return self.page.find(">", start)
+
+
 def parse(page: str) -> Node:
-    """The tree. Inline elements leave only their text in it; scripts, styles, form controls, comments and hidden elements nothing."""
+    """The tree. Inline elements leave only their text in it; scripts, styles, form controls, comments, hidden elements and what stands in for media
+    nothing. Of a tag that never ends, its name and values are left out and the rest is text. The time is linear in the page, whatever is left open."""
     root = Node("html", None)
     node = root
     run: Node | None = None
     stack: list[tuple[str, Node | None]] = []  # open elements; the node of a block, or none
+    marks: list[int] = []  # places in it of what a block that begins may end
+    open_: Counter[str] = Counter()
     links = skipped = 0
     at, n = 0, len(page)
+    tags = Tags(page)
 
     def text(part: str) -> None:
         nonlocal run
@@ -69,6 +105,9 @@ def parse(page: str) -> Node:
         nonlocal node, run, links, skipped
         while len(stack) > depth:
             tag, block = stack.pop()
+            open_[tag] -= 1
+            if marks and marks[-1] == len(stack):
+                marks.pop()
             if block is not None:
                 node, run = block.parent or root, None
             if tag == "a":
@@ -91,18 +130,17 @@ def parse(page: str) -> Node:
             text("<")
             at = start + 1
             continue
-        end = page.find(">", start)
-        if end < 0:  # a tag that never ends is dropped
-            break
+        end = tags.end(start) if follows not in "!?" else page.find(">", start) if start <= tags.last else -1
+        if end < 0:
+            at = UNFINISHED.match(page, start).end()
+            continue
         inner, at = page[start + 1 : end], end + 1
         if follows in "!?":
             continue
         if follows == "/":
             tag = inner[1:].strip().lower()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if open_[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))  # all that is passed over is closed
             continue
         found = re.match(r"[^\s/]+", inner)
         tag = found[0].lower()
@@ -123,7 +161,7 @@ def parse(page: str) -> Node:
                     label = value
             names = tuple(parts)
         if tag in BLOCKS:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in reversed(marks):
                 if stack[i][0] == "p" or stack[i][0] in ENDS.get(tag, ()):
                     close(i)
                     break
@@ -132,12 +170,16 @@ def parse(page: str) -> Node:
             block = Node(tag, node, names, hidden)
             block.label = label or block.label
             node, run = block, None
+            if tag in MARKS:
+                marks.append(len(stack))
             stack.append((tag, block))
+            open_[tag] += 1
             skipped += hidden
         else:
             if inner.endswith("/"):
                 continue
             stack.append((tag, None))
+            open_[tag] += 1
             links += tag == "a"
             node.tags += 1
         if tag in NEVER_TEXT:

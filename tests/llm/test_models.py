@@ -205,6 +205,51 @@ def test_labels_are_consistent(forest):
             assert label[id(v)] == label[id(v.parent)]
 
 
+def test_best_consistent_labels_by_trying_all():
+    """Of all labellings in which descendants agree with their ancestors, none is likelier, on small random trees."""
+    from itertools import product
+
+    from docloom.llm.dom import Node
+
+    rng = random.Random(15)
+    for _ in range(150):
+        nodes = [Node("div", None)]
+        for _ in range(rng.randint(0, 6)):
+            nodes.append(Node("div", rng.choice(nodes)))
+        nodes = sorted(nodes, key=lambda v: v.depth)  # parents first
+        for v in nodes:
+            v.tag = "div" if v.children else "#text"
+        at = {id(v): i for i, v in enumerate(nodes)}
+        logs = np.log(np.random.default_rng(rng.randrange(10**6)).dirichlet([1, 1, 1], len(nodes)))
+        total = lambda labels, logs=logs: sum(logs[i, k] for i, k in enumerate(labels))
+        fits = lambda labels, nodes=nodes, at=at: all(
+            (k != pages.MIXED or v.children) and (v.parent is None or labels[at[id(v.parent)]] in (pages.MIXED, k)) for v, k in zip(nodes, labels)
+        )
+        best = max(total(labels) for labels in product(range(3), repeat=len(nodes)) if fits(labels))
+        got = pages.consistent(nodes, logs)
+        assert fits(got) and total(got) == pytest.approx(best)
+
+
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ('<p title="x>y">Second', ["Second"]), ('<p><img alt="a > b">Third', ["Third"]), ("<p a='\">' b>one</p>", ["one"]), ('<p title="open>one</p><p>two</p>', ["one", "two"]), ("<p>it <a href=it's>one</a> two", ["it one two"]),
+        ("a <b and c", ["a and c"]), ('x <div class="fo', ["x"]), ("<p>3 < 4 and 5 > 2</p>", ["3 < 4 and 5 > 2"]), ("<p>one <math><mi>x</mi></math> <svg><title>t</title><text>two</text></svg>", ["one x two"]),
+    ],
+)
+def test_tags_and_quotes(page, texts):
+    assert [v.text for v in order(parse(page)) if v.tag == "#text"] == texts
+
+
+@pytest.mark.parametrize("piece", ["<span>x", "<span>x</b>", "<span><p>x", "<span><h2>x", "<li><dt><tr>x", "<div ", '<p a="x>', "<!x"])
+def test_a_hundred_thousand_open_tags(piece):
+    import time
+
+    start = time.time()
+    order(parse(piece * 100_000))
+    assert time.time() - start < 60  # the square of the length takes an hour
+
+
 def test_pages_odd_rows(spark):
     body = "<article><h1>A title here</h1>" + "".join(f"<p>Some long   sentence &amp; more, number {i}, of this article.</p>" for i in range(6)) + "</article>"
     page = f"<html><body><nav><ul><li><a href='/x'>Home</a></ul></nav><script>if (a < b) x('</p>')</script>{body}<footer>&copy; us</footer>"
