@@ -15,55 +15,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import held_out, small_batches, spread
 
-DIMENSIONS = 256
-LETTERS = 32
+DIMENSIONS = 2048
 SEED = 11
-#: Labelled texts of each language that the profiles are fitted on, at most.
+#: Labelled texts of each language that the profiles are fitted on, at most (about: chosen by a hash).
 TEXTS_PER_LANGUAGE = 2000
 #: Steepness of the score: the softmax over languages of cosine times this.
 STEEPNESS = 25.0
+#: Vectors of letters and of trigrams that a worker keeps; more are made again when met again.
+KEPT_LETTERS, KEPT_GRAMS = 8192, 16384
+#: Trigrams of a text whose vectors are summed at once.
+AT_ONCE = 1024
+BLANK = 0
 
 
 @lru_cache(1)
-def letter_codes() -> np.ndarray:
-    """Code of each code point: 0 for no letter, a-z their own, other letters one of the rest by their code point."""
-    codes = np.zeros(0x110000, np.uint8)
-    letters = np.array([c for c in range(0x323B0) if chr(c).isalpha()])
-    codes[letters] = 27 + (letters * 2654435761 >> 7) % (LETTERS - 27)
-    codes[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return codes
+def is_letter() -> np.ndarray:
+    letters = np.zeros(0x110000, bool)
+    letters[[c for c in range(0x323B0) if chr(c).isalpha()]] = True
+    return letters
+
+
+@lru_cache(KEPT_LETTERS)
+def letter_vector(code: int) -> np.ndarray:
+    """+1 and -1 at random, by the letter's code point: each letter of any script has its own."""
+    return np.random.default_rng([SEED, code]).integers(0, 2, DIMENSIONS, np.int8) * 2 - 1
+
+
+class Grams:
+    """Vectors of trigrams, made when first met: the product of the letters' vectors, rotated by their places."""
+
+    def __init__(self) -> None:
+        self.place: dict[int, int] = {}
+        self.rows = np.empty((KEPT_GRAMS, DIMENSIONS), np.int8)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        if len(self.place) + len(grams) > KEPT_GRAMS:
+            self.place.clear()
+        at = np.empty(len(grams), np.int64)
+        for i, g in enumerate(grams.tolist()):
+            k = self.place.get(g)
+            if k is None:
+                k = self.place[g] = len(self.place)
+                a, b, c = g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF
+                self.rows[k] = np.roll(letter_vector(a), 2) * np.roll(letter_vector(b), 1) * letter_vector(c)
+            at[i] = k
+        return self.rows[at]
 
 
 @lru_cache(1)
-def trigram_vectors() -> np.ndarray:
-    base = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (LETTERS, DIMENSIONS))
-    a, b = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
-    return (a[:, None, None, :] * b[None, :, None, :] * base[None, None, :, :]).reshape(-1, DIMENSIONS).astype(np.float32)
+def grams() -> Grams:
+    return Grams()
+
+
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of the letters of a text and how often each occurs; runs of no letters are one blank, and so are the ends.
+    Three code points make one integer."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    codes = np.concatenate(([BLANK], np.where(is_letter()[codes], codes, BLANK), [BLANK]))
+    codes = codes[(codes != BLANK) | (np.append(codes[1:], 1) != BLANK)]
+    if not codes.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
 
 
 def vector(text: str) -> np.ndarray | None:
     """The unit vector of a text; None where it has no letter."""
-    codes = letter_codes()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
-    codes = np.concatenate(([0], codes, [0])).astype(np.int32)
-    codes = codes[(codes > 0) | (np.append(codes[1:], 1) > 0)]  # one blank for each run of no letters
-    if not codes.any():
+    found, count = trigrams(text)
+    if not len(found):
         return None
-    if codes[0]:
-        codes = np.concatenate(([0], codes))
-    codes = np.append(codes, 0)
-    grams = (codes[:-2] * LETTERS + codes[1:-1]) * LETTERS + codes[2:]
-    count = np.bincount(grams, minlength=LETTERS**3)
-    found = np.flatnonzero(count)
-    v = np.sqrt(count[found]).astype(np.float32) @ trigram_vectors()[found]
+    weight, v = np.sqrt(count).astype(np.float32), np.zeros(DIMENSIONS, np.float32)
+    for i in range(0, len(found), AT_ONCE):
+        v += weight[i : i + AT_ONCE] @ grams().of(found[i : i + AT_ONCE]).astype(np.float32)
     norm = float(np.linalg.norm(v))
     return v / norm if norm else v
 
 
 def has_letter(text: str) -> bool:
     """Whether ``vector`` has something to go by."""
-    return bool(letter_codes()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)].any())
+    return bool(is_letter()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)].any())
 
 
 class Profiles:
@@ -76,7 +107,8 @@ class Profiles:
         self.prototypes = (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def predict(self, text: str) -> tuple[str, float]:
-        """Language and score; ('und', 0.0) for a text without letters, or where no language was learned."""
+        """Language and score; ('und', 0.0) for a text without letters, or where no language was learned. Of equal cosines the first
+        language by name."""
         v = vector(text)
         if v is None or not self.names:
             return "und", 0.0
@@ -115,8 +147,8 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def predict(docs: DataFrame, profiles: Profiles, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row; texts that are null or have no letter are 'und' with score 0.
-    Repeated rows come out repeated; other columns of ``docs`` take no part."""
+    """(doc_id, held_out, lang_pred, score) for every row; texts that are null or have no letter are 'und' with score 0, and all are where no
+    language was learned. Texts are read whole; of languages equally near, the first by name is given. Repeated rows come out repeated; other columns of ``docs`` take no part."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +157,7 @@ def predict(docs: DataFrame, profiles: Profiles, doc_id: str = "doc_id", text: s
 
     small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
-    return source.mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double")
+    return spread(source).mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
@@ -144,4 +176,4 @@ def keep_known(docs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array([has_letter(t or "") for t in texts], pa.bool_()))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(rows, columns)
+    return spread(docs).mapInArrow(rows, columns)

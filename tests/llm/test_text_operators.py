@@ -178,6 +178,140 @@ def test_avi_bytes():
         avi.Avi(b"RIFFxxxxWAVE")
 
 
+def coded(blocks, across, quantiser, restart, sampling):
+    """A JPEG picture with these coefficients: DC prediction, runs of zeros, and Huffman codes of eight bits. ``blocks``: for each component,
+    block row by block row."""
+    codes, bits, units = {}, [], []
+    parts = list(zip(blocks, sampling))
+    out = []
+
+    def size(v):
+        return abs(v).bit_length()
+
+    def low(v, n):
+        return [(v if v >= 0 else v + (1 << n) - 1) >> i & 1 for i in range(n - 1, -1, -1)]
+
+    wide, high = across, len(blocks[0]) // (across * sampling[0][0]) // sampling[0][1]
+    for u in range(wide * high):
+        unit = []
+        for c, (bs, (h, v)) in enumerate(parts):
+            for i in range(h * v):
+                unit.append((c, bs[(u // wide * v + i // h) * wide * h + u % wide * h + i % h]))
+        units.append(unit)
+    symbols = []
+    for n, unit in enumerate(units):
+        if restart and n % restart == 0:
+            before = [0] * len(parts)
+            symbols.append("restart")
+        elif n == 0:
+            before = [0] * len(parts)
+        for c, b in unit:
+            d = b[0] - before[c]
+            before[c] = b[0]
+            symbols.append((0x00, size(d), low(d, size(d))))
+            run = 0
+            last = max((k for k in range(64) if b[k]), default=0)
+            for k in range(1, last + 1):
+                if b[k] == 0:
+                    run += 1
+                    if run == 16:
+                        symbols.append((0x10, 0xF0, []))
+                        run = 0
+                else:
+                    symbols.append((0x10, run << 4 | size(b[k]), low(b[k], size(b[k]))))
+                    run = 0
+            if last < 63:
+                symbols.append((0x10, 0, []))
+    tables = {t: sorted({s[1] for s in symbols if s != "restart" and s[0] == t}) for t in (0x00, 0x10)}
+
+    def flush():
+        nonlocal bits
+        bits += [1] * (-len(bits) % 8)
+        out.append(bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00"))
+        bits = []
+
+    marks = 0
+    for i, s in enumerate(symbols):
+        if s == "restart":
+            if i:
+                flush()
+                out.append(bytes([0xFF, 0xD0 + marks % 8]))
+                marks += 1
+            continue
+        bits += [tables[s[0]].index(s[1]) >> k & 1 for k in range(7, -1, -1)] + s[2]
+    flush()
+    heads = [avi.segment(0xDB, b"\0" + bytes(quantiser))]
+    n = len(parts)
+    heads.append(avi.segment(0xC0, avi.struct.pack(">BHHB", 8, 8 * high * sampling[0][1] - 3, 8 * wide * sampling[0][0] - 5, n) + b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(sampling))))
+    heads += [avi.segment(0xC4, bytes([t]) + bytes([0] * 7 + [len(x)] + [0] * 8) + bytes(x)) for t, x in tables.items()]
+    heads.append(avi.segment(0xDD, avi.struct.pack(">H", restart)))
+    heads.append(avi.segment(0xDA, bytes([n]) + b"".join(bytes([c + 1, 0]) for c in range(n)) + bytes([0, 63, 0])))
+    return b"\xff\xd8" + b"".join(heads) + b"".join(out) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("restart, sampling", [(0, [(1, 1)]), (3, [(1, 1)]), (0, [(2, 2), (1, 1), (1, 1)]), (2, [(2, 1), (1, 1), (1, 1)])])
+def test_avi_of_any_baseline_frames(restart, sampling):
+    rng = random.Random(9)
+    across, high = 4, 3
+    block = lambda: [rng.randint(-60, 60)] + [rng.randint(-9, 9) if rng.random() < 0.2 else 0 for _ in range(63)]
+    blocks = [[block() for _ in range(across * h * high * v)] for h, v in sampling]
+    quantiser = [rng.randint(1, 9) for _ in range(64)]
+    data = coded(blocks, across, quantiser, restart, sampling)
+    frame = avi.Frame(data, 0, len(data))
+    got, wide = frame.luma()
+    assert wide == across * sampling[0][0] and (got == avi.np.array(blocks[0]) * avi.np.array(quantiser)).all()
+    assert frame.pixels().shape == (8 * high * sampling[0][1] - 3, 8 * wide - 5)
+
+
+def test_avi_damaged_files(spark):
+    whole = avi.write_avi(b"some bytes " * 900)
+    files = [(1, None), (2, b""), (3, b"RIFFxxxxWAVE"), (4, whole[:200]), (5, whole[:-40]), (6, whole), (6, whole), (7, whole[:3000] + bytes(200) + whole[3200:])]
+    media = spark.createDataFrame(files, "doc_id long, media binary").withColumn("error", F.lit(1))
+    got = avi.describe(media).collect()
+    assert len(got) == len(files) and all((r.error is None) == (r.doc_id == 6) and (r.payload_sha256 is None) == (r.doc_id != 6) for r in got)
+    clips = avi.clip_rows(media).collect()
+    assert {r.doc_id for r in clips if r.error} == {1, 2, 3, 4, 5, 7} and [r.start_s for r in clips if r.doc_id == 6 and r.clip == 0] == [0.0, 0.0]
+
+
+def test_avi_frames_without_an_index():
+    """The same frames with absolute places, and with none."""
+    data = bytes(range(256)) * 60
+    whole = avi.write_avi(data)
+    at = whole.index(b"idx1")
+    bare = b"RIFF" + avi.struct.pack("<I", at - 8) + whole[8:at]
+    assert avi.Avi(bare).payload() == avi.Avi(whole).payload() == avi.padded(data)
+    movi = whole.index(b"movi")
+    entries = b"".join(avi.struct.pack("<4sIII", n, f, o + movi, s) for n, f, o, s in avi.struct.iter_unpack("<4sIII", whole[at + 8 :]))
+    assert avi.Avi(whole[: at + 8] + entries).clips() == avi.Avi(whole).clips()
+
+
+def test_language_of_other_scripts(spark):
+    """Letters of every script have their own vectors: accents and alphabets tell languages apart."""
+    assert len({language.letter_vector(ord(c)).tobytes() for c in "eèéñнбвßçгαβ"}) == 12
+    words = {
+        "ru": "река камень вечер идёт вместе город", "bg": "реката камъкът вечерта върви заедно градът", "el": "ποτάμι πέτρα βράδυ πηγαίνει μαζί πόλη", "fr": "rivière été pierre très soirée où",
+        "xx": "riviere ete pierre tres soiree ou", "zh": "河流 石头 晚上 一起 城市 走路", "ja": "かわ いし ゆうがた いっしょ まち あるく",
+    }
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(words[k].split(), k=9)), k) for i, k in enumerate(rng.choices(list(words), k=420))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.predict(docs, language.learn(docs)).filter("held_out").collect()
+    truth = {i: k for i, _, k in rows}
+    assert len(got) > 50 and sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.97 * len(got)
+
+
+def test_language_vector_by_hand():
+    """The definition, letter by letter."""
+    roll = avi.np.roll
+    text, v = "Où va-t-il", avi.np.zeros(language.DIMENSIONS)
+    padded = " où va t il "
+    grams = Counter(padded[i : i + 3] for i in range(len(padded) - 2))
+    code = lambda c: language.letter_vector(0 if c == " " else ord(c)).astype(float)
+    for (a, b, c), n in ((tuple(g), n) for g, n in grams.items()):
+        v += n**0.5 * roll(code(a), 2) * roll(code(b), 1) * code(c)
+    assert avi.np.allclose(language.vector(text), v / avi.np.linalg.norm(v), atol=1e-5)
+
+
 def test_language(spark, odd, nothing):
     text = {"en": "the river and the stone walk with them this evening", "es": "el río y la piedra caminan con ellos esta tarde señor", "de": "der fluss und der stein gehen mit ihnen heute abend über"}
     rng = random.Random(8)
