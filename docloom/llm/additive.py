@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as a sum of one codeword from each of several full-dimensional codebooks. Each codebook is the k-means of what the
-ones before it leave over; codes are found by beam search; the distance from the sum to the vector (its error) is stored with them. A query makes a table of its
-products with all codewords, so that its product with a coded vector is a sum of look-ups, which differs from the exact cosine by the
-vector's stored error at most. Every vector that may by this be among a query's best is compared exactly, beside its code.
+ones before it leave over; codes are found by beam search. With a code are stored the norm of its sum and the cosine between the sum and the vector. A query makes a
+table of its products with all codewords, so that its product with a coded vector is a sum of look-ups, and this by the norm its cosine with
+the sum. The two cosines bound the query's cosine with the vector itself: the angles add up at most and take away from each other at least. Every
+vector that may by this be among a query's best is compared exactly, beside its code; the others can not be.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,15 @@ BEAM = 4
 SAMPLE = 10_000
 KMEANS_ROUNDS, SEED = 6, 3
 BLOCK_ROWS, QUERY_ROWS = 2048, 256
-#: Blocks that a task takes in at once: a block carries its vectors.
+#: Pairs of blocks that a task takes in at once: a block carries its vectors.
 BATCH_BLOCKS = "16"
-GROUPS = 24
+#: Blocks of rows and of queries that meet in a task, about.
+TASK_BLOCKS, TASK_QUERIES = 8, 4
 #: Query blocks whose best rows a task keeps at once.
 HELD_BLOCKS = 64
-#: Rows that a task sends for a query beyond those asked for, since the last ranking sums in another order.
-SPARE = 10
-#: More than rounding adds to a sum of look-ups.
+#: Rows that a task sends for a query beyond those asked for, since the last ranking sums in another order; digits in which cosines may differ by that.
+SPARE, DIGITS = 10, 13
+#: More than rounding adds to a cosine by sums of look-ups.
 ROUNDING = 1e-4
 
 
@@ -98,12 +101,10 @@ def unit(lists: list, dtype=np.float32) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding array<double>) of the rows that take part: no null, non-finite or only zero components, an id, and the most
-    frequent number of components."""
+    """(vec_id, embedding array<double>) of the rows that take part: an id, and no null, non-finite or only zero components."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
-    top = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("embedding") == (top.n if top else 0))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
 
 
 def dot(a: str, b: str) -> Column:
@@ -111,47 +112,82 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
+class Best:
+    """The best rows of some queries so far: ids and exact cosines, ``width`` of each at most; where cosines are equal but for rounding, the least ids."""
+
+    def __init__(self, width: int):
+        self.width, self.ids, self.exact = width, None, None
+
+    def floor(self) -> np.ndarray | float:
+        """Cosine that as many rows reach as are wanted."""
+        return self.exact.min(axis=1) if self.ids is not None and self.exact.shape[1] >= self.width else -2.0
+
+    def add(self, ids: np.ndarray, exact: np.ndarray) -> None:
+        """Rows (query x row) of cosine ``exact``; -3 for no row."""
+        if self.ids is not None:
+            ids, exact = np.concatenate((self.ids, ids), axis=1), np.concatenate((self.exact, exact), axis=1)
+        if exact.shape[1] > self.width:
+            key = -np.round(exact, DIGITS)
+            cut = np.partition(key, self.width - 1, axis=1)[:, self.width - 1]
+            some = np.flatnonzero((key <= cut[:, None]).any(axis=0))
+            ids, exact, key = ids[:, some], exact[:, some], key[:, some]
+            order = np.lexsort((ids, key), axis=1)[:, : self.width]
+            ids, exact = np.take_along_axis(ids, order, axis=1), np.take_along_axis(exact, order, axis=1)
+        self.ids, self.exact = ids, exact
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row of ``vectors`` (vec_id, embedding) for which ``queries`` holds, its ``k`` nearest
     other rows by cosine, ties to smaller vec_id; all of them if there are fewer.
 
     Equal vectors are coded and searched once: of each, the least k + 1 ids can be among a query's nearest. Rows that repeat a
-    vec_id and its vector count once. Rows with a null id, or a vector that is null, zero, of odd length or not finite, take no part.
-    Other columns take no part."""
-    spark = vectors.sparkSession
-    small_batches(spark)
+    vec_id and its vector count once. Rows with a null id, or a vector that is null, empty, zero or not finite, take no part. Vectors of
+    different lengths have no cosine: each is searched among those of its own length. Other columns take no part."""
     all_rows = staged(usable(vectors), "vectors")
+    asked = all_rows.filter(queries).select("vec_id", "embedding")
+    lengths = [r.n for r in asked.select(F.size("embedding").alias("n")).distinct().orderBy("n").collect()]
+    if not lengths:
+        return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    of_length = lambda df, n: df.filter(F.size("embedding") == n)
+    found = [_search(of_length(all_rows, n), of_length(asked, n), k) for n in lengths]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(all_rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``search`` among vectors of one length; some of ``all_rows`` are ``asked``."""
+    spark = all_rows.sparkSession
+    small_batches(spark)
     same = Window.partitionBy("embedding")
     members = all_rows.withColumn("place", F.dense_rank().over(same.orderBy("vec_id"))).filter(F.col("place") <= k + 1).dropDuplicates(["embedding", "vec_id"])
     members = staged(members.withColumn("rep", F.min("vec_id").over(same)), "members")
     distinct = members.filter("vec_id = rep").select("rep", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm"))
-    sample = [r.embedding for r in bounded_sample(distinct, "rep", SAMPLE).orderBy("rep").select("embedding").collect()]
-    asked = all_rows.filter(queries).select("vec_id", "embedding")
-    if not sample:
-        return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    n_rows = distinct.count()
+    sample = [r.embedding for r in bounded_sample(distinct, "rep", SAMPLE, n_rows).orderBy("rep").select("embedding").collect()]
     books = train(unit(sample))
+    names = ("ids", "codes", "norms", "cosines", "vectors")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packed blocks of codes: at most ``BLOCK_ROWS`` rows in each."""
-        ids, codes, errors, vectors_ = [], [], [], []
+        held: list[list[np.ndarray]] = [[] for _ in names]
 
         def out() -> pa.RecordBatch:
-            packed = [[np.concatenate(x).tobytes()] for x in (ids, codes, errors, vectors_)]
-            for x in (ids, codes, errors, vectors_):
+            packed = [pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in held]
+            for x in held:
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(p, pa.binary()) for p in packed], ["ids", "codes", "errors", "vectors"])
+            return pa.RecordBatch.from_arrays(packed, names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit(batch.column(1).to_pylist(), np.float64)
-            ids.append(np.array(batch.column(0).to_pylist(), np.int64))
-            codes.append(beam_encode(x.astype(np.float32), books))
-            errors.append(np.linalg.norm(x - decode(codes[-1], books), axis=1).astype(np.float32))
-            vectors_.append(x)
-            if sum(map(len, ids)) >= BLOCK_ROWS - 512:
+            codes = beam_encode(x.astype(np.float32), books)
+            sums = decode(codes, books).astype(np.float64)
+            norms = np.maximum(np.linalg.norm(sums, axis=1), 1e-9)
+            for h, part in zip(held, (np.array(batch.column(0).to_pylist(), np.int64), codes, norms, np.clip((x * sums).sum(axis=1) / norms, -1, 1), x)):
+                h.append(part)
+            if sum(map(len, held[0])) >= BLOCK_ROWS - 512:
                 yield out()
-        if ids:
+        if held[0]:
             yield out()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,57 +201,58 @@ def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The best rows of a task for each of its queries, by exact cosine."""
-        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-
-        def best(ids: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if width >= exact.shape[1]:
-                return ids, exact
-            at = np.argpartition(-exact, width - 1, axis=1)[:, :width]
-            return np.take_along_axis(ids, at, axis=1), np.take_along_axis(exact, at, axis=1)
+        held: dict[bytes, Best] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for queries_, (ids, exact) in held.items():
-                who = np.repeat(np.frombuffer(queries_, np.int64), ids.shape[1])
-                ids, exact = ids.reshape(-1), exact.reshape(-1)
+            for queries_, best in held.items():
+                who, ids, exact = np.repeat(np.frombuffer(queries_, np.int64), best.ids.shape[1]), best.ids.reshape(-1), best.exact.reshape(-1)
                 real = exact > -2
                 yield pa.RecordBatch.from_arrays([pa.array(who[real]), pa.array(ids[real]), pa.array(exact[real])], ["query_rep", "rep", "near"])
             held.clear()
 
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, errors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["errors"], np.float32)
+            for i in range(batch.num_rows):
+                row = dict(zip((*names, "queries", "wanted"), (batch.column(c)[i].as_py() for c in range(batch.num_columns))))
+                ids = np.frombuffer(row["ids"], np.int64)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
+                norms, cosines = np.frombuffer(row["norms"]), np.frombuffer(row["cosines"])
                 x = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
                 q = np.frombuffer(row["wanted"], np.float64).reshape(-1, books.shape[2])
                 near = np.zeros((len(q), len(ids)), np.float32)
-                for i, book in enumerate(books):
-                    near += (q.astype(np.float32) @ book.T)[:, codes[:, i]]
-                # as many rows as are wanted reach this, so a row that can not is not among them
-                floor = np.full(len(q), -2.0)
-                if len(ids) > width:
+                for book, column in zip(books, codes.T):
+                    near += (q.astype(np.float32) @ book.T)[:, column]
+                # the angle between query and vector is no less than the difference of theirs to the sum; look-ups may be off by ROUNDING
+                near = near / norms
+                nearest_ = np.clip(cosines, np.maximum(near - ROUNDING, -1), np.minimum(near + ROUNDING, 1))
+                most = nearest_ * cosines + np.sqrt((1 - nearest_ * nearest_) * np.maximum(1 - cosines * cosines, 0))
+                best = held.setdefault(row["queries"], Best(width))
+                floor = np.broadcast_to(best.floor(), len(q))
+                if len(ids) > width:  # as many rows as are wanted reach this, so a row that can not is not among them
                     likely = np.argpartition(-near, width - 1, axis=1)[:, :width]
-                    floor = np.einsum("qd,qwd->qw", q, x[likely]).min(axis=1)
-                before = held.get(row["queries"])
-                if before and before[1].shape[1] == width:
-                    floor = np.maximum(floor, before[1].min(axis=1))
-                may = near + errors + ROUNDING >= floor[:, None]
+                    floor = np.maximum(floor, np.einsum("qd,qwd->qw", q, x[likely]).min(axis=1))
+                may = most >= floor[:, None] - 1e-9
                 met = np.flatnonzero(may.any(axis=0))
-                exact = np.where(may[:, met], q @ x[met].T, -3.0)
-                found = best(np.broadcast_to(ids[met], exact.shape), exact)
-                held[row["queries"]] = best(*(np.concatenate(pair, axis=1) for pair in zip(before, found))) if before else found
+                best.add(np.broadcast_to(ids[met], (len(q), len(met))), np.where(may[:, met], q @ x[met].T, -3.0))
                 if len(held) > HELD_BLOCKS:
                     yield from out()
         yield from out()
 
-    blocks = staged(distinct.mapInArrow(code, "ids binary, codes binary, errors binary, vectors binary"), "codes").withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(GROUPS)))
+    blocks = staged(distinct.select("rep", "embedding").mapInArrow(code, ", ".join(f"{n} binary" for n in names)), "codes")
     wanted = staged(asked.select("embedding").distinct().join(distinct, "embedding").select("rep", "embedding", "norm"), "wanted")
-    packed = staged(wanted.mapInArrow(pack, "queries binary, wanted binary"), "packed").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))))
-    # every block of queries meets every block of rows
-    near = blocks.join(packed, "group").select("ids", "codes", "errors", "vectors", "queries", "wanted").mapInArrow(score, "query_rep long, rep long, near double")
+    packed = staged(wanted.select("rep", "embedding").mapInArrow(pack, "queries binary, wanted binary"), "packed")
+    # every block of queries meets every block of rows, once, in a grid of tasks: its sides follow the numbers of blocks
+    n_blocks, n_packed = blocks.count(), packed.count()
+    down = max(1, -(-n_packed // TASK_QUERIES))
+    across = max(1, -(-n_blocks // TASK_BLOCKS), min(n_blocks, -(-spark.sparkContext.defaultParallelism // down)))
+    cell = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tall = blocks.withColumn("across", cell("ids", across)).withColumn("down", spread(down))
+    wide = packed.withColumn("down", cell("queries", down)).withColumn("across", spread(across))
+    near = tall.join(wide, ["across", "down"]).select(*names, "queries", "wanted").mapInArrow(score, "query_rep long, rep long, near double")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_BLOCKS)
     near = staged(near, "near")
     small_batches(spark)
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc("near"), "rep"))).filter(F.col("place") <= width).select("query_rep", "rep")
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc(F.round("near", DIGITS)), "rep"))).filter(F.col("place") <= width).select("query_rep", "rep")
     # cosines of the best in double precision, always summed in the same order, then the rows that have these vectors
     exact = near.join(distinct, "rep").join(wanted.select(F.col("rep").alias("query_rep"), F.col("embedding").alias("asked"), F.col("norm").alias("length")), "query_rep")
     exact = exact.select("query_rep", "rep", (dot("asked", "embedding") / (F.col("length") * F.col("norm"))).alias("score"))
