@@ -135,6 +135,64 @@ def test_toxicity_of_a_text_does_not_depend_on_its_neighbours():
     assert np.allclose(together, [net.scores([t])[0] for t in texts], atol=1e-6) and np.allclose(together[::-1], net.scores(texts[::-1]), atol=1e-6)
 
 
+def test_toxicity_pooling_and_gradients_by_hand():
+    """Maxima of the convolutions by plain loops, and the gradients by differences of the loss."""
+    rng = random.Random(3)
+    net = toxicity.train([prose(rng, 20) + (" dolt" if i % 3 == 0 else "") for i in range(60)], np.array([float(i % 3 == 0) for i in range(60)]))
+    batch = [net.rows_of[toxicity.buckets(t)] for t in ("", "dolt", "the stone of river dolt walks", "quick quick river")]
+    labels = np.array([0.0, 1.0, 1.0, 0.0])
+
+    def maxima():
+        out = []
+        for rows in batch:
+            vectors = [np.zeros(toxicity.DIMENSIONS)] * 2 + [net.embedding[r].sum(axis=0) for r in rows] + [np.zeros(toxicity.DIMENSIONS)] * 3
+            places = range(len(rows) + 3)
+            out.append(np.concatenate([np.max([sum(vectors[i + j] @ f[j] for j in range(len(f))) for i in places], axis=0) for f in net.filters]) + net.bias)
+        return np.array(out)
+
+    def loss():
+        z = np.maximum(maxima(), 0) @ net.out + net.out_bias
+        return float(np.mean(np.log1p(np.exp(z)) - labels * z))
+
+    got = toxicity.gradients(net, batch, labels)
+    net.ready()
+    assert np.allclose(net.pooled(batch), maxima(), atol=1e-5)
+    step = 1e-5
+
+    def slope(array, at):
+        array[at] += step
+        up = loss()
+        array[at] -= 2 * step
+        down = loss()
+        array[at] += step
+        return (up - down) / (2 * step)
+
+    for k, f in enumerate(net.filters):
+        for at in ((0, 0, 0), (k, 3, 5), (0, 7, 11)):
+            assert slope(f, at) == pytest.approx(got["filters"][k][at], abs=1e-6)
+    assert slope(net.bias, (4,)) == pytest.approx(got["bias"][4], abs=1e-6) and slope(net.out, (7,)) == pytest.approx(got["out"][7], abs=1e-6)
+    for i, row in enumerate(got["rows"]):
+        if row:
+            assert slope(net.embedding, (row, 0)) == pytest.approx(got["embedding"][i, 0], abs=1e-6)
+
+
+def test_toxicity_sample_is_bounded_and_labels_may_clash(spark, corpus):
+    docs, labels = corpus
+    clash = labels.unionByName(labels.selectExpr("doc_id", "quality", "0 as toxic"))
+    texts = [r.text for r in docs.orderBy("doc_id").collect()[:30]]
+    assert (toxicity.learn(docs, clash).scores(texts) == toxicity.learn(docs, labels).scores(texts)).all()
+    few = toxicity.learn(docs, labels, sample_bytes=3000)
+    assert few.rows_of.max() < toxicity.learn(docs, labels).rows_of.max()
+
+
+def test_toxicity_of_long_texts():
+    """Texts beyond one batch's budget are scored as alone."""
+    rng = random.Random(6)
+    net = toxicity.train([prose(rng, 9) + (" dolt" if i % 3 == 0 else "") for i in range(90)], np.array([float(i % 3 == 0) for i in range(90)]))
+    texts = [prose(rng, 400_000) + " dolt", "dolt", prose(rng, 300_000), None]
+    assert np.allclose(net.scores(texts), [net.scores([t])[0] for t in texts], atol=1e-6) and (net.scores(texts) >= 0.5).tolist() == [True, True, False, False]
+
+
 def test_toxicity_gradients_lower_the_loss():
     rng = random.Random(3)
     texts = [prose(rng, 20) + (" dolt" if i % 3 == 0 else "") for i in range(120)]
@@ -169,6 +227,33 @@ def test_search_recall_and_ties(spark):
         assert got[q] == wanted[q]
 
 
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_search_in_many_small_blocks(spark, monkeypatch, partitions):
+    """Whatever the blocks and their tasks are, the exact result."""
+    monkeypatch.setattr(additive, "BLOCK_ROWS", 530)
+    monkeypatch.setattr(additive, "TASK_BLOCKS", 1)
+    monkeypatch.setattr(additive, "HELD_BLOCKS", 1)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 8))
+    x[1000:2000] = x[0] + rng.normal(size=(1000, 8)) * 0.02
+    x[2500:2600] = x[5] * np.exp2(np.arange(100) % 9)[:, None]  # one direction, many lengths
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(10_000 + i, [float(i), 1.0, -1.0]) for i in range(60)]  # another length
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {}
+        for r in additive.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(partitions), F.col("vec_id") % 50 == 0).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == {*range(0, 3000, 50), 10_000, 10_050}
+    for q, found in got.items():
+        at, ids, y = (q, range(3000), x) if q < 10_000 else (q - 10_000, range(10_000, 10_060), np.array([v for i, v in rows[3000:]]))
+        assert [found[k] for k in range(1, 6)] == exact(list(ids), y, at), q
+
+
 def test_search_small_and_empty(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     got = additive.search(few, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
