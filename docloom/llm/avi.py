@@ -4,11 +4,13 @@ A payload of bytes becomes 8x8 blocks, one byte a coefficient. The Huffman table
 coefficient is one code bit and eight value bits: a byte is the value -255..-128 or 128..255 that these bits
 mean, every block is 72 bytes long, and whole files are coded and decoded as arrays. The predictor of the first
 coefficient restarts at each block. Quantisation is by one, so the frames are intra-coded, baseline and lossless.
+Files made elsewhere are read too: baseline frames of any Huffman and quantisation tables, sampling and restarts, bit by bit. Shots go by luma.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import small_batches, spread, texts_of
 
 FPS = 25
 ROW_BLOCKS = 8
@@ -124,58 +126,206 @@ def chunks(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]
         start += 8 + size + size % 2
 
 
+class Frame:
+    """The headers of one baseline JPEG picture, and where its coded data lie."""
+
+    def __init__(self, media: bytes, at: int, size: int):
+        end = at + size
+        if media[at : at + 2] != b"\xff\xd8":
+            raise ValueError("a frame is not a JPEG picture")
+        self.quantisers: dict[int, np.ndarray] = {}
+        self.huffman: dict[int, tuple[bytes, bytes]] = {}
+        self.restart = 0
+        self.components: list[tuple[int, int, int, int]] = []
+        at += 2
+        while True:
+            if at + 4 > end or media[at] != 0xFF:
+                raise ValueError("a frame's headers are damaged")
+            marker, length = media[at + 1], struct.unpack_from(">H", media, at + 2)[0]
+            body = media[at + 4 : at + 2 + length]
+            if marker == 0xC0:
+                bits, self.height, self.width, n = struct.unpack_from(">BHHB", body)
+                self.components = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+                if bits != 8 or not self.width or not self.height or any(not h or not v for _, h, v, _ in self.components):
+                    raise ValueError("a frame's size or sampling is damaged")
+            elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                raise ValueError("only baseline frames are read")
+            elif marker == 0xC4:
+                while body:
+                    n = sum(body[1:17])
+                    self.huffman[body[0]] = body[1:17], body[17 : 17 + n]
+                    body = body[17 + n :]
+            elif marker == 0xDB:
+                while body:
+                    wide = body[0] >> 4
+                    self.quantisers[body[0] & 15] = np.frombuffer(body, ">u2" if wide else "u1", 64, 1).astype(np.int64)
+                    body = body[65 + 64 * wide :]
+            elif marker == 0xDD:
+                self.restart = struct.unpack(">H", body)[0]
+            at += 2 + length
+            if marker == 0xDA:
+                self.tables = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+                break
+        self.data = media[at:end]
+        if self.data[-2:] == b"\xff\xd9":
+            self.data = self.data[:-2]
+
+    def plain(self) -> bool:
+        """Whether it is coded as ``write_avi`` does."""
+        one = bytes([1] + [0] * 15), b"\x08"
+        return len(self.components) == 1 and self.restart == 1 and self.huffman == {0x00: one, 0x10: one} and (self.quantisers[self.components[0][3]] == 1).all() and self.width % 8 == 0 == self.height % 8
+
+    def luma(self) -> tuple[np.ndarray, int]:
+        """Coefficients of the blocks of the first component, dequantised, in scan order, row by row; and the blocks in a row."""
+        codes = {}
+        for name, (counts, symbols) in self.huffman.items():
+            code, at, table = 0, 0, {}
+            for length, n in enumerate(counts, 1):
+                for symbol in symbols[at : at + n]:
+                    table[length, code] = symbol
+                    code += 1
+                at += n
+                code <<= 1
+            codes[name] = table
+        most_h, most_v = max(h for _, h, _, _ in self.components), max(v for _, _, v, _ in self.components)
+        if len(self.components) == 1:  # not interleaved: a unit is one block
+            most_h = most_v = 1
+            parts = [(self.components[0][0], 1, 1)]
+        else:
+            parts = [(c, h, v) for c, h, v, _ in self.components]
+        across, down = -(-self.width // (8 * most_h)), -(-self.height // (8 * most_v))
+        first, wide, high = parts[0]
+        out = np.zeros((down * high, across * wide, 64), np.int64)
+        runs = re.split(rb"\xff[\xd0-\xd7]", self.data)
+        place = 0
+        for run in runs:
+            bits = np.unpackbits(np.frombuffer(run.replace(b"\xff\x00", b"\xff"), np.uint8)).tolist()
+            at = 0
+            before = {c: 0 for c, _, _ in parts}
+
+            def symbol(table: dict[tuple[int, int], int]) -> int:
+                nonlocal at
+                code = 0
+                for length in range(1, 17):
+                    code = code << 1 | bits[at]
+                    at += 1
+                    if (found := table.get((length, code))) is not None:
+                        return found
+                raise ValueError("a frame's code is damaged")
+
+            def value(size: int) -> int:
+                nonlocal at
+                v = 0
+                for bit in bits[at : at + size]:
+                    v = v << 1 | bit
+                at += size
+                return v if not size or v >> (size - 1) else v - (1 << size) + 1
+
+            for _ in range(min(self.restart or across * down, across * down - place)):
+                for c, h, v in parts:
+                    dc, ac = codes[self.tables[c] >> 4], codes[0x10 | self.tables[c] & 15]
+                    for i in range(h * v):
+                        block = np.zeros(64, np.int64)
+                        before[c] += value(symbol(dc))
+                        block[0] = before[c]
+                        k = 1
+                        while k < 64:
+                            s = symbol(ac)
+                            if s == 0:
+                                break
+                            k += s >> 4
+                            if s & 15:
+                                block[k] = value(s & 15)
+                            k += 1
+                        if c == first:
+                            out[place // across * high + i // h, place % across * wide + i % h] = block
+                place += 1
+        if place < across * down:
+            raise ValueError("a frame's data are cut short")
+        return out.reshape(-1, 64) * self.quantisers[self.components[0][3]], across * wide
+
+    def pixels(self) -> np.ndarray:
+        """Luma of the picture, at the first component's own resolution."""
+        blocks, across = self.luma()
+        shown = shade(blocks.astype(np.float32)).reshape(-1, across, 8, 8).transpose(0, 2, 1, 3).reshape(-1, 8 * across)
+        h, v = self.components[0][1] / max(c[1] for c in self.components), self.components[0][2] / max(c[2] for c in self.components)
+        return shown[: -int(-self.height * v // 1), : -int(-self.width * h // 1)]
+
+
+def shade(coefficients: np.ndarray) -> np.ndarray:
+    return np.clip((coefficients @ INVERSE) / (1 << SCALE_BITS) + 128, 0, 255).astype(np.uint8)
+
+
 class Avi:
-    """A parsed file: its frames' scans by the index, and the stream's own data."""
+    """A parsed file: its frames by the index, or in their order where there is none, and the stream's own data."""
 
     def __init__(self, media: bytes):
         if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
             raise ValueError("not an AVI file")
+        try:
+            self.read(media)
+        except (KeyError, IndexError, struct.error) as e:
+            raise ValueError(f"the file is damaged: {e!r}") from e
+
+    def read(self, media: bytes) -> None:
         top = {name: (a, b) for name, a, b in chunks(media, 12, len(media))}
         heads = {name: (a, b) for name, a, b in chunks(media, *top[b"hdrl"])}
         stream = {name: (a, b) for name, a, b in chunks(media, *heads[b"strl"])}
-        self.fps = struct.unpack_from("<II", media, stream[b"strh"][0] + 20)[1] / struct.unpack_from("<I", media, stream[b"strh"][0] + 20)[0]
-        self.n_bytes, self.payload_bytes = struct.unpack_from("<QQ", media, stream[b"strd"][0])
-        movi = top[b"movi"][0] - 4
-        scans = []
+        scale, rate = struct.unpack_from("<II", media, stream[b"strh"][0] + 20)
+        if not scale or not rate:
+            raise ValueError("the stream has no frame rate")
+        self.fps = rate / scale
+        self.n_bytes, self.payload_bytes = struct.unpack_from("<QQ", media, stream[b"strd"][0]) if b"strd" in stream else (None, 0)
+        frames = [Frame(media, at, size) for at, size in self.places(media, top)]
+        if not frames:
+            raise ValueError("the file has no frame")
+        self.frames, self.width, self.height = len(frames), frames[0].width, frames[0].height
+        self.values, self.others = None, frames
+        if all(f.plain() and (f.width, f.height) == (self.width, self.height) for f in frames):
+            data = np.frombuffer(b"".join(f.data + b"\xff\xd7" for f in frames), np.uint8)  # so that frames can be joined
+            drop = np.zeros(len(data), bool)
+            after = np.flatnonzero(data[:-1] == 0xFF) + 1
+            drop[after] = True  # a stuffed zero, or the code of a restart marker
+            drop[after[data[after] >= 0xD0] - 1] = True  # and the marker's first byte
+            kept = data[~drop]
+            if len(kept) != self.frames * self.width * self.height // 64 * 72:
+                raise ValueError("a frame's data are damaged")
+            bits = np.unpackbits(kept.reshape(-1, 72), axis=1).reshape(-1, 64, 9)
+            self.values = np.packbits(bits[:, :, 1:].reshape(-1, 512), axis=1)
+            self.others = []
+
+    @staticmethod
+    def places(media: bytes, top: dict[bytes, tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """Where the frames of the first stream are, and their sizes. Index entries count from the list's name or from the file's beginning."""
+        start, end = top[b"movi"]
+        if b"idx1" not in top:
+            yield from ((a, b - a) for name, a, b in chunks(media, start, end) if name in (b"00dc", b"00db"))
+            return
         for at in range(*top[b"idx1"], 16):
-            _, flags, offset, size = struct.unpack_from("<4sIII", media, at)
+            name, flags, offset, size = struct.unpack_from("<4sIII", media, at)
+            if name not in (b"00dc", b"00db"):
+                continue
             if not flags & 0x10:
                 raise ValueError("a frame is not intra-coded")
-            scans.append(self.scan(media, movi + offset + 8, size))
-        self.frames = len(scans)
-        data = np.frombuffer(b"".join(scans), np.uint8)
-        drop = np.zeros(len(data), bool)
-        after = np.flatnonzero(data[:-1] == 0xFF) + 1
-        drop[after] = True  # a stuffed zero, or the code of a restart marker
-        drop[after[data[after] >= 0xD0] - 1] = True  # and the marker's first byte
-        bits = np.unpackbits(data[~drop].reshape(-1, 72), axis=1).reshape(-1, 64, 9)
-        self.values = np.packbits(bits[:, :, 1:].reshape(-1, 512), axis=1)
-
-    def scan(self, media: bytes, at: int, size: int) -> bytes:
-        end, at = at + size, at + 2
-        while True:
-            marker, length = media[at + 1], struct.unpack_from(">H", media, at + 2)[0]
-            if marker == 0xC0:
-                self.height, self.width = struct.unpack_from(">HH", media, at + 5)
-            elif marker == 0xC4 and (media[at + 5 : at + 21] != bytes([1] + [0] * 15) or media[at + 21] != 8):
-                raise ValueError("only Huffman tables of the one symbol are read")
-            at += 2 + length
-            if marker == 0xDA:
-                # a restart marker in place of the end of image, so that frames can be joined
-                return media[at : end - 2] + b"\xff\xd7"
+            base = start - 4 if media[start - 4 + offset : start + offset] == name else 0
+            yield base + offset + 8, size
 
     def payload(self) -> bytes:
+        """The bytes that ``write_avi`` has stored."""
+        if self.values is None or self.n_bytes is None or self.payload_bytes > self.values.size:
+            raise ValueError("the file holds no payload")
         return self.values.reshape(-1)[: self.payload_bytes].tobytes()
 
     def histograms(self) -> np.ndarray:
         """Counts of luma in ``BINS`` steps for each frame, of the decoded pixels."""
+        if self.values is None:
+            return np.stack([np.bincount(f.pixels().reshape(-1) >> 4, minlength=BINS) for f in self.others])
         per_frame = len(self.values) // self.frames
         counts = np.zeros((self.frames, BINS), np.int64)
         step = max(1, 4096 // per_frame)
         for f in range(0, self.frames, step):
             v = self.values[f * per_frame : (f + step) * per_frame].astype(np.float32)
-            coefficients = np.where(v < 128, v - 255, v)
-            pixels = np.clip((coefficients @ INVERSE) / (1 << SCALE_BITS) + 128, 0, 255).astype(np.uint8)
+            pixels = shade(np.where(v < 128, v - 255, v))
             frame = np.repeat(np.arange(len(v) // per_frame) * BINS, per_frame * 64)
             n = len(v) // per_frame
             counts[f : f + n] = np.bincount(frame + (pixels.reshape(-1) >> 4), minlength=n * BINS).reshape(n, BINS)
@@ -184,7 +334,8 @@ class Avi:
     def clips(self) -> list[tuple[int, int]]:
         """First and end frame of each shot."""
         h = self.histograms()
-        change = np.abs(np.diff(h, axis=0)).sum(axis=1) / (2 * h[0].sum())
+        share = h / np.maximum(h.sum(axis=1, keepdims=True), 1)
+        change = np.abs(np.diff(share, axis=0)).sum(axis=1) / 2
         cuts = [0]
         for i, d in enumerate(change.tolist()):
             past = change[max(0, i - LOOK_BACK) : i]
@@ -202,37 +353,55 @@ def to_avi(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(write_avi, texts_of(batch, 1)), pa.binary())], ["doc_id", "media"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, media binary")
+    return spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(rows, "doc_id long, media binary")
+
+
+CLIP = "doc_id long, clip int, start_s double, end_s double, frames long, error string"
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
-    """(doc_id, clip, start_s, end_s, frames): a timed row for each shot of each file."""
+    """(doc_id, clip, start_s, end_s, frames, error): a timed row for each shot of each file (doc_id, media), in any baseline motion JPEG. A file that is null
+    or damaged has one row with an error and nulls. Repeated rows come out repeated; other columns take no part."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int64()), ("error", pa.string())])
         for batch in batches:
             out = []
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                avi = Avi(data)
-                out += [{"doc_id": doc_id, "clip": k, "start_s": a / avi.fps, "end_s": b / avi.fps, "frames": b - a} for k, (a, b) in enumerate(avi.clips())]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int64())]))
+                try:
+                    avi = Avi(data or b"")
+                    out += [{"doc_id": doc_id, "clip": k, "start_s": a / avi.fps, "end_s": b / avi.fps, "frames": b - a} for k, (a, b) in enumerate(avi.clips())]
+                except (ValueError, KeyError, IndexError) as e:
+                    out.append({"doc_id": doc_id, "error": str(e)})
+            yield pa.RecordBatch.from_pylist(out, kinds)
 
-    return media.select("doc_id", "media").mapInArrow(rows, "doc_id long, clip int, start_s double, end_s double, frames long")
+    small_batches(media.sparkSession)
+    return media.select("doc_id", "media").mapInArrow(rows, CLIP)
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Sizes, digests and a feature string of each file, all from what its frames hold when read back."""
+    """Sizes, digests and a feature string of each file of ``to_avi`` (doc_id, media), all from what its frames hold when read back. A file that is null, damaged
+    or made elsewhere has an error, and nulls for what it does not tell. Repeated rows come out repeated; other columns take no part."""
+
+    def one(data: bytes | None) -> list:
+        if data is None:
+            return [None] * 7 + ["no file"]
+        try:
+            avi = Avi(data)
+            payload = avi.payload()
+            shots = ",".join(f"{a / avi.fps:.2f}-{b / avi.fps:.2f}" for a, b in avi.clips())
+            return [avi.n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{avi.width}x{avi.height};frames={avi.frames};clips={shots}", None]
+        except (ValueError, KeyError, IndexError) as e:
+            return [None] * 4 + [len(data), hashlib.sha256(data).hexdigest(), None, str(e)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for data in batch.column(1).to_pylist():
-                avi = Avi(data)
-                payload = avi.payload()
-                shots = avi.clips()
-                feature = f"{avi.width}x{avi.height};frames={avi.frames};clips=" + ",".join(f"{a / avi.fps:.2f}-{b / avi.fps:.2f}" for a, b in shots)
-                for o, v in zip(out, (avi.n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature)):
-                    o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, k) for o, k in zip(out, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.select("doc_id", "media").mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            out = list(zip(*map(one, batch.column(1).to_pylist()))) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, k) for o, k in zip(out, kinds))], DESCRIBED)
+
+    small_batches(media.sparkSession)
+    return media.select("doc_id", "media").mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+
+
+DESCRIBED = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]

@@ -70,6 +70,13 @@ def op9_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.describe(avi.to_avi(table(spark, sf_dir, "documents")))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clip rows of all media."""
+    from . import avi
+
+    return avi.clip_rows(avi.to_avi(table(spark, sf_dir, "documents")))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import repeated_words
 
@@ -77,7 +84,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_mixing, op3_bpe, op4_simhash, op5_language, op6_additive, op7_html, op8_toxicity, op9_avi, op10_substrings)
+    found = (op1_pii, op2_mixing, op3_bpe, op4_simhash, op5_language, op6_additive, op7_html, op8_toxicity, op9_avi, op10_substrings, media_clips)
     return {f.__name__: f for f in found}
 
 
