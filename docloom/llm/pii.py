@@ -2,7 +2,7 @@
 
 Fixed forms (e-mail, IP, card and phone numbers) and unmistakable keys are the seeds. The words and signs before a seed are
 lexical patterns; what else stands after the same patterns is an instance. Spark scores the graph of patterns and instances in turns:
-a pattern by the mean score of its instances, an instance by the patterns that lead to it. Patterns of high confidence
+a pattern by the mean score of its instances, an instance by the best pattern that leads to it, until the scores stand still. Patterns of high confidence
 then mark identifiers whose form nobody had described.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import dropped, small_batches, spread, staged
 
 KINDS = ("email", "ip", "card", "phone", "id")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -29,8 +29,13 @@ KEY = re.compile(r"(?=[0-9]*[a-f])[0-9a-f]{32,}")
 CONTEXT = re.compile(r"\w+|[^\w\s]")
 CONTEXT_CHARS = 40
 LEAST_TOKEN = 6
-#: A pattern counts with so many instances, and marks further ones if it stands in so many different texts.
-ROUNDS, LEAST_INSTANCES, LEAST_TEXTS, CONFIDENT = 3, 5, 5, 0.8
+#: A pattern counts with so many different instances, and marks further ones if it stands in so many different texts and is as confident as this.
+LEAST_INSTANCES, LEAST_TEXTS, CONFIDENT = 5, 5, 0.8
+#: An instance that is no seed has so much of its best pattern's confidence: so the scores have a limit that is not one for whatever some seed
+#: can reach, and each turn is nearer to it by this factor. Turns end when no confidence changes by more than SETTLED.
+DAMPING, SETTLED = 0.5, 0.01
+#: Patterns that are sent to all tasks at most; more are joined by shuffles.
+SENT_PATTERNS = 100_000
 
 
 def luhn(digits: str) -> bool:
@@ -103,22 +108,37 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 FOUND = "array<struct<patterns:array<string>,instance:bigint,start:int,end:int,seed:boolean,base:boolean>>"
 
 
+def sent(patterns_: DataFrame) -> DataFrame:
+    """Patterns to join with: sent to all tasks where they are few, since many places share a pattern; by a shuffle, whose large partitions Spark splits, where
+    they are not."""
+    return F.broadcast(patterns_) if patterns_.count() <= SENT_PATTERNS else patterns_
+
+
+def pattern_scores(edges: DataFrame) -> DataFrame:
+    """(pattern, confidence) of the patterns with ``LEAST_INSTANCES`` instances, from distinct (pattern, instance, seed): the limit of
+    confidence = mean score of the instances, score = 1 for a seed, else ``DAMPING`` x the greatest confidence."""
+    many = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_INSTANCES).select("pattern")
+    edges = staged(edges.join(many, "pattern").select("pattern", "instance", "seed"), "edges")
+    rated = staged(edges.groupBy("pattern").agg(F.avg(F.col("seed").cast("double")).alias("confidence")), "patterns")
+    while True:
+        heard = edges.join(sent(rated), "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), F.max("confidence").alias("best"))
+        score = heard.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("best") * DAMPING).alias("score"))
+        last, rated = rated, staged(edges.join(score, "instance").groupBy("pattern").agg(F.round(F.avg("score"), 6).alias("confidence")), "patterns")
+        change = rated.join(last.withColumnRenamed("confidence", "before"), "pattern").agg(F.max(F.abs(F.col("confidence") - F.col("before")))).first()[0]
+        dropped(last)
+        if not change or change <= SETTLED:
+            return rated
+
+
 def confident_patterns(scanned: DataFrame) -> DataFrame:
-    """(pattern): those that lead to identifiers, after ``ROUNDS`` turns over the graph of patterns and instances."""
+    """(pattern): those that lead to identifiers, of the graph of patterns and instances, in ``LEAST_TEXTS`` different texts."""
     each = scanned.select(F.explode("found").alias("f")).select(F.explode("f.patterns").alias("pattern"), "f.instance", "f.seed")
     edges = staged(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    score = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for _ in range(ROUNDS):
-        rated = edges.join(score, "instance").groupBy("pattern").agg(F.avg("score").alias("confidence"), F.count("*").alias("n"))
-        rated = staged(rated.filter(F.col("n") >= LEAST_INSTANCES), "patterns")
-        # an instance is as good as all its patterns together make it; seeds stay certain
-        miss = F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))
-        heard = edges.join(rated.filter("confidence > 0"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(miss))).alias("heard"), F.max("seed").alias("seed"))
-        silent = edges.filter("seed").select("instance", F.lit(1.0).alias("score"))
-        score = staged(heard.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("heard")).alias("score")).unionByName(silent).groupBy("instance").agg(F.max("score").alias("score")), "scores")
-        score = edges.select("instance").distinct().join(score, "instance", "left").select("instance", F.coalesce("score", F.lit(0.0)).alias("score"))
-    sure = rated.filter(F.col("confidence") >= CONFIDENT).select("pattern")
-    places = scanned.select("text_hash", F.explode("found").alias("f")).select("text_hash", F.explode("f.patterns").alias("pattern")).join(sure, "pattern").distinct()
+    # an instance that is a seed somewhere is one everywhere
+    seeds = edges.filter("seed").select("instance").distinct().withColumn("known", F.lit(True))
+    edges = edges.join(seeds, "instance", "left").select("pattern", "instance", F.coalesce("known", F.lit(False)).alias("seed"))
+    sure = staged(pattern_scores(edges).filter(F.col("confidence") >= CONFIDENT).select("pattern"), "sure")
+    places = scanned.select("text_hash", F.explode("found").alias("f")).select("text_hash", F.explode("f.patterns").alias("pattern")).join(sent(sure), "pattern").distinct()
     return places.groupBy("pattern").count().filter(F.col("count") >= LEAST_TEXTS).select("pattern")
 
 
@@ -126,7 +146,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """(doc_id, text_hash, base, spans): for every row, the spans of the four fixed kinds, and these with what the patterns found
     (kind 'id'), in code points, by kind and then start.
 
-    A null or empty text has no spans. Repeated rows come out repeated. Other columns of ``docs`` take no part."""
+    An identifier is a token of six characters or more with a digit in it. A null or empty text has no spans; texts are read whole, in time linear in
+    them. Spans of different kinds may overlap. Repeated rows come out repeated; a pattern counts equal texts once. Other columns of ``docs`` take no part."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -138,10 +159,10 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    scanned = staged(source.mapInArrow(rows, f"doc_id long, text_hash long, base {SPANS}, found {FOUND}"), "scanned")
+    scanned = staged(spread(source).mapInArrow(rows, f"doc_id long, text_hash long, base {SPANS}, found {FOUND}"), "scanned")
     sure = staged(confident_patterns(scanned), "sure")
     each = scanned.select("doc_id", "text_hash", F.explode("found").alias("f")).filter("not f.base").select("doc_id", "text_hash", "f.start", "f.end", F.explode("f.patterns").alias("pattern"))
-    more = each.join(sure, "pattern").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("more"))
+    more = each.join(sent(sure), "pattern").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("more"))
     more = more.withColumnsRenamed({"doc_id": "more_id", "text_hash": "more_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("more_id")) & (F.col("text_hash") == F.col("more_hash"))
     out = scanned.select("doc_id", "text_hash", "base").join(more, same, "left")
@@ -158,7 +179,8 @@ def report(docs: DataFrame) -> DataFrame:
     found = find(docs)
     of_kind = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(written("base").cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    more = (F.size("spans") - F.size("base")).cast("long").alias("n_id")
+    return found.select("doc_id", *counts, F.sha2(written("base").cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"), more)
 
 
 def masked_text(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -1,8 +1,27 @@
 """Personal data behind ordinary words."""
 
+import random
+
 from docloom.llm import pii
 
 
+def test_scores_by_hand(spark):
+    """The graph's scores by plain turns over random graphs, with seeds and without."""
+    rng = random.Random(4)
+    edges = sorted({(f"p{rng.randrange(12)}", rng.randrange(60)) for _ in range(160)})
+    seeds = {i for i in range(60) if rng.random() < 0.3}
+    members = {}
+    for p, i in edges:
+        members.setdefault(p, set()).add(i)
+    members = {p: m for p, m in members.items() if len(m) >= pii.LEAST_INSTANCES}
+    confidence = {p: len(m & seeds) / len(m) for p, m in members.items()}
+    for _ in range(60):
+        score = {i: 1.0 if i in seeds else pii.DAMPING * max((confidence[p] for p, m in members.items() if i in m), default=0) for i in range(60)}
+        confidence = {p: sum(score[i] for i in m) / len(m) for p, m in members.items()}
+    got = {r.pattern: r.confidence for r in pii.pattern_scores(spark.createDataFrame([(p, i, i in seeds) for p, i in edges], "pattern string, instance long, seed boolean")).collect()}
+    assert got.keys() == confidence.keys() and all(abs(got[p] - confidence[p]) <= 2 * pii.SETTLED for p in got)
+
+
 def test_word_contexts_lead_to_identifiers(spark):
     rows = [(i, f"please write to member number +1 555 010 {1000 + 37 * i} about it") for i in range(12)]
     rows += [(100, "he said member number AB1234567 was his"), (101, "the room 1234567 is free")]
