@@ -2,38 +2,66 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.frames import spread  # noqa: F401  for the operators beside
+
 #: Rows of an Arrow batch: small, since one text may hold hundreds of kilobytes.
 BATCH_ROWS = "512"
 
 
+@lru_cache(1)
+def local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="docloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one where none is set (local tests)."""
+    """The folder named in spark.checkpoint.dir. Where none is set, a temporary one if driver and executors are one process (tests), else an error:
+    on a cluster, files in a machine's own folder would be missing when they are read again."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = local_dir()
     return found.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as the JVM has them."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage, so that a lost
-    executor costs a re-read and not a recomputation. The files go when the application ends."""
+    executor costs a re-read and not a recomputation. The files go when the application ends, or by ``dropped``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    there, fs = hadoop_path(spark, path)
+    fs.deleteOnExit(there)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of ``staged`` frames that nothing reads any more."""
+    for df in frames:
+        there, fs = hadoop_path(df.sparkSession, df.staged_at)
+        fs.delete(there, True)
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches small. Spark reads the setting when a plan runs, so it stays set; the README says so."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
@@ -43,7 +71,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, bound: int, rows: int | None = None) -> DataFrame:
-    """About ``bound`` rows of ``df`` at most, chosen by a hash of ``key``: the same rows in every run."""
+    """All rows of ``df``, or about ``bound`` where there are more, chosen by a hash of ``key``: the same rows in every run."""
     n = df.count() if rows is None else rows
     if n <= bound:
         return df
@@ -102,7 +130,8 @@ LETTERS = Powers(0x9E3779B97F4A7C15)
 
 
 def word_hashes(data: bytes, head: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, or of the first ``head`` bytes of each."""
+    """Starts, ends and 64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, or of the first ``head`` bytes of each. Polynomial
+    hashes: quick for all words at once, but words made for it can collide; what has to be certain uses ``digests`` too."""
     raw = np.frombuffer(data, np.uint8)
     edge = np.diff(np.concatenate(([True], IS_SPACE[raw], [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -114,3 +143,10 @@ def word_hashes(data: bytes, head: int | None = None) -> tuple[np.ndarray, np.nd
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(BYTE_VALUES[raw] * down[: len(raw)], out=sums[1:])
     return starts, ends, mix64((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+
+
+def digests(words: list[bytes], seed: int) -> np.ndarray:
+    """XXH3 hashes of words, 64 bits: of another kind than ``word_hashes``."""
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(seed)), np.uint64, len(words))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the two steps until the edges form stars, in a number of rounds that grows with the logarithm of the
     number of nodes. Each round is written to the shared folder, so no lineage builds up and nothing comes to the driver but
-    a count and a checksum."""
+    a count and a checksum; the round before goes when the next is written."""
     edges = staged(edges.select("a", "b").filter("a > b").distinct(), "edges")
     before = None
     while True:
         sign = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if sign == before or sign.n == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = sign
-        edges = staged(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        before, last = sign, edges
+        edges = staged(_small_star(_large_star(last).distinct()).distinct(), "edges")
+        dropped(last)

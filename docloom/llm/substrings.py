@@ -2,7 +2,8 @@
 
 Each document hashes all its windows. To spare the shuffle of windows that can not repeat, a first pass sends only the
 least 25-word hash within each window (one in fourteen words or so): equal windows have equal ones, so a window whose least hash occurs in
-one document only is unique. The windows that are left are counted whole, by two independent hashes of 64 bits.
+one document only is unique. The windows that are left are counted whole, by two hashes of 64 bits over word hashes of different kinds
+(polynomial and XXH3), so that words made to collide in the one differ in the other.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, mix64, rolling, small_batches, staged, texts_of, word_hashes
+from .common import Powers, digests, mix64, rolling, small_batches, spread, staged, texts_of, word_hashes
 
 WINDOW = 50
 INNER = 25
@@ -61,7 +62,7 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(inner, pa.list_(pa.int64()))], ["doc_id", "n_words", "sha", "inner"])
 
     # 1. word counts, digests and inner hashes of every row
-    rows = staged(source.mapInArrow(scan, "doc_id long, n_words long, sha binary, inner array<bigint>"), "scan")
+    rows = staged(spread(source).mapInArrow(scan, "doc_id long, n_words long, sha binary, inner array<bigint>"), "scan")
     # 2. of equal word sequences only the least doc_id goes on: the others' windows all start in it
     copies = rows.filter(f"doc_id is not null and n_words >= {WINDOW}").groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("sha", "first")
     copies = staged(copies, "copies")
@@ -80,8 +81,9 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                     continue
                 hashes = word_hashes(t)[2]
                 at = np.flatnonzero(np.isin(least_inner(hashes), np.array(inner, np.int64).view(np.uint64)))
+                other = digests(t.split(), WINDOW) if len(at) else hashes
                 take.append(i)
-                for o, h in zip(out, (at.astype(np.int32), rolling(hashes, WINDOW, BASE_A)[at].view(np.int64), rolling(mix64(hashes + np.uint64(1)), WINDOW, BASE_B)[at].view(np.int64))):
+                for o, h in zip(out, (at.astype(np.int32), rolling(hashes, WINDOW, BASE_A)[at].view(np.int64), rolling(other, WINDOW, BASE_B)[at].view(np.int64))):
                     o.append(h)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(take, pa.int64())), pa.array([shas[i] for i in take], pa.binary()), pa.array([texts[i] for i in take], pa.binary()), *(pa.array(o, pa.list_(k)) for o, k in zip(out, (pa.int32(), pa.int64(), pa.int64())))], ["doc_id", "sha", "text", "at", "a", "b"])
 
