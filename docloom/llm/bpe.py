@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, staged
+from .common import shared_dir, small_batches, spread, staged
 
 #: How the vocabulary's own tokenizer splits a text into words (a fixed value of the format).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -380,7 +380,7 @@ def count_words(docs: DataFrame, vocabulary_path: str, text: str = "text") -> Da
         yield from out()
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(text).alias("text")).mapInArrow(counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(docs.select(F.col(text).alias("text"))).mapInArrow(counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, vocabulary_path: str, text: str, size: int) -> list[str]:
@@ -434,7 +434,7 @@ def encode(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text:
 
     small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(rows, f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
+    return spread(source).mapInArrow(rows, f"doc_id {source.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, vocabulary_path: str, name: str | None = None) -> DataFrame:
@@ -450,4 +450,4 @@ def encode_digests(docs: DataFrame, vocabulary_path: str, name: str | None = Non
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(map(sha, ids)), pa.array([sha(lex.decode(x)) for x in ids], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(docs.select("doc_id", "text")).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, spread
 from .dom import Node, features, order, parse
 from .page_maker import Maker
 from .trees import Forest
@@ -107,4 +107,4 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
     small_batches(pages.sparkSession)
     source = pages.select(*keep, F.col(html).alias("html"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(rows, f"{kinds}, text string, n_chars long")
+    return spread(source).mapInArrow(rows, f"{kinds}, text string, n_chars long")
