@@ -12,5 +12,5 @@ def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out to all cores where Spark's own estimate says that it is small: one small file is one task otherwise, however much work
     its rows are. Large frames have tasks enough and are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * LEAST_BYTES else df
