@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +44,45 @@ def deduplicate(files: DataFrame, *order: str, store: DataFrame | None = None) -
     )
 
 
-def ingest(files: DataFrame, store: DataFrame, source_type: str) -> tuple[DataFrame, DataFrame]:
-    """(results, new documents) of files (original_filename, content_type, content): hashed, checked against the store and each
-    other, with the rows to append to it. Files with a missing name or type, or without content, are left out."""
+class Ingested(NamedTuple):
+    """What an ingestion found for each file, the new rows for the documents' table, and the contents for ``store.Blobs``."""
+
+    results: DataFrame
+    documents: DataFrame
+    blobs: DataFrame
+
+
+def ingest(files: DataFrame, store: DataFrame, source_type: str) -> Ingested:
+    """Files (original_filename, content_type, content, and what else comes with them) hashed and checked against the store and each other. The first file of
+    a content, by name, type and then its other columns, is the document; of files equal in every column all but one are duplicates. Files with a
+    missing name or type, or without content, are left out. results: a row for each file with document_id, canonical (the name and type of its document, as the
+    ``store`` has them where it does) and is_duplicate."""
     named = (F.length("original_filename").between(1, MAX_NAME)) & (F.length("content_type").between(1, MAX_TYPE)) & (F.octet_length("content") > 0)
     hashed = fingerprint(files.filter(named))
-    results = deduplicate(hashed, "original_filename", "content_type", store=store).drop("content")
-    fresh = results.filter("not is_duplicate").dropDuplicates(["checksum_sha256"])
+    light = hashed.drop("content")
+    # equal rows are counted and numbered: no row has to be told from its copies by where it lies
+    numbered = light.groupBy(*light.columns).agg(F.count("*").alias("_rows")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).drop("_rows")
+    numbered = numbered.withColumn("_row", F.xxhash64(*light.columns))
+    results = deduplicate(numbered, "original_filename", "content_type", "_row", "_copy", store=store)
+    own = F.struct("canonical.original_filename", "canonical.content_type")
+    if {"original_filename", "content_type"} <= set(store.columns):
+        known = store.groupBy("checksum_sha256").agg(F.min_by(F.struct("original_filename", "content_type"), "id").alias("_stored"))
+        results = results.join(known, "checksum_sha256", "left").withColumn("canonical", F.coalesce("_stored", own)).drop("_stored")
+    else:
+        results = results.withColumn("canonical", own)
+    results = results.select(*light.columns, "document_id", "canonical", "is_duplicate")
+    fresh = results.filter("not is_duplicate")
     rows = fresh.select(
         F.col("document_id").alias("id"), "original_filename", "content_type", "file_size", "checksum_sha256", F.lit(source_type).alias("source_type"),
-        F.concat(F.lit("blobs/"), "checksum_sha256").alias("storage_reference"), F.lit("ingested").alias("status"),
+        reference(F.col("checksum_sha256")).alias("storage_reference"), F.lit("ingested").alias("status"),
     )
-    return results, rows
+    contents = hashed.join(store.select("checksum_sha256").distinct(), "checksum_sha256", "left_anti").dropDuplicates(["checksum_sha256"])
+    return Ingested(results, rows, contents.select(reference(F.col("checksum_sha256")).alias("storage_reference"), "content"))
+
+
+def reference(checksum_: Column) -> Column:
+    """Where the content of this checksum is stored."""
+    return F.concat(F.lit("blobs/"), checksum_)
 
 
 def input_hash(parts: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ DEFAULTS = {"validator": "unknown", "check_name": "unknown_check", "severity": "
 
 
 class Store:
-    """Parquet tables under one folder of any Hadoop file system (local, s3a, ...). Writes append a version; readers take, of each document,
-    the latest version: a replacement without updates, and no reader ever sees half of one."""
+    """Parquet tables under one folder of any Hadoop file system (local, s3a, ...). A write appends rows of a new version of some documents and then, when
+    they are all there, a row for each of these documents to the table's manifest; readers take the version that the manifest has last. So
+    a replacement needs no updates, may be by nothing, and rows of a write that failed half way are never seen."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -23,26 +24,30 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def append(self, name: str, rows: DataFrame, version: str | Column) -> None:
-        rows.withColumn("_version", F.lit(version) if isinstance(version, str) else version).write.mode("append").parquet(self.path(name))
+    def append(self, name: str, rows: DataFrame, version: str | Column, documents: DataFrame | None = None, key: str = "document_id") -> None:
+        """Write a version of the ``documents`` (column ``key``; those of the rows where not given): documents without rows have none from then on."""
+        marked = rows.withColumn("_version", F.lit(version) if isinstance(version, str) else version)
+        marked.write.mode("append").parquet(self.path(name))
+        listed = marked.select(key, "_version").distinct() if documents is None else documents.select(key, (F.lit(version) if isinstance(version, str) else version).alias("_version")).distinct()
+        listed.write.mode("append").parquet(self.path(f"{name}.manifest"))
 
     def all(self, name: str) -> DataFrame:
+        """Rows of all versions, whether in the manifest or not."""
         return self.spark.read.parquet(self.path(name))
 
     def current(self, name: str, key: str = "document_id") -> DataFrame:
         """All rows of the latest version of each document."""
-        rows = self.all(name)
-        newest = rows.groupBy(key).agg(F.max("_version").alias("_version"))
-        return rows.join(newest, [key, "_version"]).drop("_version")
+        newest = self.spark.read.parquet(self.path(f"{name}.manifest")).groupBy(key).agg(F.max("_version").alias("_version"))
+        return self.all(name).join(newest, [key, "_version"]).drop("_version")
 
     def by_id(self, name: str, document_id: str, key: str = "document_id") -> DataFrame:
         """Rows of one document; none, and no error, for a malformed id."""
         return self.current(name, key).filter(is_uuid(F.lit(document_id)) | (F.length(F.lit(document_id)) == 64)).filter(F.col(key) == document_id)
 
     def delete(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for table in (f"{name}.manifest", name):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def exists(self, name: str) -> bool:
         jvm = self.spark._jvm
@@ -50,6 +55,38 @@ class Store:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
 
+class Blobs:
+    """Contents by reference, in one Parquet table of any Hadoop file system: a few large files in place of one for each content. Contents are never
+    changed; a deletion is a row without content, and what is stored after it counts again."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.path = spark, f"{root.rstrip('/')}/blobs"
+
+    def put(self, blobs: DataFrame, version: str) -> None:
+        """Store blobs (storage_reference, content)."""
+        blobs.select("storage_reference", "content", F.lit(version).alias("_version")).write.mode("append").parquet(self.path)
+
+    def delete(self, references: DataFrame, version: str) -> None:
+        """Delete what ``references`` (storage_reference) name."""
+        self.put(references.select("storage_reference").distinct().withColumn("content", F.lit(None).cast("binary")), version)
+
+    def current(self) -> DataFrame:
+        """(storage_reference, content) of all that is stored; of a reference written twice, the content comes once."""
+        rows = self.spark.read.schema("storage_reference string, content binary, _version string").parquet(self.path)
+        last = rows.groupBy("storage_reference").agg(F.max(F.struct("_version", F.sha2("content", 256).alias("sha"))).alias("last"))
+        kept = last.filter("last.sha is not null").select("storage_reference", F.col("last._version").alias("_version"))
+        return rows.join(kept, ["storage_reference", "_version"]).dropDuplicates(["storage_reference"]).select("storage_reference", "content")
+
+    def get(self, references: DataFrame) -> DataFrame:
+        """(storage_reference, content) of those that exist."""
+        return self.current().join(references.select("storage_reference").distinct(), "storage_reference", "left_semi")
+
+    def exists(self, references: DataFrame) -> DataFrame:
+        """``references`` with ``stored``."""
+        known = self.current().select("storage_reference", F.lit(True).alias("stored"))
+        return references.join(known, "storage_reference", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
 def with_status(documents: DataFrame, events: DataFrame) -> DataFrame:
     """Documents with the status of their latest event (document_id, status, at); their own where there is none."""
     last = latest(events, "document_id", "at", "status").select(F.col("document_id").alias("id"), F.col("status").alias("_status"))
@@ -70,6 +107,11 @@ def with_defaults(findings: DataFrame) -> DataFrame:
 
 
 def run_with_findings(runs: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings of the latest run of each document, in the order of their creation within it."""
+    """Findings of the latest run of each document, in the order of their creation within it; each run's in one task, without a global sort."""
     last = latest(runs, "document_id", "created_at", "id").select(F.col("id").alias("validation_run_id"), "document_id")
-    return findings.join(last, "validation_run_id").orderBy("validation_run_id", "created_at")
+    return findings.join(last, "validation_run_id").repartition("validation_run_id").sortWithinPartitions("validation_run_id", "created_at")
+
+
+def run(runs: DataFrame, findings: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
+    """One run by its id, and its findings in order."""
+    return runs.filter(F.col("id") == run_id), findings.filter(F.col("validation_run_id") == run_id).orderBy("created_at")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Content types by the end of a name.
 TYPES = {"pdf": "application/pdf", "txt": "text/plain", "html": "text/html", "htm": "text/html", "json": "application/json", "csv": "text/csv", "png": "image/png", "jpg": "image/jpeg"}
 
-#: An adapter reads a file's bytes to the texts of its pages, null for a page that can not be read.
-Adapter = Callable[[bytes], list[str | None]]
+#: An adapter yields the texts of a file's pages, or for a page that can not be read the exception it met; what it raises itself is the file's fault.
+Adapter = Callable[[bytes], Iterable[str | None | Exception]]
+#: One that yields, for each page, a dict of width, height, text, images (width, height) and drawings (kind, x, y), or the exception it met.
+LayoutAdapter = Callable[[bytes], Iterable[dict | Exception]]
+#: An OCR engine: the tokens of a picture (its bytes) with their confidences, 0 to 100, negative for none.
+OcrAdapter = Callable[[bytes], Iterable[tuple[str, float]]]
 
 
 def content_type(name: Column) -> Column:
@@ -32,32 +38,107 @@ def text_pages(data: bytes) -> list[str | None]:
     return data.decode("utf-8", "replace").split("\f")
 
 
-def pdf_pages(data: bytes) -> list[str | None]:
+def pdf_pages(data: bytes) -> Iterator[str | None | Exception]:
     """Pages of a PDF, where a reader is installed."""
     import io
 
     from pypdf import PdfReader  # optional
 
-    return [page.extract_text() for page in PdfReader(io.BytesIO(data)).pages]
+    for page in PdfReader(io.BytesIO(data)).pages:
+        try:
+            yield page.extract_text()
+        except Exception as e:  # noqa: BLE001  one page's fault is its row's
+            yield e
+
+
+def pdf_layouts(data: bytes) -> Iterator[dict | Exception]:
+    """Sizes, texts, images and drawn rectangles and lines of a PDF's pages, where a reader is installed."""
+    import io
+
+    from pypdf import PdfReader  # optional
+
+    for page in PdfReader(io.BytesIO(data)).pages:
+        try:
+            drawings: list[tuple[str, float, float]] = []
+
+            def seen(operator, operands, matrix, _, drawings=drawings) -> None:
+                if operator in (b"re", b"l"):
+                    x, y = float(operands[0]), float(operands[1])
+                    drawings.append(("rect" if operator == b"re" else "line", matrix[0] * x + matrix[2] * y + matrix[4], matrix[1] * x + matrix[3] * y + matrix[5]))
+
+            text = page.extract_text(visitor_operand_before=seen)
+            yield {"width": float(page.mediabox.width), "height": float(page.mediabox.height), "text": text, "images": [tuple(map(float, i.image.size)) for i in page.images], "drawings": drawings}
+        except Exception as e:  # noqa: BLE001
+            yield e
 
 
 ADAPTERS: dict[str, Adapter] = {"text/plain": text_pages, "application/pdf": pdf_pages}
+LAYOUTS: dict[str, LayoutAdapter] = {"application/pdf": pdf_layouts}
+PAGE = "document_id string, page_number int, raw_text string, text_length long, error string"
+LAYOUT = "document_id string, page_number int, width double, height double, text string, images array<struct<width:double,height:double>>, drawings array<struct<kind:string,x:double,y:double>>, error string"
 
 
-def pages(files: DataFrame, adapters: dict[str, Adapter] | None = None) -> DataFrame:
-    """(document_id, page_number, raw_text, text_length, error): a row for each page, numbered from one. A file that its adapter fails on is one row with the error, page
-    null; the other files go on."""
-    known = adapters or ADAPTERS
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for document_id, kind, data in frame.itertuples(index=False):
+def said(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"[:500]
+
+
+def _read(files: DataFrame, adapters: dict, row: Callable, schema: str) -> DataFrame:
+    """A row for each page that an adapter yields; faults of pages and files are rows with an error."""
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict] = []
+            for document_id, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 try:
-                    texts = known[kind](bytes(data))
-                    out += [(document_id, i, t, len((t or "").strip()), None) for i, t in enumerate(texts, 1)]
+                    for i, page in enumerate(adapters[kind](bytes(data)), 1):
+                        found = {"error": said(page)} if isinstance(page, Exception) else row(page)
+                        out.append({"document_id": document_id, "page_number": i, **found})
                 except Exception as e:  # noqa: BLE001  one file's fault is its row's
-                    out.append((document_id, None, None, None, f"{type(e).__name__}: {e}"[:500]))
-            yield pd.DataFrame(out, columns=["document_id", "page_number", "raw_text", "text_length", "error"]).astype({"page_number": "Int32", "text_length": "Int64"})
+                    out.append({"document_id": document_id, "error": said(e)})
+            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in kinds.names} for r in out], kinds)
 
-    return files.select("document_id", "content_type", "content").mapInPandas(read, "document_id string, page_number int, raw_text string, text_length long, error string")
+    return files.select("document_id", "content_type", "content").mapInArrow(read, schema)
+
+
+def pages(files: DataFrame, adapters: dict[str, Adapter] | None = None) -> DataFrame:
+    """(document_id, page_number, raw_text, text_length, error): a row for each page, numbered from one. A page that can not be read has an error, and the others of
+    its file go on; a file that its adapter fails on ends in a row with the error, page null; the other files go on."""
+    return _read(files, adapters or ADAPTERS, lambda t: {"raw_text": t, "text_length": len((t or "").strip())}, PAGE)
+
+
+def layouts(files: DataFrame, adapters: dict[str, LayoutAdapter] | None = None) -> DataFrame:
+    """(document_id, page_number, width, height, text, images, drawings, error): what ``signals.page_signals`` goes by, a row for each page; errors as in ``pages``."""
+
+    def row(page: dict) -> dict:
+        images = [{"width": w, "height": h} for w, h in page.get("images", [])]
+        return {"width": page["width"], "height": page["height"], "text": page.get("text"), "images": images, "drawings": [{"kind": k, "x": x, "y": y} for k, x, y in page.get("drawings", [])]}
+
+    return _read(files, adapters or LAYOUTS, row, LAYOUT)
+
+
+def ocr(pictures: DataFrame, engine: OcrAdapter | None = None) -> DataFrame:
+    """(document_id, page_number, ocr_text, ocr_confidence, words, error) of pictures (document_id, page_number, content): tokens that are not blank, joined
+    by a space, and the mean of the confidences above zero, 0 without any. Without an engine every row has an error; a picture that the engine fails on has one, and the others go on."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, means, counts, errors = [], [], [], []
+            for data in batch.column(2).to_pylist():
+                try:
+                    if engine is None:
+                        raise RuntimeError("no OCR engine")
+                    found = [(t, c) for t, c in engine(bytes(data)) if t and t.strip()]
+                    good = [c for _, c in found if c > 0]
+                    texts.append(" ".join(t.strip() for t, _ in found))
+                    means.append(sum(good) / len(good) if good else 0.0)
+                    counts.append(len(found))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001
+                    for o, v in zip((texts, means, counts, errors), (None, None, None, said(e))):
+                        o.append(v)
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(means, pa.float64()), pa.array(counts, pa.int32()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["document_id", "page_number", "ocr_text", "ocr_confidence", "words", "error"])
+
+    wanted = pictures.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), "content")
+    return wanted.mapInArrow(read, "document_id string, page_number int, ocr_text string, ocr_confidence double, words int, error string")

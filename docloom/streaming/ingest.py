@@ -21,11 +21,21 @@ def arriving(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataF
 
 
 def each_content_once(files: DataFrame, horizon: str = "7 days") -> DataFrame:
-    """Drops files whose content came before, within the horizon: state is bounded by the files of that time."""
+    """Drops files whose content came before, within the horizon: state is bounded by the files of that time. What came earlier is left to the store, see ``start``."""
     return files.withWatermark("document_timestamp", horizon).dropDuplicatesWithinWatermark(["checksum_sha256"])
 
 
 def start(files: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Append the new documents to a Parquet table, and stop when no file waits."""
+    """Append the new documents to a Parquet table, and stop when no file waits. Each batch is checked against all that the table has, whenever it came, so that
+    each content is there once; a batch that is run again after a fault appends only what it had not."""
+
+    def append(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+        fresh = batch.dropDuplicates(["checksum_sha256"])
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            fresh = fresh.join(spark.read.schema(batch.schema).parquet(sink).select("checksum_sha256"), "checksum_sha256", "left_anti")
+        fresh.select(*batch.columns).write.mode("append").parquet(sink)
+
     rows = each_content_once(files).drop("content")
-    return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(sink)
+    return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
