@@ -19,6 +19,7 @@ REASONS = {
     "typed_text": ("High native text density (%d chars, density: %.4f) with low visual competition.", ["text_length", "text_density"]),
     "mixed": ("Mixed content detected: text (%d chars) combined with visual/table elements (images: %d, drawings: %d, table score: %.2f).", ["text_length", "image_count", "drawing_count", "table_candidate_score"]),
 }
+INVALID_PAGE = "Invalid page dimensions"
 CLASSES = ("unknown", *REASONS)
 
 
@@ -72,4 +73,4 @@ def classify(pages: DataFrame) -> DataFrame:
             form, columns = REASONS[name]
             said = F.format_string(form, *(F.col(c) for c in columns))
             reason = F.when(is_it, said) if reason is None else reason.when(is_it, said)
-    return marked.withColumn("classification_confidence", confidence).withColumn("classification_reason", reason.otherwise("Page has no area."))
+    return marked.withColumn("classification_confidence", confidence).withColumn("classification_reason", reason.otherwise(INVALID_PAGE))

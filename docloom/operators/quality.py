@@ -36,24 +36,40 @@ def summary(findings: DataFrame, *keys: str) -> DataFrame:
     return findings.groupBy(*keys).agg(F.count("*").alias("total"), *by)
 
 
-def assess(texts: DataFrame, tables: DataFrame, charts: DataFrame, findings: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(document_id, ocr, validation, structure, completeness, overall, decision) of every document of any input. Each input is reduced to one
-    row a document before the join. overall keeps its full precision; round it to show."""
+def empty_score(weights: dict[str, float] | None = None) -> Column:
+    """The score of a document of which nothing is known."""
+    w = WEIGHTS | (weights or {})
+    return clamp(F.lit(NEUTRAL * (w["ocr"] + w["validation"] + w["structure"])))
+
+
+def breakdown(weights: dict[str, float] | None = None) -> Column:
+    """Map of each component to its score, weight, contribution (to hundredths) and whether there was anything to go by."""
+    w = WEIGHTS | (weights or {})
+    known = {"ocr": F.col("n_texts") > 0, "validation": F.col("n_findings") > 0, "structure": F.col("n_tables") > 0, "completeness": (F.col("n_texts") > 0) | (F.col("n_tables") > 0)}
+    part = lambda k: F.struct(F.round(k, 2).alias("score"), F.lit(w[k]).alias("weight"), F.round(F.col(k) * w[k], 2).alias("contribution"), known[k].alias("available"))
+    return F.create_map(*(x for k in WEIGHTS for x in (F.lit(k), part(k))))
+
+
+def assess(texts: DataFrame, tables: DataFrame, charts: DataFrame, findings: DataFrame, weights: dict[str, float] | None = None, explained: bool = False) -> DataFrame:
+    """(document_id, ocr, validation, structure, completeness, overall, decision) of every document of any input, and ``breakdown`` where it is to be
+    ``explained``. Each input is reduced to one row a document before the join. overall keeps its full precision; round it to show."""
     w = WEIGHTS | (weights or {})
     t = texts.groupBy("document_id").agg(F.count("*").alias("n_texts"), ocr_component().alias("ocr"))
     b = tables.groupBy("document_id").agg(F.count("*").alias("n_tables"))
     c = charts.groupBy("document_id").agg(F.count("*").alias("n_charts"))
     f = findings.groupBy("document_id").agg(
-        pass_rate().alias("validation"), F.max((F.col("severity") == "critical") & (F.col("status") == "error")).alias("fatal"), F.max((F.col("severity") == "error") & (F.col("status") == "failed")).alias("wrong")
+        F.count("*").alias("n_findings"), pass_rate().alias("validation"), F.max((F.col("severity") == "critical") & (F.col("status") == "error")).alias("fatal"), F.max((F.col("severity") == "error") & (F.col("status") == "failed")).alias("wrong")
     )
     all_ = t.join(b, "document_id", "full").join(c, "document_id", "full").join(f, "document_id", "full")
-    n = sum((F.coalesce(F.col(x), F.lit(0)) for x in ("n_texts", "n_tables", "n_charts")), F.lit(0))
+    counts = ("n_texts", "n_tables", "n_charts", "n_findings")
+    all_ = all_.na.fill(0, list(counts))
+    n = F.col("n_texts") + F.col("n_tables") + F.col("n_charts")
     parts = all_.select(
-        "document_id", F.coalesce("ocr", F.lit(NEUTRAL)).alias("ocr"), F.coalesce("validation", F.lit(NEUTRAL)).alias("validation"), F.when(F.coalesce("n_tables", F.lit(0)) > 0, WITH_TABLES).otherwise(NEUTRAL).alias("structure"),
+        "document_id", *counts, F.coalesce("ocr", F.lit(NEUTRAL)).alias("ocr"), F.coalesce("validation", F.lit(NEUTRAL)).alias("validation"), F.when(F.col("n_tables") > 0, WITH_TABLES).otherwise(NEUTRAL).alias("structure"),
         F.when(n == 0, 0.0).when(n < FEW_RESULTS, FEW_SCORE).otherwise(MANY_SCORE).alias("completeness"), F.coalesce("fatal", F.lit(False)).alias("fatal"), F.coalesce("wrong", F.lit(False)).alias("wrong"),
     )
     overall = clamp(sum((F.col(k) * F.lit(v) for k, v in w.items()), F.lit(0.0)))
-    return parts.withColumn("overall", overall).withColumn("decision", decide(F.col("overall"), F.col("fatal"), F.col("wrong"))).drop("fatal", "wrong")
+    return parts.withColumn("overall", overall).withColumn("decision", decide(F.col("overall"), F.col("fatal"), F.col("wrong"))).withColumn("breakdown", breakdown(weights)).drop("fatal", "wrong", *counts, *(() if explained else ("breakdown",)))
 
 
 def decide(score: Column, fatal: Column, wrong: Column, threshold: float = APPROVE_AT) -> Column:

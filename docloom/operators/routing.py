@@ -62,6 +62,16 @@ def should_apply_ocr(classification: Column, raw_text: Column) -> Column:
     return F.coalesce(classification.isin("scanned_document", "mixed"), F.lit(False)) & (F.coalesce(raw_text, F.lit("")) == "")
 
 
+def wants_regions(profile_: Column) -> Column:
+    """Whether a page's visual regions are looked for."""
+    return F.coalesce(profile_.isin("visual", "table_preserving"), F.lit(False))
+
+
+def wants_embedding(profile_: Column, regions: Column) -> Column:
+    """Whether a page's image is embedded: visual pages, and others with regions."""
+    return F.coalesce(profile_ == "visual", F.lit(False)) | (F.coalesce(regions, F.lit(0)) > 0)
+
+
 def with_classification(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Add the page's classification, 'unknown' where the page has none."""
     known = pages.select("document_id", "page_number", F.col("classification").alias("_class"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import text
+
 LINE_DENSITY, RECT_DENSITY = 0.01, 0.005
 LINE_WEIGHT, RECT_WEIGHT, GRID_WEIGHT = 0.4, 0.3, 0.3
 LEAST_DRAWINGS, GRID_SPAN, SIDE_TOLERANCE = 4, 5.0, 0.02
@@ -32,3 +34,35 @@ def table_candidate_score(lines: Column, rects: Column, grid: Column, area: Colu
 def area_ratio(total: Column, width: Column, height: Column) -> Column:
     area = width * height
     return F.when(area > 0, total / area).otherwise(0.0)
+
+
+def line_features(lengths: Column, positions: Column) -> Column:
+    """Struct of a set of grid lines: line_count, average_length, length_variance and regularity (one less the variance of the gaps by their mean; 0 for
+    less than three lines)."""
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+    variance = lambda xs: F.aggregate(F.transform(xs, lambda x: (x - mean(xs)) * (x - mean(xs))), F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+    ordered = F.array_sort(positions)
+    gaps = F.zip_with(F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(0))), lambda b, a: b - a)
+    n = F.size(lengths)
+    return F.struct(
+        n.alias("line_count"), F.when(n > 0, mean(lengths)).otherwise(0.0).alias("average_length"), F.when(n > 1, variance(lengths)).otherwise(0.0).alias("length_variance"),
+        F.when(n > 2, 1.0 - variance(gaps) / (mean(gaps) + 1e-6)).otherwise(0.0).alias("regularity"),
+    )
+
+
+def page_signals(layouts: DataFrame) -> DataFrame:
+    """What ``classify`` goes by, of pages (document_id, page_number, width, height, text, images, drawings) as ``sources.files.layouts`` gives them; pages with an
+    error are left out."""
+    width, height = F.col("width"), F.col("height")
+    area = width * height
+    of = lambda c: F.transform("drawings", lambda d: d[c])
+    count = lambda kind: F.size(F.filter("drawings", lambda d: d["kind"] == kind))
+    covered = F.aggregate("images", F.lit(0.0), lambda a, i: a + i["width"] * i["height"])
+    n = F.size("drawings")
+    rows = layouts.filter("error is null") if "error" in layouts.columns else layouts
+    length = text.text_length(F.col("text"))
+    return rows.select(
+        "document_id", "page_number", "width", "height", length.cast("long").alias("text_length"), text.density(length, width, height).alias("text_density"), F.size("images").cast("long").alias("image_count"),
+        area_ratio(covered, width, height).alias("image_area_ratio"), n.cast("long").alias("drawing_count"),
+        table_candidate_score(count("line"), count("rect"), grid_score(of("x"), of("y"), n, width, height), area).alias("table_candidate_score"), (length > 0).alias("has_extractable_text"),
+    )

@@ -38,6 +38,27 @@ def cells(tables: DataFrame) -> DataFrame:
     return both.select("document_id", "page_number", "row_index", "column_index", F.col("c.a").alias("x"), F.col("r.a").alias("y"), (F.col("c.b") - F.col("c.a")).alias("width"), (F.col("r.b") - F.col("r.a")).alias("height"))
 
 
+def from_segments(segments: DataFrame) -> DataFrame:
+    """Tables of pages from their ruled lines (document_id, page_number, across, position, start, end), as ``grids``."""
+    on = segments.filter("position is not null")
+    horizontal = on.filter("across").select("document_id", "page_number", F.col("start").alias("x1"), F.col("end").alias("x2"), F.col("position").alias("y"))
+    vertical = on.filter("not across").select("document_id", "page_number", F.col("position").alias("x"), F.col("start").alias("y1"), F.col("end").alias("y2"))
+    return grids(intersections(horizontal, vertical))
+
+
+def filled(grid: DataFrame, texts: DataFrame) -> DataFrame:
+    """Tables (document_id, page_number, row_count, column_count, ...) with table_data and extraction_confidence from the texts of their cells (document_id,
+    page_number, row_index, column_index, text, confidence): a cell without text is ''."""
+    cell = F.struct("row_index", "column_index", F.coalesce("text", F.lit("")).alias("text"), "confidence")
+    known = texts.groupBy("document_id", "page_number").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("row_index", "column_index").alias("key"), cell.alias("value")))).alias("_cells"))
+    at = lambda i, j: F.coalesce(F.try_element_at("_cells", F.struct(i.alias("row_index"), j.alias("column_index")))["text"], F.lit(""))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    data = F.transform(upto("row_count"), lambda i: F.transform(upto("column_count"), lambda j: at(i, j)))
+    joined = grid.join(known, ["document_id", "page_number"], "left").withColumn("table_data", data)
+    confidences = F.transform(F.map_values(F.coalesce("_cells", F.create_map().cast("map<struct<row_index:int,column_index:int>,struct<row_index:int,column_index:int,text:string,confidence:double>>"))), lambda c: c["confidence"])
+    return joined.withColumn("_confidences", confidences).withColumn("extraction_confidence", mean_cell_confidence("_confidences")).drop("_cells", "_confidences")
+
+
 def mean_cell_confidence(confidences: str) -> Column:
     """Mean of the positive ones; 0 without any."""
     good = F.filter(confidences, lambda c: c > 0)
@@ -45,11 +66,13 @@ def mean_cell_confidence(confidences: str) -> Column:
 
 
 def associate_charts(charts: DataFrame, tables: DataFrame) -> DataFrame:
-    """Each chart (document_id, page_number, chart_index) with its nearest table: on its page, else the page before, else the one after;
-    there the largest, the first on ties. Three equi-joins' worth of keys in one: a table is offered to the three pages that can want it."""
+    """Each chart (document_id, page_number, chart_index) with its nearest table: on its page, else the page before, else the one after, which
+    have to be pages from one on; there the largest, the first on ties. Three equi-joins' worth of keys in one: a table is offered to the three pages that can want it."""
+    own = F.array(F.struct(F.col("page_number").alias("page_number"), F.lit(0).alias("rank")))
+    beside = F.array(F.struct((F.col("page_number") + 1).alias("page_number"), F.lit(1).alias("rank")), F.struct((F.col("page_number") - 1).alias("page_number"), F.lit(2).alias("rank")))
     near = tables.select(
         "document_id", F.col("id").alias("associated_table_id"), (F.col("row_count") * F.col("column_count")).alias("area"), "table_index",
-        F.explode(F.array(F.struct(F.col("page_number").alias("page_number"), F.lit(0).alias("rank")), F.struct((F.col("page_number") + 1).alias("page_number"), F.lit(1).alias("rank")), F.struct((F.col("page_number") - 1).alias("page_number"), F.lit(2).alias("rank")))).alias("to"),
+        F.explode(F.when(F.col("page_number") >= 1, F.concat(own, beside)).otherwise(own)).alias("to"),
     )
     # the best table for each page, as the least of (rank, -area, index): aggregated before the join
     best = near.groupBy("document_id", F.col("to.page_number").alias("page_number")).agg(F.min(F.struct(F.col("to.rank").alias("rank"), (-F.col("area")).alias("area"), "table_index", "associated_table_id")).alias("best"))

@@ -25,6 +25,6 @@ CHART_ASSOCIATION = _table(
 )
 VALIDATION_RUN = _table(id=_s, document_id=_s, status=_s, overall_quality_score=_d, final_decision=_s, config_snapshot=_s, input_hash=_s, created_at=_ts, completed_at=_ts)
 FINDING = _table(
-    document_id=_s, validator=_s, check_name=_s, status=_s, severity=_s, page_number=_i, table_reference=_s, details=T.MapType(_s, _s)
+    document_id=_s, validator=_s, check_name=_s, status=_s, severity=_s, message=_s, page_number=_i, table_reference=_s, details=T.MapType(_s, _s)
 )
 IMAGE = _table(image_id=_l, height=_i, width=_i, data=T.BinaryType())
