@@ -24,8 +24,8 @@ def strip(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    trimmed = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(text.isNull() | (trimmed == ""), 0).otherwise(F.size(F.split(trimmed, " ")))
+    """Runs of what is no white space; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
 
 
 def text_length(text: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import numeric, text
-from docloom.operators import classify, dedup, findings, images, quality, routing, signals, store, tables
+from docloom.functions.frames import spread
+from docloom.operators import classify, dedup, findings, images, quality, routing, signals, store, tables, validation, views
 from docloom.plans import inputs
 from docloom.plans.inputs import frame, plain
 
@@ -88,10 +89,23 @@ def ingest_against_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.deduplicate(docs.filter("doc_id % 3 <> 0"), "doc_id", store=known).select("doc_id", "document_id", "is_duplicate")
 
 
+@query("""
+with f as (select 'f' || doc_id % 50 as original_filename, sha256(text) as checksum_sha256, unnest(range(1 + doc_id % 3)) from documents where length(text) > 0),
+r as (select *, row_number() over w as place, first_value(original_filename) over w as canonical_name from f window w as (partition by checksum_sha256 order by original_filename))
+select original_filename, checksum_sha256, canonical_name, sha256('document:' || checksum_sha256) as document_id, count(*) as files, count(*) filter (place = 1) as new_documents from r group by 1, 2, 3""")
+def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which many have the same name and content: the first of each content is new."""
+    files = read(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id") % 50).alias("original_filename"), F.lit("text/plain").alias("content_type"), F.col("text").cast("binary").alias("content"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 3)).alias("again")).drop("again")
+    none = spark.createDataFrame([], "id string, checksum_sha256 string")
+    found = dedup.ingest(files, none, "upload").results
+    return found.groupBy("original_filename", "checksum_sha256", F.col("canonical.original_filename").alias("canonical_name"), "document_id").agg(F.count("*").alias("files"), F.count_if(~F.col("is_duplicate")).alias("new_documents"))
+
+
 @query(f"with n as ({plain(inputs.NOISY)}) select doc_id, {normalized('text')} as normalized, {words(normalized('text'))} as words from n")
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = text.normalize(F.col("text"))
-    return frame(spark, sf_dir, inputs.NOISY).select("doc_id", clean.alias("normalized"), text.word_count(clean).cast("long").alias("words"))
+    rows = spread(frame(spark, sf_dir, inputs.NOISY)).select("doc_id", clean.alias("normalized"))
+    return rows.select("doc_id", "normalized", text.word_count(F.col("normalized")).cast("long").alias("words"))
 
 
 @query(f"""
@@ -161,7 +175,7 @@ def page_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(spark, sf_dir).select("document_id", "page_number", "classification", F.col("classification_confidence").alias("confidence"))
 
 
-@query(CLASSIFIED_SQL + """select document_id, page_number, case classification when 'unknown' then 'Page has no area.'
+@query(CLASSIFIED_SQL + """select document_id, page_number, case classification when 'unknown' then 'Invalid page dimensions'
   when 'table_dense' then printf('Strong table candidate signal detected (score: %.2f).', table_candidate_score)
   when 'scanned_document' then printf('Very low native text density (%d chars) combined with high image coverage (%.2f).', text_length, image_area_ratio)
   when 'chart_graph' then printf('Chart/graph-like structure detected (line ratio: 0.60, text length: %d chars, drawings: %d) suggesting potential numerical visualization.', text_length, drawing_count)
@@ -268,7 +282,7 @@ def cell_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 with c as ({plain(inputs.CHARTS)}), t as ({plain(inputs.PAGE_TABLES)}),
 j as (select c.*, t.id, row_number() over (partition by c.document_id, c.page_number, c.chart_index order by case t.page_number - c.page_number when 0 then 0 when -1 then 1 else 2 end, t.row_count * t.column_count desc, t.table_index) as place,
-  t.page_number as tp from c left join t on c.document_id = t.document_id and abs(t.page_number - c.page_number) <= 1)
+  t.page_number as tp from c left join t on c.document_id = t.document_id and abs(t.page_number - c.page_number) <= 1 and (t.page_number = c.page_number or t.page_number >= 1))
 select document_id, page_number, chart_index, id as associated_table_id, case when id is null then 'no_matching_table_found' when tp = page_number then 'same_page_table' else 'adjacent_page_table' end as association_method,
   case when id is null then 0e0 else 8e-1 end as association_confidence, case when id is null then 'unresolved' else 'resolved' end as resolution_status from j where place = 1""")
 def chart_association(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,11 +340,12 @@ t as (select k, n, sum_p, sum_q, case when k % 17 = 0 then [] else list_concat([
 """
 
 
-@query(_TABLES + """select 't' || k as id, c as column_index, cast(case c when 1 then sum_q else sum_p + case when k % 5 = 0 then 1 else 0 end end as decimal(38,4)) as total,
-  cast(case c when 1 then sum_q else sum_p end as decimal(38,4)) as calculated, cast(n as integer) as valid_rows, case when c = 2 and k % 5 = 0 then 'total_mismatch' else 'total_match' end as check_name
+@query(_TABLES + """select 't' || k as id, c as column_index, cast(case c when 1 then sum_q else sum_p + case when k % 5 = 0 then 1 else 0 end end as double) as total,
+  cast(case c when 1 then sum_q else sum_p end as double) as calculated, cast(n as integer) as valid_rows, case when c = 2 and k % 5 = 0 then 'total_mismatch' else 'total_match' end as check_name
 from t, (select unnest([1, 2]) as c) where k % 7 <> 0 and k % 17 <> 0""")
 def total_row_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.total_checks(string_tables(spark, sf_dir)).drop("document_id", "page_number")
+    checks = findings.total_checks(string_tables(spark, sf_dir)).drop("document_id", "page_number", "invalid_cells")
+    return checks.withColumns({c: F.round(c, 2) for c in ("total", "calculated")})
 
 
 @query(_TABLES + r""", x as (select *, list_transform(data[2:6], lambda r: len(list_filter(r, lambda c: c <> '' and regexp_matches(c, '^-?[0-9.]+$'))) / nullif(len(list_filter(r, lambda c: c <> '')), 0)) as shares from t),
@@ -348,16 +363,25 @@ def table_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
   union all select 'table_extraction_column_count' from t where column_count = 0 union all select 'table_extraction_extraction_confidence' from t where extraction_confidence > 1
   union all select 'table_extraction_table_data' from t where len(data) = 0 or k % 13 = 0
   union all select 'text_extraction_page_number' from t where page_number <= 0 union all select 'text_extraction_confidence' from t where extraction_confidence > 1
-  union all select 'chart_association_page_number' from t where page_number < 0 union all select 'chart_association_association_confidence' from t where extraction_confidence > 1
+  union all select 'chart_association_page_number' from t where page_number < 0 union all select 'chart_association_association_confidence' from t where extraction_confidence > 1 or k % 23 = 0
   union all select 'chart_association_resolution_status' from t where column_count = 0) group by 1""")
 def schema_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = string_tables(spark, sf_dir)
-    texts = t.select("document_id", "page_number", F.col("extraction_confidence").alias("confidence"))
-    charts = t.select("id", "document_id", "page_number", F.lit(0).alias("chart_index"), F.col("extraction_confidence").alias("association_confidence"), F.when(F.col("column_count") == 0, "odd").otherwise("resolved").alias("resolution_status"))
-    all_ = findings.table_schema(t).unionByName(findings.text_schema(texts)).unionByName(findings.chart_schema(charts))
+    all_ = findings.table_schema(t).unionByName(findings.text_schema(_texts(t))).unionByName(findings.chart_schema(_charts(t)))
     return all_.groupBy("check_name").agg(F.count("*").alias("n"))
 
 
+def _texts(t: DataFrame) -> DataFrame:
+    """A text extraction beside each of ``string_tables``: of even orders by OCR."""
+    return t.select("document_id", "page_number", F.when(F.col("document_id").cast("long") % 2 == 0, "ocr_tesseract").otherwise("native_pdf").alias("extraction_method"), F.col("extraction_confidence").alias("confidence"))
+
+
+def _charts(t: DataFrame) -> DataFrame:
+    """A chart association beside each of ``string_tables``: some without confidence, some of an odd status."""
+    confidence = F.when(F.col("document_id").cast("long") % 23 != 0, F.col("extraction_confidence"))
+    return t.select("id", "document_id", "page_number", F.lit(0).alias("chart_index"), confidence.alias("association_confidence"), F.when(F.col("column_count") == 0, "odd").otherwise("resolved").alias("resolution_status"))
+
+
 @query(_TABLES + """select document_id, total, passed, failed, skipped from (select cast(k as varchar) as document_id,
   case when k % 7 = 0 or k % 17 = 0 then 1 else 2 end as total, case when k % 7 = 0 or k % 17 = 0 then 0 when k % 5 = 0 then 1 else 2 end as passed,
   case when k % 7 <> 0 and k % 17 <> 0 and k % 5 = 0 then 1 else 0 end as failed, case when k % 7 = 0 or k % 17 = 0 then 1 else 0 end as skipped from t)""")
@@ -365,6 +389,33 @@ def numeric_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.summary(findings.numeric_consistency(string_tables(spark, sf_dir)), "document_id").drop("error")
 
 
+_VALIDATED = _TABLES + r""", x as (select *, list_transform(data[2:6], lambda r: len(list_filter(r, lambda c: c <> '' and regexp_matches(c, '^-?[0-9.]+$'))) / nullif(len(list_filter(r, lambda c: c <> '')), 0)) as shares from t),
+f as (select k, 'failed' as status, 'error' as severity from t where page_number <= 0 union all select k, 'failed', 'error' from t where extraction_confidence > 1
+  union all select k, 'failed', 'error' from t where page_number < 0 union all select k, 'failed', 'error' from t where len(data) = 0 union all select k, 'failed', 'error' from t where column_count = 0
+  union all select k, 'failed', 'error' from t where extraction_confidence > 1 union all select k, 'failed', 'error' from t where len(data) = 0 or k % 13 = 0
+  union all select k, 'failed', 'error' from t where page_number < 0 union all select k, 'failed', 'error' from t where extraction_confidence > 1 or k % 23 = 0 union all select k, 'failed', 'error' from t where column_count = 0
+  union all select k, 'failed', 'warning' from t where len(data) = 0 union all select k, 'failed', 'warning' from t where len(data) > 0 and column_count = 0
+  union all select k, 'failed', 'error' from (select k, column_count, unnest(data) as r from t) where len(r) <> column_count
+  union all select k, 'passed', 'info' from t where len(data) > 0 and k % 11 = 0
+  union all select k, 'passed', 'info' from x where len(data) > 1 and list_avg(list_filter(shares, lambda s: s is not null)) > 7e-1
+  union all select k, 'skipped', 'info' from t where k % 7 = 0 or k % 17 = 0 union all select k, 'passed', 'info' from t where k % 7 <> 0 and k % 17 <> 0
+  union all select k, case when k % 5 = 0 then 'failed' else 'passed' end, case when k % 5 = 0 then 'error' else 'info' end from t where k % 7 <> 0 and k % 17 <> 0),
+a as (select k, count(*) as n_findings, count(*) filter (status = 'passed') as p, count(*) filter (status <> 'skipped') as q, bool_or(severity = 'error' and status = 'failed') as wrong from f group by 1),
+v as (select t.k, coalesce(n_findings, 0) as n_findings, coalesce(wrong, false) as wrong, case when k % 2 = 0 then least(1e2, extraction_confidence * 1e2) else 5e1 end as ocr, case when coalesce(q, 0) = 0 then 5e1 else p * 1e2 / q end as validation from t left join a using (k)),
+s as (select *, round(greatest(0e0, least(1e2, 0e0 + ocr * 3e-1 + validation * 4e-1 + 75e0 * 2e-1 + 9e1 * 1e-1)), 2) as score from v)
+"""
+
+
+@query(_VALIDATED + """select cast(k as varchar) as document_id, 'completed' as status, score as overall_quality_score, case when score >= 85 and not wrong then 'approved' else 'flagged' end as final_decision, n_findings from s""")
+def validate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of every order's table, text and chart, to runs with scores and decisions."""
+    t = string_tables(spark, sf_dir)
+    documents = t.select(F.col("document_id").alias("id"), F.sha2("document_id", 256).alias("checksum_sha256"), F.lit("structured").alias("status"))
+    runs, found = validation.validate(documents, _texts(t), t, _charts(t), F.lit("2024-01-01 00:00:00"))
+    n = found.groupBy("document_id").agg(F.count("*").alias("n"))
+    return runs.join(n, "document_id", "left").select("document_id", "status", "overall_quality_score", "final_decision", F.coalesce("n", F.lit(0)).cast("long").alias("n_findings"))
+
+
 @query(f"""with f as ({plain(inputs.FINDINGS)}) select document_id, count(*) as total, count(*) filter (status = 'passed') as passed, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'skipped') as skipped,
   count(*) filter (status = 'error') as error from f group by 1""")
 def finding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,6 +437,48 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(frame(spark, sf_dir, inputs.TEXTS), frame(spark, sf_dir, inputs.EVENT_TABLES), frame(spark, sf_dir, inputs.EVENT_CHARTS), frame(spark, sf_dir, inputs.FINDINGS))
 
 
+# ---- views
+
+_ASSOCIATED = f"""
+with c as ({plain(inputs.CHARTS)}), t as ({plain(inputs.PAGE_TABLES)}), g as ({plain(inputs.SIGNALS)}),
+r as (select c.*, exists (select 1 from t where t.document_id = c.document_id and (t.page_number = c.page_number or abs(t.page_number - c.page_number) = 1 and t.page_number >= 1)) as resolved from c)
+"""
+
+
+@query(CLASSIFIED_SQL + "select document_id, page_number, classification, case when page_number % 10 <> 0 then confidence end as classification_confidence from p")
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a reader gets them; confidences are kept as text, some of it no number."""
+    c = F.col("classification_confidence").cast("string")
+    rows = classified(spark, sf_dir).withColumn("classification_confidence", F.when(F.col("page_number") % 10 == 0, "none").otherwise(c))
+    return views.pages(rows).select("document_id", "page_number", "classification", "classification_confidence")
+
+
+@query(_ASSOCIATED + """, a as (select document_id, count(*) as table_count, string_agg(page_number || ':' || table_index, ',' order by page_number, table_index) as tables from t group by 1),
+b as (select document_id, count(*) as chart_count, string_agg(page_number || ':' || chart_index || ':' || resolved, ',' order by page_number, chart_index) as charts from r group by 1)
+select document_id, coalesce(table_count, 0) as table_count, coalesce(chart_count, 0) as chart_count, coalesce(tables, '') as tables, coalesce(charts, '') as charts from a full join b using (document_id)""")
+def structured_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = frame(spark, sf_dir, inputs.PAGE_TABLES)
+    rows = views.structured(t, tables.associate_charts(frame(spark, sf_dir, inputs.CHARTS), t))
+    shown = lambda c, *parts: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", *(p(x) for p in parts))), ","), F.lit(""))
+    page = lambda x: x["page_number"]
+    return rows.select(
+        "document_id", "table_count", "chart_count", shown("tables", page, lambda x: x["table_index"]).alias("tables"),
+        shown("charts", page, lambda x: x["chart_index"], lambda x: (x["resolution_status"] == "resolved").cast("string")).alias("charts"),
+    )
+
+
+@query(_ASSOCIATED + """, p as (select document_id, count(*) as page_count, coalesce(string_agg(cast(page_number as varchar), ',' order by page_number) filter (width <= 0), '') as failed_pages from g group by 1),
+a as (select document_id, count(*) as tables_extracted from t group by 1), b as (select document_id, count(*) as charts_processed, count(*) filter (resolved) as charts_resolved from r group by 1)
+select document_id, page_count, coalesce(tables_extracted, 0) as tables_extracted, coalesce(charts_processed, 0) as charts_processed, coalesce(charts_resolved, 0) as charts_resolved,
+  coalesce(charts_processed - charts_resolved, 0) as charts_unresolved, failed_pages from p left join a using (document_id) left join b using (document_id)""")
+def extraction_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of each document's extraction; pages without area are those that could not be read."""
+    p, t = frame(spark, sf_dir, inputs.SIGNALS), frame(spark, sf_dir, inputs.PAGE_TABLES)
+    failed = p.filter("width <= 0").select("document_id", "page_number", F.lit("no area").alias("error"))
+    rows = views.extraction_counters(p, t, tables.associate_charts(frame(spark, sf_dir, inputs.CHARTS), t), failed)
+    return rows.withColumn("failed_pages", F.array_join(F.transform("failed_pages", lambda x: x["page_number"].cast("string")), ","))
+
+
 # ---- runs and states
 
 

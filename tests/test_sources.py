@@ -17,6 +17,59 @@ def test_pages_and_faults(spark, tmp_path):
     assert "KeyError" in got[-1].error and got[0].error is None
 
 
+def test_faults_of_pages_stay_with_them(spark):
+    def adapter(data):
+        for part in data.split(b"|"):
+            yield ValueError("torn") if part == b"!" else part.decode()
+        if data.endswith(b"."):
+            raise RuntimeError("cut off")
+
+    df = spark.createDataFrame([("a", "x", b"one|!|three"), ("b", "x", b"one|two.")], "document_id string, content_type string, content binary")
+    got = files.pages(df, {"x": adapter}).collect()
+    assert [(r.document_id, r.page_number, r.raw_text) for r in got] == [("a", 1, "one"), ("a", 2, None), ("a", 3, "three"), ("b", 1, "one"), ("b", 2, "two."), ("b", None, None)]
+    assert [r.error for r in got if r.error] == ["ValueError: torn", "RuntimeError: cut off"]
+
+
+def test_layouts_make_signals_and_classes(spark):
+    from docloom.operators import classify, signals
+
+    lines = [("line", float(x), float(y)) for x in range(0, 600, 100) for y in range(0, 700, 100)]
+
+    def adapter(data):
+        yield {"width": 612, "height": 792, "text": " words " * 200}
+        yield {"width": 612, "height": 792, "text": "", "images": [(600.0, 500.0)]}
+        yield {"width": 612, "height": 792, "text": "x", "drawings": lines}
+        yield ValueError("torn")
+
+    df = spark.createDataFrame([("a", "x", b"?")], "document_id string, content_type string, content binary")
+    got = classify.classify(signals.page_signals(files.layouts(df, {"x": adapter}))).orderBy("page_number").collect()
+    assert [(r.page_number, r.image_count, r.drawing_count) for r in got] == [(1, 0, 0), (2, 1, 0), (3, 0, 42)]
+    assert [r.classification for r in got][:2] == ["typed_text", "scanned_document"] and got[1].image_area_ratio == 300000 / (612 * 792) and got[2].table_candidate_score > 0.3
+
+
+def test_ocr_contract(spark):
+    df = spark.createDataFrame([("a", 1, b"ok"), ("a", 2, b"bad"), ("a", 3, None)], "document_id string, page_number int, content binary")
+
+    def engine(data):
+        if data == b"bad":
+            raise ValueError("unreadable")
+        return [("Hello", 90.0), (" ", 95.0), ("world", 70.0), ("x", -1.0)]
+
+    got = files.ocr(df, engine).collect()
+    assert (got[0].ocr_text, got[0].ocr_confidence, got[0].words) == ("Hello world x", 80.0, 3) and [r.error is None for r in got] == [True, False, False]
+    assert all(r.error == "RuntimeError: no OCR engine" for r in files.ocr(df).collect())
+
+
+def test_store_is_asked_beyond_the_horizon(spark, tmp_path):
+    """A content that the table has is not taken again, even by a stream that has no memory of it."""
+    source, sink = tmp_path / "in", str(tmp_path / "out")
+    write(source, a=b"same")
+    ingest.start(ingest.arriving(spark, str(source)), sink, str(tmp_path / "one")).awaitTermination()
+    write(source, b=b"same", c=b"new")
+    ingest.start(ingest.arriving(spark, str(source)), sink, str(tmp_path / "two")).awaitTermination()
+    assert spark.read.parquet(sink).count() == 2
+
+
 def test_stream_takes_each_content_once(spark, tmp_path):
     source, sink, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     write(source, a=b"same", b=b"same", c=b"other")
