@@ -1,10 +1,16 @@
 """Plain single-machine versions of the operators' contracts, for small inputs."""
 
 import hashlib
+import math
 import re
+import struct
+from itertools import combinations
 
+import numpy as np
 import xxhash
 
+from docloom.llm import mixing, pii
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -65,3 +71,77 @@ def base_spans(text):
             out.append(("card", m.start(), m.end()))
     out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c in "0123456789" for c in m[0]) <= 15]
     return out
+
+
+def posteriors(rows, labels):
+    """Of every (doc_id, text), by the classifier that the labelled (doc_id, quality, toxic) teach; clashing labels: the worst counts."""
+    domains, domain = list(mixing.TARGETS), {}
+    for i, quality, toxic in labels:
+        q, x = domain.get(i, (1, 0))
+        domain[i] = (min(q, quality), max(x, toxic))
+    domain = {i: "toxic" if x else "clean" if q else "low" for i, (q, x) in domain.items()}
+    buckets = lambda text: [xxhash.xxh64_intdigest(w.encode(), 42) & (mixing.BUCKETS - 1) for w in WORD.findall((text or "").lower())]
+    counts = {d: {} for d in domains}
+    for i, text in rows:
+        for b in buckets(text) if i in domain else ():
+            counts[domain[i]][b] = counts[domain[i]].get(b, 0) + 1
+    sums = {d: sum(c.values()) for d, c in counts.items()}
+    total = max(1, sum(sums.values()))
+    prior = {d: (sum(x == d for x in domain.values()) + 1) / (len(domain) + len(domains)) for d in domains}
+    out = []
+    for _, text in rows:
+        logits = []
+        for d in domains:
+            share, logit = max(sums[d], 1) / total, 0.0
+            for b in buckets(text):
+                if n := sum(c.get(b, 0) for c in counts.values()):
+                    logit += math.log((counts[d].get(b, 0) + mixing.PSEUDO * share) / ((n + mixing.PSEUDO) * share))
+            logits.append(math.log(prior[d]) + logit * mixing.EVIDENCE)
+        e = np.exp(np.array(logits) - max(logits))
+        out.append(e / e.sum())
+    return np.array(out)
+
+
+def rates(tokens, p, targets):
+    """The rates nearest to one, none negative, that meet the targets: many small steps."""
+    tokens, goal = np.array(tokens, float), np.array(list(targets.values())) / sum(targets.values()) * sum(tokens)
+    steps, inverse = np.zeros(len(goal)), np.linalg.inv((p * tokens[:, None]).T @ p)
+    for _ in range(20_000):
+        steps += inverse @ ((tokens * np.maximum(0, 1 - p @ steps)) @ p - goal)
+    return np.maximum(0, 1 - p @ steps)
+
+
+def copies(doc_id, rate):
+    drawn = xxhash.xxh64_intdigest(b"copies", xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42))
+    return int(rate + (drawn - (1 << 64) if drawn >> 63 else drawn) % (1 << 30) / (1 << 30))
+
+
+def shingles(text):
+    words = WORD.findall((text or "").lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_copies(rows):
+    """Of (doc_id, text), the rows that stay: the first of each group that similarities of 0.8 and more connect."""
+    rows, sets = sorted(set(rows)), []
+    for _, text in rows:
+        sets.append(shingles(text))
+    group = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = group[i], group[j]
+            group = [min(a, b) if g in (a, b) else g for g in group]
+    return [rows[g] for g in sorted(set(group))]
+
+
+def pipeline(rows, labels, encode):
+    """(doc_id, n_tokens, ids sha256, decoded sha256) of (doc_id, text) rows after all stages; for texts whose only personal data are of the fixed forms."""
+    rows = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+    rows = near_copies(rows)
+    rows = [(i, pii.masked_text(t, [(a, b, k) for k, a, b in base_spans(t)])) for i, t in rows]
+    rate = rates([len(WORD.findall(t)) for _, t in rows], posteriors(rows, labels), mixing.TARGETS)
+    out = []
+    for (i, t), r in zip(rows, rate):
+        ids, decoded = encode(t)
+        out += [(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())] * copies(i, r)
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.llm import additive, language, mixing, pages, toxicity
 from docloom.llm.dom import order, parse
 from docloom.llm.page_maker import Maker
+from tests.llm import brute
 from tests.llm.conftest import prose
 
 
@@ -36,11 +37,7 @@ def test_rates_meet_targets(corpus):
     r = np.array([r.rate for r in got])
     assert np.allclose(p.sum(axis=1), 1) and (r >= 0).all()
     assert np.allclose((t * r) @ p / t.sum(), [0.5, 0.2, 0.3], atol=2e-3)
-    # the rates nearest to one that meet them, by small steps in numpy
-    goal, gram, steps = np.array([0.5, 0.2, 0.3]) * t.sum(), (p * t[:, None]).T @ p, np.zeros(3)
-    for _ in range(20_000):
-        steps += np.linalg.inv(gram) @ ((t * np.maximum(0, 1 - p @ steps)) @ p - goal)
-    assert np.allclose(r, np.maximum(0, 1 - p @ steps), atol=1e-3) and all(x.target_met for x in got)
+    assert np.allclose(r, brute.rates(t, p, {"clean": 0.5, "low": 0.2, "toxic": 0.3}), atol=1e-3) and all(x.target_met for x in got)
     copies = np.array([x.copies for x in got])
     assert (copies >= np.floor(r)).all() and (copies <= np.ceil(r)).all()
 
@@ -64,35 +61,12 @@ def test_targets_out_of_reach_are_told(corpus):
 
 def test_posteriors_by_hand(corpus):
     """The classifier again in plain Python, with a clashing label of one document."""
-    import math
-
-    import xxhash
-
     docs, labels = corpus
     labels = labels.unionByName(labels.filter("doc_id = 0").selectExpr("doc_id", "0 as quality", "1 as toxic"))
-    domains, texts, domain = list(mixing.TARGETS), {r.doc_id: r.text for r in docs.collect()}, {}
-    for r in labels.collect():
-        q, x = domain.get(r.doc_id, (1, 0))
-        domain[r.doc_id] = (min(q, r.quality), max(x, r.toxic))
-    domain = {i: "toxic" if x else "clean" if q else "low" for i, (q, x) in domain.items()}
-    buckets = lambda text: [xxhash.xxh64_intdigest(w.encode(), 42) & (mixing.BUCKETS - 1) for w in text.lower().split()]
-    counts = {d: {} for d in domains}
-    for i, d in domain.items():
-        for b in buckets(texts[i]):
-            counts[d][b] = counts[d].get(b, 0) + 1
-    sums = {d: sum(c.values()) for d, c in counts.items()}
-    total = sum(sums.values())
-    prior = {d: (sum(x == d for x in domain.values()) + 1) / (len(domain) + len(domains)) for d in domains}
-    for r in mixing.posteriors(docs, labels, domains).collect():
-        logits = []
-        for d in domains:
-            share, logit = max(sums[d], 1) / total, 0.0
-            for b in buckets(texts[r.doc_id]):
-                if n := sum(c.get(b, 0) for c in counts.values()):
-                    logit += math.log((counts[d].get(b, 0) + mixing.PSEUDO * share) / ((n + mixing.PSEUDO) * share))
-            logits.append(math.log(prior[d]) + logit * mixing.EVIDENCE)
-        e = np.exp(np.array(logits) - max(logits))
-        assert np.allclose([r[f"p_{d}"] for d in domains], e / e.sum(), atol=1e-3)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = dict(zip((i for i, _ in rows), brute.posteriors(rows, [tuple(r) for r in labels.collect()])))
+    for r in mixing.posteriors(docs, labels, list(mixing.TARGETS)).collect():
+        assert np.allclose([r[f"p_{d}"] for d in mixing.TARGETS], want[r.doc_id], atol=1e-3)
 
 
 def test_posteriors_know_the_domains(corpus):
