@@ -26,7 +26,9 @@ STEEPNESS = 25.0
 #: Vectors of letters and of trigrams that a worker keeps; more are made again when met again.
 KEPT_LETTERS, KEPT_GRAMS = 8192, 16384
 #: Trigrams of a text whose vectors are summed at once.
-AT_ONCE = 1024
+AT_ONCE = 256
+#: Trigrams whose products with the prototypes a worker keeps.
+KEPT_PRODUCTS = 1 << 17
 BLANK = 0
 
 
@@ -105,6 +107,30 @@ class Profiles:
         p = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
         p = p - p.mean(axis=0) if len(names) > 1 else p
         self.prototypes = (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        self.place: dict[int, int] = {}
+        self.kept = np.zeros((0, len(names)), np.float32)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"place": {}, "kept": np.zeros((0, len(self.names)), np.float32)}
+
+    def products(self, found: np.ndarray) -> np.ndarray:
+        """Products of the vectors of trigrams (rows) with the prototypes."""
+        if len(self.place) + len(found) > KEPT_PRODUCTS or not len(self.kept):
+            self.place, self.kept = {}, np.zeros((max(KEPT_PRODUCTS, len(found)), len(self.names)), np.float32)
+        listed = found.tolist()
+        new = [g for g in listed if g not in self.place]
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i : i + AT_ONCE]
+            self.kept[len(self.place) : len(self.place) + len(part)] = grams().of(np.array(part)).astype(np.float32) @ self.prototypes.T
+            self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
+        return self.kept[[self.place[g] for g in listed]]
+
+    def nearest(self, text: str) -> str:
+        """The language of ``predict`` without its score: the length of the text's vector does not matter, so the vector is not made."""
+        found, count = trigrams(text)
+        if not len(found) or not self.names:
+            return "und"
+        return self.names[int((np.sqrt(count).astype(np.float32) @ self.products(found)).argmax())]
 
     def predict(self, text: str) -> tuple[str, float]:
         """Language and score; ('und', 0.0) for a text without letters, or where no language was learned. Of equal cosines the first

@@ -298,6 +298,8 @@ def test_language_of_other_scripts(spark):
     got = language.predict(docs, language.learn(docs)).filter("held_out").collect()
     truth = {i: k for i, _, k in rows}
     assert len(got) > 50 and sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.97 * len(got)
+    profiles = language.learn(docs)
+    assert all(profiles.nearest(t) == profiles.predict(t)[0] for t in ["", "12", *(t for _, t, _ in rows)])
 
 
 def test_language_vector_by_hand():
