@@ -25,6 +25,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+PLAIN = re.compile(r"(?<![\w-])[A-Za-z_-]{6,}(?![\w-])")
 KEY = re.compile(r"(?=[0-9]*[a-f])[0-9a-f]{32,}")
 CONTEXT = re.compile(r"\w+|[^\w\s]")
 CONTEXT_CHARS = 40
@@ -115,10 +116,10 @@ def sent(patterns_: DataFrame) -> DataFrame:
 
 
 def pattern_scores(edges: DataFrame) -> DataFrame:
-    """(pattern, confidence) of the patterns with ``LEAST_INSTANCES`` instances, from distinct (pattern, instance, seed): the limit of
+    """(pattern, confidence, n) of the patterns with ``LEAST_INSTANCES`` instances, from distinct (pattern, instance, seed): n instances, and the limit of
     confidence = mean score of the instances, score = 1 for a seed, else ``DAMPING`` x the greatest confidence."""
-    many = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_INSTANCES).select("pattern")
-    edges = staged(edges.join(many, "pattern").select("pattern", "instance", "seed"), "edges")
+    many = staged(edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_INSTANCES), "many")
+    edges = staged(edges.join(many.select("pattern"), "pattern").select("pattern", "instance", "seed"), "edges")
     rated = staged(edges.groupBy("pattern").agg(F.avg(F.col("seed").cast("double")).alias("confidence")), "patterns")
     while True:
         heard = edges.join(sent(rated), "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), F.max("confidence").alias("best"))
@@ -127,26 +128,64 @@ def pattern_scores(edges: DataFrame) -> DataFrame:
         change = rated.join(last.withColumnRenamed("confidence", "before"), "pattern").agg(F.max(F.abs(F.col("confidence") - F.col("before")))).first()[0]
         dropped(last)
         if not change or change <= SETTLED:
-            return rated
+            return rated.join(many, "pattern")
 
 
 def confident_patterns(scanned: DataFrame) -> DataFrame:
-    """(pattern): those that lead to identifiers, of the graph of patterns and instances, in ``LEAST_TEXTS`` different texts."""
+    """(pattern, confidence, n): those that lead to identifiers, of the graph of patterns and instances, in ``LEAST_TEXTS`` different texts."""
     each = scanned.select(F.explode("found").alias("f")).select(F.explode("f.patterns").alias("pattern"), "f.instance", "f.seed")
     edges = staged(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     # an instance that is a seed somewhere is one everywhere
     seeds = edges.filter("seed").select("instance").distinct().withColumn("known", F.lit(True))
     edges = edges.join(seeds, "instance", "left").select("pattern", "instance", F.coalesce("known", F.lit(False)).alias("seed"))
-    sure = staged(pattern_scores(edges).filter(F.col("confidence") >= CONFIDENT).select("pattern"), "sure")
-    places = scanned.select("text_hash", F.explode("found").alias("f")).select("text_hash", F.explode("f.patterns").alias("pattern")).join(sent(sure), "pattern").distinct()
-    return places.groupBy("pattern").count().filter(F.col("count") >= LEAST_TEXTS).select("pattern")
+    sure = staged(pattern_scores(edges).filter(F.col("confidence") >= CONFIDENT), "sure")
+    places = scanned.select("text_hash", F.explode("found").alias("f")).select("text_hash", F.explode("f.patterns").alias("pattern")).join(sent(sure.select("pattern")), "pattern").distinct()
+    return sure.join(places.groupBy("pattern").count().filter(F.col("count") >= LEAST_TEXTS).select("pattern"), "pattern")
+
+
+def plain_followers(source: DataFrame, sure: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, end, instance, pattern): what stands after the ``sure`` patterns in the texts of ``source`` and is a word without a digit. The patterns go
+    to the tasks, ``SENT_PATTERNS`` or so at once: where there are more, the texts are read once for each part of them."""
+    import xxhash
+
+    parts = max(1, -(-sure.count() // SENT_PATTERNS))
+
+    def followers(wanted: frozenset[str]):
+        last = frozenset(p.rsplit(" ", 1)[-1] for p in wanted)
+
+        def of_text(text: str) -> Iterator[tuple[int, int, str]]:
+            base = None
+            for m in PLAIN.finditer(text):
+                before = patterns(text, m.start())
+                if before[0].rsplit(" ", 1)[-1] in last and (found := [p for p in before if p in wanted]):
+                    base = base_spans(text) if base is None else base
+                    if not any(a < m.end() and m.start() < b for _, a, b in base):
+                        yield from ((m.start(), m.end(), p) for p in found)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[tuple] = []
+                for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    out += [(doc_id, text_hash, a, b, xxhash.xxh64_intdigest(text[a:b].encode("utf-8", "replace")) - (1 << 63), p) for a, b, p in of_text(text or "")]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], ["doc_id", "text_hash", "start", "end", "instance", "pattern"])
+
+        return rows
+
+    found = None
+    for part in range(parts):
+        wanted = frozenset(r.pattern for r in sure.filter(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).select("pattern").collect())
+        more = spread(source).mapInArrow(followers(wanted), "doc_id long, text_hash long, start int, end int, instance long, pattern string")
+        found = more if found is None else found.unionByName(more)
+    return found
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, base, spans): for every row, the spans of the four fixed kinds, and these with what the patterns found
     (kind 'id'), in code points, by kind and then start.
 
-    An identifier is a token of six characters or more with a digit in it. A null or empty text has no spans; texts are read whole, in time linear in
+    An identifier is a token of six characters or more after a confident pattern. One without a digit counts only if the pattern is as confident when all the different
+    words without a digit that follow it are counted as instances of score zero. A null or empty text has no spans; texts are read whole, in time linear in
     them. Spans of different kinds may overlap. Repeated rows come out repeated; a pattern counts equal texts once. Other columns of ``docs`` take no part."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +201,13 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     scanned = staged(spread(source).mapInArrow(rows, f"doc_id long, text_hash long, base {SPANS}, found {FOUND}"), "scanned")
     sure = staged(confident_patterns(scanned), "sure")
     each = scanned.select("doc_id", "text_hash", F.explode("found").alias("f")).filter("not f.base").select("doc_id", "text_hash", "f.start", "f.end", F.explode("f.patterns").alias("pattern"))
-    more = each.join(sent(sure), "pattern").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("more"))
+    each = each.join(sent(sure.select("pattern")), "pattern").select("doc_id", "text_hash", "start", "end")
+    if not sure.isEmpty():
+        plain = staged(plain_followers(source, sure), "plain")
+        others = plain.groupBy("pattern").agg(F.countDistinct("instance").alias("others"))
+        wide = sure.join(others, "pattern").filter(F.col("confidence") * F.col("n") / (F.col("n") + F.col("others")) >= CONFIDENT).select("pattern")
+        each = each.unionByName(plain.join(sent(wide), "pattern").select("doc_id", "text_hash", "start", "end"))
+    more = each.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("more"))
     more = more.withColumnsRenamed({"doc_id": "more_id", "text_hash": "more_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("more_id")) & (F.col("text_hash") == F.col("more_hash"))
     out = scanned.select("doc_id", "text_hash", "base").join(more, same, "left")

@@ -33,3 +33,19 @@ def test_a_pattern_of_one_text_marks_nothing(spark):
     rows = [(1, " ".join(f"member number +1 555 010 {1000 + 37 * i} and" for i in range(12))), (2, "his member number AB1234567 was")]
     got = {r.doc_id: r.text for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[2] == rows[1][1]
+
+
+def test_identifiers_without_a_digit(spark):
+    """After a pattern that leads to identifiers nearly always, a token without a digit is one; after one that words follow as well, it is not."""
+    rows = [(i, f"then member number +1 555 010 {1000 + 37 * i} and the code name +1 555 020 {1000 + 37 * i} of it") for i in range(12)]
+    rows += [(100, "his member number QUEBEC-alpha was new"), (101, "the code name AB1234567 of it"), (102, None)]
+    rows += [(200 + i, f"the code name {w} of it") for i, w in enumerate(["sparrow", "thunder", "lantern", "october", "granite"])]
+    got = {r.doc_id: r.text for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "his member number [ID] was new" and got[101] == "the code name [ID] of it" and got[102] is None
+    assert all(got[i] == dict(rows)[i] for i in range(200, 205))
+
+
+def test_many_patterns_in_parts(spark, monkeypatch):
+    """More patterns than are sent at once: the same result."""
+    monkeypatch.setattr(pii, "SENT_PATTERNS", 1)
+    test_identifiers_without_a_digit(spark)
