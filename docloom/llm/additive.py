@@ -222,7 +222,7 @@ def _search(all_rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 for book, column in zip(books, codes.T):
                     near += (q.astype(np.float32) @ book.T)[:, column]
                 # the angle between query and vector is no less than the difference of theirs to the sum; look-ups may be off by ROUNDING
-                near = near / norms
+                near = np.clip(near / norms, -1, 1)
                 nearest_ = np.clip(cosines, np.maximum(near - ROUNDING, -1), np.minimum(near + ROUNDING, 1))
                 most = nearest_ * cosines + np.sqrt((1 - nearest_ * nearest_) * np.maximum(1 - cosines * cosines, 0))
                 best = held.setdefault(row["queries"], Best(width))
