@@ -9,6 +9,7 @@ then mark identifiers whose form nobody had described.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -143,30 +144,64 @@ def confident_patterns(scanned: DataFrame) -> DataFrame:
     return sure.join(places.groupBy("pattern").count().filter(F.col("count") >= LEAST_TEXTS).select("pattern"), "pattern")
 
 
-def plain_followers(source: DataFrame, sure: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, end, instance, pattern): what stands after the ``sure`` patterns in the texts of ``source`` and is a word without a digit. The patterns go
-    to the tasks, ``SENT_PATTERNS`` or so at once: where there are more, the texts are read once for each part of them."""
-    import xxhash
+def last_word(text: str, start: int) -> str:
+    """The word or sign before a place, as in ``patterns``."""
+    before = text[max(0, start - CONTEXT_CHARS) : start].lower().split()
+    if not before:
+        return "^"
+    return before[-1] if before[-1].isalnum() else CONTEXT.findall(before[-1])[-1]
 
-    parts = max(1, -(-sure.count() // SENT_PATTERNS))
 
-    def followers(wanted: frozenset[str]):
-        last = frozenset(p.rsplit(" ", 1)[-1] for p in wanted)
+def stays_confident(confidence: float, n: int, others: int) -> bool:
+    """Whether a pattern is confident when so many more instances have score zero."""
+    return confidence * n / (n + others) >= CONFIDENT
+
+
+class Followers:
+    """The words without a digit that stand after some patterns {pattern: (confidence, n)}, as a task meets them: until a pattern has met so many different ones
+    that it can not stay confident."""
+
+    def __init__(self, known: dict[str, tuple[float, int]]):
+        self.known, self.met = dict(known), {p: set() for p in known}
+        self.last = Counter(p.rsplit(" ", 1)[-1] for p in known)
 
-        def of_text(text: str) -> Iterator[tuple[int, int, str]]:
-            base = None
-            for m in PLAIN.finditer(text):
-                before = patterns(text, m.start())
-                if before[0].rsplit(" ", 1)[-1] in last and (found := [p for p in before if p in wanted]):
-                    base = base_spans(text) if base is None else base
-                    if not any(a < m.end() and m.start() < b for _, a, b in base):
-                        yield from ((m.start(), m.end(), p) for p in found)
+    def of_text(self, text: str) -> Iterator[tuple[int | None, int | None, int | None, str]]:
+        """(start, end, instance, pattern) of each; all but the pattern null where it is given up."""
+        import xxhash
+
+        base = None
+        for m in PLAIN.finditer(text) if self.known else ():
+            if not self.last[last_word(text, m.start())]:
+                continue
+            for p in patterns(text, m.start()):
+                if p not in self.known:
+                    continue
+                base = base_spans(text) if base is None else base
+                if any(a < m.end() and m.start() < b for _, a, b in base):
+                    break
+                instance = xxhash.xxh64_intdigest(m[0].encode("utf-8", "replace")) - (1 << 63)
+                self.met[p].add(instance)
+                if stays_confident(*self.known[p], len(self.met[p])):
+                    yield m.start(), m.end(), instance, p
+                else:
+                    del self.known[p], self.met[p]
+                    self.last[p.rsplit(" ", 1)[-1]] -= 1
+                    yield None, None, None, p
+
+
+def plain_followers(source: DataFrame, sure: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, end, instance, pattern): what stands after the ``sure`` patterns in the texts of ``source`` and is a word without a digit; of a pattern
+    that a task gives up, one row without a place, and not all of its words. The patterns go
+    to the tasks, ``SENT_PATTERNS`` or so at once: where there are more, the texts are read once for each part of them."""
+    parts = max(1, -(-sure.count() // SENT_PATTERNS))
 
+    def followers(known: dict[str, tuple[float, int]]):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task = Followers(known)
             for batch in batches:
                 out: list[tuple] = []
                 for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    out += [(doc_id, text_hash, a, b, xxhash.xxh64_intdigest(text[a:b].encode("utf-8", "replace")) - (1 << 63), p) for a, b, p in of_text(text or "")]
+                    out += [(doc_id, text_hash, *found) for found in task.of_text(text or "")]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], ["doc_id", "text_hash", "start", "end", "instance", "pattern"])
 
@@ -174,8 +209,8 @@ def plain_followers(source: DataFrame, sure: DataFrame) -> DataFrame:
 
     found = None
     for part in range(parts):
-        wanted = frozenset(r.pattern for r in sure.filter(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).select("pattern").collect())
-        more = spread(source).mapInArrow(followers(wanted), "doc_id long, text_hash long, start int, end int, instance long, pattern string")
+        known = {r.pattern: (r.confidence, r.n) for r in sure.filter(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).collect()}
+        more = spread(source).mapInArrow(followers(known), "doc_id long, text_hash long, start int, end int, instance long, pattern string")
         found = more if found is None else found.unionByName(more)
     return found
 
@@ -204,9 +239,11 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     each = each.join(sent(sure.select("pattern")), "pattern").select("doc_id", "text_hash", "start", "end")
     if not sure.isEmpty():
         plain = staged(plain_followers(source, sure), "plain")
-        others = plain.groupBy("pattern").agg(F.countDistinct("instance").alias("others"))
-        wide = sure.join(others, "pattern").filter(F.col("confidence") * F.col("n") / (F.col("n") + F.col("others")) >= CONFIDENT).select("pattern")
-        each = each.unionByName(plain.join(sent(wide), "pattern").select("doc_id", "text_hash", "start", "end"))
+        # different words by an aggregate of them and then of their patterns, so that a pattern's words do not meet in one task
+        others = plain.groupBy("pattern", "instance").agg(F.lit(1).alias("one")).groupBy("pattern").agg(F.count("instance").alias("others"), F.count("*").alias("rows"))
+        whole = F.col("others") == F.col("rows")  # no task has given the pattern up
+        wide = sure.join(others.filter(whole), "pattern").filter(F.col("confidence") * F.col("n") / (F.col("n") + F.col("others")) >= CONFIDENT).select("pattern")
+        each = each.unionByName(plain.filter("instance is not null").join(sent(wide), "pattern").select("doc_id", "text_hash", "start", "end"))
     more = each.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("more"))
     more = more.withColumnsRenamed({"doc_id": "more_id", "text_hash": "more_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("more_id")) & (F.col("text_hash") == F.col("more_hash"))
