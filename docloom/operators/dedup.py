@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import checksum, is_checksum, is_uuid
+from docloom.schemas import DOCUMENT, shaped
 
 MAX_NAME, MAX_TYPE = 255, 100
 
@@ -56,7 +57,8 @@ def ingest(files: DataFrame, store: DataFrame, source_type: str) -> Ingested:
     """Files (original_filename, content_type, content, and what else comes with them) hashed and checked against the store and each other. The first file of
     a content, by name, type and then its other columns, is the document; of files equal in every column all but one are duplicates. Files with a
     missing name or type, or without content, are left out. results: a row for each file with document_id, canonical (the name and type of its document, as the
-    ``store`` has them where it does) and is_duplicate."""
+    ``store`` has them where it does) and is_duplicate. documents: rows of ``schemas.DOCUMENT``, with the source_identifier, subsidiary and document_timestamp that files
+    come with."""
     named = (F.length("original_filename").between(1, MAX_NAME)) & (F.length("content_type").between(1, MAX_TYPE)) & (F.octet_length("content") > 0)
     hashed = fingerprint(files.filter(named))
     light = hashed.drop("content")
@@ -72,10 +74,8 @@ def ingest(files: DataFrame, store: DataFrame, source_type: str) -> Ingested:
         results = results.withColumn("canonical", own)
     results = results.select(*light.columns, "document_id", "canonical", "is_duplicate")
     fresh = results.filter("not is_duplicate")
-    rows = fresh.select(
-        F.col("document_id").alias("id"), "original_filename", "content_type", "file_size", "checksum_sha256", F.lit(source_type).alias("source_type"),
-        reference(F.col("checksum_sha256")).alias("storage_reference"), F.lit("ingested").alias("status"),
-    )
+    made = {"id": F.col("document_id"), "source_type": F.lit(source_type), "storage_reference": reference(F.col("checksum_sha256")), "status": F.lit("ingested"), "ingested_at": F.current_timestamp()}
+    rows = shaped(fresh.withColumns(made), DOCUMENT)
     contents = hashed.join(store.select("checksum_sha256").distinct(), "checksum_sha256", "left_anti").dropDuplicates(["checksum_sha256"])
     return Ingested(results, rows, contents.select(reference(F.col("checksum_sha256")).alias("storage_reference"), "content"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import dedup, findings, quality
+from docloom.schemas import VALIDATION_RUN, shaped
 
 INPUT_KINDS = ("checksum", "status", "text", "table", "chart")
 
@@ -50,4 +51,4 @@ def validate(
         F.coalesce("decision", quality.decide(quality.empty_score(weights), F.lit(False), F.lit(False))).alias("final_decision"),
         quality.config_snapshot(weights).alias("config_snapshot"), "input_hash", "created_at", F.col("created_at").alias("completed_at"),
     )
-    return done, found.join(due.select("document_id", F.col("id").alias("validation_run_id")), "document_id")
+    return shaped(done, VALIDATION_RUN), found.join(due.select("document_id", F.col("id").alias("validation_run_id")), "document_id")

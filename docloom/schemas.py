@@ -1,5 +1,7 @@
 """Schemas of the tables that the operators read and write."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _s, _i, _l, _d, _ts = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.TimestampType()
@@ -28,3 +30,8 @@ FINDING = _table(
     document_id=_s, validator=_s, check_name=_s, status=_s, severity=_s, message=_s, page_number=_i, table_reference=_s, details=T.MapType(_s, _s)
 )
 IMAGE = _table(image_id=_l, height=_i, width=_i, data=T.BinaryType())
+
+
+def shaped(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """``rows`` with the columns of a table, in its order and types; null where they have none."""
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))

@@ -33,6 +33,14 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return rows.select(name.alias("original_filename"), content_type(name).alias("content_type"), "content", F.col("path").alias("source_identifier"), F.col("modificationTime").alias("document_timestamp"))
 
 
+def with_timestamp(files: DataFrame, said_: str) -> DataFrame:
+    """Add document_timestamp, of an ISO 8601 time in a column (a date alone, with or without a zone), and timestamp_error where it is none; null stays null."""
+    given = F.trim(F.col(said_))
+    iso = given.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$")
+    time = F.when(iso, given.try_cast("timestamp"))
+    return files.withColumn("document_timestamp", time).withColumn("timestamp_error", F.when(given.isNotNull() & time.isNull(), F.concat(F.lit("no ISO time: "), given)))
+
+
 def text_pages(data: bytes) -> list[str | None]:
     """Pages of a plain text, at form feeds."""
     return data.decode("utf-8", "replace").split("\f")

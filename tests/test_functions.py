@@ -228,6 +228,17 @@ def test_edges_skew_and_regions(spark):
     assert tables.filled(found, texts.limit(0)).first().extraction_confidence == 0
 
 
+def test_straight_lines():
+    from docloom.functions import regions as R
+
+    mask = np.zeros((80, 90), bool)
+    mask[30, 5:85] = True
+    mask[np.arange(70), np.arange(70) + 10] = True
+    got = R.straight_lines(mask, 50)
+    assert got[0][0] == 30 and got[0][1] == pytest.approx(np.pi / 2) and got[0][2] >= 80
+    assert any(abs(np.degrees(a) - 135) <= 1 and n >= 50 for _, a, n in got) and R.straight_lines(np.zeros((9, 9), bool)) == []
+
+
 def test_line_features(spark):
     df = column(spark, [[0.0, 10.0, 20.0, 40.0], [1.0], []], "array<double>")
     got = values(df, signals.line_features(F.transform("v", lambda x: x + 5), F.col("v")))

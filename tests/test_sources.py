@@ -47,6 +47,22 @@ def test_layouts_make_signals_and_classes(spark):
     assert [r.classification for r in got][:2] == ["typed_text", "scanned_document"] and got[1].image_area_ratio == 300000 / (612 * 792) and got[2].table_candidate_score > 0.3
 
 
+def test_timestamps(spark):
+    given = ["2024-05-06T07:08:09Z", "2024-05-06", "2024-05-06 07:08:09+02:00", "yesterday", "2024-13-01", None, ""]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i int, said string")
+    got = files.with_timestamp(df, "said").selectExpr("i", "unix_timestamp(document_timestamp) as t", "timestamp_error as e").orderBy("i").collect()
+    assert [r.t for r in got] == [1714979289, 1714953600, 1714972089, None, None, None, None] and [r.e is None for r in got] == [True] * 3 + [False, False, True, False]
+
+
+def test_documents_keep_what_files_come_with(spark):
+    from docloom import schemas
+    from docloom.operators import dedup
+
+    df = spark.createDataFrame([("a", "t", b"x", "box 7")], "original_filename string, content_type string, content binary, source_identifier string")
+    rows = dedup.ingest(df, spark.createDataFrame([], "id string, checksum_sha256 string"), "upload").documents
+    assert rows.columns == schemas.DOCUMENT.names and rows.first().source_identifier == "box 7" and rows.first().ingested_at and rows.first().subsidiary is None
+
+
 def test_ocr_contract(spark):
     df = spark.createDataFrame([("a", 1, b"ok"), ("a", 2, b"bad"), ("a", 3, None)], "document_id string, page_number int, content binary")
 
