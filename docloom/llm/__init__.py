@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-preparation jobs that run on Spark.
+"""Training-data operators: thirteen corpus-preparation jobs that run on Spark.
 
 Nothing outside this package imports it.
 """

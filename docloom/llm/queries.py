@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table."""
+"""The registered queries of the thirteen operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -83,8 +83,26 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha256")).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import planted, report
+
+    return report(planted(table(spark, sf_dir, "documents")))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_mixing, op3_bpe, op4_simhash, op5_language, op6_additive, op7_html, op8_toxicity, op9_avi, op10_substrings, media_clips)
+    found = (op1_pii, op2_mixing, op3_bpe, op4_simhash, op5_language, op6_additive, op7_html, op8_toxicity, op9_avi, op10_substrings, op11_whitening, op12_periodic, op13_minhash, media_clips)
     return {f.__name__: f for f in found}
 
 

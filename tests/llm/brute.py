@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import struct
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -145,3 +146,66 @@ def pipeline(rows, labels, encode):
         ids, decoded = encode(t)
         out += [(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())] * copies(i, r)
     return out
+
+
+def runs(words):
+    """(start, length, period) of all runs, by trying every period on every stretch."""
+    found, n = {}, len(words)
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(24, 3 * q):
+                found.setdefault((i, j + q - i), q)  # periods rise, so the smallest is there first
+            i = max(j, i + 1)
+    # a stretch counts with its smallest period only, also where a multiple of it is found from another start
+    out = []
+    for (start, length), q in found.items():
+        span = words[start : start + length]
+        if not any(all(span[k] == span[k + p] for k in range(length - p)) for p in range(1, q)):
+            out.append((start, length, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periodic(doc_id, text, plant=True):
+    """The row of op12's contract."""
+    import zlib
+
+    words = WORD.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    if plant and h % 10 == 0 and words:
+        g, n = h // 10, len(words)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    found = runs(words)
+    gone = {i for s, length, q in found for i in range(s + q, s + length)}
+    best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None, None, None))
+    lines = "".join(f"{s},{length},{q}\n" for s, length, q in found)
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    return (doc_id, len(found), *best, None if best[0] is None else 1000 * best[1] // best[2], hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def minhash(rows, words=4, percent=80):
+    """(doc_id, size of set, component, kept) of (doc_id, text) rows with ids, by comparing all pairs."""
+    sets = []
+    for _, text in rows:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    group = list(range(len(rows)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            group[max(a, b)] = min(a, b)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[find(i)] = min(doc_id, least.get(find(i), doc_id))
+    return [(d, len(s), least[find(i)], least[find(i)] == d) for i, ((d, _), s) in enumerate(zip(rows, sets))]

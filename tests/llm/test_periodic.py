@@ -1,0 +1,76 @@
+"""Runs of words against trying every period at every place."""
+
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from docloom.llm import periodic
+from tests.llm import brute
+
+SCHEMA = "doc_id long, text string"
+
+
+def drawn(rng, n, letters):
+    """Words with runs of many periods, nested, beside each other, and broken."""
+    out = []
+    while len(out) < n:
+        kind = rng.randrange(4)
+        if kind == 0:
+            out += [rng.choice(letters) for _ in range(rng.randrange(1, 30))]
+        else:
+            root = [rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 5, 7, 8, 9, 15, 16, 17, 31, 32, 33, 40]))]
+            if kind == 2:
+                root = root[:3] * rng.randrange(2, 9) + root
+            part = (root * 9)[: int(len(root) * rng.uniform(1.5, 8.5))]
+            if kind == 3 and part:
+                part[rng.randrange(len(part))] = "x"
+            out += part
+    return out[:n]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_runs_are_all_found(seed):
+    rng = random.Random(seed)
+    words = drawn(rng, rng.choice([23, 24, 60, 150, 400]), "abcdefgh"[: rng.choice([1, 2, 3, 8])])
+    assert periodic.runs([w.encode() for w in words]) == brute.runs(words)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", min_size=1, max_size=9), st.integers(1, 20)), max_size=8))
+def test_runs_of_any_powers(parts):
+    words = [c for root, times in parts for c in root * times]
+    assert periodic.runs([w.encode() for w in words]) == brute.runs(words)
+
+
+def test_least_lengths():
+    for q in range(1, 70):
+        root = [f"w{i}".encode() for i in range(q)]
+        least = max(24, 3 * q)
+        for at in (0, 1, 5, 8, 13):
+            for length, found in ((least - 1, []), (least, [(at, least, q)]), (least + 1, [(at, least + 1, q)])):
+                words = [b"before%d" % i for i in range(at)] + (root * 40)[:length] + [b"after"]
+                assert periodic.runs(words) == found
+
+
+def test_report_of_odd_rows(spark):
+    """Nulls, blanks, words of odd blanks, repeated rows, other columns of clashing names; planted and not."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(drawn(rng, rng.choice([0, 1, 2, 30, 200]), ["a", "b", "Ä", "c,"]))) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, " \t\n\x0b "), (203, "a b " * 30), (204, "x\x0by\x0c" * 20), (205, "one " * 3000), (205, "one " * 3000), (-7, "p q r " * 12)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'z' as runs", "1 as n", "2 as words")
+    got = periodic.report(periodic.planted(docs)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(brute.periodic(*r)) for r in rows)
+    assert sum(r.n_runs > 0 for r in got) > 30 and len({r.period for r in got}) > 8
+    plain = {(r.doc_id, r.n_words, tuple(map(tuple, r.runs))) for r in periodic.find_runs(spark.createDataFrame([(None, "w " * 24), (1, None)], SCHEMA)).collect()}
+    assert plain == {(None, 24, ((0, 24, 1),)), (1, 0, ())}
+    assert periodic.report(periodic.planted(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_very_long_text_is_quick():
+    """200,000 words, many of them in runs: no square of anything."""
+    rng = random.Random(5)
+    words = drawn(rng, 100_000, [f"w{i}" for i in range(50)]) + ["same"] * 50_000 + [f"v{i % 12_000}" for i in range(50_000)]
+    found = periodic.runs([w.encode() for w in words])
+    assert (150_000, 50_000, 12_000) in found and any(q == 1 and n >= 50_000 for _, n, q in found)
