@@ -4,25 +4,25 @@ Texts are sets of word shingles. Sets that share a band of their MinHash signatu
 after each batch, a pair whose similarity is large enough with a posterior probability under ``MISS`` is given up; the survivors are verified on
 their full sets.
 
-No bucket is compared all with all. Its pivot c, the least of its sets, meets every member; then what links connect is known. Let y be a member that is not
-connected to c, with a shingles in c and u outside, and let x be another. Since x is no smaller than c, the union of x and y has |c| + u - w
-members at least and their intersection a + w at most, where w is the number of shingles outside c that they share. So a link of x and y needs
-100 (a + w) >= percent (|c| + u - w), a number w of at least one that y knows by itself. So y goes on as a prober, in buckets of the shingles outside c
-that it shares with members of other components, of all but w - 1 of them (the rarest), and these buckets are treated alike, each without its pivot. Of two linked members of
-different components one at least is a prober, so the components come out whole. A family of texts that have a template in common but are not
-near leaves nothing to compare, whatever its size; a group of near copies costs a pair for each member.
+Buckets of one pivot, the least of their sets, are a cluster. The pivot meets every member, and what these links connect is not looked at again: a group of near
+copies costs a pair for each member. What is left in a cluster of up to ``BLOCK`` members is verified in one task, which gets each set once. Larger clusters are divided before:
+let y be a member that is not connected to the pivot c, with a shingles in c and u outside, and let x be another. Since x is no smaller than c, the union of x and y
+has |c| + u - w members at least and their intersection a + w at most, where w is the number of shingles outside c that they share. So a link of
+x and y needs 100 (a + w) >= percent (|c| + u - w), a number w of at least one that y knows by itself. So y goes on, with whatever shares them, in buckets of the shingles
+outside c that it shares with members of other components, of all but w - 1 of them (the rarest). Of two linked members of different components one at least is such a y, so no
+component is torn. A family of texts that have a template in common but are not near leaves nothing to compare, whatever its size. Where texts share parts beside the
+template too, without being near, blocks of them are compared, all with all within what shares a part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import repeat
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, spread, staged, texts_of
@@ -36,9 +36,11 @@ BANDS, ROWS = 32, 4
 HASHES, BATCH = BANDS * ROWS, 16
 #: A pair is given up when, by the hashes seen, it is near with less than this probability (similarities being equally likely before).
 MISS = 1e-6
+#: What is kept of a hash: others are equal by chance once in 65,536 times, which lets a few pairs more go on.
+KIND = np.dtype(np.uint16)
 SEED = 42
-#: Members of a bucket whose pairs are all candidates: of a band, and of a shingle outside a pivot.
-SMALL, SMALL_DIVIDED = 4, 16
+#: Members, and shingles of their sets, that a task verifies at once, about; larger clusters are divided first.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 21
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, HASHES), np.uint64) | np.uint64(1)
 CHUNK = 4096
 
@@ -67,13 +69,13 @@ def key_of(found: np.ndarray) -> int:
 
 
 def signature(found: np.ndarray) -> bytes | None:
-    """The upper halves of the least of ``HASHES`` hashes of the shingles; None for no shingle."""
+    """The upper 16 bits of the least of ``HASHES`` hashes of the shingles; None for no shingle."""
     if not len(found):
         return None
     least = np.full(HASHES, (1 << 64) - 1, np.uint64)
     for i in range(0, len(found), CHUNK):
         np.minimum(least, (MULTIPLIERS[0][:, None] * found[None, i : i + CHUNK] + MULTIPLIERS[1][:, None]).min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).tobytes()
+    return (least >> np.uint64(48)).astype(KIND).tobytes()
 
 
 def least_matches(percent: int, miss: float = MISS) -> list[int]:
@@ -118,14 +120,14 @@ def prints(docs: DataFrame, words: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(node, found): the set of shingles of every row of (doc_id, text_hash, text)."""
+    """(node, found, large): the set of shingles of every row of (text, large)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words) for t in texts_of(batch, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "found"])
+            sets = [shingles(t, words) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), batch.column(1)], ["node", "found", "large"])
 
-    return docs.mapInArrow(rows, "node long, found array<long>")
+    return docs.select("text", "large").mapInArrow(rows, "node long, found array<long>, large boolean")
 
 
 def likely(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -134,7 +136,7 @@ def likely(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), KIND).reshape(-1, HASHES) for i in (2, 3))
             at = pa.array(survivors(x, y, least))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
@@ -149,40 +151,40 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent).select("a", "b")
 
 
-def order(node: str = "node", n: str = "n") -> Column:
-    return F.struct(F.col(n), F.col(node))
-
-
-def meetings(members: DataFrame, percent: int, small: int) -> tuple[DataFrame, DataFrame]:
-    """Of the ``members`` of buckets (*bucket, node, n, root): the candidate pairs (a, b), and the clusters (c, x, n) of buckets of more than ``small``, by their
-    pivots. Members of equal root are connected already, and no candidates."""
-    bucket = [c for c in members.columns if c not in ("node", "n", "root")]
-    least = F.min(F.struct("n", "node", "root")).alias("least")
-    buckets = members.groupBy(*bucket).agg(F.count("*").alias("size"), least, F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").drop("low", "high")
-    met = staged(members.join(staged(buckets, "buckets"), bucket).filter(F.col("node") != F.col("least.node")), "met")
-    stars = met.groupBy(F.col("least.node").alias("c"), F.col("node").alias("x"))
-    stars = stars.agg(F.first("n").alias("n"), F.first("least.n").alias("n_c"), F.first(F.col("root") != F.col("least.root")).alias("apart"), F.max(F.col("size") > small).alias("large"))
-    stars = staged(stars, "stars")
-    alike = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    few = met.filter(F.col("size").between(3, small)).select(*bucket, "node", "n", "root")
-    other = few.select(*bucket, F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-    each = few.join(other, bucket).filter((order() < order("b", "m")) & alike("n", "m") & (F.col("root") != F.col("root_b"))).select(F.col("node").alias("a"), "b")
-    pairs = stars.filter(F.col("apart") & alike("n", "n_c")).select(F.col("c").alias("a"), F.col("x").alias("b")).unionByName(each).distinct()
-    return pairs, stars.filter("large").select("c", "x", "n")
-
-
-def divided(clusters: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """The next buckets (c, s, node, n, root) of ``clusters`` (c, x, n), named by a pivot and a shingle outside it; None where each cluster is connected by
-    ``roots`` (node, root)."""
-    root = lambda node: roots.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
-    known = clusters.join(root("x"), "x", "left").join(root("c"), "c", "left").select("c", "x", "n", F.coalesce("root_x", "x").alias("root"), (F.coalesce("root_x", "x") != F.coalesce("root_c", "c")).alias("probe"))
-    known = staged(known, "clusters")
-    open_ = known.filter("probe").select("c").distinct()
-    if open_.isEmpty():
-        return None
+def banded(distinct: DataFrame) -> DataFrame:
+    """(bucket, node, n) for each band of each set (node, n, signature)."""
+    bands = F.array(*(F.xxhash64(F.substring("signature", 1 + i * ROWS * KIND.itemsize, ROWS * KIND.itemsize), F.lit(i)) for i in range(BANDS)))
+    return distinct.filter("n > 0").select("node", "n", F.explode(bands).alias("bucket"))
+
+
+def clustered(members: DataFrame, bucket: list[str], percent: int) -> DataFrame:
+    """(c, n_c, x, n): the ``members`` (*bucket, node, n) of all buckets of which c, of n_c shingles, is the pivot: the least set, of these the least node. Without the pivot itself.
+
+    A bucket is cut in classes of size, as wide as the sizes of near sets differ at most; each set is of its own class and the next, so near sets meet, and short texts do not gather
+    around what they share with all others."""
+    several = members.groupBy(*bucket).agg(F.count("*").alias("size")).filter("size > 1").select(*bucket)
+    own = F.floor(F.log("n") / F.lit(log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0)).cast("int")
+    sized = staged(members.join(several, bucket).withColumn("class", F.explode(F.array(own, own + 1))), "sized")
+    cells = [*bucket, "class"]
+    buckets = sized.groupBy(*cells).agg(F.count("*").alias("size"), F.min(F.struct("n", "node")).alias("least")).filter("size > 1").drop("size")
+    met = sized.join(buckets, cells).filter(F.col("node") != F.col("least.node"))
+    return met.groupBy(F.col("least.node").alias("c"), F.col("node").alias("x")).agg(F.first("least.n").alias("n_c"), F.first("n").alias("n"))
+
+
+def with_roots(clusters: DataFrame, roots: DataFrame) -> DataFrame:
+    """``clusters`` (c, n_c, x, n) that links have not connected yet, with root and root_c of their members and pivots."""
+    root = lambda node: roots.select(F.col("node").alias(node), F.col("root").alias(f"_{node}"))
+    known = clusters.join(root("x"), "x", "left").join(root("c"), "c", "left").select("c", "n_c", "x", "n", F.coalesce("_x", "x").alias("root"), F.coalesce("_c", "c").alias("root_c"))
+    known = staged(known, "roots")
+    return known.join(known.filter("root != root_c").select("c").distinct(), "c", "left_semi")
+
+
+def divided(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Buckets (c, s, node, n) of large ``clusters`` (c, x, n, root, root_c), named by a pivot and a shingle outside it, in which every two members meet that may be linked and are
+    not connected."""
     of = lambda node, name: sets.select(F.col("node").alias(node), F.col("found").alias(name))
-    rest = known.join(open_, "c", "left_semi").join(of("x", "found"), "x").join(of("c", "pivot"), "c")
-    rest = rest.select("c", "x", "n", "root", "probe", F.size("pivot").alias("n_c"), F.array_except("found", "pivot").alias("outside"))
+    rest = clusters.join(of("x", "found"), "x").join(of("c", "pivot"), "c")
+    rest = rest.select("c", "x", "n", "root", (F.col("root") != F.col("root_c")).alias("probe"), F.size("pivot").alias("n_c"), F.array_except("found", "pivot").alias("outside"))
     u = F.size("outside")
     need = F.greatest(F.lit(1), F.ceil((percent * (F.col("n_c") + u) - 100 * (F.col("n") - u)) / F.lit(100 + percent)).cast("int"))
     each = staged(rest.select("c", "x", "n", "root", "probe", need.alias("need"), F.explode("outside").alias("s")), "outside")
@@ -191,28 +193,91 @@ def divided(clusters: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
     mine = each.filter("probe").join(staged(sizes, "sizes"), ["c", "s"]).groupBy("c", "x").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("size", "s"))).alias("shared"))
     asked = mine.filter(F.size("shared") >= F.col("need")).select("c", F.explode(F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 1)).alias("e"))
     asked = asked.select("c", F.col("e.s").alias("s")).distinct()
-    return staged(each.join(asked, ["c", "s"]).select("c", "s", F.col("x").alias("node"), "n", "root"), "members")
+    return staged(each.join(asked, ["c", "s"]).select("c", "s", F.col("x").alias("node"), "n"), "members")
+
+
+def blocked(clusters: DataFrame) -> DataFrame:
+    """(i, j, block, x, n, root): the members of each pair of blocks that a task verifies. A ``clusters`` (c, x, n, root) of up to ``BLOCK`` members is one block. Members of larger
+    ones have a block each, whatever their number of clusters is, and two blocks meet once if some cluster has members of both: clusters that overlap, as those of a
+    large group of like texts do, cost no more than one."""
+    sizes = clusters.groupBy("c").agg((F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES)) > 1).alias("large"))
+    marked = staged(clusters.join(sizes, "c"), "marked")
+    small = marked.filter("not large").select(F.col("c").alias("i"), F.col("c").alias("j"), F.col("c").alias("block"), "x", "n", "root")
+    large = marked.filter("large")
+    # members go by the least pivot of their clusters, and these by the least of their members'
+    least = large.groupBy("x").agg(F.min("c").alias("p"))
+    beside = large.join(least, "x").groupBy("c").agg(F.min("p").alias("p"))
+    place = large.join(beside, "c").groupBy("x").agg(F.min("p").alias("p"), F.first("n").alias("n"), F.first("root").alias("root"))
+    number = place.groupBy("p").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("k"))
+    place = staged(place.join(number, "p").select("x", "n", "root", F.xxhash64("p", F.pmod(F.xxhash64("x"), F.col("k"))).alias("block")), "blocks")
+    held = large.select("c", "x").join(place.select("x", "block"), "x").select("c", "block").distinct()
+    pairs = held.withColumnRenamed("block", "i").join(held.withColumnRenamed("block", "j"), "c").filter("i <= j").select("i", "j").distinct()
+    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return small.unionByName(sides.join(place, "block").select("i", "j", "block", "x", "n", "root"))
+
+
+def verified(rows: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect what is near among the ``blocked`` members, and is not of one root. A task gets each member's signature and set once, compares signatures in batches,
+    and verifies the survivors that are not connected by then."""
+    least = least_matches(percent)
+    full = rows.join(signatures.select(F.col("node").alias("x"), "signature"), "x").join(sets.select(F.col("node").alias("x"), "found"), "x")
+
+    def links(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        block, n, node = table["block"].to_numpy(), table["n"].to_numpy(), table["x"].to_pylist()
+        signs = np.frombuffer(b"".join(table["signature"].to_pylist()), KIND).reshape(-1, HASHES)
+        found = table["found"].combine_chunks()
+        at, values = found.offsets.to_numpy(), found.values.to_numpy()
+        group = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out: tuple[list[int], list[int]] = [], []
+        for p in left.tolist():
+            others = right[right > p] if i == j else right
+            others = others[(group[others] != group[p]) & (np.minimum(n[others], n[p]) * 100 >= np.maximum(n[others], n[p]) * percent)]
+            for q in others[survivors(signs[others], np.broadcast_to(signs[p], (len(others), HASHES)), least)].tolist():
+                if group[p] != group[q]:
+                    shared = len(np.intersect1d(values[at[p] : at[p + 1]], values[at[q] : at[q + 1]], assume_unique=True))
+                    if shared * 100 >= (int(n[p]) + int(n[q]) - shared) * percent:
+                        group[group == group[q]] = group[p]
+                        out[0].append(node[p])
+                        out[1].append(node[q])
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return full.groupBy("i", "j").applyInArrow(links, "a long, b long")
 
 
 def connected(docs: DataFrame, distinct: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the linked nodes of ``distinct`` (node, first, n, signature), one row for each set of shingles of ``docs`` (doc_id, text_hash, text)."""
-    bands = F.array(*(F.xxhash64(F.substring("signature", 1 + i * ROWS * 4, ROWS * 4), F.lit(i)) for i in range(BANDS)))
-    members = distinct.filter("n > 0").select("node", "n", F.col("node").alias("root"), F.explode(bands).alias("bucket"))
-    sets, found, roots = None, [], None
-    while members is not None:
-        pairs, clusters = meetings(members, percent, SMALL_DIVIDED if found else SMALL)
-        near = staged(likely(pairs, distinct, percent), "likely")
-        if sets is None:
-            involved = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(clusters.select(F.explode(F.array("c", "x")).alias("node"))).distinct()
-            places = distinct.join(involved, "node", "left_semi").select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
-            wanted = docs.join(places, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-            sets = staged(sets_of(wanted, words).dropDuplicates(["node"]), "sets")
-        found.append(staged(linked(near, sets, percent), "links"))
-        if roots is None or not found[-1].isEmpty():
-            links = reduce(DataFrame.unionByName, found)
-            roots = components(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        members = divided(clusters, roots, sets, percent)
-    return roots
+    alike = F.least("n", "n_c") * 100 >= F.greatest("n", "n_c") * percent
+    as_pairs = lambda clusters: clusters.filter(alike).select(F.col("c").alias("a"), F.col("x").alias("b"))
+    as_edges = lambda links: links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    ends = lambda rows, a, b: rows.select(F.explode(F.array(a, b)).alias("node"))
+    # with the pivot: as members of a block, which have no links yet
+    whole = lambda clusters: clusters.select("c", "x", "n", F.col("x").alias("root")).unionByName(clusters.groupBy("c").agg(F.first("n_c").alias("n")).select("c", F.col("c").alias("x"), "n", F.col("c").alias("root")))
+
+    clusters = staged(clustered(banded(distinct), ["bucket"], percent), "clusters")
+    clusters = staged(clusters.join(clusters.groupBy("c").agg(F.count("*").alias("size")), "c"), "clusters")
+    signatures = staged(distinct.join(ends(clusters, "c", "x").distinct(), "node", "left_semi").select("node", "signature"), "signatures")
+    single, small, large = clusters.filter("size = 1"), clusters.filter(F.col("size").between(2, BLOCK - 1)), clusters.filter(F.col("size") >= BLOCK)
+    near = staged(likely(as_pairs(single), signatures, percent), "likely")
+    single = single.join(near.select(F.col("a").alias("c"), F.col("b").alias("x")), ["c", "x"], "left_semi")
+    # the sets that are verified, from the texts
+    involved = ends(single, "c", "x").unionByName(ends(small, "c", "x")).withColumn("large", F.lit(False)).unionByName(ends(large, "c", "x").withColumn("large", F.lit(True)))
+    places = distinct.select("node", "first").join(involved.groupBy("node").agg(F.max("large").alias("large")), "node").select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"), "large")
+    wanted = docs.join(places, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    sets = staged(sets_of(wanted, words).dropDuplicates(["node"]), "sets")
+    blocks, edges = whole(single).unionByName(whole(small)), None
+    if not large.isEmpty():
+        own = sets.filter("large")
+        edges = staged(linked(likely(as_pairs(large), signatures, percent), own, percent), "links")
+        parts = divided(with_roots(large, components(as_edges(edges))), own, percent)
+        again = staged(clustered(parts, ["c", "s"], percent), "clusters")
+        edges = edges.unionByName(staged(linked(likely(as_pairs(again), signatures, percent), own, percent), "links"))
+        again = staged(with_roots(again, components(as_edges(edges))), "open")
+        pivots = again.groupBy("c").agg(F.first("n_c").alias("n"), F.first("root_c").alias("root")).select("c", F.col("c").alias("x"), "n", "root")
+        blocks = blocks.unionByName(again.select("c", "x", "n", "root")).unionByName(pivots)
+    found = staged(verified(blocked(blocks), signatures, sets.drop("large"), percent), "links")
+    return components(as_edges(found if edges is None else edges.unionByName(found)))
 
 
 def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

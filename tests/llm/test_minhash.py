@@ -100,5 +100,5 @@ def test_signatures_estimate_similarity():
     sets = [minhash.shingles(" ".join(edited(rng, base, k)).encode()) for k in (0, 5, 20, 60)]
     for x, y in combinations(sets, 2):
         true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-        a, b = (np.frombuffer(minhash.signature(s), np.uint32) for s in (x, y))
+        a, b = (np.frombuffer(minhash.signature(s), minhash.KIND) for s in (x, y))
         assert abs((a == b).mean() - true) < 0.17
