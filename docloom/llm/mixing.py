@@ -47,8 +47,8 @@ def words(docs: DataFrame, *keys: str) -> DataFrame:
     return each.select(*keys, "pos", (F.col("word") != "").alias("is_word"), F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
 
 
-def word_weights(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE) -> tuple[DataFrame, dict[str, float]]:
-    """(bucket, w_<domain> long), at most ``BUCKETS`` rows, and the domains' shares of the labelled documents."""
+def word_weights(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE) -> tuple[DataFrame, dict[str, float], list[str]]:
+    """(bucket, w_<domain> long), at most ``BUCKETS`` rows, the domains' shares of the labelled documents, and the domains that labelled words tell of."""
     once = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = once.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("domain is not null")
     picked = bounded_sample(known, "doc_id", sample)
@@ -67,24 +67,30 @@ def word_weights(docs: DataFrame, labels: DataFrame, domains: list[str], sample:
         odds = F.log((F.col(f"n_{d}") + PSEUDO * share) / ((n + PSEUDO) * share))
         return F.round(odds * STEP).cast("long").alias(f"w_{d}")
 
-    return table.select("bucket", *map(weight, domains)), prior
+    return table.select("bucket", *map(weight, domains)), prior, [d for d in domains if sums[d]]
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str]) -> DataFrame:
     """(doc_id, text_hash, rows, n_tokens, p_<domain>): one row for each distinct (doc_id, text) of ``docs``, with how many rows it
-    stands for."""
+    stands for. A domain without labelled words is nobody's; where none has any, all are equally likely."""
+    return _posteriors(docs, labels, domains)[0]
+
+
+def _posteriors(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tuple[DataFrame, list[str]]:
+    """``posteriors`` and the domains with labelled words."""
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    weights, prior = word_weights(docs.select("doc_id", "text"), labels, domains)
+    weights, prior, known = word_weights(docs.select("doc_id", "text"), labels, domains)
+    possible = known or domains
     each = words(source, "doc_id", "text_hash").join(F.broadcast(weights), "bucket", "left")  # at most BUCKETS rows
     scored = each.groupBy("doc_id", "text_hash").agg(
         F.count_if(F.col("pos") == 0).alias("rows"), F.count_if("is_word").alias("n"), *(F.sum(F.when(F.col("is_word"), F.col(f"w_{d}"))).alias(f"s_{d}") for d in domains)
     )
     logits = [F.log(F.lit(prior[d])) + F.coalesce(F.col(f"s_{d}"), F.lit(0)) / F.col("rows") * (EVIDENCE / STEP) for d in domains]
     scored = scored.select("doc_id", "text_hash", "rows", (F.col("n") / F.col("rows")).cast("long").alias("n_tokens"), *(x.alias(f"l_{d}") for x, d in zip(logits, domains)))
-    top = F.greatest(*(F.col(f"l_{d}") for d in domains)) if len(domains) > 1 else F.col(f"l_{domains[0]}")
-    powers = {d: F.exp(F.col(f"l_{d}") - top) for d in domains}
+    top = F.greatest(*(F.col(f"l_{d}") for d in possible)) if len(possible) > 1 else F.col(f"l_{possible[0]}")
+    powers = {d: F.exp(F.col(f"l_{d}") - top) if d in possible else F.lit(0.0) for d in domains}
     whole = sum(powers.values(), F.lit(0.0))
-    return scored.select("doc_id", "text_hash", "rows", "n_tokens", *((powers[d] / whole).alias(f"p_{d}") for d in domains))
+    return scored.select("doc_id", "text_hash", "rows", "n_tokens", *((powers[d] / whole).alias(f"p_{d}") for d in domains)), known
 
 
 @dataclass
@@ -153,21 +159,29 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """(doc_id, text_hash, n_tokens, p_<domain>..., rate, target_met, copies) for every row of ``docs``; tokens are words.
 
     ``copies`` realises the rate: its whole part, and one more with the probability of the rest, drawn by a hash of doc_id. Null and empty texts have no tokens, the prior as posterior, and the rate that follows from it.
-    Repeated rows come out repeated, each with the same rate. Without labelled rows every document has the same posterior, and the rates are as near to the
-    targets as that allows; then ``target_met`` is false in every row, and a warning is given. Repeated labels of a document count once: toxic if any says so, low
+    Repeated rows come out repeated, each with the same rate. A domain without labelled words takes no part: the others share its target, since nothing is known of what belongs to it. Without labelled
+    words at all every rate is one. ``target_met`` is false in every row where the fit misses a target or nothing is labelled, and a warning is given. Repeated labels of a document count once: toxic if any says so, low
     if any says so. Other columns of ``docs`` take no part."""
     targets = targets or TARGETS
     domains = list(targets)
-    table = staged(posteriors(docs, labels, domains), "posteriors")
-    fit = fit_rates(table, targets)
+    table, known = _posteriors(docs, labels, domains)
+    table = staged(table, "posteriors")
+    wanted = {d: targets[d] for d in known if targets[d] > 0}
+    if wanted:
+        fit = fit_rates(table, {d: targets[d] for d in known})
+    else:
+        warnings.warn("nothing is labelled: all rates are one, which may miss the targets", stacklevel=2)
+        fit = Fit({}, {}, 1.0, 0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(1 << 30)
     out = table.select("doc_id", "text_hash", "n_tokens", *(f"p_{d}" for d in domains), rate_after(fit.steps).alias("rate"), F.lit(fit.met).alias("target_met"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row"))
     return out.withColumn("copies", F.floor(F.col("rate") + draw)).drop("row")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with each row as often as its copies say."""
-    plan = mix(docs, labels, targets).select("doc_id", "text_hash", "copies").dropDuplicates(["doc_id", "text_hash"]).filter("copies > 0")
+    """``docs`` with each row as often as its copies say. Where the targets are not met, every row stays once: documents are not thrown away for
+    a mixture that is missed all the same."""
+    copies = F.when(F.col("target_met"), F.col("copies")).otherwise(1).cast("long").alias("copies")
+    plan = mix(docs, labels, targets).select("doc_id", "text_hash", copies).dropDuplicates(["doc_id", "text_hash"]).filter("copies > 0")
     rows = docs.select(F.struct(*docs.columns).alias("row"))  # one column, so that no other can have its name
     same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("text_hash"))
     return rows.join(plan, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

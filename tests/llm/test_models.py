@@ -59,6 +59,28 @@ def test_targets_out_of_reach_are_told(corpus):
     assert not got.first().target_met
 
 
+def test_mixing_without_evidence_throws_nothing_away(corpus):
+    """No label, labels of other documents, labels of one domain, one label: nobody knows what to leave out."""
+    docs, labels = corpus
+    ids = sorted(r.doc_id for r in docs.collect())
+    clean = labels.filter("quality = 1 and toxic = 0")
+    for few in (labels.limit(0), labels.selectExpr("doc_id + 10000 as doc_id", "quality", "toxic"), clean, clean.limit(1), labels.filter("toxic = 1").limit(1)):
+        assert sorted(r.doc_id for r in mixing.mixed(docs, few).collect()) == ids
+        assert {r.rate for r in mixing.mix(docs, few).collect()} == {1.0}
+    # two domains share the third one's target
+    got = mixing.mix(docs, labels.filter("toxic = 0"), {"clean": 0.6, "low": 0.2, "toxic": 0.2}).collect()
+    tokens = np.array([r.n_tokens * r.rate for r in got])
+    assert all(r.p_toxic == 0 and r.target_met for r in got) and np.allclose([tokens @ [r.p_clean for r in got], tokens @ [r.p_low for r in got]], np.array([0.75, 0.25]) * sum(r.n_tokens for r in got), rtol=1e-3)
+
+
+def test_mixed_keeps_all_rows_where_targets_are_missed(spark):
+    """Two texts of one posterior can not be both 0.5 and 0.5."""
+    docs = spark.createDataFrame([(i, "same words") for i in range(40)] + [(100, "other"), (101, "else")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="miss the targets"):
+        assert mixing.mixed(docs, labels, {"clean": 0.99, "low": 0.01, "toxic": 0.0}).count() == 42
+
+
 def test_posteriors_by_hand(corpus):
     """The classifier again in plain Python, with a clashing label of one document."""
     docs, labels = corpus
