@@ -31,8 +31,10 @@ BATCH_BLOCKS = "16"
 TASK_BLOCKS, TASK_QUERIES = 8, 4
 #: Query blocks whose best rows a task keeps at once.
 HELD_BLOCKS = 64
-#: Rows that a task sends for a query beyond those asked for, since the last ranking sums in another order; digits in which cosines may differ by that.
-SPARE, DIGITS = 10, 13
+#: More than products of unit vectors differ from the cosines that count; pairs whose cosine is summed at once.
+SUMMING, PAIRS_AT_ONCE = 1e-12, 1 << 16
+#: Largest power of two by which vectors are scaled.
+POWERS = 1000
 #: More than rounding adds to a cosine by sums of look-ups.
 ROUNDING = 1e-4
 
@@ -101,10 +103,13 @@ def unit(lists: list, dtype=np.float32) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding array<double>) of the rows that take part: an id, and no null, non-finite or only zero components."""
+    """(vec_id, embedding array<double>) of the rows that take part: an id, and no null, non-finite or only zero components. Vectors are scaled by a power of two, which
+    changes no cosine, so that squares neither overflow nor vanish."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
+    power = F.greatest(F.least(F.floor(F.log2(F.array_max(F.transform("embedding", lambda x: F.abs(x))))), F.lit(POWERS)), F.lit(-POWERS))
+    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).withColumn("scale", F.pow(F.lit(2.0), -power))
+    return rows.select("vec_id", F.transform("embedding", lambda x: x * F.col("scale")).alias("embedding"))
 
 
 def dot(a: str, b: str) -> Column:
@@ -112,28 +117,49 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
+def sums(n: int, products: Iterator[np.ndarray]) -> np.ndarray:
+    """As ``dot`` adds."""
+    total = np.zeros(n)
+    for p in products:
+        total += p
+    return total
+
+
+def cosines_of(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of the rows q[i] and x[j], to the last bit those of the final ranking."""
+    length = lambda v: np.sqrt(sums(len(v), (c * c for c in v.T)))
+    of_q, of_x, down_q, down_x = length(q), length(x), np.ascontiguousarray(q.T), np.ascontiguousarray(x.T)
+    out = np.empty(len(i))
+    for k in range(0, len(i), PAIRS_AT_ONCE):
+        a, b = i[k : k + PAIRS_AT_ONCE], j[k : k + PAIRS_AT_ONCE]
+        out[k : k + PAIRS_AT_ONCE] = sums(len(a), (u[a] * v[b] for u, v in zip(down_q, down_x))) / (of_q[a] * of_x[b])
+    return out
+
+
 class Best:
-    """The best rows of some queries so far: ids and exact cosines, ``width`` of each at most; where cosines are equal but for rounding, the least ids."""
+    """The best ``width`` rows of each of some queries so far (query, id, cosine): the largest cosines, of equal ones the least ids."""
 
-    def __init__(self, width: int):
-        self.width, self.ids, self.exact = width, None, None
+    def __init__(self, width: int, queries: int):
+        self.width, self.queries = width, queries
+        self.query, self.ids, self.cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def floor(self) -> np.ndarray | float:
+    def floor(self) -> np.ndarray:
         """Cosine that as many rows reach as are wanted."""
-        return self.exact.min(axis=1) if self.ids is not None and self.exact.shape[1] >= self.width else -2.0
-
-    def add(self, ids: np.ndarray, exact: np.ndarray) -> None:
-        """Rows (query x row) of cosine ``exact``; -3 for no row."""
-        if self.ids is not None:
-            ids, exact = np.concatenate((self.ids, ids), axis=1), np.concatenate((self.exact, exact), axis=1)
-        if exact.shape[1] > self.width:
-            key = -np.round(exact, DIGITS)
-            cut = np.partition(key, self.width - 1, axis=1)[:, self.width - 1]
-            some = np.flatnonzero((key <= cut[:, None]).any(axis=0))
-            ids, exact, key = ids[:, some], exact[:, some], key[:, some]
-            order = np.lexsort((ids, key), axis=1)[:, : self.width]
-            ids, exact = np.take_along_axis(ids, order, axis=1), np.take_along_axis(exact, order, axis=1)
-        self.ids, self.exact = ids, exact
+        out = np.full(self.queries, -2.0)
+        if len(self.query):
+            count = np.bincount(self.query, minlength=self.queries)
+            least = np.full(self.queries, 2.0)
+            np.minimum.at(least, self.query, self.cosine)
+            out[count >= self.width] = least[count >= self.width]
+        return out
+
+    def add(self, query: np.ndarray, ids: np.ndarray, cosine: np.ndarray) -> None:
+        query, ids, cosine = np.concatenate((self.query, query)), np.concatenate((self.ids, ids)), np.concatenate((self.cosine, cosine))
+        order = np.lexsort((ids, -cosine, query))
+        query = query[order]
+        first = np.searchsorted(query, query)
+        kept = np.arange(len(query)) - first < self.width
+        self.query, self.ids, self.cosine = query[kept], ids[order][kept], cosine[order][kept]
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
@@ -181,9 +207,10 @@ def _search(all_rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 continue
             x = unit(batch.column(1).to_pylist(), np.float64)
             codes = beam_encode(x.astype(np.float32), books)
-            sums = decode(codes, books).astype(np.float64)
-            norms = np.maximum(np.linalg.norm(sums, axis=1), 1e-9)
-            for h, part in zip(held, (np.array(batch.column(0).to_pylist(), np.int64), codes, norms, np.clip((x * sums).sum(axis=1) / norms, -1, 1), x)):
+            near = decode(codes, books).astype(np.float64)
+            norms = np.maximum(np.linalg.norm(near, axis=1), 1e-9)
+            own = np.array(batch.column(1).to_pylist(), np.float64)
+            for h, part in zip(held, (np.array(batch.column(0).to_pylist(), np.int64), codes, norms, np.clip((x * near).sum(axis=1) / norms, -1, 1), own)):
                 h.append(part)
             if sum(map(len, held[0])) >= BLOCK_ROWS - 512:
                 yield out()
@@ -195,9 +222,9 @@ def _search(all_rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             for i in range(0, batch.num_rows, QUERY_ROWS):
                 part = batch.slice(i, QUERY_ROWS)
                 ids = np.array(part.column(0).to_pylist(), np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([unit(part.column(1).to_pylist(), np.float64).tobytes()], pa.binary())], ["queries", "wanted"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([np.array(part.column(1).to_pylist(), np.float64).tobytes()], pa.binary())], ["queries", "wanted"])
 
-    width = k + 1 + SPARE
+    width = k + 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The best rows of a task for each of its queries, by exact cosine."""
@@ -205,9 +232,7 @@ def _search(all_rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             for queries_, best in held.items():
-                who, ids, exact = np.repeat(np.frombuffer(queries_, np.int64), best.ids.shape[1]), best.ids.reshape(-1), best.exact.reshape(-1)
-                real = exact > -2
-                yield pa.RecordBatch.from_arrays([pa.array(who[real]), pa.array(ids[real]), pa.array(exact[real])], ["query_rep", "rep", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(queries_, np.int64)[best.query]), pa.array(best.ids), pa.array(best.cosine)], ["query_rep", "rep", "near"])
             held.clear()
 
         for batch in batches:
@@ -216,8 +241,8 @@ def _search(all_rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 ids = np.frombuffer(row["ids"], np.int64)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
                 norms, cosines = np.frombuffer(row["norms"]), np.frombuffer(row["cosines"])
-                x = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
-                q = np.frombuffer(row["wanted"], np.float64).reshape(-1, books.shape[2])
+                own_x, own_q = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1), np.frombuffer(row["wanted"], np.float64).reshape(-1, books.shape[2])
+                x, q = unit(own_x, np.float64), unit(own_q, np.float64)
                 near = np.zeros((len(q), len(ids)), np.float32)
                 for book, column in zip(books, codes.T):
                     near += (q.astype(np.float32) @ book.T)[:, column]
@@ -225,14 +250,18 @@ def _search(all_rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 near = np.clip(near / norms, -1, 1)
                 nearest_ = np.clip(cosines, np.maximum(near - ROUNDING, -1), np.minimum(near + ROUNDING, 1))
                 most = nearest_ * cosines + np.sqrt((1 - nearest_ * nearest_) * np.maximum(1 - cosines * cosines, 0))
-                best = held.setdefault(row["queries"], Best(width))
-                floor = np.broadcast_to(best.floor(), len(q))
+                best = held.setdefault(row["queries"], Best(width, len(q)))
+                floor = best.floor()
                 if len(ids) > width:  # as many rows as are wanted reach this, so a row that can not is not among them
                     likely = np.argpartition(-near, width - 1, axis=1)[:, :width]
                     floor = np.maximum(floor, np.einsum("qd,qwd->qw", q, x[likely]).min(axis=1))
                 may = most >= floor[:, None] - 1e-9
                 met = np.flatnonzero(may.any(axis=0))
-                best.add(np.broadcast_to(ids[met], (len(q), len(met))), np.where(may[:, met], q @ x[met].T, -3.0))
+                exact = np.where(may[:, met], q @ x[met].T, -3.0)
+                if len(met) > width:
+                    floor = np.maximum(floor, np.partition(exact, len(met) - width, axis=1)[:, len(met) - width])
+                i, j = np.nonzero((exact >= floor[:, None] - SUMMING) & (exact > -2))
+                best.add(i, ids[met[j]], cosines_of(own_q, own_x[met], i, j))
                 if len(held) > HELD_BLOCKS:
                     yield from out()
         yield from out()
@@ -252,7 +281,7 @@ def _search(all_rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_BLOCKS)
     near = staged(near, "near")
     small_batches(spark)
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc(F.round("near", DIGITS)), "rep"))).filter(F.col("place") <= width).select("query_rep", "rep")
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc("near"), "rep"))).filter(F.col("place") <= width).select("query_rep", "rep")
     # cosines of the best in double precision, always summed in the same order, then the rows that have these vectors
     exact = near.join(distinct, "rep").join(wanted.select(F.col("rep").alias("query_rep"), F.col("embedding").alias("asked"), F.col("norm").alias("length")), "query_rep")
     exact = exact.select("query_rep", "rep", (dot("asked", "embedding") / (F.col("length") * F.col("norm"))).alias("score"))
