@@ -9,10 +9,15 @@ from collections import Counter
 
 import numpy as np
 
-#: What a reader does not see as text of the page: code, form controls, and what stands in for media that are not shown.
+#: What a reader does not see as text of the page, wherever it stands: code (script, style, template), form controls, the head and its title, and what browsers show only in place of
+#: scripts or media that they can not show (noscript, iframe, object, canvas, audio, video).
 NEVER_TEXT = frozenset("script style noscript template title textarea select option button iframe object canvas audio video head datalist".split())
 RAW = {tag: re.compile(rf"</{tag}\b", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Raw elements whose content is markup or plain text: where nothing closes them, that is read as the page's. Of code it is not.
+NOT_CODE = {"title": re.compile("<"), "textarea": re.compile("<"), "noscript": re.compile(""), "template": re.compile(""), "iframe": re.compile(""), "xmp": re.compile("")}
+#: Drawings and formulas: only their elements are closed by a slash at the end of the tag.
+FOREIGN = ("svg", "math")
 BLOCKS = frozenset(
     "html body article section main aside nav header footer div p ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset legend h1 h2 h3 h4 h5 h6 "
     "blockquote pre figure figcaption address details summary hgroup center dialog menu".split()
@@ -78,7 +83,8 @@ class Tags:
 
 def parse(page: str) -> Node:
     """The tree. Inline elements leave only their text in it; scripts, styles, form controls, comments, hidden elements and what stands in for media
-    nothing. Of a tag that never ends, its name and values are left out and the rest is text. The time is linear in the page, whatever is left open."""
+    nothing. A slash at the end of a tag means nothing, but in drawings and formulas. A title, or another raw element that is no code, that nothing closes ends at the next
+    tag, or at once. Of a tag that never ends, its name and values are left out and the rest is text. The time is linear in the page, whatever is left open."""
     root = Node("html", None)
     node = root
     run: Node | None = None
@@ -101,6 +107,14 @@ def parse(page: str) -> Node:
         if links:
             run.link += len(part)
 
+    closings: dict[str, int] = {}
+
+    def last_close(tag: str) -> int:
+        """Where a raw element is closed last: none that begins later is searched for its end."""
+        if tag not in closings:
+            closings[tag] = max((m.start() for m in RAW[tag].finditer(page)), default=-1)
+        return closings[tag]
+
     def close(depth: int) -> None:
         nonlocal node, run, links, skipped
         while len(stack) > depth:
@@ -176,7 +190,7 @@ def parse(page: str) -> Node:
             open_[tag] += 1
             skipped += hidden
         else:
-            if inner.endswith("/"):
+            if inner.endswith("/") and (tag in FOREIGN or any(open_[f] for f in FOREIGN)):
                 continue
             stack.append((tag, None))
             open_[tag] += 1
@@ -185,8 +199,13 @@ def parse(page: str) -> Node:
         if tag in NEVER_TEXT:
             skipped += 1
             if tag in RAW:
-                closing = RAW[tag].search(page, at)
-                at = closing.start() if closing else n
+                closing = RAW[tag].search(page, at) if at <= last_close(tag) else None
+                if closing is None and tag in NOT_CODE:  # up to the next tag, or not at all
+                    found = NOT_CODE[tag].search(page, at)
+                    at = found.start() if found else n
+                    close(len(stack) - 1)
+                else:
+                    at = closing.start() if closing else n
     return root
 
 

@@ -95,6 +95,7 @@ def trained() -> Forest:
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep``, text and n_chars for every page; text is empty where html is null, empty or without an article.
+    What ``dom.NEVER_TEXT`` lists, and elements with the attribute hidden or the style display:none, are left out also within an article: a reader of the page sees none of them.
     Pages of any length are read whole, in time linear in it. Of markup that is broken, what is text is kept. Where labellings of a page are equally likely, its
     nodes are article before clutter, and these before mixed. Repeated rows come out repeated; other columns take no part."""
     sent = pages.sparkSession.sparkContext.broadcast(trained())  # a few hundred small trees
