@@ -137,6 +137,7 @@ class Frame:
         self.huffman: dict[int, tuple[bytes, bytes]] = {}
         self.restart = 0
         self.components: list[tuple[int, int, int, int]] = []
+        self.height = self.width = 0
         at += 2
         while True:
             if at + 4 > end or media[at] != 0xFF:
@@ -164,9 +165,14 @@ class Frame:
                 self.restart = struct.unpack(">H", body)[0]
             at += 2 + length
             if marker == 0xDA:
+                if not self.components:
+                    raise ValueError("a frame has no size")
                 self.tables = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
                 break
         self.data = media[at:end]
+        # a block has two bits at least, so no damaged size asks for memory that its data do not
+        if -(-self.width // 8) * -(-self.height // 8) > 4 * len(self.data):
+            raise ValueError("a frame's data are too short for its size")
         if self.data[-2:] == b"\xff\xd9":
             self.data = self.data[:-2]
 
@@ -252,6 +258,10 @@ class Frame:
         return shown[: -int(-self.height * v // 1), : -int(-self.width * h // 1)]
 
 
+#: What reading a damaged file raises.
+DAMAGE = (ValueError, KeyError, IndexError, OverflowError, struct.error)
+
+
 def shade(coefficients: np.ndarray) -> np.ndarray:
     return np.clip((coefficients @ INVERSE) / (1 << SCALE_BITS) + 128, 0, 255).astype(np.uint8)
 
@@ -264,7 +274,7 @@ class Avi:
             raise ValueError("not an AVI file")
         try:
             self.read(media)
-        except (KeyError, IndexError, struct.error) as e:
+        except (KeyError, IndexError, OverflowError, struct.error) as e:
             raise ValueError(f"the file is damaged: {e!r}") from e
 
     def read(self, media: bytes) -> None:
@@ -276,6 +286,8 @@ class Avi:
             raise ValueError("the stream has no frame rate")
         self.fps = rate / scale
         self.n_bytes, self.payload_bytes = struct.unpack_from("<QQ", media, stream[b"strd"][0]) if b"strd" in stream else (None, 0)
+        if self.n_bytes is not None and not self.n_bytes <= self.payload_bytes <= len(media):
+            raise ValueError("the stream's own lengths are damaged")
         frames = [Frame(media, at, size) for at, size in self.places(media, top)]
         if not frames:
             raise ValueError("the file has no frame")
@@ -371,7 +383,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
                 try:
                     avi = Avi(data or b"")
                     out += [{"doc_id": doc_id, "clip": k, "start_s": a / avi.fps, "end_s": b / avi.fps, "frames": b - a} for k, (a, b) in enumerate(avi.clips())]
-                except (ValueError, KeyError, IndexError) as e:
+                except DAMAGE as e:
                     out.append({"doc_id": doc_id, "error": str(e)})
             yield pa.RecordBatch.from_pylist(out, kinds)
 
@@ -391,7 +403,7 @@ def describe(media: DataFrame) -> DataFrame:
             payload = avi.payload()
             shots = ",".join(f"{a / avi.fps:.2f}-{b / avi.fps:.2f}" for a, b in avi.clips())
             return [avi.n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{avi.width}x{avi.height};frames={avi.frames};clips={shots}", None]
-        except (ValueError, KeyError, IndexError) as e:
+        except DAMAGE as e:
             return [None] * 4 + [len(data), hashlib.sha256(data).hexdigest(), None, str(e)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

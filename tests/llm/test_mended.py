@@ -1,0 +1,123 @@
+"""Ties beyond any width, damaged headers, broken markup."""
+
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docloom.llm import additive, avi, dom, pages
+
+
+def dot(x, y):
+    """In the order of the components; Python's own sum would make up for what rounding loses."""
+    total = 0.0
+    for p, q in zip(x, y):
+        total += p * q
+    return total
+
+
+def cosine(a, b):
+    return dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)))
+
+
+def test_search_ranks_scaled_copies_by_their_last_bits(spark, monkeypatch):
+    """120 vectors of one direction, cosines equal but for rounding: the five that the double-precision score and the ids give."""
+    monkeypatch.setattr(additive, "BLOCK_ROWS", 530)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=12)
+    x = [(base * (0.1 + 0.37 * i)).tolist() for i in range(120)] + rng.normal(size=(500, 12)).tolist()
+    rows = list(enumerate(x))
+    got = additive.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0).collect()
+    for q in range(0, 620, 50):
+        want = sorted((-cosine(x[q], v), i) for i, v in rows if i != q)[:5]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(i, -s) for s, i in want], q
+
+
+def test_search_of_immense_and_tiny_vectors(spark):
+    rows = [(0, [1e-300, 2e-300]), (1, [3e200, 6.1e200]), (2, [5e-324, 0.0]), (3, [1e308, -1e308]), (50, [1.0, 2.0])]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in additive.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()}
+    assert got[0, 1][0] == 50 and got[50, 1][0] == 0 and got[0, 2][0] == 1 and got[0, 4][0] == 3 and all(-1.0000001 <= s <= 1.0000001 for _, s in got.values()) and len(got) == 8
+
+
+@pytest.mark.parametrize("values", [(0, 0), (1, 0xFF), (2, 0x7F), (3, 0x01)], ids=["zero", "ff", "7f", "one"])
+def test_every_damaged_header_byte_is_a_row(spark, values):
+    """Each byte of the headers, of the first frame's and of the index, and the last ones, in turn."""
+    _, value = values
+    media = avi.write_avi(bytes(range(256)) * 20)
+    start = media.index(b"movi")
+    places = [*range(start + 700), *range(media.index(b"idx1"), len(media))]
+    rows = [(i, media[:i] + bytes([value]) + media[i + 1 :]) for i in places if media[i] != value]
+    rows += [(-1 - k, media[: len(media) * k // 40]) for k in range(40)]
+    length = media.index(b"strd") + 8
+    rows += [(10**6 + k, media[:length] + part + media[length + len(part) :]) for k, part in enumerate((b"\xff" * 8, b"\xff" * 16, b"\0" * 8 + b"\xff" * 8))]
+    df = spark.createDataFrame(rows, "doc_id long, media binary").repartition(4)
+    got = {r.doc_id: r for r in avi.describe(df).collect()}
+    assert len(got) == len(rows) and all(got[10**6 + k].error for k in range(2))
+    assert all((r.error is None) == (r.payload_sha256 is not None) for r in got.values())
+    assert {r.doc_id for r in avi.clip_rows(df).collect()} == set(got)
+
+
+def texts(page):
+    return [v.text for v in dom.order(dom.parse(page)) if v.tag == "#text"]
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p>a</p><script src=/static/app/>var leak=1;</script><p>b", ["a", "b"]),
+        ('<p>a</p><style media="x"/>p{c:1}</style><p>b', ["a", "b"]),
+        ("<p>a <a href=/x/>link</a> c</p>", ["a link c"]),
+        ("<p>a<span/>b</p><p>c<b class=x/>d</p>", ["ab", "cd"]),
+        ("<p>a<svg><path d='M0'/><text>t</text></svg> b<math/>c</p>", ["at bc"]),
+        ("<p>a<title>t<p>rest of page", ["a", "rest of page"]),
+        ("<p>one<noscript>two<p>three", ["onetwo", "three"]),
+        ("<p>one<iframe src=x>two<p>three", ["onetwo", "three"]),
+        ("<p>one<textarea>two<p>three", ["one", "three"]),
+        ("<p>one<template><p>two", ["one", "two"]),
+        ("<p>one<script>var x = 1;<p>two", ["one"]),
+        ("<p>one<noscript>two</noscript>three<noscript>four<p>five", ["onethreefour", "five"]),
+        ("<p>one<object>two<p>three", ["one", "three"]),
+        ("<p>one<xmp>1 < 2</xmp>three", ["one1 < 2three"]),
+    ],
+)
+def test_slashes_and_unclosed_raw_elements(page, want):
+    assert texts(page) == want
+
+
+def test_link_of_an_unquoted_address_with_a_slash_counts():
+    nodes = dom.order(dom.parse("<div><a href=/x/>all of it</a></div>"))
+    assert max(v.link for v in nodes) == len("all of it")
+
+
+def test_scripts_never_leak_from_random_markup():
+    """Slow reading by hand: what stands between a code element's start tag, however written, and its end is not in the text."""
+    rng = random.Random(31)
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 12)):
+            kind = rng.randrange(6)
+            word = f"w{rng.randrange(1000)}"
+            if kind == 0:
+                tag = rng.choice(["script", "style", "SCRIPT"])
+                parts.append(f"<{tag}{rng.choice(['', ' src=/a/', ' src=x /', ' type=\"a>b\"', '/', ' async'])}>LEAK{word}</{tag.lower()}{rng.choice(['', ' '])}>")
+            elif kind == 1:
+                parts.append(rng.choice(["<p>", "<div class=a/>", "</p>", "<li>", "<br/>", "<td>", "</div>", "<b/>", "<a href=/q/>", "</a>"]))
+            elif kind == 2:
+                parts.append(rng.choice(["<!-- LEAK -->", "<noscript>LEAK</noscript>", "<title>LEAK</title>", "<iframe src=/b/>LEAK</iframe>"]))
+            else:
+                parts.append(word + " ")
+        page = "".join(parts)
+        got = " ".join(texts(page))
+        assert "LEAK" not in got, page
+        assert sorted(re.findall(r"w\d+", got)) == sorted(re.findall(r"(?<!LEAK)w\d+", page)), page
+
+
+def test_article_with_code_between_its_blocks(spark):
+    """The whole operator on an article with unquoted addresses in its scripts."""
+    body = "".join(f"<p>Paragraph {i} tells at some length, with commas, about the river, the stone and the evening walk of number {i}.</p><script src=/static/{i}/>var leak={i};</script>" for i in range(8))
+    page = f"<html><body><nav><ul><li><a href=/a/>Home</a><li><a href=/b/>News</a></ul></nav><article><h1>A walk along the river</h1>{body}</article><footer>All rights reserved</footer></body></html>"
+    got = pages.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().text
+    assert "leak" not in got and all(f"evening walk of number {i}." in got for i in range(8)) and "Home" not in got
