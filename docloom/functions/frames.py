@@ -1,8 +1,13 @@
-"""Frames as a whole: how they are dealt out."""
+"""Frames as a whole: how they are dealt out, and written down between the steps of a job."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: A frame that is smaller than so many bytes for each core is dealt out to all cores.
 LEAST_BYTES = 8 << 20
@@ -14,3 +19,45 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * LEAST_BYTES else df
+
+
+@lru_cache(1)
+def local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="docloom-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where none is set, a temporary one if driver and executors are one process (tests), else an error:
+    on a cluster, files in a machine's own folder would be missing when they are read again."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = local_dir()
+    return found.rstrip("/")
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as the JVM has them."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage, so that a lost
+    executor costs a re-read and not a recomputation. The files go when the application ends, or by ``dropped``."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    there, fs = hadoop_path(spark, path)
+    fs.deleteOnExit(there)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of ``staged`` frames that nothing reads any more."""
+    for df in frames:
+        there, fs = hadoop_path(df.sparkSession, df.staged_at)
+        fs.delete(there, True)

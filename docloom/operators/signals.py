@@ -50,19 +50,43 @@ def line_features(lengths: Column, positions: Column) -> Column:
     )
 
 
+def element_features(areas: Column) -> Column:
+    """Struct of the elements of a chart, by their areas: element_count, average_area (0 for none) and size_variance (of the whole; 0 for less than two)."""
+    n = F.size(areas)
+    mean = F.aggregate(areas, F.lit(0.0), lambda a, x: a + x) / n
+    square = F.aggregate(F.transform(areas, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / n
+    return F.struct(n.alias("element_count"), F.when(n > 0, mean).otherwise(0.0).alias("average_area"), F.when(n > 1, square).otherwise(0.0).alias("size_variance"))
+
+
+def chart_features(regions: DataFrame) -> DataFrame:
+    """``regions`` (kind, boxes as ``images.regions`` gives them) with elements of chart_data_elements and lines of grid lines (``element_features``, ``line_features``); null for
+    other kinds."""
+    of = lambda c: F.transform("boxes", lambda b: b[c].cast("double"))
+    across, down = F.col("kind") == "horizontal_grid_lines", F.col("kind") == "vertical_grid_lines"
+    elements = F.when(F.col("kind") == "chart_data_elements", element_features(of("area"))).alias("elements")
+    lines = F.when(across, line_features(of("width"), of("y"))).when(down, line_features(of("height"), of("x"))).alias("lines")
+    return regions.select("*", elements, lines)
+
+
 def page_signals(layouts: DataFrame) -> DataFrame:
     """What ``classify`` goes by, of pages (document_id, page_number, width, height, text, images, drawings) as ``sources.files.layouts`` gives them; pages with an
-    error are left out."""
+    error are left out. Drawings count by the path they were painted with, where they tell it; the grid goes by the ends of the lines."""
     width, height = F.col("width"), F.col("height")
     area = width * height
-    of = lambda c: F.transform("drawings", lambda d: d[c])
+    drawn = layouts.schema["drawings"].dataType.elementType.names
+    lines = F.filter("drawings", lambda d: d["kind"] == "line")
+    each = lambda c: F.transform(lines, lambda d: d[c])
+    ends = lambda *names: F.filter(F.flatten(F.array(*(each(c) for c in names if c in drawn))), lambda x: x.isNotNull())
     count = lambda kind: F.size(F.filter("drawings", lambda d: d["kind"] == kind))
     covered = F.aggregate("images", F.lit(0.0), lambda a, i: a + i["width"] * i["height"])
     n = F.size("drawings")
+    if "path" in drawn:
+        paths = F.transform("drawings", lambda d: d["path"])
+        n = F.size(F.array_distinct(F.filter(paths, lambda p: p.isNotNull()))) + F.size(F.filter(paths, lambda p: p.isNull()))
     rows = layouts.filter("error is null") if "error" in layouts.columns else layouts
     length = text.text_length(F.col("text"))
     return rows.select(
         "document_id", "page_number", "width", "height", length.cast("long").alias("text_length"), text.density(length, width, height).alias("text_density"), F.size("images").cast("long").alias("image_count"),
         area_ratio(covered, width, height).alias("image_area_ratio"), n.cast("long").alias("drawing_count"),
-        table_candidate_score(count("line"), count("rect"), grid_score(of("x"), of("y"), n, width, height), area).alias("table_candidate_score"), (length > 0).alias("has_extractable_text"),
+        table_candidate_score(count("line"), count("rect"), grid_score(ends("x", "x2"), ends("y", "y2"), n, width, height), area).alias("table_candidate_score"), (length > 0).alias("has_extractable_text"),
     )

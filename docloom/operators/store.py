@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.frames import hadoop_path, staged
 from docloom.functions.text import is_uuid
 from docloom.operators.dedup import latest
 
@@ -14,9 +18,12 @@ DEFAULTS = {"validator": "unknown", "check_name": "unknown_check", "severity": "
 
 
 class Store:
-    """Parquet tables under one folder of any Hadoop file system (local, s3a, ...). A write appends rows of a new version of some documents and then, when
-    they are all there, a row for each of these documents to the table's manifest; readers take the version that the manifest has last. So
-    a replacement needs no updates, may be by nothing, and rows of a write that failed half way are never seen."""
+    """Parquet tables under one folder of any Hadoop file system (local, s3a, ...), of which whole documents are replaced by version.
+
+    A write puts its rows, under an id of its own, beside those of all other writes; then the documents that it replaces, in the table's manifest; and last it commits: it creates
+    the file of the next free number among the table's commits, with its id in it. A file system that creates a file for one caller only makes these numbers a
+    sequence, so of two writers that race one is the later, and both are whole. Of each document readers take the rows of its highest commit. So a replacement
+    needs no updates, may be by nothing, and what a failed write has left is never seen. ``compact`` writes what is current anew and drops what is not."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -24,58 +31,117 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def append(self, name: str, rows: DataFrame, version: str | Column, documents: DataFrame | None = None, key: str = "document_id") -> None:
-        """Write a version of the ``documents`` (column ``key``; those of the rows where not given): documents without rows have none from then on."""
-        marked = rows.withColumn("_version", F.lit(version) if isinstance(version, str) else version)
+    def append(self, name: str, rows: DataFrame, label: str = "", documents: DataFrame | None = None, key: str = "document_id") -> int:
+        """Write a version of the ``documents`` (column ``key``; those of the rows where not given): documents without rows have none from then on. The number of
+        the commit; the ``label`` is only kept beside it."""
+        version = f"{label}/{uuid.uuid4().hex}"
+        marked = rows.withColumn("_version", F.lit(version))
         marked.write.mode("append").parquet(self.path(name))
-        listed = marked.select(key, "_version").distinct() if documents is None else documents.select(key, (F.lit(version) if isinstance(version, str) else version).alias("_version")).distinct()
-        listed.write.mode("append").parquet(self.path(f"{name}.manifest"))
+        whose = self.all(name).filter(F.col("_version") == version) if documents is None else documents
+        self._listed(name, whose.select(key).distinct().select(key, F.lit(version).alias("_version"), F.lit(None).cast("long").alias("_commit")))
+        return self._commit(name, version)
+
+    def _listed(self, name: str, documents: DataFrame) -> None:
+        documents.write.mode("append").parquet(self.path(f"{name}.manifest"))
+
+    def _commit(self, name: str, version: str) -> int:
+        """Take the next number: where another writer has it, the one after."""
+        number = max((n for n, _ in self.commits(name)), default=0) + 1
+        while True:
+            path, fs = hadoop_path(self.spark, f"{self.path(name)}.commits/{number:019d}")
+            try:
+                out = fs.create(path, False)
+            except Py4JJavaError:
+                if not fs.exists(path):  # another fault than a file that is there
+                    raise
+                number += 1
+                continue
+            try:
+                out.write(bytearray(version.encode()))
+            finally:
+                out.close()
+            return number
+
+    def commits(self, name: str) -> list[tuple[int, str]]:
+        """(number, write) of all commits, in their order: a small file for each write since the last ``compact``."""
+        path, fs = hadoop_path(self.spark, f"{self.path(name)}.commits")
+        if not fs.exists(path):
+            return []
+        rows = self.spark.read.format("binaryFile").load(f"{self.path(name)}.commits").select(F.element_at(F.split("path", "/"), -1).alias("n"), F.col("content").cast("string").alias("v"))
+        return sorted((int(r.n), r.v) for r in rows.collect() if r.v)
 
     def all(self, name: str) -> DataFrame:
-        """Rows of all versions, whether in the manifest or not."""
+        """Rows of all versions, whether committed or not."""
         return self.spark.read.parquet(self.path(name))
 
+    def versions(self, name: str, key: str = "document_id") -> DataFrame:
+        """(key, _commit, _version) of each document's latest version: the highest number; of the write and its compacted copy, which have the same, the copy."""
+        known = self.spark.createDataFrame(self.commits(name), "_number long, _version string")
+        listed = self.spark.read.parquet(self.path(f"{name}.manifest")).join(F.broadcast(known), "_version")  # a row for each write
+        last = listed.groupBy(key).agg(F.max(F.struct(F.coalesce("_commit", "_number").alias("_commit"), "_number", "_version")).alias("last"))
+        return last.select(key, "last._commit", "last._version")
+
     def current(self, name: str, key: str = "document_id") -> DataFrame:
         """All rows of the latest version of each document."""
-        newest = self.spark.read.parquet(self.path(f"{name}.manifest")).groupBy(key).agg(F.max("_version").alias("_version"))
-        return self.all(name).join(newest, [key, "_version"]).drop("_version")
+        return self.all(name).join(self.versions(name, key).drop("_commit"), [key, "_version"]).drop("_version")
+
+    def compact(self, name: str, key: str = "document_id") -> None:
+        """Write the current rows anew, each document under the number it has, and drop the writes of before. What other writers commit meanwhile stays the later version, and so does
+        a write of theirs that is not committed yet. Readers that have begun before find their files gone, and have to begin again."""
+        before = self.commits(name)
+        old = [v for _, v in before]
+        latest_ = staged(self.versions(name, key).filter(F.col("_version").isin(old)), "versions")
+        version = f"compact/{uuid.uuid4().hex}"
+        kept = self.all(name).join(latest_.select(key, "_version"), [key, "_version"]).withColumn("_version", F.lit(version))
+        files = self._files(name, old), self._files(f"{name}.manifest", old)
+        kept.select(*self.all(name).columns).write.mode("append").parquet(self.path(name))
+        self._listed(name, latest_.select(key, F.lit(version).alias("_version"), "_commit"))
+        self._commit(name, version)
+        for number, _ in before:
+            self._drop(f"{self.path(name)}.commits/{number:019d}")
+        for path in (p for part in files for p in part):
+            self._drop(path)
+
+    def _files(self, table: str, versions: list[str]) -> list[str]:
+        """Files of a table that hold rows of these writes: each file is of one."""
+        return [r.f for r in self.spark.read.parquet(self.path(table)).filter(F.col("_version").isin(versions)).select(F.input_file_name().alias("f")).distinct().collect()]
+
+    def _drop(self, path: str) -> None:
+        there, fs = hadoop_path(self.spark, path)
+        fs.delete(there, True)
 
     def by_id(self, name: str, document_id: str, key: str = "document_id") -> DataFrame:
         """Rows of one document; none, and no error, for a malformed id."""
         return self.current(name, key).filter(is_uuid(F.lit(document_id)) | (F.length(F.lit(document_id)) == 64)).filter(F.col(key) == document_id)
 
     def delete(self, name: str) -> None:
-        for table in (f"{name}.manifest", name):
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for table in (f"{name}.commits", f"{name}.manifest", name):
+            self._drop(self.path(table))
 
     def exists(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        path, fs = hadoop_path(self.spark, self.path(name))
+        return fs.exists(path)
 
 
 class Blobs:
-    """Contents by reference, in one Parquet table of any Hadoop file system: a few large files in place of one for each content. Contents are never
-    changed; a deletion is a row without content, and what is stored after it counts again."""
+    """Contents by reference, in one table of ``Store``: a few large files in place of one for each content. Contents are never
+    changed; a deletion is a version without rows, and what is stored after it counts again."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.path = spark, f"{root.rstrip('/')}/blobs"
+        self.spark, self.store = spark, Store(spark, root)
 
-    def put(self, blobs: DataFrame, version: str) -> None:
+    def put(self, blobs: DataFrame, label: str = "") -> int:
         """Store blobs (storage_reference, content)."""
-        blobs.select("storage_reference", "content", F.lit(version).alias("_version")).write.mode("append").parquet(self.path)
+        return self.store.append("blobs", blobs.select("storage_reference", "content").filter("content is not null"), label, key="storage_reference")
 
-    def delete(self, references: DataFrame, version: str) -> None:
+    def delete(self, references: DataFrame, label: str = "") -> int:
         """Delete what ``references`` (storage_reference) name."""
-        self.put(references.select("storage_reference").distinct().withColumn("content", F.lit(None).cast("binary")), version)
+        named = references.select("storage_reference")
+        return self.store.append("blobs", named.limit(0).withColumn("content", F.lit(None).cast("binary")), label, named, "storage_reference")
 
     def current(self) -> DataFrame:
         """(storage_reference, content) of all that is stored; of a reference written twice, the content comes once."""
-        rows = self.spark.read.schema("storage_reference string, content binary, _version string").parquet(self.path)
-        last = rows.groupBy("storage_reference").agg(F.max(F.struct("_version", F.sha2("content", 256).alias("sha"))).alias("last"))
-        kept = last.filter("last.sha is not null").select("storage_reference", F.col("last._version").alias("_version"))
-        return rows.join(kept, ["storage_reference", "_version"]).dropDuplicates(["storage_reference"]).select("storage_reference", "content")
+        return self.store.current("blobs", "storage_reference").dropDuplicates(["storage_reference"]).select("storage_reference", "content")
 
     def get(self, references: DataFrame) -> DataFrame:
         """(storage_reference, content) of those that exist."""

@@ -9,12 +9,21 @@ LEAST_POINTS, MOST_LINES = 4, 50
 
 
 def intersections(horizontal: DataFrame, vertical: DataFrame) -> DataFrame:
-    """(document_id, page_number, x, y) where segments cross: horizontal (x1, x2, y), vertical (x, y1, y2). The page is an equi-key, so
-    that the range test is only made within a page."""
-    h = horizontal.select("document_id", "page_number", F.col("x1").alias("hx1"), F.col("x2").alias("hx2"), F.col("y").alias("y"))
-    v = vertical.select("document_id", "page_number", F.col("x").alias("x"), F.col("y1").alias("vy1"), F.col("y2").alias("vy2"))
-    met = h.join(v, ["document_id", "page_number"]).filter("hx1 <= x and x <= hx2 and vy1 <= y and y <= vy2")
-    return met.select("document_id", "page_number", "x", "y")
+    """(document_id, page_number, x, y) where segments cross: horizontal (x1, x2, y), vertical (x, y1, y2).
+
+    Each page has a grid of square cells, as wide as its segments are long on average; a segment goes to the cells that it passes, two for each segment of
+    the page at most, on the whole. A crossing lies in one cell, in which alone both segments meet; so what is tested is near a crossing, whatever the
+    number of lines of the page. Segments with a null, or that end before they begin, cross nothing."""
+    page = ["document_id", "page_number"]
+    h = horizontal.select(*page, F.col("x1").alias("hx1"), F.col("x2").alias("hx2"), F.col("y").alias("y")).filter("hx1 <= hx2 and y is not null")
+    v = vertical.select(*page, F.col("x").alias("x"), F.col("y1").alias("vy1"), F.col("y2").alias("vy2")).filter("vy1 <= vy2 and x is not null")
+    lengths = h.select(*page, (F.col("hx2") - F.col("hx1")).alias("l")).unionByName(v.select(*page, (F.col("vy2") - F.col("vy1")).alias("l")))
+    sides = lengths.groupBy(*page).agg(F.avg("l").alias("side")).withColumn("side", F.when(F.col("side") > 0, F.col("side")).otherwise(1.0))
+    cell = lambda c: F.floor(F.col(c) / F.col("side"))
+    h = h.join(sides, page).withColumns({"cy": cell("y"), "cx": F.explode(F.sequence(cell("hx1"), cell("hx2")))}).drop("side")
+    v = v.join(sides, page).withColumns({"cx": cell("x"), "cy": F.explode(F.sequence(cell("vy1"), cell("vy2")))}).drop("side")
+    met = h.join(v, [*page, "cx", "cy"]).filter("hx1 <= x and x <= hx2 and vy1 <= y and y <= vy2")
+    return met.select(*page, "x", "y")
 
 
 def grids(points: DataFrame) -> DataFrame:
@@ -46,6 +55,17 @@ def from_segments(segments: DataFrame) -> DataFrame:
     return grids(intersections(horizontal, vertical))
 
 
+def texts_in(grid: DataFrame, spans: DataFrame) -> DataFrame:
+    """(document_id, page_number, row_index, column_index, text, confidence) of the spans (document_id, page_number, x, y, size, text; y is the baseline) within the cells of
+    each ``grids`` row: a cell's spans from top to bottom and left to right, joined by blanks. Texts that a file says itself have confidence one."""
+    at = spans.select("document_id", "page_number", F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("y") - F.col("size") * 0.3).alias("middle"), "text")
+    inside = lambda lines, v: F.size(F.filter(lines, lambda line: line <= v)) - 1
+    met = at.join(grid.select("document_id", "page_number", "xs", "ys"), ["document_id", "page_number"]).withColumns({"row_index": inside("ys", F.col("middle")), "column_index": inside("xs", F.col("sx"))})
+    met = met.filter((F.col("row_index") >= 0) & (F.col("row_index") < F.size("ys") - 1) & (F.col("column_index") >= 0) & (F.col("column_index") < F.size("xs") - 1))
+    each = met.groupBy("document_id", "page_number", "row_index", "column_index").agg(F.array_sort(F.collect_list(F.struct("sy", "sx", "text"))).alias("spans"))
+    return each.select("document_id", "page_number", "row_index", "column_index", F.array_join(F.transform("spans", lambda s: s["text"]), " ").alias("text"), F.lit(1.0).alias("confidence"))
+
+
 def filled(grid: DataFrame, texts: DataFrame) -> DataFrame:
     """Tables (document_id, page_number, row_count, column_count, ...) with table_data and extraction_confidence from the texts of their cells (document_id,
     page_number, row_index, column_index, text, confidence): a cell without text is ''."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.frames import staged
 from docloom.operators import dedup, findings, quality
 from docloom.schemas import VALIDATION_RUN, shaped
 
@@ -43,7 +44,7 @@ def validate(
     due = due.withColumn("id", F.sha2(F.concat_ws("|", F.lit("run"), "document_id", "input_hash", F.col("created_at").cast("string")), 256))
     of_due = lambda df: df.join(due.select("document_id"), "document_id", "left_semi")
     texts, tables, charts = of_due(texts), of_due(tables), of_due(charts)
-    found = all_findings(texts, tables, charts)
+    found = staged(all_findings(texts, tables, charts), "findings")  # the scores and the caller read them, the checks are made once
     score = quality.assess(texts, tables, charts, found, weights)
     scored = due.join(score, "document_id", "left")
     done = scored.select(

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import numeric, text
-from docloom.functions.frames import spread
+from docloom.functions import numeric, regions, text
+from docloom.functions.frames import shared_dir, spread, staged
 from docloom.operators import classify, dedup, findings, images, quality, routing, signals, store, tables, validation, views
 from docloom.plans import inputs
 from docloom.plans.inputs import frame, plain
+from docloom.sources import files, pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -522,6 +524,235 @@ def findings_of_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.run_with_findings(runs, rows).select("document_id", "validation_run_id", "id", "status", "severity")
 
 
+_SENT = f"""
+with f as ({plain(inputs.FINDINGS)}), s as (select id, document_id, created_at, case when id % 4 = 0 then null else status end as status, case when id % 3 = 0 then null else 'schema' end as validator, case when id % 5 = 0 then null else severity end as severity,
+  case when id % 7 = 0 then null else 'said' end as message from (select * replace (cast(id as bigint) as id) from f))
+"""
+
+
+@query(_SENT + """select id, document_id, coalesce(validator, 'unknown') as validator, 'unknown_check' as check_name, coalesce(severity, 'info') as severity, coalesce(message, '') as message from s""")
+def finding_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that lack some of what they should say."""
+    k = F.col("id").cast("long")
+    some = lambda n, value: F.when(k % n != 0, value)
+    rows = frame(spark, sf_dir, inputs.FINDINGS).select(k.alias("id"), "document_id", some(3, F.lit("schema")).alias("validator"), F.lit(None).cast("string").alias("check_name"), some(5, F.col("severity")).alias("severity"), some(7, F.lit("said")).alias("message"))
+    return store.with_defaults(rows)
+
+
+@query(f"with r as ({plain(inputs.RUNS)}) select id, document_id, status, case when status in ('completed', 'failed') then created_at end as completed_at from r")
+def run_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, inputs.RUNS).select("id", "document_id", "status", store.completed_at(F.col("status"), F.col("created_at")).alias("completed_at"))
+
+
+@query(f"""with f as ({plain(inputs.FINDINGS)}), r as ({plain(inputs.RUNS)}), w as (select max_by(id, created_at) as id from r)
+select r.id as run_id, r.status as run_status, f.id, f.status, f.severity from w join r using (id) join f on f.document_id = r.document_id""")
+def run_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest run of all, by its id, with the findings of its document."""
+    runs = frame(spark, sf_dir, inputs.RUNS)
+    own = runs.select(F.col("id").alias("validation_run_id"), "document_id")
+    found = frame(spark, sf_dir, inputs.FINDINGS).join(own, "document_id").select("validation_run_id", "id", "status", "severity", "created_at")
+    run_id = runs.agg(F.max_by("id", "created_at")).first()[0]
+    run, rows = store.run(runs, found, run_id)
+    return rows.join(run.select(F.col("id").alias("validation_run_id"), F.col("status").alias("run_status")), "validation_run_id").select(F.col("validation_run_id").alias("run_id"), "run_status", "id", "status", "severity")
+
+
+_READING = "row_number() over (partition by document_id order by {0}) as place"
+
+
+@query(f"""
+with e as (select conv_id as document_id, turn as page_number, role as extraction_method from conversations), t as ({plain(inputs.PAGE_TABLES)}), c as ({plain(inputs.CHARTS)}),
+a as (select cast(document_id as varchar) as document_id, 'text' as kind, cast(page_number as bigint) as page_number, {_READING.format('page_number')} from e
+  union all select document_id, 'table', page_number, {_READING.format('page_number, table_index')} from t union all select document_id, 'chart', page_number, {_READING.format('page_number, chart_index')} from c)
+select document_id, kind, page_number, cast(place as bigint) as place from a""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, tables and charts of documents as their views give them: each with its place among its document's rows, as they come."""
+    texts_ = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").alias("page_number"), "role")
+    views_ = {"text": views.extractions(texts_), "table": views.tables(frame(spark, sf_dir, inputs.PAGE_TABLES)), "chart": views.charts(frame(spark, sf_dir, inputs.CHARTS))}
+
+    def numbered(batches):
+        import pyarrow as pa
+
+        last, place = None, 0
+        for batch in batches:
+            places = []
+            for document_id in batch.column(0).to_pylist():
+                place = place + 1 if document_id == last else 1
+                last = document_id
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], ["document_id", "kind", "page_number", "place"])
+
+    out = None
+    for kind, rows in views_.items():
+        part = rows.select("document_id", F.lit(kind).alias("kind"), F.col("page_number").cast("long").alias("page_number")).mapInArrow(numbered, "document_id string, kind string, page_number long, place long")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(_VALIDATED.replace("ocr * 3e-1 + validation * 4e-1 + 75e0 * 2e-1 + 9e1 * 1e-1", "ocr * 1e-1 + validation * 6e-1 + 75e0 * 2e-1 + 9e1 * 1e-1") + """select cast(k as varchar) as document_id, score as overall_quality_score, case when score >= 85 and not wrong then 'approved' else 'flagged' end as final_decision,
+  '{"approve_at": 85.0, "tolerance": 0.01, "weights": {"completeness": 0.1, "ocr": 0.1, "structure": 0.2, "validation": 0.6}}' as config_snapshot from s""")
+def validate_with_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``validate_documents`` by other weights, which the runs keep."""
+    t = string_tables(spark, sf_dir)
+    documents = t.select(F.col("document_id").alias("id"), F.sha2("document_id", 256).alias("checksum_sha256"), F.lit("structured").alias("status"))
+    runs, _ = validation.validate(documents, _texts(t), t, _charts(t), F.lit("2024-01-01 00:00:00"), weights={"ocr": 0.1, "validation": 0.6})
+    return runs.select("document_id", "overall_quality_score", "final_decision", "config_snapshot")
+
+
+@query(f"""
+with d as (select cast(o_custkey as varchar) as document_id, 1 + o_orderkey % 3 as version, cast(o_orderkey as bigint) as n from orders),
+l as (select document_id, max(version) as version from d group by 1) select document_id, n from d join l using (document_id, version) where version < 3 or n % 2 = 0""")
+def replaced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written three times over, compacted in between: the rows of each one's latest version. The third version keeps even rows only."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("document_id"), (1 + F.col("o_orderkey") % 3).alias("version"), F.col("o_orderkey").cast("long").alias("n"))
+    kept = store.Store(spark, f"{shared_dir(spark)}/replaced-{uuid.uuid4().hex}")
+    for version in (1, 2, 3):
+        part = rows.filter(F.col("version") == version)
+        kept.append("rows", part.filter("version < 3 or n % 2 = 0").select("document_id", "n"), f"v{version}", part.select("document_id"))
+        if version == 2:
+            kept.compact("rows")
+    return kept.current("rows")
+
+
+# ---- files: documents printed to PDF, and read again
+
+
+def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a PDF file of ``PRINTED_LINES`` lines a page."""
+    rows = frame(spark, sf_dir, inputs.PRINTED).withColumn("t", F.split(F.regexp_replace("t", f"(?s)(.{{{inputs.PRINTED_LINE}}})(?=.)", "$1\n"), "\n"))
+
+    def write(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            files = []
+            for lines in batch.column(1).to_pylist():
+                pages = [lines[i : i + inputs.PRINTED_LINES] for i in range(0, len(lines), inputs.PRINTED_LINES)]
+                files.append(pdf.write([{"width": 612, "height": 792, "spans": [(50, 40 + 14 * i, 10, line) for i, line in enumerate(page)]} for page in pages]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["application/pdf"] * len(files)), pa.array(files, pa.binary())], ["document_id", "content_type", "content"])
+
+    return spread(rows.select(F.col("doc_id").cast("string").alias("document_id"), "t")).mapInArrow(write, "document_id string, content_type string, content binary")
+
+
+@query(f"""
+with p as ({plain(inputs.PRINTED)}), n as (select doc_id, t, unnest(range(greatest(1, cast(ceil(length(t) / {inputs.PRINTED_LINE * inputs.PRINTED_LINES}e0) as bigint)))) as page from p),
+c as (select doc_id, page, substr(t, page * {inputs.PRINTED_LINE * inputs.PRINTED_LINES} + 1, {inputs.PRINTED_LINE * inputs.PRINTED_LINES}) as s from n),
+l as (select cast(doc_id as varchar) as document_id, cast(page + 1 as integer) as page_number, length(trim(s)) + greatest(0, cast(ceil(length(s) / {inputs.PRINTED_LINE}e0) as bigint) - 1) as text_length from c)
+select document_id, page_number, 612e0 as width, 792e0 as height, text_length, cast(0 as bigint) as drawing_count, text_length / (612e0 * 792e0) as text_density,
+  case when text_length >= 50 and text_length / (612e0 * 792e0) >= 1e-3 then 'typed_text' else 'mixed' end as classification from l""")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents printed to PDF and read again: signals and classes of their pages."""
+    pages = classify.classify(signals.page_signals(files.layouts(printed(spark, sf_dir))))
+    return pages.select("document_id", "page_number", "width", "height", "text_length", "drawing_count", "text_density", "classification")
+
+
+@query(f"""
+with p as ({plain(inputs.PRINTED)}) select cast(doc_id as varchar) as document_id, cast(greatest(1, ceil(length(t) / {inputs.PRINTED_LINE * inputs.PRINTED_LINES}e0)) as bigint) as pages, md5(replace(t, ' ', '')) as letters from p""")
+def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents printed to PDF and read again: each letter is where it was."""
+    pages = files.pages(printed(spark, sf_dir)).filter("error is null")
+    whole = pages.groupBy("document_id").agg(F.count("*").alias("pages"), F.array_sort(F.collect_list(F.struct("page_number", "raw_text"))).alias("texts"))
+    return whole.select("document_id", "pages", F.md5(F.regexp_replace(F.array_join(F.transform("texts", lambda t: t["raw_text"]), ""), "[ \n]", "")).alias("letters"))
+
+
+RULED_WIDTHS, RULED_HEIGHT = (60, 40, 80), 20
+
+
+def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a PDF page with a ruled table: a header and a row for each of its lines."""
+    row = F.struct("l_linenumber", "part", "quantity", "price")
+    orders = frame(spark, sf_dir, inputs.RULED).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def write(batches):
+        import pyarrow as pa
+
+        xs = [10 + sum(RULED_WIDTHS[:i]) for i in range(len(RULED_WIDTHS) + 1)]
+        for batch in batches:
+            out = []
+            for rows in batch.column(1).to_pylist():
+                cells = [("Item", "Quantity", "Price")] + [(r["part"], r["quantity"], r["price"]) for r in rows]
+                bottom = 10 + RULED_HEIGHT * len(cells)
+                lines = [(x, 10, x, bottom) for x in xs] + [(xs[0], 10 + RULED_HEIGHT * i, xs[-1], 10 + RULED_HEIGHT * i) for i in range(len(cells) + 1)]
+                spans = [(x + 3, 10 + RULED_HEIGHT * i + 14, 8, text) for i, texts in enumerate(cells) for x, text in zip(xs, texts)]
+                out.append(pdf.write([{"width": xs[-1] + 10, "height": bottom + 10, "lines": lines, "spans": spans}]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["application/pdf"] * len(out)), pa.array(out, pa.binary())], ["document_id", "content_type", "content"])
+
+    return spread(orders.select(F.col("l_orderkey").cast("string").alias("document_id"), "rows")).mapInArrow(write, "document_id string, content_type string, content binary")
+
+
+@query(f"""
+with r as ({plain(inputs.RULED)}), o as (select l_orderkey, count(*) as n, string_agg(part || '|' || quantity || '|' || price, ';' order by l_linenumber, part, quantity, price) as cells from r group by 1)
+select cast(l_orderkey as varchar) as document_id, 1 as page_number, cast(n + 1 as integer) as row_count, 3 as column_count, least((n + 2) * 4 / 1e2, 1e0) as structure_confidence, 1e0 as extraction_confidence,
+  'Item|Quantity|Price;' || cells as cells from o""")
+def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ruled tables of PDF pages, and these as tables again: file, drawings, picture, lines, grid, cells, texts."""
+    found = images.page_tables(files.layouts(ruled(spark, sf_dir)))
+    cells = F.array_join(F.transform("table_data", lambda r: F.array_join(r, "|")), ";")
+    return found.select("document_id", "page_number", "row_count", "column_count", "structure_confidence", "extraction_confidence", cells.alias("cells"))
+
+
+@query("""
+with o as (select l_orderkey, list(cast(l_quantity as double)) as areas, count(*) as n, avg(cast(l_quantity as double)) as m, var_pop(cast(l_quantity as double)) as v,
+  list_sort(list(cast(l_linenumber * l_linenumber + l_partkey % 3 as double))) as p from lineitem group by 1),
+g as (select *, list_transform(range(2, len(p) + 1), lambda i: p[i] - p[i - 1]) as gaps from o)
+select l_orderkey, cast(n as integer) as element_count, m as average_area, case when n > 1 then v else 0e0 end as size_variance, cast(n as integer) as line_count, m as average_length, case when n > 1 then v else 0e0 end as length_variance,
+  case when n > 2 then 1e0 - list_var_pop(gaps) / (list_avg(gaps) + 1e-6) else 0e0 end as regularity from g""")
+def chart_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as charts: their lines are bars, by quantity as area, and grid lines, by quantity as length."""
+    box = F.struct(*(c.cast("double").alias(n) for n, c in (("x", F.lit(0)), ("y", F.expr("l_linenumber * l_linenumber + l_partkey % 3")), ("width", F.col("l_quantity")), ("height", F.lit(1)), ("area", F.col("l_quantity")))))
+    charts = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(box).alias("boxes"))
+    kinds = charts.withColumn("kind", F.explode(F.array(F.lit("chart_data_elements"), F.lit("horizontal_grid_lines"))))
+    both = signals.chart_features(kinds).groupBy("l_orderkey").agg(F.max("elements").alias("e"), F.max("lines").alias("l"))
+    return both.select("l_orderkey", "e.element_count", "e.average_area", "e.size_variance", "l.line_count", "l.average_length", "l.length_variance", "l.regularity")
+
+
+# ---- pictures of pages drawn from orders
+
+BAR_SIDE, BAR_GAP, BAR_BASE = 12, 8, 70
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a page with a bar chart: a base line, and a filled bar for each of its lines, as high as its quantity."""
+    height = F.col("l_quantity").cast("int")
+    orders = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", height.alias("h")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "h"))).alias("rows"))
+    wide = F.size("rows") * (BAR_SIDE + BAR_GAP) + 20
+    kind = "struct<kind:string,x:double,y:double,x2:double,y2:double,path:int,fill:boolean,level:int>"
+    bar = lambda r, i: F.struct(F.lit("rect"), 10 + i * (BAR_SIDE + BAR_GAP), BAR_BASE - r["h"], 10 + i * (BAR_SIDE + BAR_GAP) + BAR_SIDE, F.lit(BAR_BASE), i, F.lit(True), F.lit(60)).cast(kind)
+    drawn = F.transform("rows", bar)
+    return orders.select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit(1).alias("page_number"), wide.cast("double").alias("width"), F.lit(BAR_BASE + 20.0).alias("height"), drawn.alias("drawings"), F.lit(None).cast("string").alias("error"))
+
+
+@query(f"""
+with o as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, cast(l_quantity as integer)) - 1 as i, cast(l_quantity as integer) as h from lineitem)
+select cast(l_orderkey as varchar) as document_id, 10 + i * {BAR_SIDE + BAR_GAP} as x, {BAR_BASE} - h as y, {BAR_SIDE} as width, h as height, cast({BAR_SIDE - 1} * (h - 1) as double) as area from o""")
+def bar_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of drawn charts, found again in their pictures: boxes and polygon areas of the outermost contours of what is dark."""
+
+    def found(r: dict, x) -> list[dict]:
+        return [{"document_id": r["document_id"], **{k: c[k] for k in ("x", "y", "width", "height", "area")}} for c in regions.contours(x < 128)]
+
+    rows = images.each_picture(spread(images.rendered(bars(spark, sf_dir))), ["document_id"], "document_id string, x long, y long, width long, height long, area double", found)
+    return rows.filter("error is null").drop("error")
+
+
+@query("select cast(l_orderkey as varchar) as document_id, count(*) + 2 as across, cast(4 as bigint) as down from lineitem group by 1")
+def ruled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ruled tables by voting, in their pictures: how many segments across and down."""
+
+    def found(r: dict, x) -> list[dict]:
+        lines = regions.line_segments(x < 128, votes=30, least=30, gap=5)
+        return [{"document_id": r["document_id"], "across": sum(abs(c - a) > abs(d - b) for a, b, c, d in lines), "down": sum(abs(c - a) < abs(d - b) for a, b, c, d in lines)}]
+
+    rows = images.each_picture(spread(images.rendered(files.layouts(ruled(spark, sf_dir)))), ["document_id"], "document_id string, across long, down long", found)
+    return rows.filter("error is null").drop("error")
+
+
+@query()
+def page_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of drawn charts, with their regions; every page has one of ``images.DIMENSIONS`` numbers."""
+    pictures = images.rendered(bars(spark, sf_dir)).select(F.col("document_id").cast("long").alias("image_id"), F.lit("chart_graph").alias("classification"), "height", "width", "data", "error")
+    return images.embed(staged(images.page_features(spread(pictures)), "features"))
+
+
 # ---- images (beyond SQL)
 
 

@@ -82,14 +82,29 @@ select cast(user_id as string) as document_id, ts as at_time,
 from {events}"""
 
 
+#: Characters of a line and lines of a page of the PDF that a document is printed to.
+PRINTED_LINE, PRINTED_LINES = 80, 50
+#: White space and control characters, as they are: neither side has to read an escape.
+BLANKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x01, 0x20), (0x7F, 0xA0), (0x1680, 0x1680), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF)))
+#: Documents as lines of text: white space is one blank.
+PRINTED = f"select doc_id, trim(regexp_replace(coalesce(text, ''), '[{BLANKS}]+', ' '{{g}})) as t from {{documents}}"
+
+#: Each order as a ruled table of its lines.
+RULED = """
+select l_orderkey, l_linenumber, cast(l_partkey as string) as part, cast(cast(l_quantity as int) as string) as quantity, cast(cast(l_extendedprice as decimal(18,2)) as string) as price
+from {lineitem}"""
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of one of these inputs."""
+    sql = sql.replace("{g}", "")
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
     return spark.sql(sql, **used)
 
 
 def plain(sql: str) -> str:
-    """The same SQL over tables by name."""
+    """The same SQL over tables by name; where Spark replaces all matches unasked, it is told to."""
+    sql = sql.replace("{g}", ", 'g'")
     for t in TABLES:
         sql = sql.replace(f"{{{t}}}", t)
     return sql

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from docloom.sources import pdf
+
 #: Content types by the end of a name.
 TYPES = {"pdf": "application/pdf", "txt": "text/plain", "html": "text/html", "htm": "text/html", "json": "application/json", "csv": "text/csv", "png": "image/png", "jpg": "image/jpeg"}
 
 #: An adapter yields the texts of a file's pages, or for a page that can not be read the exception it met; what it raises itself is the file's fault.
 Adapter = Callable[[bytes], Iterable[str | None | Exception]]
-#: One that yields, for each page, a dict of width, height, text, images (width, height) and drawings (kind, x, y), or the exception it met.
+#: One that yields, for each page, a dict of width, height, text, images (width, height), drawings (kind, x, y, and where they are known x2, y2, path, fill, level) and spans (x, y,
+#: size, text), or the exception it met.
 LayoutAdapter = Callable[[bytes], Iterable[dict | Exception]]
 #: An OCR engine: the tokens of a picture (its bytes) with their confidences, 0 to 100, negative for none.
 OcrAdapter = Callable[[bytes], Iterable[tuple[str, float]]]
@@ -46,44 +49,11 @@ def text_pages(data: bytes) -> list[str | None]:
     return data.decode("utf-8", "replace").split("\f")
 
 
-def pdf_pages(data: bytes) -> Iterator[str | None | Exception]:
-    """Pages of a PDF, where a reader is installed."""
-    import io
-
-    from pypdf import PdfReader  # optional
-
-    for page in PdfReader(io.BytesIO(data)).pages:
-        try:
-            yield page.extract_text()
-        except Exception as e:  # noqa: BLE001  one page's fault is its row's
-            yield e
-
-
-def pdf_layouts(data: bytes) -> Iterator[dict | Exception]:
-    """Sizes, texts, images and drawn rectangles and lines of a PDF's pages, where a reader is installed."""
-    import io
-
-    from pypdf import PdfReader  # optional
-
-    for page in PdfReader(io.BytesIO(data)).pages:
-        try:
-            drawings: list[tuple[str, float, float]] = []
-
-            def seen(operator, operands, matrix, _, drawings=drawings) -> None:
-                if operator in (b"re", b"l"):
-                    x, y = float(operands[0]), float(operands[1])
-                    drawings.append(("rect" if operator == b"re" else "line", matrix[0] * x + matrix[2] * y + matrix[4], matrix[1] * x + matrix[3] * y + matrix[5]))
-
-            text = page.extract_text(visitor_operand_before=seen)
-            yield {"width": float(page.mediabox.width), "height": float(page.mediabox.height), "text": text, "images": [tuple(map(float, i.image.size)) for i in page.images], "drawings": drawings}
-        except Exception as e:  # noqa: BLE001
-            yield e
-
-
-ADAPTERS: dict[str, Adapter] = {"text/plain": text_pages, "application/pdf": pdf_pages}
-LAYOUTS: dict[str, LayoutAdapter] = {"application/pdf": pdf_layouts}
+ADAPTERS: dict[str, Adapter] = {"text/plain": text_pages, "application/pdf": pdf.texts}
+LAYOUTS: dict[str, LayoutAdapter] = {"application/pdf": pdf.layouts}
+DRAWING, SPAN = ("kind", "x", "y", "x2", "y2", "path", "fill", "level"), ("x", "y", "size", "text")
 PAGE = "document_id string, page_number int, raw_text string, text_length long, error string"
-LAYOUT = "document_id string, page_number int, width double, height double, text string, images array<struct<width:double,height:double>>, drawings array<struct<kind:string,x:double,y:double>>, error string"
+LAYOUT = "document_id string, page_number int, width double, height double, text string, images array<struct<width:double,height:double>>, drawings array<struct<kind:string,x:double,y:double,x2:double,y2:double,path:int,fill:boolean,level:int>>, spans array<struct<x:double,y:double,size:double,text:string>>, error string"
 
 
 def said(e: Exception) -> str:
@@ -116,11 +86,11 @@ def pages(files: DataFrame, adapters: dict[str, Adapter] | None = None) -> DataF
 
 
 def layouts(files: DataFrame, adapters: dict[str, LayoutAdapter] | None = None) -> DataFrame:
-    """(document_id, page_number, width, height, text, images, drawings, error): what ``signals.page_signals`` goes by, a row for each page; errors as in ``pages``."""
+    """(document_id, page_number, width, height, text, images, drawings, spans, error): what ``signals.page_signals`` goes by, a row for each page; errors as in ``pages``."""
 
     def row(page: dict) -> dict:
         images = [{"width": w, "height": h} for w, h in page.get("images", [])]
-        return {"width": page["width"], "height": page["height"], "text": page.get("text"), "images": images, "drawings": [{"kind": k, "x": x, "y": y} for k, x, y in page.get("drawings", [])]}
+        return {"width": page["width"], "height": page["height"], "text": page.get("text"), "images": images, "drawings": [dict(zip(DRAWING, d)) for d in page.get("drawings", [])], "spans": [dict(zip(SPAN, x)) for x in page.get("spans", [])]}
 
     return _read(files, adapters or LAYOUTS, row, LAYOUT)
 
