@@ -158,33 +158,36 @@ def banded(distinct: DataFrame) -> DataFrame:
 
 
 def clustered(members: DataFrame, bucket: list[str], percent: int) -> DataFrame:
-    """(c, n_c, x, n): the ``members`` (*bucket, node, n) of all buckets of which c, of n_c shingles, is the pivot: the least set, of these the least node. Without the pivot itself.
+    """(c, n_c, root_c, x, n, root): the ``members`` (*bucket, node, n, and root where it is not the node) of all buckets of which c, of n_c shingles, is the pivot: the least set, of these
+    the least node. Without the pivot itself.
 
     A bucket is cut in classes of size, as wide as the sizes of near sets differ at most; each set is of its own class and the next, so near sets meet, and short texts do not gather
     around what they share with all others."""
     several = members.groupBy(*bucket).agg(F.count("*").alias("size")).filter("size > 1").select(*bucket)
     own = F.floor(F.log("n") / F.lit(log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0)).cast("int")
     sized = staged(members.join(several, bucket).withColumn("class", F.explode(F.array(own, own + 1))), "sized")
-    cells = [*bucket, "class"]
-    buckets = sized.groupBy(*cells).agg(F.count("*").alias("size"), F.min(F.struct("n", "node")).alias("least")).filter("size > 1").drop("size")
+    cells, root = [*bucket, "class"], "root" if "root" in members.columns else "node"
+    buckets = sized.groupBy(*cells).agg(F.count("*").alias("size"), F.min(F.struct(*dict.fromkeys(("n", "node", root)))).alias("least")).filter("size > 1").drop("size")
     met = sized.join(buckets, cells).filter(F.col("node") != F.col("least.node"))
-    return met.groupBy(F.col("least.node").alias("c"), F.col("node").alias("x")).agg(F.first("least.n").alias("n_c"), F.first("n").alias("n"))
+    return met.groupBy(F.col("least.node").alias("c"), F.col("node").alias("x")).agg(F.first("least.n").alias("n_c"), F.first(f"least.{root}").alias("root_c"), F.first("n").alias("n"), F.first(root).alias("root"))
 
 
-def with_roots(clusters: DataFrame, roots: DataFrame) -> DataFrame:
-    """``clusters`` (c, n_c, x, n) that links have not connected yet, with root and root_c of their members and pivots."""
-    root = lambda node: roots.select(F.col("node").alias(node), F.col("root").alias(f"_{node}"))
-    known = clusters.join(root("x"), "x", "left").join(root("c"), "c", "left").select("c", "n_c", "x", "n", F.coalesce("_x", "x").alias("root"), F.coalesce("_c", "c").alias("root_c"))
-    known = staged(known, "roots")
-    return known.join(known.filter("root != root_c").select("c").distinct(), "c", "left_semi")
+def with_roots(clusters: DataFrame, links: DataFrame) -> DataFrame:
+    """``clusters`` (c, x, n) in which some member has no link (a, b) with its pivot: these are its probers (probe). Members of equal root are connected: all that are linked with one
+    pivot, the least of those that they are linked with."""
+    direct = links.select(F.col("a").alias("c"), F.col("b").alias("x"))
+    roots = direct.groupBy("x").agg(F.min("c").alias("_root"))
+    known = clusters.join(direct.withColumn("_done", F.lit(True)), ["c", "x"], "left").join(roots, "x", "left")
+    known = staged(known.select("c", "x", "n", F.coalesce("_root", "x").alias("root"), F.col("_done").isNull().alias("probe")), "roots")
+    return known.join(known.filter("probe").select("c").distinct(), "c", "left_semi")
 
 
 def divided(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Buckets (c, s, node, n) of large ``clusters`` (c, x, n, root, root_c), named by a pivot and a shingle outside it, in which every two members meet that may be linked and are
+    """Buckets (c, s, node, n, root) of large ``clusters`` (c, x, n, root, probe), named by a pivot and a shingle outside it, in which every two members meet that may be linked and are
     not connected."""
     of = lambda node, name: sets.select(F.col("node").alias(node), F.col("found").alias(name))
     rest = clusters.join(of("x", "found"), "x").join(of("c", "pivot"), "c")
-    rest = rest.select("c", "x", "n", "root", (F.col("root") != F.col("root_c")).alias("probe"), F.size("pivot").alias("n_c"), F.array_except("found", "pivot").alias("outside"))
+    rest = rest.select("c", "x", "n", "root", "probe", F.size("pivot").alias("n_c"), F.array_except("found", "pivot").alias("outside"))
     u = F.size("outside")
     need = F.greatest(F.lit(1), F.ceil((percent * (F.col("n_c") + u) - 100 * (F.col("n") - u)) / F.lit(100 + percent)).cast("int"))
     each = staged(rest.select("c", "x", "n", "root", "probe", need.alias("need"), F.explode("outside").alias("s")), "outside")
@@ -193,7 +196,7 @@ def divided(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     mine = each.filter("probe").join(staged(sizes, "sizes"), ["c", "s"]).groupBy("c", "x").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("size", "s"))).alias("shared"))
     asked = mine.filter(F.size("shared") >= F.col("need")).select("c", F.explode(F.slice("shared", F.lit(1), F.size("shared") - F.col("need") + 1)).alias("e"))
     asked = asked.select("c", F.col("e.s").alias("s")).distinct()
-    return staged(each.join(asked, ["c", "s"]).select("c", "s", F.col("x").alias("node"), "n"), "members")
+    return staged(each.join(asked, ["c", "s"]).select("c", "s", F.col("x").alias("node"), "n", "root"), "members")
 
 
 def blocked(clusters: DataFrame) -> DataFrame:
@@ -252,8 +255,8 @@ def connected(docs: DataFrame, distinct: DataFrame, words: int, percent: int) ->
     as_pairs = lambda clusters: clusters.filter(alike).select(F.col("c").alias("a"), F.col("x").alias("b"))
     as_edges = lambda links: links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     ends = lambda rows, a, b: rows.select(F.explode(F.array(a, b)).alias("node"))
-    # with the pivot: as members of a block, which have no links yet
-    whole = lambda clusters: clusters.select("c", "x", "n", F.col("x").alias("root")).unionByName(clusters.groupBy("c").agg(F.first("n_c").alias("n")).select("c", F.col("c").alias("x"), "n", F.col("c").alias("root")))
+    # with the pivot: as members of a block
+    whole = lambda clusters: clusters.select("c", "x", "n", "root").unionByName(clusters.groupBy("c").agg(F.first("n_c").alias("n"), F.first("root_c").alias("root")).select("c", F.col("c").alias("x"), "n", "root"))
 
     clusters = staged(clustered(banded(distinct), ["bucket"], percent), "clusters")
     clusters = staged(clusters.join(clusters.groupBy("c").agg(F.count("*").alias("size")), "c"), "clusters")
@@ -270,12 +273,8 @@ def connected(docs: DataFrame, distinct: DataFrame, words: int, percent: int) ->
     if not large.isEmpty():
         own = sets.filter("large")
         edges = staged(linked(likely(as_pairs(large), signatures, percent), own, percent), "links")
-        parts = divided(with_roots(large, components(as_edges(edges))), own, percent)
-        again = staged(clustered(parts, ["c", "s"], percent), "clusters")
-        edges = edges.unionByName(staged(linked(likely(as_pairs(again), signatures, percent), own, percent), "links"))
-        again = staged(with_roots(again, components(as_edges(edges))), "open")
-        pivots = again.groupBy("c").agg(F.first("n_c").alias("n"), F.first("root_c").alias("root")).select("c", F.col("c").alias("x"), "n", "root")
-        blocks = blocks.unionByName(again.select("c", "x", "n", "root")).unionByName(pivots)
+        parts = divided(with_roots(large, edges), own, percent)
+        blocks = blocks.unionByName(whole(staged(clustered(parts, ["c", "s"], percent), "clusters")))
     found = staged(verified(blocked(blocks), signatures, sets.drop("large"), percent), "links")
     return components(as_edges(found if edges is None else edges.unionByName(found)))
 
