@@ -28,7 +28,7 @@ BLOCK_ROWS, QUERY_ROWS = 2048, 256
 #: Pairs of blocks that a task takes in at once: a block carries its vectors.
 BATCH_BLOCKS = "16"
 #: Blocks of rows and of queries that meet in a task, about.
-TASK_BLOCKS, TASK_QUERIES = 8, 4
+TASK_BLOCKS, TASK_QUERIES = 8, 32
 #: Query blocks whose best rows a task keeps at once.
 HELD_BLOCKS = 64
 #: More than products of unit vectors differ from the cosines that count; pairs whose cosine is summed at once.
@@ -277,7 +277,8 @@ def _search(all_rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     tall = blocks.withColumn("across", cell("ids", across)).withColumn("down", spread(down))
     wide = packed.withColumn("down", cell("queries", down)).withColumn("across", spread(across))
-    near = tall.join(wide, ["across", "down"]).select(*names, "queries", "wanted").mapInArrow(score, "query_rep long, rep long, near double")
+    # never by broadcast: Spark takes a side for as large as it was before it was copied, and would gather all copies on the driver
+    near = tall.join(wide.hint("merge"), ["across", "down"]).select(*names, "queries", "wanted").mapInArrow(score, "query_rep long, rep long, near double")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_BLOCKS)
     near = staged(near, "near")
     small_batches(spark)

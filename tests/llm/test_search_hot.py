@@ -23,3 +23,13 @@ def test_hot_group_is_searched_exactly(spark):
         s = unit @ unit[q]
         s[q] = -2
         assert found == set(np.argsort(-s)[:5].tolist()), q
+
+
+def test_the_copies_of_the_grid_do_not_go_to_the_driver(spark, monkeypatch):
+    """The blocks of queries are small before they are copied for each column of the grid, and Spark would send all copies through the driver."""
+    plans, staged = {}, additive.staged
+    monkeypatch.setattr(additive, "staged", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or staged(df, name))
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<double>")
+    assert additive.search(df, F.col("vec_id") % 50 == 0).count() == 30
+    assert "SortMergeJoin [across" in plans["near"] and "Broadcast" not in plans["near"]
