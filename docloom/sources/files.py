@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from docloom.functions.frames import portions
 from docloom.sources import pdf
 
+#: Pages that a task holds before it gives them out.
+PAGES_AT_ONCE = 256
 #: Content types by the end of a name.
 TYPES = {"pdf": "application/pdf", "txt": "text/plain", "html": "text/html", "htm": "text/html", "json": "application/json", "csv": "text/csv", "png": "image/png", "jpg": "image/jpeg"}
 
@@ -65,16 +68,24 @@ def _read(files: DataFrame, adapters: dict, row: Callable, schema: str) -> DataF
     kinds = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[dict] = []
-            for document_id, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        def given() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_pylist([{n: r.get(n) for n in kinds.names} for r in out], kinds)
+            out.clear()
+            return found
+
+        out: list[dict] = []
+        for part in (p for batch in batches for p in portions(batch)):
+            for document_id, kind, data in zip(*(part.column(i).to_pylist() for i in range(3))):
                 try:
                     for i, page in enumerate(adapters[kind](bytes(data)), 1):
                         found = {"error": said(page)} if isinstance(page, Exception) else row(page)
                         out.append({"document_id": document_id, "page_number": i, **found})
+                        if len(out) >= PAGES_AT_ONCE:
+                            yield given()
                 except Exception as e:  # noqa: BLE001  one file's fault is its row's
                     out.append({"document_id": document_id, "error": said(e)})
-            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in kinds.names} for r in out], kinds)
+        if out:
+            yield given()
 
     return files.select("document_id", "content_type", "content").mapInArrow(read, schema)
 
