@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,23 +41,32 @@ def area_ratio(total: Column, width: Column, height: Column) -> Column:
 def line_features(lengths: Column, positions: Column) -> Column:
     """Struct of a set of grid lines: line_count, average_length, length_variance and regularity (one less the variance of the gaps by their mean; 0 for
     less than three lines)."""
-    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
-    variance = lambda xs: F.aggregate(F.transform(xs, lambda x: (x - mean(xs)) * (x - mean(xs))), F.lit(0.0), lambda a, x: a + x) / F.size(xs)
     ordered = F.array_sort(positions)
-    gaps = F.zip_with(F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(0))), lambda b, a: b - a)
+    gaps_of = lambda xs: F.zip_with(F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, F.lit(1), F.greatest(F.size(xs) - 1, F.lit(0))), lambda b, a: b - a)
     n = F.size(lengths)
     return F.struct(
-        n.alias("line_count"), F.when(n > 0, mean(lengths)).otherwise(0.0).alias("average_length"), F.when(n > 1, variance(lengths)).otherwise(0.0).alias("length_variance"),
-        F.when(n > 2, 1.0 - variance(gaps) / (mean(gaps) + 1e-6)).otherwise(0.0).alias("regularity"),
+        n.alias("line_count"), F.when(n > 0, _mean(lengths)).otherwise(0.0).alias("average_length"), F.when(n > 1, _variance(lengths)).otherwise(0.0).alias("length_variance"),
+        F.when(n > 2, _once(ordered, lambda xs: _once(gaps_of(xs), lambda gaps: 1.0 - _variance(gaps) / (_mean(gaps) + 1e-6)))).otherwise(0.0).alias("regularity"),
     )
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is evaluated once: an expression that is used twice is also evaluated twice, and one within a function of an array for each of its elements."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _mean(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+
+
+def _variance(xs: Column) -> Column:
+    return _once(_mean(xs), lambda m: F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(xs))
+
+
 def element_features(areas: Column) -> Column:
     """Struct of the elements of a chart, by their areas: element_count, average_area (0 for none) and size_variance (of the whole; 0 for less than two)."""
     n = F.size(areas)
-    mean = F.aggregate(areas, F.lit(0.0), lambda a, x: a + x) / n
-    square = F.aggregate(F.transform(areas, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / n
-    return F.struct(n.alias("element_count"), F.when(n > 0, mean).otherwise(0.0).alias("average_area"), F.when(n > 1, square).otherwise(0.0).alias("size_variance"))
+    return F.struct(n.alias("element_count"), F.when(n > 0, _mean(areas)).otherwise(0.0).alias("average_area"), F.when(n > 1, _variance(areas)).otherwise(0.0).alias("size_variance"))
 
 
 def chart_features(regions: DataFrame) -> DataFrame:
