@@ -42,6 +42,7 @@ def validate(
     due = hashes if force or runs is None else dedup.not_yet_run(hashes, runs)
     due = due.select("document_id", "input_hash", now.cast("timestamp").alias("created_at"))
     due = due.withColumn("id", F.sha2(F.concat_ws("|", F.lit("run"), "document_id", "input_hash", F.col("created_at").cast("string")), 256))
+    due = staged(due, "due")  # each check joins it, the hashes are made once
     of_due = lambda df: df.join(due.select("document_id"), "document_id", "left_semi")
     texts, tables, charts = of_due(texts), of_due(tables), of_due(charts)
     found = staged(all_findings(texts, tables, charts), "findings")  # the scores and the caller read them, the checks are made once
