@@ -19,8 +19,8 @@ from .common import held_out, small_batches, spread
 
 DIMENSIONS = 2048
 SEED = 11
-#: Labelled texts of each language that the profiles are fitted on, at most (about: chosen by a hash).
-TEXTS_PER_LANGUAGE = 2000
+#: Trigrams of texts that a task holds before it makes vectors of them.
+TRIGRAMS_AT_ONCE = 4 << 20
 #: Steepness of the score: the softmax over languages of cosine times this.
 STEEPNESS = 25.0
 #: Vectors of letters and of trigrams that a worker keeps; more are made again when met again.
@@ -144,26 +144,41 @@ class Profiles:
         return self.names[best], float(e[best] / e.sum())
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TEXTS_PER_LANGUAGE) -> Profiles:
-    """Profiles from rows with text and lang whose doc_id is not held out, ``per_language`` of each language at most, chosen
-    by a hash. Only a vector for each language comes to the driver."""
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int | None = None) -> Profiles:
+    """Profiles from all rows with text and lang whose doc_id is not held out; where a caller asks for it, from about ``per_language`` of each language, chosen
+    by a hash. A text counts with its trigrams' weights, which have length one together; a task adds them up before it makes vectors of them. Only a vector for each language comes to the driver."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return Profiles([], np.zeros((0, DIMENSIONS)))
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(per_language / n))))
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    if per_language is not None:
+        sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+        rows = rows.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < F.lit(per_language) / F.col("_n") * (1 << 30))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def added() -> None:
+            for lang_, parts in held.items():
+                found, at = np.unique(np.concatenate([f for f, _ in parts]), return_inverse=True)
+                weight = np.bincount(at, np.concatenate([w for _, w in parts]))
+                for i in range(0, len(found), AT_ONCE):
+                    total[lang_] = total.get(lang_, 0) + weight[i : i + AT_ONCE] @ grams().of(found[i : i + AT_ONCE]).astype(float)
+            held.clear()
+
         for batch in batches:
             for lang_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if (v := vector(t)) is not None:
-                    total[lang_] = total.get(lang_, 0) + v.astype(np.float64)
+                found, count = trigrams(t)
+                if len(found):
+                    held.setdefault(lang_, []).append((found, np.sqrt(count / count.sum())))
+                    size += len(found)
+            if size > TRIGRAMS_AT_ONCE:
+                added()
+                size = 0
+        added()
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
     small_batches(docs.sparkSession)
-    parts = rows.select("lang", "text").mapInArrow(sums, "lang string, v array<double>")
+    parts = spread(rows.select("lang", "text")).mapInArrow(sums, "lang string, v array<double>")
     cells = parts.select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x")).collect()
     names = sorted({c.lang for c in cells})
     out = np.zeros((len(names), DIMENSIONS))

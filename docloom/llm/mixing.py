@@ -23,8 +23,6 @@ from .common import bounded_sample, staged
 #: Share of the tokens that each domain shall have.
 TARGETS = {"clean": 0.92, "low": 0.05, "toxic": 0.03}
 BUCKETS = 1 << 16
-#: Labelled documents that the classifier is fitted on, at most.
-SAMPLE = 20_000
 #: Background words added to each bucket, and the weight of the evidence against the prior.
 PSEUDO, EVIDENCE = 30.0, 0.5
 #: Log-odds are kept as integers of this step, so that sums do not depend on their order.
@@ -47,15 +45,16 @@ def words(docs: DataFrame, *keys: str) -> DataFrame:
     return each.select(*keys, "pos", (F.col("word") != "").alias("is_word"), F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
 
 
-def word_weights(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE) -> tuple[DataFrame, dict[str, float], list[str]]:
-    """(bucket, w_<domain> long), at most ``BUCKETS`` rows, the domains' shares of the labelled documents, and the domains that labelled words tell of."""
+def word_weights(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int | None = None) -> tuple[DataFrame, dict[str, float], list[str]]:
+    """(bucket, w_<domain> long), at most ``BUCKETS`` rows, the domains' shares of the labelled documents, and the domains that labelled words tell of: from all
+    labelled documents, or about ``sample`` of them where a caller asks for it."""
     once = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = once.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("domain is not null")
-    picked = bounded_sample(known, "doc_id", sample)
+    picked = staged(known if sample is None else bounded_sample(known, "doc_id", sample), "labelled")
     counts = {r.domain: r["count"] for r in picked.groupBy("domain").count().collect()}
     all_docs = sum(counts.values())
     prior = {d: (counts.get(d, 0) + 1) / (all_docs + len(domains)) for d in domains}
-    labelled = docs.filter("text is not null").join(F.broadcast(picked), "doc_id").select("domain", "text")
+    labelled = docs.filter("text is not null").join(picked, "doc_id").select("domain", "text")
     table = words(labelled, "domain").filter("is_word").groupBy("bucket").agg(*(F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in domains))
     table = staged(table, "words")
     sums = table.agg(*(F.coalesce(F.sum(f"n_{d}"), F.lit(0)).alias(d) for d in domains)).first()
