@@ -38,11 +38,28 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 1, "clean").when(quality == 0, "low")
 
 
+def _split() -> Column:
+    """The words of a text (column text); an empty one for a text without words."""
+    return F.split(F.trim(F.regexp_replace(F.lower("text"), r"[\x20\t-\r]+", " ")), " ")
+
+
+def _bucket(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1))
+
+
 def words(docs: DataFrame, *keys: str) -> DataFrame:
     """A row for each word of each text (column text, not null), with its place and bucket; one without a word for each text without words."""
-    flat = F.trim(F.regexp_replace(F.lower("text"), r"[\x20\t-\r]+", " "))
-    each = docs.select(*keys, F.posexplode(F.split(flat, " ")).alias("pos", "word"))
-    return each.select(*keys, "pos", (F.col("word") != "").alias("is_word"), F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
+    each = docs.select(*keys, F.posexplode(_split()).alias("pos", "word"))
+    return each.select(*keys, "pos", (F.col("word") != "").alias("is_word"), _bucket(F.col("word")).alias("bucket"))
+
+
+def labelled_words(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """(domain, bucket) of each word of the documents in ``picked`` (doc_id, domain). Documents meet their labels by a shuffle however few labels there are,
+    so that what is moved grows as the documents do; of a text only its words' buckets are moved, two bytes each."""
+    short = F.transform(F.filter(_split(), lambda w: w != ""), lambda w: (_bucket(w) - BUCKETS // 2).cast("short"))
+    buckets = docs.filter("text is not null").select("doc_id", short.alias("buckets"))
+    each = buckets.join(picked.hint("merge"), "doc_id").select("domain", F.explode("buckets").alias("short"))
+    return each.select("domain", (F.col("short").cast("long") + BUCKETS // 2).alias("bucket"))
 
 
 def word_weights(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int | None = None) -> tuple[DataFrame, dict[str, float], list[str]]:
@@ -54,8 +71,7 @@ def word_weights(docs: DataFrame, labels: DataFrame, domains: list[str], sample:
     counts = {r.domain: r["count"] for r in picked.groupBy("domain").count().collect()}
     all_docs = sum(counts.values())
     prior = {d: (counts.get(d, 0) + 1) / (all_docs + len(domains)) for d in domains}
-    labelled = docs.filter("text is not null").join(picked, "doc_id").select("domain", "text")
-    table = words(labelled, "domain").filter("is_word").groupBy("bucket").agg(*(F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in domains))
+    table = labelled_words(docs, picked).groupBy("bucket").agg(*(F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in domains))
     table = staged(table, "words")
     sums = table.agg(*(F.coalesce(F.sum(f"n_{d}"), F.lit(0)).alias(d) for d in domains)).first()
     total = max(1, sum(sums))

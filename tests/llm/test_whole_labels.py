@@ -63,3 +63,18 @@ def test_mixing_counts_every_labelled_row(spark):
     docs = labels.select("doc_id", F.lit("stone walks").alias("text"))
     prior = mixing.word_weights(docs, labels, ["clean", "low"])[1]
     assert prior == {"clean": 22_501 / 25_002, "low": 2_501 / 25_002}
+
+
+def test_mixing_moves_buckets_not_texts_at_any_size(spark, monkeypatch):
+    """Few labels are not broadcast where many are not: else what is moved would jump with the input."""
+    docs = spark.createDataFrame([(1, "Stone walks  stone"), (2, None), (3, " "), (4, "dolt"), (5, "no label"), (None, "stone")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0), (4, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    frames = {}
+    monkeypatch.setattr(mixing, "staged", lambda df, name: frames.setdefault(name, df))
+    mixing.word_weights(docs, labels, ["clean", "toxic"])
+    plan = frames["words"]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    counts = {(r.n_clean, r.n_toxic) for r in frames["words"].collect()}
+    assert counts == {(2, 0), (1, 0), (0, 1)}
+    same = mixing.words(docs.filter("doc_id in (1, 4)"), "doc_id").filter("is_word").groupBy("bucket").count()
+    assert {(r.bucket, r["count"]) for r in same.collect()} == {(r.bucket, r.n_clean + r.n_toxic) for r in frames["words"].collect()}
