@@ -129,20 +129,35 @@ BYTE_VALUES = random64(256, 7)
 LETTERS = Powers(0x9E3779B97F4A7C15)
 
 
-def word_hashes(data: bytes, head: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, or of the first ``head`` bytes of each. Polynomial
-    hashes: quick for all words at once, but words made for it can collide; what has to be certain uses ``digests`` too."""
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, prefix sums of the bytes' values and the powers that they are read with."""
     raw = np.frombuffer(data, np.uint8)
     edge = np.diff(np.concatenate(([True], IS_SPACE[raw], [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if head:
-        ends = np.minimum(ends, starts + head)
-    if not len(starts):
-        return starts, ends, np.zeros(0, np.uint64)
     up, down = LETTERS.upto(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[raw] * down[: len(raw)], out=sums[1:])
-    return starts, ends, mix64((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+    if len(starts):
+        np.cumsum(BYTE_VALUES[raw] * down[: len(raw)], out=sums[1:])
+    return starts, ends, sums, up
+
+
+def _hashes(starts: np.ndarray, ends: np.ndarray, sums: np.ndarray, up: np.ndarray) -> np.ndarray:
+    return mix64((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(data: bytes, head: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, or of the first ``head`` bytes of each. Polynomial
+    hashes: quick for all words at once, but words made for it can collide; what has to be certain uses ``digests`` too."""
+    starts, ends, sums, up = _words(data)
+    if head:
+        ends = np.minimum(ends, starts + head)
+    return starts, ends, _hashes(starts, ends, sums, up)
+
+
+def headed_hashes(data: bytes, heads: tuple[int | None, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Starts of the words, and their ``word_hashes`` for each of the ``heads``."""
+    starts, ends, sums, up = _words(data)
+    return starts, [_hashes(starts, np.minimum(ends, starts + head) if head else ends, sums, up) for head in heads]
 
 
 def digests(words: list[bytes], seed: int) -> np.ndarray:

@@ -29,6 +29,8 @@ KEPT_LETTERS, KEPT_GRAMS = 8192, 16384
 AT_ONCE = 256
 #: Trigrams whose products with the prototypes a worker keeps.
 KEPT_PRODUCTS = 1 << 17
+#: Trigrams of texts that are looked up there at once.
+LOOKED_UP_AT_ONCE = 1 << 15
 BLANK = 0
 
 
@@ -118,19 +120,38 @@ class Profiles:
         if len(self.place) + len(found) > KEPT_PRODUCTS or not len(self.kept):
             self.place, self.kept = {}, np.zeros((max(KEPT_PRODUCTS, len(found)), len(self.names)), np.float32)
         listed = found.tolist()
-        new = [g for g in listed if g not in self.place]
-        for i in range(0, len(new), AT_ONCE):
-            part = new[i : i + AT_ONCE]
-            self.kept[len(self.place) : len(self.place) + len(part)] = grams().of(np.array(part)).astype(np.float32) @ self.prototypes.T
-            self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
-        return self.kept[[self.place[g] for g in listed]]
+        at = list(map(self.place.get, listed))
+        if None in at:
+            new = [g for g, k in zip(listed, at) if k is None]
+            for i in range(0, len(new), AT_ONCE):
+                part = new[i : i + AT_ONCE]
+                self.kept[len(self.place) : len(self.place) + len(part)] = grams().of(np.array(part)).astype(np.float32) @ self.prototypes.T
+                self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
+            at = list(map(self.place.__getitem__, listed))
+        return self.kept[at]
 
     def nearest(self, text: str) -> str:
         """The language of ``predict`` without its score: the length of the text's vector does not matter, so the vector is not made."""
-        found, count = trigrams(text)
-        if not len(found) or not self.names:
-            return "und"
-        return self.names[int((np.sqrt(count).astype(np.float32) @ self.products(found)).argmax())]
+        return self.all_nearest([text])[0]
+
+    def all_nearest(self, texts: list[str]) -> list[str]:
+        """``nearest`` of each text, the trigrams of some of them looked up at once."""
+        if not self.names:
+            return ["und"] * len(texts)
+        out: list[str] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            held.append(trigrams(text))
+            size += len(held[-1][0])
+            if size > LOOKED_UP_AT_ONCE or i == len(texts) - 1:
+                some, at = np.unique(np.concatenate([f for f, _ in held]), return_inverse=True)
+                products, end = self.products(some), 0
+                for found, count in held:
+                    own, end = products[at[end : end + len(found)]], end + len(found)
+                    out.append(self.names[int((np.sqrt(count).astype(np.float32) @ own).argmax())] if len(found) else "und")
+                held, size = [], 0
+        return out
 
     def predict(self, text: str) -> tuple[str, float]:
         """Language and score; ('und', 0.0) for a text without letters, or where no language was learned. Of equal cosines the first

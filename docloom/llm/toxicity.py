@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import language
-from .common import bounded_sample, dropped, held_out, mix64, small_batches, spread, staged, word_hashes
+from .common import bounded_sample, dropped, headed_hashes, held_out, mix64, small_batches, spread, staged
 
 #: Labelled rows of a shard, and bytes of their texts, about.
 SHARD_ROWS, SHARD_BYTES = 8000, 16 << 20
@@ -38,15 +38,32 @@ LEAST_TEXTS = 8
 EPOCHS, BATCH, RATE, SEED = 4, 32, 0.01, 5
 #: Positive calibration texts that a language needs for a threshold of its own.
 LEAST_POSITIVE = 25
-NOT_LETTERS = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalpha()})
+#: Blanks for whatever ASCII is no letter; the bytes of other characters stay.
+LETTERS_ONLY = bytes(c if c > 127 or chr(c).isalpha() else 0x20 for c in range(256))
+#: Bytes of texts that are hashed at once.
+HASHED_AT_ONCE = 1 << 17
 
 
 def buckets(text: str | None) -> np.ndarray:
     """For each word of a text, the buckets of the word and of its beginnings. Words are in lower case, split at whatever ASCII is
     no letter."""
-    data = (text or "").lower().translate(NOT_LETTERS).encode("utf-8", "replace")
-    hashes = [mix64(word_hashes(data, head)[2] + np.uint64(i)) for i, head in enumerate((None, *HEADS))]
-    return (np.stack(hashes, axis=1) >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
+    return all_buckets([text])[0]
+
+
+def all_buckets(texts: list[str | None]) -> list[np.ndarray]:
+    """``buckets`` of each text, some of them hashed at once."""
+    out: list[np.ndarray] = []
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        held.append((text or "").lower().encode("utf-8", "replace").translate(LETTERS_ONLY))
+        size += len(held[-1])
+        if size > HASHED_AT_ONCE or i == len(texts) - 1:
+            starts, found = headed_hashes(b" ".join(held), (None, *HEADS))
+            hashes = [mix64(h + np.uint64(k)) for k, h in enumerate(found)]
+            rows = (np.stack(hashes, axis=1) >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
+            out += np.split(rows, np.searchsorted(starts, np.cumsum([len(x) + 1 for x in held])[:-1]))
+            held, size = [], 0
+    return out
 
 
 class Network:
@@ -94,7 +111,7 @@ class Network:
         return (found, places, words) if where else found
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        found = self.pooled([self.rows_of[buckets(t)] for t in texts])
+        found = self.pooled([self.rows_of[b] for b in all_buckets(texts)])
         return np.maximum(found, 0) @ self.out + self.out_bias
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -102,14 +119,14 @@ class Network:
         if not texts:
             return np.zeros(0)
         logits, out = [], 0
-        while out < len(texts):  # texts of some megabytes at once
+        while out < len(texts):  # so few at once that their responses stay in the processor's cache
             n, size = 0, 0
-            while out + n < len(texts) and (n == 0 or size < 2_000_000):
+            while out + n < len(texts) and (n == 0 or size < 200_000):
                 size += len(texts[out + n] or "")
                 n += 1
             logits.append(self.logits(texts[out : out + n]))
             out += n
-        cuts = np.array([self.cuts.get(self.profiles.nearest(t or ""), self.cut) if self.cuts else self.cut for t in texts])
+        cuts = np.array([self.cuts.get(lang, self.cut) for lang in self.profiles.all_nearest([t or "" for t in texts])] if self.cuts else self.cut)
         return 1 / (1 + np.exp(-np.clip(np.concatenate(logits) - cuts, -30, 30)))
 
 
@@ -169,7 +186,7 @@ def counted(hashed: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, n
 
 def train(texts: list[str | None], labels: np.ndarray) -> Network:
     """Fit the network to a few labelled texts, here and now."""
-    hashed = [buckets(t) for t in texts]
+    hashed = all_buckets(texts)
     n_in, n_pos = counted(hashed, labels)
     kept = np.flatnonzero(n_in >= LEAST_TEXTS)
     net = begun(kept, n_in[kept], n_pos[kept], float(labels.mean()) if len(labels) else 0.0)
@@ -258,8 +275,9 @@ def hashed(rows: DataFrame, profiles: language.Profiles) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, apart = batch.column(4).to_pylist(), batch.column(2).to_pylist()
-            langs = [profiles.nearest(t or "") if a else None for t, a in zip(texts, apart)]
-            words = [zlib.compress(buckets(t).astype(np.int32).tobytes(), 1) for t in texts]
+            nearest = iter(profiles.all_nearest([t or "" for t, a in zip(texts, apart) if a]))
+            langs = [next(nearest) if a else None for a in apart]
+            words = [zlib.compress(b.astype(np.int32).tobytes(), 1) for b in all_buckets(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(langs, pa.string()), pa.array(words, pa.binary())], ["doc_id", "toxic", "apart", "bytes", "lang", "words"])
 
     wanted = rows.select("doc_id", "toxic", (F.pmod(F.col("doc_id"), F.lit(4)) == 3).alias("apart"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "text")

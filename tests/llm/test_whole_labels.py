@@ -78,3 +78,25 @@ def test_mixing_moves_buckets_not_texts_at_any_size(spark, monkeypatch):
     assert counts == {(2, 0), (1, 0), (0, 1)}
     same = mixing.words(docs.filter("doc_id in (1, 4)"), "doc_id").filter("is_word").groupBy("bucket").count()
     assert {(r.bucket, r["count"]) for r in same.collect()} == {(r.bucket, r.n_clean + r.n_toxic) for r in frames["words"].collect()}
+
+
+def test_toxicity_hashes_texts_together(monkeypatch):
+    """As many texts as fit are hashed by one pass over their bytes, and get the buckets that each has by itself."""
+    texts = ["Stone walks, dolt!", None, "", " \n", "\u00fcber se\u00f1or e\u0301lan", "a" * 70_000, "x1 y2-stone", "\u65e5\u672c\u8a9e \U0001f600", "tail"] * 3
+    passes, real = [], toxicity.headed_hashes
+    monkeypatch.setattr(toxicity, "headed_hashes", lambda data, heads: passes.append(len(data)) or real(data, heads))
+    together = toxicity.all_buckets(texts)
+    assert len(passes) == 2 and len(together) == len(texts) and toxicity.all_buckets([]) == []
+    for text, got in zip(texts, together):
+        words = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in (text or "").lower()).split(" ")
+        own = [toxicity.buckets(w)[0] for w in words if w]
+        assert got.shape == (len(own), 2) and (got == np.array(own, np.int64).reshape(-1, 2)).all()
+
+
+def test_languages_are_looked_up_together(monkeypatch):
+    texts = ["stone walks", "der stein geht", "", "la piedra anda", "42", "stone walks der"] * 50
+    some = language.Profiles(["de", "en", "es"], np.stack([language.vector(t) for t in ("der stein geht", "the stone walks", "la piedra anda")]))
+    calls, real = [], some.products
+    monkeypatch.setattr(some, "products", lambda found: calls.append(len(found)) or real(found))
+    assert some.all_nearest(texts) == [some.predict(t)[0] for t in texts] and len(calls) == 1
+    assert some.all_nearest([]) == [] and language.Profiles([], np.zeros((0, language.DIMENSIONS))).all_nearest(["a", ""]) == ["und", "und"]
