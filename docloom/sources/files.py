@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from docloom.functions.frames import portions
+from docloom.functions.frames import BYTES_AT_ONCE, portions
 from docloom.sources import pdf
 
-#: Pages that a task holds before it gives them out.
-PAGES_AT_ONCE = 256
+#: Pages that a task holds before it gives them out, unless they are ``BYTES_AT_ONCE`` before; bytes of a drawing, span or image as a Python object, about.
+PAGES_AT_ONCE, ITEM_BYTES = 256, 512
 #: Content types by the end of a name.
 TYPES = {"pdf": "application/pdf", "txt": "text/plain", "html": "text/html", "htm": "text/html", "json": "application/json", "csv": "text/csv", "png": "image/png", "jpg": "image/jpeg"}
 
@@ -63,27 +63,35 @@ def said(e: Exception) -> str:
     return f"{type(e).__name__}: {e}"[:500]
 
 
+def held(row: dict) -> int:
+    """About the bytes of a page's row as Python objects."""
+    return sum(len(v) if isinstance(v, str) else ITEM_BYTES * len(v) for v in row.values() if isinstance(v, (str, list)))
+
+
 def _read(files: DataFrame, adapters: dict, row: Callable, schema: str) -> DataFrame:
     """A row for each page that an adapter yields; faults of pages and files are rows with an error."""
     kinds = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def given() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_pylist([{n: r.get(n) for n in kinds.names} for r in out], kinds)
-            out.clear()
-            return found
+    def of(document_id: str, kind: str, data: bytes) -> Iterator[dict]:
+        try:
+            for i, page in enumerate(adapters[kind](bytes(data)), 1):
+                found = {"error": said(page)} if isinstance(page, Exception) else row(page)
+                yield {"document_id": document_id, "page_number": i, **found}
+        except Exception as e:  # noqa: BLE001  one file's fault is its row's
+            yield {"document_id": document_id, "error": said(e)}
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = lambda: pa.RecordBatch.from_pylist([{n: r.get(n) for n in kinds.names} for r in out], kinds)
         out: list[dict] = []
+        size = 0
         for part in (p for batch in batches for p in portions(batch)):
-            for document_id, kind, data in zip(*(part.column(i).to_pylist() for i in range(3))):
-                try:
-                    for i, page in enumerate(adapters[kind](bytes(data)), 1):
-                        found = {"error": said(page)} if isinstance(page, Exception) else row(page)
-                        out.append({"document_id": document_id, "page_number": i, **found})
-                        if len(out) >= PAGES_AT_ONCE:
-                            yield given()
-                except Exception as e:  # noqa: BLE001  one file's fault is its row's
-                    out.append({"document_id": document_id, "error": said(e)})
+            for file in zip(*(part.column(i).to_pylist() for i in range(3))):
+                for r in of(*file):
+                    out.append(r)
+                    size += held(r)
+                    if len(out) >= PAGES_AT_ONCE or size >= BYTES_AT_ONCE:
+                        yield given()
+                        out, size = [], 0
         if out:
             yield given()
 

@@ -94,3 +94,39 @@ def test_stream_takes_each_content_once(spark, tmp_path):
     write(source, d=b"same", e=b"third")
     ingest.start(ingest.arriving(spark, str(source)), sink, state).awaitTermination()
     assert sorted(spark.read.parquet(sink).select("file_size").toPandas().file_size) == [4, 5, 5]
+
+
+class Rows:
+    """Stands in for a frame: gives the function that a task runs."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        return f
+
+
+def test_portions_go_by_the_bytes_of_their_own_rows():
+    """Large rows that stand together in a batch of small ones do not come in one portion."""
+    import pyarrow as pa
+
+    from docloom.functions import frames
+
+    rows = [{"k": i, "data": bytes(frames.BYTES_AT_ONCE // 4 if 300 <= i < 320 else 1)} for i in range(2000)]
+    parts = list(frames.portions(pa.RecordBatch.from_pylist(rows)))
+    assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(2000))
+    assert max(p.nbytes for p in parts) <= frames.BYTES_AT_ONCE and max(p.num_rows for p in parts) == frames.ROWS_AT_ONCE and len(parts) < 30
+
+
+def test_large_pages_and_bad_files_are_given_out_in_parts(spark):
+    """What a task holds of pages is bounded by their bytes too, and files that fail do not pile up."""
+    import pyarrow as pa
+
+    from docloom.functions.frames import BYTES_AT_ONCE
+
+    large = pa.RecordBatch.from_pylist([{"document_id": str(i), "content_type": "text/plain", "content": b"a\fb"} for i in range(20)])
+    parts = list(files.pages(Rows(), {"text/plain": lambda data: ["x" * (BYTES_AT_ONCE // 2)] * 2})(iter([large])))
+    assert sum(p.num_rows for p in parts) == 40 and max(p.nbytes for p in parts) < 2 * BYTES_AT_ONCE
+    bad = pa.RecordBatch.from_pylist([{"document_id": str(i), "content_type": "no/such", "content": b"a"} for i in range(1000)])
+    parts = list(files.pages(Rows())(iter([bad])))
+    assert sum(p.num_rows for p in parts) == 1000 and max(p.num_rows for p in parts) <= files.PAGES_AT_ONCE and all(e.startswith("KeyError") for p in parts for e in p.column("error").to_pylist())
