@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from docloom.functions.frames import BYTES_AT_ONCE, portions
+from docloom.functions.frames import BYTES_AT_ONCE, nested, portions
 from docloom.sources import pdf
 
 #: Pages that a task holds before it gives them out, unless they are ``BYTES_AT_ONCE`` before; bytes of a drawing, span or image as a Python object, about.
@@ -68,9 +68,12 @@ def held(row: dict) -> int:
     return sum(len(v) if isinstance(v, str) else ITEM_BYTES * len(v) for v in row.values() if isinstance(v, (str, list)))
 
 
-def _read(files: DataFrame, adapters: dict, row: Callable, schema: str) -> DataFrame:
-    """A row for each page that an adapter yields; faults of pages and files are rows with an error."""
-    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+def _read(files: DataFrame, adapters: dict, row: Callable, schema: T.StructType) -> DataFrame:
+    """A row for each page that an adapter yields, its lists as tuples; faults of pages and files are rows with an error."""
+    kinds = to_arrow_schema(schema)
+
+    def column(values: list, kind: pa.DataType) -> pa.Array:
+        return nested(values, kind) if pa.types.is_list(kind) else pa.array(values, kind)
 
     def of(document_id: str, kind: str, data: bytes) -> Iterator[dict]:
         try:
@@ -81,7 +84,7 @@ def _read(files: DataFrame, adapters: dict, row: Callable, schema: str) -> DataF
             yield {"document_id": document_id, "error": said(e)}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = lambda: pa.RecordBatch.from_pylist([{n: r.get(n) for n in kinds.names} for r in out], kinds)
+        given = lambda: pa.RecordBatch.from_arrays([column([r.get(f.name) for r in out], f.type) for f in kinds], schema=kinds)
         out: list[dict] = []
         size = 0
         for part in (p for batch in batches for p in portions(batch)):
@@ -101,17 +104,20 @@ def _read(files: DataFrame, adapters: dict, row: Callable, schema: str) -> DataF
 def pages(files: DataFrame, adapters: dict[str, Adapter] | None = None) -> DataFrame:
     """(document_id, page_number, raw_text, text_length, error): a row for each page, numbered from one. A page that can not be read has an error, and the others of
     its file go on; a file that its adapter fails on ends in a row with the error, page null; the other files go on."""
-    return _read(files, adapters or ADAPTERS, lambda t: {"raw_text": t, "text_length": len((t or "").strip())}, PAGE)
+    return _read(files, adapters or ADAPTERS, lambda t: {"raw_text": t, "text_length": len((t or "").strip())}, T.StructType.fromDDL(PAGE))
 
 
-def layouts(files: DataFrame, adapters: dict[str, LayoutAdapter] | None = None) -> DataFrame:
-    """(document_id, page_number, width, height, text, images, drawings, spans, error): what ``signals.page_signals`` goes by, a row for each page; errors as in ``pages``."""
+def layouts(files: DataFrame, adapters: dict[str, LayoutAdapter] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """(document_id, page_number, width, height, text, images, drawings, spans, error), or those ``columns`` of it: what ``signals.page_signals`` goes by, a row for each page; errors as in
+    ``pages``."""
+    schema = T.StructType([f for f in T.StructType.fromDDL(LAYOUT) if columns is None or f.name in columns])
+    lists = [f.name for f in schema if isinstance(f.dataType, T.ArrayType)]
+    single = [n for n in ("width", "height", "text") if n in schema.names]
 
     def row(page: dict) -> dict:
-        images = [{"width": w, "height": h} for w, h in page.get("images", [])]
-        return {"width": page["width"], "height": page["height"], "text": page.get("text"), "images": images, "drawings": [dict(zip(DRAWING, d)) for d in page.get("drawings", [])], "spans": [dict(zip(SPAN, x)) for x in page.get("spans", [])]}
+        return {n: page[n] if n != "text" else page.get(n) for n in single} | {n: list(page.get(n, [])) for n in lists}
 
-    return _read(files, adapters or LAYOUTS, row, LAYOUT)
+    return _read(files, adapters or LAYOUTS, row, schema)
 
 
 def ocr(pictures: DataFrame, engine: OcrAdapter | None = None) -> DataFrame:
