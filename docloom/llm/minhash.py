@@ -130,9 +130,9 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text", "large").mapInArrow(rows, "node long, found array<long>, large boolean")
 
 
-def likely(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+def likely(pairs: DataFrame, signatures: DataFrame, percent: int, miss: float = MISS) -> DataFrame:
     """The (a, b) of ``pairs`` that their signatures do not rule out."""
-    least = least_matches(percent)
+    least = least_matches(percent, miss)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,10 +219,10 @@ def blocked(clusters: DataFrame) -> DataFrame:
     return small.unionByName(sides.join(place, "block").select("i", "j", "block", "x", "n", "root"))
 
 
-def verified(rows: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(rows: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, miss: float = MISS) -> DataFrame:
     """(a, b): links that connect what is near among the ``blocked`` members, and is not of one root. A task gets each member's signature and set once, compares signatures in batches,
     and verifies the survivors that are not connected by then."""
-    least = least_matches(percent)
+    least = least_matches(percent, miss)
     full = rows.join(signatures.select(F.col("node").alias("x"), "signature"), "x").join(sets.select(F.col("node").alias("x"), "found"), "x")
 
     def links(table: pa.Table) -> pa.Table:
@@ -249,7 +249,7 @@ def verified(rows: DataFrame, signatures: DataFrame, sets: DataFrame, percent: i
     return full.groupBy("i", "j").applyInArrow(links, "a long, b long")
 
 
-def connected(docs: DataFrame, distinct: DataFrame, words: int, percent: int) -> DataFrame:
+def connected(docs: DataFrame, distinct: DataFrame, words: int, percent: int, miss: float = MISS) -> DataFrame:
     """(node, root) of the linked nodes of ``distinct`` (node, first, n, signature), one row for each set of shingles of ``docs`` (doc_id, text_hash, text)."""
     alike = F.least("n", "n_c") * 100 >= F.greatest("n", "n_c") * percent
     as_pairs = lambda clusters: clusters.filter(alike).select(F.col("c").alias("a"), F.col("x").alias("b"))
@@ -262,7 +262,7 @@ def connected(docs: DataFrame, distinct: DataFrame, words: int, percent: int) ->
     clusters = staged(clusters.join(clusters.groupBy("c").agg(F.count("*").alias("size")), "c"), "clusters")
     signatures = staged(distinct.join(ends(clusters, "c", "x").distinct(), "node", "left_semi").select("node", "signature"), "signatures")
     single, small, large = clusters.filter("size = 1"), clusters.filter(F.col("size").between(2, BLOCK - 1)), clusters.filter(F.col("size") >= BLOCK)
-    near = staged(likely(as_pairs(single), signatures, percent), "likely")
+    near = staged(likely(as_pairs(single), signatures, percent, miss), "likely")
     single = single.join(near.select(F.col("a").alias("c"), F.col("b").alias("x")), ["c", "x"], "left_semi")
     # the sets that are verified, from the texts
     involved = ends(single, "c", "x").unionByName(ends(small, "c", "x")).withColumn("large", F.lit(False)).unionByName(ends(large, "c", "x").withColumn("large", F.lit(True)))
@@ -272,22 +272,22 @@ def connected(docs: DataFrame, distinct: DataFrame, words: int, percent: int) ->
     blocks, edges = whole(single).unionByName(whole(small)), None
     if not large.isEmpty():
         own = sets.filter("large")
-        edges = staged(linked(likely(as_pairs(large), signatures, percent), own, percent), "links")
+        edges = staged(linked(likely(as_pairs(large), signatures, percent, miss), own, percent), "links")
         parts = divided(with_roots(large, edges), own, percent)
         blocks = blocks.unionByName(whole(staged(clustered(parts, ["c", "s"], percent), "clusters")))
-    found = staged(verified(blocked(blocks), signatures, sets.drop("large"), percent), "links")
+    found = staged(verified(blocked(blocks), signatures, sets.drop("large"), percent, miss), "links")
     return components(as_edges(found if edges is None else edges.unionByName(found)))
 
 
-def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+def classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """(doc_id, text_hash, n, stays) of every row of ``docs`` (doc_id, text_hash, text): the size of its set, and the least (no_id, doc_id, text_hash) that links
-    reach. Equal sets are of one class, the empty one too. Rows repeat where ``docs`` does; those without doc_id come last in a class."""
+    reach; a pair is given up by ``miss``. Equal sets are of one class, the empty one too. Rows repeat where ``docs`` does; those without doc_id come last in a class."""
     small_batches(docs.sparkSession)
     found = staged(prints(docs, words), "prints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     # sets of equal key are equal, and so are their sizes and signatures
     distinct = staged(found.groupBy(F.col("key").alias("node")).agg(F.min(place).alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("signature").alias("signature")), "distinct")
-    roots = connected(docs, distinct, words, percent)
+    roots = connected(docs, distinct, words, percent, miss)
     roots = distinct.select("node", "first", "rows").join(roots, "node", "left").select("node", "first", "rows", F.coalesce("root", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("first").alias("stays"), F.sum("rows").alias("of"))
     label = staged(roots.join(least, "root").filter("of > 1").select(F.col("node").alias("key"), "stays"), "labels")
